@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from structsim.llm import language_id, ngram_join, packing, secret_scan, token_files
+from structsim.llm import chat_format, language_id, ngram_join, packing, secret_scan, token_files, vector_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +19,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold control strings, in a layout of its own.
+_CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+_CONTROL_RECORD = json.dumps({"conv_id": -1, "messages": [{"role": r, "content": _CONTROL_TEXT} for r in ("user", "assistant")]})
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_format.turn_records(_read(spark, sf_dir, "conversations"))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(_CONTROL_RECORD).alias("record"))
+    return chat_format.conversation_digests(chat_format.format_conversations(records.unionByName(extra)))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -33,11 +46,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_read(spark, sf_dir, "documents"))
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_format": op2_chat_format,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_vector_search": op10_vector_search,
 }
 ORACLE_SQL: dict[str, str] = {}
