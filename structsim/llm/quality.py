@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from structsim.llm.wordhash import mix, text_slices, words
 
 SAMPLE, BUCKETS, KEEP = 4000, 1 << 15, 0.5
-STEPS, RATE, SEED = 400, 0.05, 3
+STEPS, RATE = 400, 0.05
+#: What is believed of every labeller beforehand: chances of a bad vote on bad and on good texts, and how many times the
+#: documents that belief is worth. Bad votes on good texts are firmly held to be rare; how often bad texts get one is
+#: left to the data. Without it a kind of bad text that one labeller alone sees would drift to good.
+BELIEF, BELIEF_WEIGHT = np.array([0.15, 0.0005]), np.array([0.02, 20.0])
+
 _GRAM_BASE, _SHARES = BUCKETS, 2 * BUCKETS
 
 # Byte classes: 0 small letter, 1 capital, 2 digit, 3 space or control, 4 plain punctuation, 5 other sign, 6 non-ASCII.
@@ -80,19 +85,20 @@ def shape(data: np.ndarray, offsets: np.ndarray) -> tuple[Shape, np.ndarray, np.
 def votes(s: Shape) -> np.ndarray:
     """rows by labellers: 1 good, -1 bad, 0 nothing. Thresholds are parameters of the heuristics, not fitted."""
 
-    def vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        return np.where(bad, -1, np.where(good, 1, 0))
+    def vote(bad: np.ndarray, good: np.ndarray | None = None) -> np.ndarray:
+        return np.where(bad, -1, 0 if good is None else np.where(good, 1, 0))
 
+    few = s.n_words <= 20  # too few to hold repetition or missing stops against a text
     letters = s.share[:, 0] + s.share[:, 1] + s.share[:, 6]
     out = np.stack([
-        vote(s.share[:, 5] < 0.02, s.share[:, 5] > 0.08),
-        vote(s.share[:, 1] < 0.15, s.share[:, 1] > 0.5 * letters),
-        vote((s.mean_word > 2.8) & (s.mean_word < 9.5), (s.mean_word < 2) | (s.mean_word > 14)),
-        vote((s.distinct > 0.3) | (s.n_words > 2000), (s.distinct < 0.1) & (s.n_words > 20)),
-        vote(s.distinct_pairs > 0.8, (s.distinct_pairs < 0.45) & (s.n_words > 20)),
-        vote((s.stops > 0.02) & (s.stops < 0.6), (s.stops == 0) & (s.n_words > 60)),
-        vote((s.shouts < 0.02) & (s.n_words > 20), s.shouts > 0.2),
-        vote((s.bars < 0.005) & (s.n_words > 20), s.bars > 0.1),
+        vote(s.share[:, 5] > 0.06),
+        vote(s.share[:, 1] > 0.5 * letters),
+        vote((s.mean_word < 2) | (s.mean_word > 14), (s.mean_word > 2.8) & (s.mean_word < 9.5)),
+        vote((s.distinct < 0.15) & ~few),
+        vote((s.distinct_pairs < 0.5) & ~few, few | (s.distinct_pairs > 0.8)),
+        vote((s.stops == 0) & (s.n_words > 60), few | ((s.stops > 0.02) & (s.stops < 0.6))),
+        vote(s.shouts > 0.1),
+        vote(s.bars > 0.05),
     ], axis=1)
     out[s.n_words == 0] = 0
     return out.astype(np.int8)
@@ -106,16 +112,19 @@ def pattern(v: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of good per pattern, accuracies as classes by labellers by votes) by expectation-maximisation.
 
-    Labellers are taken as independent given the class. It starts from majority votes with good more common than bad,
-    and a little smoothing keeps every vote possible.
+    Labellers are taken as independent given the class. It starts from the patterns with a bad vote as bad ones, the
+    others as good ones, and ``BELIEF`` is the prior.
     """
     v = patterns[:, None] // 3 ** np.arange(labellers) % 3 - 1
-    good = np.clip(0.7 + 0.3 * v.sum(axis=1) / np.maximum(np.abs(v).sum(axis=1), 1) - 0.6 * (v == -1).any(axis=1), 0.05, 0.95)
+    good = np.where((v == -1).any(axis=1), 0.05, 0.95)
+    held = BELIEF_WEIGHT * counts.sum() + 1
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        chance = np.stack([weight @ (v == k) for k in (-1, 0, 1)], axis=2) + np.array([0.5, 0.5, 0.5])
-        chance /= chance.sum(axis=2, keepdims=True)
+        bad, none, yes = (weight @ (v == k) for k in (-1, 0, 1))
+        bad = (bad + (held * BELIEF)[:, None]) / (weight.sum(axis=1) + held)[:, None]
+        yes = (yes + 1) / (yes + none + 2)
+        chance = np.stack([bad, (1 - bad) * (1 - yes), (1 - bad) * yes], axis=2)
         log = np.log(prior)[:, None] + sum(np.log(chance[:, j, :])[:, v[:, j] + 1] for j in range(labellers))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if np.abs(new - good).max() < 1e-9:
@@ -226,13 +235,16 @@ def train(buckets: list[np.ndarray], weights: list[np.ndarray], shares: np.ndarr
 
 
 def score_quality(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, weak_label (posterior of the votes), score (the scorer's chance of good), keep."""
+    """Per row of (doc_id, text): doc_id, weak_label (posterior of the votes), score (the scorer's chance of good), keep.
+
+    A text is dropped only if its weak label and its score both speak against it.
+    """
     scorer = fit(docs, sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in text_slices(batch, 1):
                 score, label = scorer.scores(data, offsets) if scorer else (np.zeros(to - at), np.zeros(to - at))
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(label), pa.array(score), pa.array(score >= keep)], names=["doc_id", "weak_label", "score", "keep"])
+                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(label), pa.array(score), pa.array((score >= keep) | (label >= keep))], names=["doc_id", "weak_label", "score", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, weak_label double, score double, keep boolean")
