@@ -57,7 +57,7 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def hashed_words(texts: list[str]) -> list[np.ndarray]:
     raw = [t.encode() for t in texts]
-    h, before = letter_words(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    h, before = letter_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     return [h[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
 
 
@@ -85,6 +85,8 @@ class Index:
         words = hashed_words([t for _, t in items])
         keep = [k for k, w in enumerate(words) if len(w)]
         self.ids = [items[k][0] for k in keep]
+        if not keep:
+            return
         words = [words[k] for k in keep]
         parts = [split_item(items[k][1]) for k in keep]
         # Each part's shingles and how many words they have.
@@ -94,23 +96,23 @@ class Index:
         self.blocks = -(-n // BLOCK)
         lengths = np.array([len(w) for w in words])
         item = np.repeat(np.arange(n), lengths)
-        self.terms, term = np.unique(np.concatenate(words) if n else np.zeros(0, np.uint64), return_inverse=True)
-        pair, times = np.unique(term * max(n, 1) + item, return_counts=True)
-        self.term_of, self.item_of = pair // max(n, 1), pair % max(n, 1)
+        self.terms, term = np.unique(np.concatenate(words), return_inverse=True)
+        pair, times = np.unique(term * n + item, return_counts=True)
+        self.term_of, self.item_of = pair // n, pair % n
         have = np.bincount(self.term_of, minlength=len(self.terms))
         idf = np.log1p((n - have + 0.5) / (have + 0.5))
-        impact = idf[self.term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[self.item_of] / max(lengths.mean(), 1) if n else 1))
-        self.impact = impact / np.bincount(self.item_of, impact, n)[self.item_of] if n else impact
+        impact = idf[self.term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[self.item_of] / lengths.mean()))
+        self.impact = impact / np.bincount(self.item_of, impact, n)[self.item_of]
         #: Per block: term -> its items there, their impacts, and the largest of these.
         self.postings: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(self.blocks)]
         for term, item, impact in zip(self.term_of.tolist(), self.item_of.tolist(), self.impact.tolist(), strict=True):
             items, impacts, most = self.postings[item // BLOCK].get(term, ([], [], 0.0))
             self.postings[item // BLOCK][term] = ([*items, item], [*impacts, impact], max(most, impact))
         # Block maxima: a row per term and block that has any; the most frequent terms as a dense matrix.
-        cell = self.term_of * max(self.blocks, 1) + self.item_of // BLOCK
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.max_term, self.max_block, self.max_impact = cell[first] // max(self.blocks, 1), cell[first] % max(self.blocks, 1), most
+        cell = self.term_of * self.blocks + self.item_of // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        most = np.maximum.reduceat(self.impact, first)
+        self.max_term, self.max_block, self.max_impact = cell[first] // self.blocks, cell[first] % self.blocks, most
         self.max_begin = np.searchsorted(self.max_term, np.arange(len(self.terms) + 1))
         frequent = np.argsort(-have, kind="stable")[:FREQUENT]
         self.dense_of = np.full(len(self.terms), -1)

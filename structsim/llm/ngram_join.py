@@ -273,6 +273,10 @@ def _big_cells(members: DataFrame, edges: DataFrame, folder: str, percent: int,
 
 
 def keep_one_per_group(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; of repeated rows with that doc_id all stay."""
+    """One row of ``docs`` per component: that of the doc_id which names it. Rows that share a doc_id are one document.
+
+    Rows with null doc_id cannot be told apart from their group by an id; they stay as they are.
+    """
     kept = ngram_components(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    # The join leaves rows of one doc_id together, so dropping repeats needs no further shuffle.
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
