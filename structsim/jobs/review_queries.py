@@ -73,7 +73,7 @@ def baseline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.crossJoin(rest.agg(F.count("*").alias("left_pairs")))
 
 
-_SPANS = "select 'u' || user_id as path, (epoch(ts)::bigint // 3600 % 5000 + 1)::int as start_line, (epoch(ts)::bigint // 3600 % 5000 + 1 + floor(abs(value))::int % 7 - 1)::int as end_line from events where user_id is not null"
+_SPANS = "select 'u' || user_id as path, (floor(epoch(ts))::bigint // 3600 % 5000 + 1)::int as start_line, (floor(epoch(ts))::bigint // 3600 % 5000 + 1 + floor(abs(value))::int % 7 - 1)::int as end_line from events where user_id is not null"
 
 
 def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_intervals(_event_spans(spark, sf_dir))
 
 
-@query(f"""with {_MERGED}, f as (select event_id as fragment_id, 'u' || user_id as path, (epoch(ts)::bigint // 3600 % 5000 + 3)::int as start_line, (epoch(ts)::bigint // 3600 % 5000 + 4)::int as end_line from events where event_type = 'click')
+@query(f"""with {_MERGED}, f as (select event_id as fragment_id, 'u' || user_id as path, (floor(epoch(ts))::bigint // 3600 % 5000 + 3)::int as start_line, (floor(epoch(ts))::bigint // 3600 % 5000 + 4)::int as end_line from events where event_type = 'click')
 select fragment_id, path, (path in ('u1', 'u2', 'u3') or exists (select 1 from merged m where m.path = f.path and m.path like '%7' and m.start_line <= f.end_line and m.end_line >= f.start_line)) as focused from f""")
 def focused_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks focused by user or by the user's active hours."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,3 +10,43 @@ def literal_digests(rows: DataFrame, key: str, text: str, pattern: str, canonica
     """(fragment_id, literal_digests): SHA-256 of canonical name, a mark and the literal, in text order."""
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({pattern})"), F.lit(1))
     return rows.select(F.col(key).alias("fragment_id"), F.transform(found, lambda x: F.sha2(F.concat(F.lit(canonical + "\x01"), x).cast("binary"), 256)).alias("literal_digests"))
+
+
+def statement_windows(statements: DataFrame, size: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, functions over the cap): every ``size`` consecutive statements of a container.
+
+    statements: path, function, container, pos, start_byte, end_byte, start_line, end_line. Blocks of one function with
+    the same span count once. A function with more than ``cap`` blocks has none and is reported.
+    """
+    order = Window.partitionBy("path", "function", "container").orderBy("pos").rowsBetween(0, size - 1)
+    last = lambda c: F.last(c).over(order).alias(c)
+    wide = statements.select("path", "function", "start_byte", last("end_byte"), "start_line", last("end_line"), F.count("*").over(order).alias("_n")).where(F.col("_n") == size).drop("_n")
+    blocks = wide.dropDuplicates(["path", "function", "start_byte", "end_byte"])
+    counted = blocks.groupBy("path", "function").agg(F.count("*").alias("n_blocks"))
+    over = counted.where(F.col("n_blocks") > cap)
+    kept = blocks.join(counted.where(F.col("n_blocks") <= cap).select("path", "function"), ["path", "function"])
+    name = F.concat(F.lit("block@"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    return kept.withColumn("name", name).withColumn("kind", F.lit("block")), over
+
+
+def ordered_statements(statements: DataFrame) -> DataFrame:
+    """(fragment_id, feature, cnt) of ``ordered:statement:<first, middle, last or only>:<shape>``.
+
+    statements: fragment_id, container, pos, shape. All children count for the position.
+    """
+    own = Window.partitionBy("fragment_id", "container")
+    nth, n = F.row_number().over(own.orderBy("pos")), F.count("*").over(own)
+    place = F.when(n == 1, "only").when(nth == 1, "first").when(nth == n, "last").otherwise("middle")
+    return statements.select("fragment_id", F.concat_ws(":", F.lit("ordered:statement"), place, "shape").alias("feature")).groupBy("fragment_id", "feature").agg(F.count("*").cast("int").alias("cnt"))
+
+
+def call_slots(calls: DataFrame, most_calls: int = 8, most_slots: int = 8) -> DataFrame:
+    """(fragment_id, feature, cnt) of ``ordered:call:<context>:callee-slot-k`` for the first calls.
+
+    calls: fragment_id, pos, callee, context. Only fragments of 2 to 8 distinct callees; slots follow the sorted callees.
+    """
+    names = calls.select("fragment_id", "callee").distinct()
+    slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("fragment_id").orderBy("callee"))).withColumn("n", F.count("*").over(Window.partitionBy("fragment_id"))).where(F.col("n").between(2, most_slots))
+    early = calls.withColumn("nth", F.row_number().over(Window.partitionBy("fragment_id").orderBy("pos"))).where(F.col("nth") <= most_calls)
+    named = early.join(slots, ["fragment_id", "callee"]).select("fragment_id", F.concat_ws(":", F.lit("ordered:call"), "context", F.concat(F.lit("callee-slot-"), F.col("slot").cast("string"))).alias("feature"))
+    return named.groupBy("fragment_id", "feature").agg(F.count("*").cast("int").alias("cnt"))
