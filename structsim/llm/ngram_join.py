@@ -6,9 +6,11 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
 
 1. Documents with equal sets are one class, represented by the smallest doc_id, and only representatives go on.
 2. Meeting places: linked sets of sizes up to r differ in at most k shingles, k = 2 r (100 - percent) / (100 + percent).
-   The hash range is cut into k + 4 parts, so linked sets agree on at least 4 parts whole. A part with under two
-   shingles says little: up to 3 such parts of a set are left out. Sets that share a part's content meet.
-   Counts of these keys are all that is shuffled for all documents, and a frequent shingle alone is no meeting place.
+   The hash range is cut into k + 1 + e parts, so linked sets agree on at least e + 1 parts whole. Up to e parts of a
+   set that say little (none or one shingle) are left out; sets that share the content of a part left meet there.
+   Shingles of very many documents, as counted on every ``SAMPLED``-th document, are taken out of all sets for this step,
+   which makes differences only smaller: no link is lost whatever is taken out, and a frequent passage is no meeting place.
+   One pair of 64-bit numbers per part is all that is shuffled for all documents.
 3. Sets that meet, directly or over others, form a cell. In a cell every set searches an inverted index of the cell:
    a partner must occur on at least T = ceil(percent / 100 * size) of the set's lists. DivideSkip sets the T - 1
    longest lists aside, merges the other, short ones, and probes the long lists by binary search for the sets found.
@@ -22,7 +24,9 @@ linked by any of its texts. Rows of null doc_id get the smallest doc_id of their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,8 +38,10 @@ from structsim.llm.components import connected_components
 from structsim.llm.wordhash import chain, mix, text_slices, words
 from structsim.llm.workspace import new_folder, written
 
-WORDS, PERCENT, CELL, SPARE = 3, 90, 512, 3
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
+WORDS, PERCENT, CELL = 3, 90, 512
+#: Every how-many-th document is counted for frequent shingles, how often one must be seen, and how many at most are taken out.
+SAMPLED, SEEN, FREQUENT = 16, 8, 500_000
+SETS = "doc_id long, n_shingles long, d1 long, d2 long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -52,56 +58,100 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield h[:0]
 
 
-def size_classes(most: int, percent: int) -> list[tuple[int, int, int]]:
-    """(least size, largest size, differing shingles at most) of consecutive size classes up to ``most``."""
-    out: list[tuple[int, int, int]] = []
+@dataclass(frozen=True)
+class SizeClass:
+    """Sets of ``low`` to ``high`` shingles; ``apart``: in how many linked ones differ at most; ``parts`` of the hash range,
+    of which ``spare`` with at most ``little`` shingles may be left out."""
+
+    low: int
+    high: int
+    apart: int
+    parts: int
+    spare: int
+    little: int
+
+
+def _parts(low: int, apart: int) -> tuple[int, int, int]:
+    """(parts, spare, little) for which sets of ``low`` shingles rarely have more than ``spare`` parts of ``little``."""
+    for little in (1, 0):
+        spare = 3
+        while spare <= max(3, apart // 4):
+            parts = apart + 1 + spare
+            fill = low / parts
+            chance = math.exp(-fill) * (1 + fill * little)
+            if parts * chance + 3 * math.sqrt(parts * chance) <= spare:
+                return parts, spare, little
+            spare = max(spare + 1, spare * 9 // 8)
+    return apart + 1 + max(3, apart // 4), max(3, apart // 4), 0
+
+
+def size_classes(most: int, percent: int) -> list[SizeClass]:
+    """Consecutive size classes up to ``most``; a linked pair is in one class or in two that follow each other."""
+    out: list[SizeClass] = []
     low = 1
-    while not out or out[-1][1] < most:
+    while not out or out[-1].high < most:
         high = max(low, low * 5 // 4, 100 * low // percent)
         if not out and percent < 100:  # sizes whose linked sets are equal
             high = max(high, -(-(100 + percent) // (2 * (100 - percent))) - 1)
-        out.append((low, high, 2 * high * (100 - percent) // (100 + percent)))
+        apart = 2 * high * (100 - percent) // (100 + percent)
+        out.append(SizeClass(low, high, apart, *_parts(max(1, percent * low // 100), apart)))
         low = high + 1
     return out
 
 
-def part_keys(own: np.ndarray, level: int, most_apart: int) -> np.ndarray:
+def part_keys(own: np.ndarray, level: int, of: SizeClass) -> np.ndarray:
     """One key per part of the hash range that says something; see the module's text."""
-    parts = most_apart + 1 + SPARE
-    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    part = ((own >> np.uint64(32)) * np.uint64(of.parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(own) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(own)))
-    content = np.add.reduceat(mix(own), first)
-    weak = int((count < 2).sum()) + parts - len(first)
-    if weak <= SPARE:
-        keep = count >= 2
+    content = np.add.reduceat(mix(own), first) if len(own) else own
+    keep = count > of.little
+    if int((~keep).sum()) + of.parts - len(first) <= of.spare:
         label, content = part[first][keep], content[keep]
     else:
-        label, full = np.arange(parts, dtype=np.uint64), np.zeros(parts, np.uint64)
+        label, full = np.arange(of.parts, dtype=np.uint64), np.zeros(of.parts, np.uint64)
         full[part[first].astype(np.int64)] = content
         content = full
     return chain(content, label + np.uint64(level << 32))
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    classes = size_classes(1 << 31, percent)
-    highs = np.array([c[1] for c in classes])
+def meeting_keys(own: np.ndarray, frequent: np.ndarray, classes: list[SizeClass], highs: np.ndarray, percent: int) -> np.ndarray:
+    """All keys of a set: those of its size class, and of the next one if it can have partners there."""
+    level = int(np.searchsorted(highs, len(own)))
+    kept = own
+    if len(frequent) and len(own):
+        kept = own[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] != own]
+    found = [part_keys(kept, k, classes[k]) for k in (level, level + 1) if classes[k].apart and 100 * len(own) >= percent * classes[k].low]
+    return np.concatenate(found) if found and len(own) else own[:0]
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, to, data, offsets in text_slices(batch, 1):
-            sizes, first, second, keys = [], [], [], []
+            sizes, first, second = [], [], []
             for own in shingle_sets(data, offsets, n):
-                sizes.append(size := len(own))
-                if not size:
-                    first.append(None)
-                    second.append(None)
-                    keys.append(None)
-                    continue
-                first.append(int(own.sum().astype(np.int64)))
-                second.append(int(np.bitwise_xor.reduce(mix(own)).astype(np.int64)))
-                level = int(np.searchsorted(highs, size))
-                found = [part_keys(own, k, classes[k][2]) for k in (level, level + 1) if classes[k][2] and 100 * size >= percent * classes[k][0]]
-                keys.append(np.concatenate(found).view(np.int64) if found else None)
-            yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "d1", "d2", "keys"])
+                sizes.append(len(own))
+                first.append(int(own.sum().astype(np.int64)) if len(own) else None)
+                second.append(int(np.bitwise_xor.reduce(mix(own)).astype(np.int64)) if len(own) else None)
+            yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
+
+
+def _flat(batches: Iterator[pa.RecordBatch], n: int, make: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, key): ``make`` of every set."""
+    for batch in batches:
+        for at, to, data, offsets in text_slices(batch, 1):
+            keys = [make(own) for own in shingle_sets(data, offsets, n)]
+            count = [len(k) for k in keys]
+            docs = batch.column(0).slice(at, to - at).take(pa.array(np.repeat(np.arange(to - at), count)))
+            yield pa.record_batch([docs, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], names=["a", "key"])
+
+
+def frequent_shingles(docs: DataFrame, n: int, sampled: int = SAMPLED, seen: int = SEEN, most: int = FREQUENT) -> np.ndarray:
+    """Sorted hashes of shingles that ``seen`` sampled documents or more hold; at most the ``most`` most frequent."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sampled)) == 0)
+    counted = some.mapInArrow(lambda it: _flat(it, n, lambda own: own), "a long, key long").groupBy("key").agg(F.count("*").alias("n"))
+    top = counted.where(F.col("n") >= seen).orderBy(F.col("n").desc(), "key").limit(most).select("key").toPandas()
+    return np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
 
 
 def linked(a: int, b: int, both: int, percent: int) -> bool:
@@ -213,13 +263,16 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ce
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     folder = new_folder(docs.sparkSession, "ngram-join")
     rows = docs.select("doc_id", "text")
-    made = written(rows.mapInArrow(lambda it: _set_batches(it, n, percent), SETS), folder, "sets")
+    made = written(rows.mapInArrow(lambda it: _set_batches(it, n), SETS), folder, "sets")
     classes = written(made.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
-    heads = made.where("keys is not null").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    keys = heads.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key"))
-    met = keys.withColumn("b", F.min("a").over(Window.partitionBy("key"))).where("a <> b").select("a", "b")
-    edges = written(met.distinct(), folder, "edges")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, n))
+    sizes = size_classes(1 << 31, percent)
+    highs = np.array([c.high for c in sizes])
+    keys = rows.where("doc_id is not null").mapInArrow(lambda it: _flat(it, n, lambda own: meeting_keys(own, frequent.value, sizes, highs, percent)), "a long, key long")
+    met = keys.withColumn("b", F.min("a").over(Window.partitionBy("key"))).where("a <> b").select("a", "b").distinct()
+    # A part's smallest document is the smallest of its class; of the others, too, only representatives go on.
+    edges = written(met.join(classes.select(F.col("rep").alias("a")), "a", "left_semi"), folder, "edges")
 
     cells = written(connected_components(edges, folder, "cells").select(F.col("node").alias("doc"), F.col("root").alias("cell")), folder, "cells")
     big = written(cells.groupBy("cell").count().where(F.col("count") > cell_size).select("cell", F.col("count").alias("n")), folder, "big")

@@ -84,16 +84,12 @@ def test_linked_sets_share_a_part(percent):
     """Without false negatives: any linked pair of unequal sets has a common key."""
     rng = np.random.default_rng(percent)
     classes = J.size_classes(5000, percent)
-    highs = np.array([c[1] for c in classes])
-
-    def keys(own):
-        level = int(np.searchsorted(highs, len(own)))
-        levels = [k for k in (level, level + 1) if classes[k][2] and 100 * len(own) >= percent * classes[k][0]]
-        return {int(x) for k in levels for x in J.part_keys(own, k, classes[k][2])}
-
+    highs = np.array([c.high for c in classes])
+    frequent = np.sort(rng.integers(0, 2**64, 40, dtype=np.uint64))
+    keys = lambda own: {int(x) for x in J.meeting_keys(own, frequent, classes, highs, percent)}
     for _ in range(300):
         size = int(rng.integers(1, 120))
-        base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        base = np.unique(np.concatenate([rng.integers(0, 2**64, size, dtype=np.uint64), rng.permutation(frequent)[: rng.integers(0, 20)]]))
         gone, new = rng.integers(0, len(base) // 3 + 1), rng.integers(0, len(base) // 3 + 1)
         other = np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)]))
         both = len(np.intersect1d(base, other))
@@ -101,6 +97,13 @@ def test_linked_sets_share_a_part(percent):
             assert keys(base) & keys(other)
 
 
+def test_frequent_shingles(table):
+    rows = [(k, f"one two three four five w{k} x{k}") for k in range(400)]
+    found = J.frequent_shingles(table(rows), 3, sampled=2, seen=100)
+    assert len(found) == 3
+    assert got(J.ngram_components(table(rows), 3, 40)) == brute(rows, 3, 40)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), new_folder(spark, "t"), "c")
