@@ -40,7 +40,7 @@ from structsim.llm.workspace import new_folder, written
 
 WORDS, PERCENT, CELL = 3, 90, 512
 #: Every how-many-th document is counted for frequent shingles, how often one must be seen, and how many at most are taken out.
-SAMPLED, SEEN, FREQUENT = 16, 8, 500_000
+SAMPLED, SEEN, FREQUENT = 16, 3, 1_000_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long"
 
 
@@ -99,30 +99,45 @@ def size_classes(most: int, percent: int) -> list[SizeClass]:
     return out
 
 
-def part_keys(own: np.ndarray, level: int, of: SizeClass) -> np.ndarray:
-    """One key per part of the hash range that says something; see the module's text."""
+def part_keys(own: np.ndarray, seed: int, of: SizeClass) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys of the parts of the hash range that say something, of all parts, and whether too many say little."""
     part = ((own >> np.uint64(32)) * np.uint64(of.parts)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(own) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(own)))
-    content = np.add.reduceat(mix(own), first) if len(own) else own
-    keep = count > of.little
-    if int((~keep).sum()) + of.parts - len(first) <= of.spare:
-        label, content = part[first][keep], content[keep]
-    else:
-        label, full = np.arange(of.parts, dtype=np.uint64), np.zeros(of.parts, np.uint64)
-        full[part[first].astype(np.int64)] = content
-        content = full
-    return chain(content, label + np.uint64(level << 32))
+    content = np.zeros(of.parts, np.uint64)
+    telling = np.zeros(of.parts, bool)
+    if len(own):
+        at = part[first].astype(np.int64)
+        content[at] = np.add.reduceat(mix(own), first)
+        telling[at] = count > of.little
+    keys = chain(content, np.arange(of.parts, dtype=np.uint64) + np.uint64(seed << 32))
+    return keys[telling], keys, of.parts - int(telling.sum()) > of.spare
 
 
 def meeting_keys(own: np.ndarray, frequent: np.ndarray, classes: list[SizeClass], highs: np.ndarray, percent: int) -> np.ndarray:
-    """All keys of a set: those of its size class, and of the next one if it can have partners there."""
+    """All keys of a set: those of its size class, and of the next one if it can have partners there.
+
+    Of a linked pair's parts that agree, spare + 1 or more, one is telling if at most ``spare`` parts of either set say
+    little, and then both have its key. If both have more of them, both also bring the parts of their whole sets; and if
+    those, too, say little, all of them.
+    """
+    if not len(own):
+        return own
     level = int(np.searchsorted(highs, len(own)))
     kept = own
-    if len(frequent) and len(own):
+    if len(frequent):
         kept = own[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] != own]
-    found = [part_keys(kept, k, classes[k]) for k in (level, level + 1) if classes[k].apart and 100 * len(own) >= percent * classes[k].low]
-    return np.concatenate(found) if found and len(own) else own[:0]
+    found = [own[:0]]
+    for k in (level, level + 1):
+        of = classes[k]
+        if not of.apart or 100 * len(own) < percent * of.low:
+            continue
+        telling, every, short = part_keys(kept, 2 * k, of)
+        found.append(telling)
+        if short:
+            telling, every, short = part_keys(own, 2 * k + 1, of)
+            found.append(every if short else telling)
+    return np.concatenate(found)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
