@@ -5,8 +5,9 @@ longest pieces of its bytes are split off, and the number of these popped pieces
 once, byte by byte: where no edge goes on, the popped count is added and the link followed, so lengths come out in linear
 time and no piece is ever built. A byte where no piece fits counts as one unknown token.
 
-Texts are cut before every blank; a chunk's count does not depend on its neighbours, so each worker keeps the counts of
-chunks it has met (up to ``CHUNKS_KEPT``).
+Texts are cut before every blank that no piece can hold behind its first byte, judged by the bytes beside the blank; a
+chunk's count does not depend on its neighbours, so each worker keeps the counts of chunks it has met (up to
+``CHUNKS_KEPT``).
 
 Null and empty texts have no tokens. Rows are independent, so ties and repeated rows change nothing; extra columns are not
 read; an empty table gives no rows.
@@ -88,7 +89,14 @@ class Counter:
     """Counts of many texts, with the counts of known chunks kept by hash."""
 
     def __init__(self, path: str):
-        self.automaton = Automaton(byte_pieces(path))
+        pieces = byte_pieces(path)
+        self.automaton = Automaton(pieces)
+        #: Whether a blank between two bytes may stand inside a piece.
+        self.held = np.zeros((256, 256), bool)
+        for piece in pieces:
+            for k in range(1, len(piece)):
+                if piece[k] == 32:
+                    self.held[piece[k - 1], piece[k + 1] if k + 1 < len(piece) else slice(None)] = True
         self.forget()
 
     def forget(self) -> None:
@@ -97,6 +105,9 @@ class Counter:
     def count_slice(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of the rows data[offsets[k]:offsets[k + 1]]."""
         begins = data == 32
+        if len(data):
+            blanks = np.flatnonzero(begins)
+            begins[blanks[self.held[data[blanks - 1], data[np.minimum(blanks + 1, len(data) - 1)]]]] = False
         begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))

@@ -1,8 +1,10 @@
 """Token ids of whole texts by a public tokenizer file, as arrays of unsigned 32-bit ids.
 
 Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens one after the other, and a
-single blank after a visible character always begins one. Each worker keeps the ids of the chunks between such blanks
-by hash (up to a fixed number); only chunks that it has not met reach the tokenizer, many at a time.
+single blank always begins one unless whitespace stands on both sides of it. Each worker keeps the ids of the chunks
+between such blanks by hash (up to a fixed number); only chunks that it has not met reach the tokenizer, many at a time.
+Texts with other blanks (doubled, at the end, amid whitespace of any script) or with an added token go to the tokenizer
+whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,29 @@ CHUNKS_KEPT = 1_000_000
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+# Bytes of the whitespace characters (and the ASCII separators, which cost nothing but time).
+_ASCII_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE_SPACE = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def amid_whitespace(data: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+    """Those of the blanks at the given places that have whitespace on both sides."""
+    wide = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)])
+
+    def spaces(at: np.ndarray, near: int, two: int, three: int) -> np.ndarray:
+        """Whether whitespace stands beside: its byte next to the blank, and where its two or three bytes begin."""
+        at = at + 3
+        found = _ASCII_SPACE[wide[at + near]]
+        odd = np.flatnonzero(wide[at + near] >= 0x80)
+        pair = (wide[at[odd] + two].astype(np.int64) << 8) | wide[at[odd] + two + 1]
+        triple = (wide[at[odd] + three].astype(np.int64) << 16) | (wide[at[odd] + three + 1].astype(np.int64) << 8) | wide[at[odd] + three + 2]
+        found[odd] = np.isin(pair, _WIDE_SPACE) | np.isin(triple, _WIDE_SPACE)
+        return found
+
+    after = blanks[spaces(blanks, 1, 1, 1)]
+    return after[spaces(after, -1, -2, -3)]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -46,7 +71,7 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.pieces = Tokenizer(self.whole.model)
         self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         # 0xFF is in no UTF-8 text; it parts the pieces.
@@ -64,6 +89,16 @@ class Encoder:
         """The tokenizer's own ids of one text."""
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def _added_at(self, raw: bytes) -> np.ndarray:
+        """Where added tokens begin."""
+        out = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return np.array(out, np.int64)
+
     def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens one after the other, and how many each has."""
         raw = [p.encode() for p in pieces]
@@ -103,7 +138,10 @@ class Encoder:
             np.cumsum(np.append(blank[:-1] & blank[1:], blank[-1]), out=double[1:])
         filled = offsets[1:] > offsets[:-1]
         ends_blank = filled & blank[np.maximum(offsets[1:] - 1, 0)] if len(data) else np.zeros(rows, bool)
-        slow = np.flatnonzero((double[offsets[1:]] > double[offsets[:-1]]) | ends_blank)
+        whole = (double[offsets[1:]] > double[offsets[:-1]]) | ends_blank
+        odd = [amid_whitespace(data, np.flatnonzero(blank)), self._added_at(data.tobytes())]
+        whole[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = True
+        slow = np.flatnonzero(whole)
         begins = blank.copy()
         begins[offsets[:-1][filled]] = True
         starts = np.flatnonzero(begins)

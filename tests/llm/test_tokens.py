@@ -128,3 +128,33 @@ def test_counts_of_texts(table, odd_rows):
     longest = max(map(len, pieces))
     want = sorted((str(d), len((t or "").encode()), sum(naive(p.encode(), pieces, longest) for p in re.split("(?= )", t or ""))) for d, t in odd_rows)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(table(odd_rows)).collect()) == want
+
+
+NBSP = ["a \xa0 \xa0 \xa0b", "\xa0 \xa0 \xa0", " \xa0 \xa0", "x\u3000 \u2003y", "x\u2003 \xa0 \u3000 z", "a\n \n b", "a \xa0 b \xa0 c", "x <|endoftext|> y", "a \n<|endoftext|>\n b", "<|endoftext|>"]
+
+
+def fresh(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_tokenizer()).encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_a_fresh_tokenizers():
+    assert fresh(NBSP[0]) == [64, 11504, 220, 1849, 65] and fresh("<|endoftext|>") == [50256]
+    texts = [*ODD, *NBSP, *(f"{t} {u}" for t in NBSP for u in NBSP)]
+    assert encoded(texts) == [fresh(t) for t in texts]
+    assert [encoded([t])[0] for t in texts if t] == [fresh(t) for t in texts if t]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab'. \n\t", "\xa0", " \xa0", "\x85", "\u2003", "\u3000", "\u180e", "\u201c", "<|endoftext|>"]), max_size=14).map("".join), max_size=6))
+def test_ids_are_the_tokenizers_for_any_whitespace(texts):
+    assert encoded(texts) == [plain(t) for t in texts]
+
+
+def test_counts_keep_pieces_with_inner_blanks(table):
+    pieces = set(token_counts.byte_pieces(default_tokenizer()))
+    longest = max(map(len, pieces))
+    rows = list(enumerate([*NBSP, *ODD, " \xa0" * 9 + " b", "a" + " \xa0" * 3]))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(table(rows)).collect()}
+    assert got == {k: naive(t.encode(), pieces, longest) for k, t in rows}
