@@ -4,14 +4,16 @@ Items are indexed by their words (runs of letters, digits and non-ASCII bytes, A
 divided by the item's own score, so an item's score runs up to 1 for a passage that holds all its words. Postings go by
 blocks of ``BLOCK`` items, each with its largest impact per term.
 
-Every document is cut into overlapping passages twice as long as the longest item (so each item's length of text lies
+Every document is cut into overlapping passages, twice as long as a copy of the longest item may be (so each copy lies
 within one), and every passage is a query. For a batch of passages the block maxima are summed first; a block whose sum
 stays below the threshold is skipped whole. In the blocks left, WAND moves to the pivot item, the first whose terms'
 largest impacts reach the threshold, and scores only such items. All items at or above the threshold are retrieved.
 
 A retrieved item counts as contained when at least ``OVERLAP`` of its question's and of its answer's 5-word shingles are
-in the whole document. The answer is what follows "answer:", else what follows the first question mark, else the last
-third of the words; a part of under five words is one shingle.
+in the whole document. The answer is what follows "answer:", else what follows the first question mark; a part of under
+five words is one shingle. An item with neither mark is one part, and counts as contained also when it differs from some
+stretch of the document in at most 1 - ``OVERLAP`` of its words (changed, left out or put in), as one edit alone breaks
+five shingles; both overlaps are then the larger of the two shares.
 
 Broadcast are the items alone, in shards of up to ``SHARD_BYTES`` of text; larger benchmarks are searched shard by shard, each
 an index with statistics of its own. Null or wordless texts and items match nothing. Repeated rows are found each on their
@@ -68,11 +70,29 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return chain(*(h[k : k + 1] for k in range(len(h)))) if len(h) else h
 
 
-def split_item(text: str) -> tuple[str, str]:
-    """Question and answer of an item."""
+def marked_parts(text: str) -> tuple[str, str] | None:
+    """Question and answer of an item by its marks; None without any."""
     for cut in (re.search(r"\banswer\s*:\s*", text, re.I), re.search(r"\?\s*", text)):
         if cut and text[: cut.start()].strip() and text[cut.end() :].strip():
             return text[: cut.end()], text[cut.end() :]
+    return None
+
+
+def alike(item: np.ndarray, doc: np.ndarray) -> float:
+    """1 less the fewest word edits, as a share of the item, that make the item a stretch of the document."""
+    steps = np.arange(len(doc) + 1)
+    cost = np.zeros(len(doc) + 1, np.int64)
+    for word in item:
+        change = cost + 1
+        change[1:] = np.minimum(change[1:], cost[:-1] + (doc != word))
+        cost = np.minimum.accumulate(change - steps) + steps
+    return 1 - int(cost.min()) / len(item)
+
+
+def split_item(text: str) -> tuple[str, str]:
+    """Question and answer of an item; without marks, which containment does not ask for, two thirds and the rest."""
+    if parts := marked_parts(text):
+        return parts
     found = list(re.finditer(r"\S+", text))
     at = found[-max(1, len(found) // 3)].start() if found else 0
     return text[:at], text[at:]
@@ -88,10 +108,13 @@ class Index:
         if not keep:
             return
         words = [words[k] for k in keep]
-        parts = [split_item(items[k][1]) for k in keep]
+        marked = [marked_parts(items[k][1]) for k in keep]
+        parts = [m or (items[k][1], items[k][1]) for k, m in zip(keep, marked, strict=True)]
+        #: The words of items that are one part.
+        self.whole = [None if m else w for m, w in zip(marked, words, strict=True)]
         # Each part's shingles and how many words they have.
         self.questions, self.answers = ([(shingles(w), min(SHINGLE, len(w))) for w in hashed_words([p[i] for p in parts])] for i in (0, 1))
-        self.stride = max([32, *map(len, words)])
+        self.stride = max([32, *(-(-5 * len(w) // 4) for w in words)])
         n = len(words)
         self.blocks = -(-n // BLOCK)
         lengths = np.array([len(w) for w in words])
@@ -238,6 +261,8 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, least: float,
             if n and n not in own:
                 own[n] = shingles(h[before[row] : before[row + 1]], n)
             share.append(float(np.isin(part, own[n]).mean()) if len(part) else 1.0)
+        if index.whole[item] is not None and share[0] < overlap:
+            share = [max(share[0], alike(index.whole[item], h[before[row] : before[row + 1]]))] * 2
         if min(share) >= overlap:
             out.append((row, index.ids[item], score, *share))
     return out

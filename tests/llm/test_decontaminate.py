@@ -72,3 +72,29 @@ def test_questions_and_answers():
     assert D.split_item("Say it. Answer: blue") == ("Say it. Answer: ", "blue")
     assert D.split_item("one two three four five six") == ("one two three four ", "five six")
     assert D.split_item("") == ("", "")
+
+
+def test_copies_with_one_edit_are_found(table, spark, prose):
+    """A word changed, left out or put in at any place, in short and long items without marks."""
+    all_items = [(k, " ".join(prose(n, 3000 + k)) + ".") for k, n in enumerate((12, 15, 15, 28, 45))]
+    bench = spark.createDataFrame(all_items, "item_id long, text string")
+    rows, want = [], []
+    for i, text in all_items:
+        words = text.split()
+        for at in range(len(words)):
+            for new in (["zzqx"], [], ["zzqx", words[at]]):
+                rows.append((len(rows), " ".join([*prose(20, at), *words[:at], *new, *words[at + 1 :], *prose(30, at + 1)])))
+                want.append((len(want), i))
+    half = [(10_000 + i, " ".join([*prose(30, i), *text.split()[: len(text.split()) * 2 // 3], *prose(30, i + 1)])) for i, text in all_items]
+    got = D.find_items(table([*rows, *half]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(table([*rows, *half]), bench).collect()) == [d for d, _ in half]
+
+
+def test_marked_items_keep_both_parts():
+    """With marks, a question alone is no copy of the item."""
+    question, answer = "which of the seven rivers is the longest one of all?", "the river that nobody has ever measured to the end"
+    index = D.Index([(1, f"{question} {answer}"), (2, "another item of other words to set the weights of terms apart")])
+    raw = [f"{question} {answer}".encode(), f"{question} the river that somebody once measured to the sea".encode()]
+    found = D.contained(index, np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), 0.3, 0.8)
+    assert [(r[0], r[1]) for r in found] == [(0, 1)]
