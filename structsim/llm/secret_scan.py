@@ -4,9 +4,12 @@ Three kinds, leftmost and non-overlapping per kind: ``assign`` (a credential wor
 characters), ``access`` (an access key id of at least 16 characters) and ``hex`` (at least 32 lower-case hex digits).
 
 A worklist then unwraps layers until nothing new comes out: URL escapes, Unicode escapes, base64 (either alphabet, with
-or without padding) and, below base64, gzip, zlib and bzip2 data. Each layer is scanned again, its spans are mapped to
-the original text (to the character for escapes, to the base64 characters for encoded text, to the whole encoded run
-for compressed data), and layers seen before are not unwrapped again, which ends cycles.
+or without padding) and, below base64, gzip, zlib and bzip2 data. Base64 is read across line breaks and at all four
+alignments, so that it is found behind path segments, prefixes and other words that share its alphabet. Of the bytes
+that come out, every stretch of ASCII text is a layer, also as UTF-16 or UTF-32, whatever bytes stand beside it; all
+patterns are ASCII, so none reaches beyond one. Each layer is scanned again, its spans are mapped to
+the original text (to the character for escapes, to the base64 characters for encoded text, to all of its base64
+characters for compressed data), and layers seen before are not unwrapped again, which ends cycles.
 
 Spans count code points, ends exclusive. Null text counts as empty and has no spans. Rows are independent, so repeated
 rows, ties and extra columns change nothing; an empty table gives no rows. A compressed layer is unwrapped up to
@@ -21,6 +24,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,7 +43,14 @@ _URL_RUN = re.compile(r"[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
 _URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_RUN = re.compile(r"[^\s\\]*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})[^\s\\]*)+")
 _UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN, LEAST_TEXT = 16, 14
+_BREAK = re.compile(r"(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*")
+_BASE64_RUN = re.compile(r"(?<![B])(?=[B]{16}|[B]++K[B])[B]++(?:K[B]++)*+={0,2}".replace("B", "A-Za-z0-9+/_-").replace("K", _BREAK.pattern))
+_STANDARD = str.maketrans("-_", "+/")
+_ASCII = rb"[\t-\r\x20-\x7e]"
+#: Stretches of ``LEAST_TEXT`` characters or more (no secret is shorter), by the bytes of a character.
+_STRETCHES = {width: re.compile(rb"(?:%s\x00{%d}){%d,}%s" % (_ASCII, width - 1, LEAST_TEXT - 1, _ASCII)) for width in (1, 2, 4)}
+_PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh")
 
 Span = tuple[str, int, int]
 Mapping = Callable[[int, int], tuple[int, int]]
@@ -99,46 +110,64 @@ def _unicode_chars(escapes: str) -> list[tuple[str, int]]:
     return out
 
 
-def _inflated(raw: bytes) -> bytes | None:
+def _inflated(raw: bytes | memoryview) -> tuple[bytes, int] | None:
+    """The data below compressed data, and how many bytes the latter has; None if it is not compressed."""
     try:
         if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            return zlib.decompressobj(47).decompress(raw, LARGEST_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LARGEST_LAYER)
+            packer = zlib.decompressobj(47)
+        elif raw[:3] == b"BZh":
+            packer = bz2.BZ2Decompressor()
+        else:
+            return None
+        return packer.decompress(raw, LARGEST_LAYER), len(raw) - len(packer.unused_data)
     except (zlib.error, OSError, ValueError, EOFError):
         return None
-    return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and (text.isprintable() or all(c.isprintable() or c.isspace() for c in text)) else None
+def _stretches(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, its first byte, bytes of a character) of the stretches of text in ``raw``."""
+    for width, pattern in _STRETCHES.items():
+        if width == 1 or b"\x00" in raw:
+            for m in pattern.finditer(raw):
+                yield m[0][::width].decode("ascii"), m.start(), width
 
 
 def _base64_layers(run: str, at: int) -> Iterator[tuple[str, Mapping]]:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return
-    try:
-        raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return
-    packed = _inflated(raw)
-    if packed is not None:
-        # Compressed data may hold base64 or escapes in turn; its places are those of the whole run.
-        while (deeper := _inflated(packed)) is not None:
-            packed = deeper
-        if (text := _readable(packed)) is not None:
-            yield text, lambda s, e: (at, at + len(run))
+    breaks = [m.span() for m in _BREAK.finditer(run)]
+    body = (_BREAK.sub("", run) if breaks else run).rstrip("=").translate(_STANDARD)
+    if len(body) < LEAST_RUN:
         return
-    if (text := _readable(raw)) is not None:
-        byte_at = [0]
-        for c in text:
-            byte_at.append(byte_at[-1] + len(c.encode()))
-        yield text, lambda s, e: (at + byte_at[s] * 4 // 3, at + -(-byte_at[e] * 4 // 3))
+    # Where lines begin in the body, and what the breaks before them take.
+    begins, taken = [], [0]
+    for start, end in breaks:
+        begins.append(start - taken[-1])
+        taken.append(taken[-1] + end - start)
+
+    def place(k: int) -> int:
+        return at + k + taken[bisect_right(begins, k)]
+
+    def chars(first: int, end: int, turn: int) -> tuple[int, int]:
+        """The place of bytes first to end."""
+        return place(turn + first * 4 // 3), place(turn - (-end * 4 // 3) - 1) + 1
+
+    for turn in range(4):
+        size = len(body) - turn
+        size -= size % 4 == 1
+        raw = binascii.a2b_base64(body[turn : turn + size] + "=" * (-size % 4))
+        for text, first, width in _stretches(raw):
+            yield text, lambda s, e, first=first, width=width, turn=turn: chars(first + s * width, first + (e - 1) * width + 1, turn)
+        for m in _PACKED.finditer(raw):
+            found = _inflated(memoryview(raw)[m.start() :])
+            if found is None:
+                continue
+            start, end = chars(m.start(), m.start() + found[1], turn)
+            if m.start() + found[1] == len(raw):
+                end = at + len(run)
+            # Compressed data may hold compressed data, base64 or escapes in turn; their places are those of all its characters.
+            while found is not None:
+                for text, _, _ in _stretches(found[0]):
+                    yield text, lambda s, e, start=start, end=end: (start, end)
+                found = _inflated(found[0])
 
 
 def layers(text: str) -> Iterator[tuple[str, Mapping]]:

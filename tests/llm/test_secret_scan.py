@@ -95,3 +95,49 @@ def test_queries_on_odd_rows(table, odd_rows):
     assert clean.schema == docs.schema and {r["doc_id"]: r["text"] for r in clean.collect()}[1] is None
     assert S.scan_secrets(docs).where("size(spans) > 0").count() >= len(LAYERS)
     assert S.secret_digests(table([])).count() == 0
+
+
+def wrapped(text, width, sign="\n"):
+    return sign.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+LONG = "some words that go before it, " * 3 + SECRETS + " and some that follow after it" * 2
+HIDDEN = {
+    "path": "https://h.example.com/p/" + b64(SECRETS.encode()),
+    "dash": "cfg-" + b64(SECRETS.encode()),
+    "underline": "id_" + b64(SECRETS.encode()),
+    "prefixes": " ".join("k" * n + "/" + b64(SECRETS.encode()) for n in range(1, 5)),
+    "packed in a path": "https://h.example.com/pa/th/" + b64(gzip.compress(SECRETS.encode())),
+    "64 columns": wrapped(b64(LONG.encode()), 64),
+    "76 columns": "x\n" + wrapped(b64(LONG.encode()), 76, "\r\n"),
+    "indented": wrapped(b64(LONG.encode()), 60, "\n    "),
+    "escaped breaks": wrapped(b64(LONG.encode()), 64, "\\n"),
+    "narrow": wrapped(b64(LONG.encode()), 12),
+    "packed in lines": wrapped(b64(zlib.compress(LONG.encode())), 64),
+    "UTF-16": b64(SECRETS.encode("utf-16")),
+    "UTF-16 big end first": b64(SECRETS.encode("utf-16-be")),
+    "UTF-32": b64(SECRETS.encode("utf-32")),
+    "one NUL": b64(b"key\x00" + SECRETS.encode()),
+    "one invalid byte": b64(b"ab\xff" + SECRETS.encode() + b"\xfe"),
+    "invalid byte in gzip": b64(gzip.compress(b"\xff\x00" + SECRETS.encode())),
+}
+
+
+@pytest.mark.parametrize("name", HIDDEN)
+def test_base64_beside_other_characters(name):
+    before = "héllo 😀 "
+    text = f"{before}{HIDDEN[name]} end"
+    _, every = S.secret_spans(text)
+    assert {kind for kind, _, _ in every} == set(S.KINDS)
+    clean = S.redacted(text)
+    assert clean.startswith(before) and clean.endswith(" end") and S.secret_spans(clean)[1] == []
+    if name == "path":
+        assert clean.startswith(before + "https://h.example.com/p/[secret]")
+
+
+def test_places_across_lines():
+    body = wrapped(b64(LONG.encode()), 64)
+    start, end = next((s, e) for kind, s, e in S.secret_spans("é " + body)[1] if kind == "assign")
+    at = len(LONG.split("password")[0])
+    place = lambda k: 2 + k + k // 64
+    assert (start, end) == (place(at * 4 // 3), place(-(-(at + len("password=hunter2hunter2")) * 4 // 3) - 1) + 1)
