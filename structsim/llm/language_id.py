@@ -136,7 +136,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> Network | None:
     """Trains on documents (doc_id, text, lang) that are not held out and have a language.
 
-    The sample is bounded: at most ``per_language`` texts of each language, chosen by hash of the id and the text, and
+    The sample is bounded: at most ``per_language`` texts of each language, chosen by hash of the id and the text (equal rows count once), and
     ``per_text`` windows of each, spread over the whole text. None if there is no labelled text.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -145,22 +145,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_T
         return None
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(scale * 1.5 * per_language / n) + 1))])
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    picked = labelled.withColumn("turn", turn).where(F.col("turn") < share[F.col("lang")]).select("turn", "doc_id", "lang", "text")
+    drawn = labelled.withColumn("drawn", F.xxhash64("doc_id", "text", "lang")).withColumn("turn", F.pmod("drawn", F.lit(scale)))
+    picked = drawn.where(F.col("turn") < share[F.col("lang")]).select("drawn", "turn", "doc_id", "lang", "text")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            rows = {"turn": [], "doc_id": [], "lang": [], "windows": []}
-            for turn, doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if _LETTER.search(text):
+            rows = {"drawn": [], "turn": [], "doc_id": [], "lang": [], "windows": []}
+            for key, turn, doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key not in met and _LETTER.search(text):
+                    met.add(key)
                     raw = np.frombuffer(text.encode(), np.uint8)
                     own, _, _ = cut(raw, np.array([0, len(raw)]))
                     spread = np.unique(np.linspace(0, len(own) - 1, per_text).astype(int))
-                    for key, value in zip(rows, (turn, doc, lang, own[spread].tobytes()), strict=True):
-                        rows[key].append(value)
-            yield pa.record_batch([pa.array(rows["turn"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["lang"], pa.string()), pa.array(rows["windows"], pa.binary())], names=list(rows))
+                    for name, value in zip(rows, (key, turn, doc, lang, own[spread].tobytes()), strict=True):
+                        rows[name].append(value)
+            yield pa.record_batch([pa.array(rows["drawn"], pa.int64()), pa.array(rows["turn"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["lang"], pa.string()), pa.array(rows["windows"], pa.binary())], names=list(rows))
 
-    got = picked.mapInArrow(windows, "turn long, doc_id long, lang string, windows binary").collect()
+    made = picked.mapInArrow(windows, "drawn long, turn long, doc_id long, lang string, windows binary").dropDuplicates(["drawn"])
+    # Turns as shares of the language's chance: the least are as many of each language. Twice the expected number bounds them.
+    got = made.orderBy(F.col("turn") / share[F.col("lang")], "drawn").limit(3 * per_language * len(counts)).collect()
     taken = dict.fromkeys(counts, 0)
     x, y, languages = [], [], sorted(counts)
     for r in sorted(got, key=lambda r: (r["turn"], r["doc_id"], r["windows"])):

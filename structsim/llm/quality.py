@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structsim.llm.wordhash import mix, text_slices, words
+from structsim.llm.wordhash import chain, mix, range_hashes, text_slices, words
 
 SAMPLE, BUCKETS, KEEP = 4000, 1 << 15, 0.5
 STEPS, RATE = 400, 0.05
@@ -182,7 +182,11 @@ def _pattern_counts(docs: DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
-    """Weak labels from all of (doc_id, text), then the scorer from at most about ``sample`` documents; None without words."""
+    """Weak labels from all of (doc_id, text), then the scorer from at most ``sample`` documents; None without words.
+
+    Documents are drawn by hash of id and text, and rows equal in both count once, so a repeated or null id or a flood of
+    copies neither fills the sample nor reaches the driver.
+    """
     counts = _pattern_counts(docs)
     if not len(counts):
         return None
@@ -194,23 +198,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     chance = {p: min(1.0, sample / 2 / per_class[bool(g)]) for p, g in zip(counts["pattern"].tolist(), is_good, strict=True)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for at, to, data, offsets in text_slices(batch, 1):
                 s, h, before = shape(data, offsets)
                 w, wb, g, gb, shares = features(data, offsets, s, h, before)
                 ids = batch.column(0).slice(at, to - at)
-                turn = mix(pa.array(ids).fill_null(0).to_numpy().astype(np.uint64)).astype(np.float64) / 2.0**64
+                drawn = chain(pa.array(ids).fill_null(0).to_numpy().astype(np.uint64), range_hashes(data, offsets[:-1], offsets[1:]))
+                turn = drawn.astype(np.float64) / 2.0**64
+                drawn = drawn.view(np.int64)
                 p = pattern(votes(s))
                 taken = [k for k in range(to - at) if s.n_words[k] and turn[k] < chance.get(int(p[k]), 0.0)]
                 rows = []
                 for k in taken:
+                    if int(drawn[k]) in met:
+                        continue
+                    met.add(int(drawn[k]))
                     buckets, times = np.unique(np.concatenate([w[wb[k] : wb[k + 1]], _GRAM_BASE + g[gb[k] : gb[k + 1]]]), return_counts=True)
                     size = np.where(buckets < _GRAM_BASE, max(wb[k + 1] - wb[k], 1), max(gb[k + 1] - gb[k], 1))
-                    rows.append((ids[k].as_py(), int(p[k]), buckets.astype("<i4").tobytes(), (times / size).astype("<f4").tobytes(), shares[k].astype("<f4").tobytes()))
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "pattern", "buckets", "weights", "shares"])
+                    rows.append((int(drawn[k]), turn[k] / chance[int(p[k])], ids[k].as_py(), int(p[k]), buckets.astype("<i4").tobytes(), (times / size).astype("<f4").tobytes(), shares[k].astype("<f4").tobytes()))
+                types = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["drawn", "turn", "doc_id", "pattern", "buckets", "weights", "shares"])
 
-    got = docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, pattern long, buckets binary, weights binary, shares binary").collect()
+    # Turns are shares of the class's chance, so the least of them are as many of either class.
+    picked = docs.select("doc_id", "text").mapInArrow(pick, "drawn long, turn double, doc_id long, pattern long, buckets binary, weights binary, shares binary")
+    got = picked.dropDuplicates(["drawn"]).orderBy("turn", "drawn").limit(sample).collect()
     got = sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["buckets"]))
     buckets = [np.frombuffer(r["buckets"], "<i4") for r in got]
     weights = [np.frombuffer(r["weights"], "<f4") for r in got]

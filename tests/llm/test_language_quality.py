@@ -92,3 +92,20 @@ def test_shapes_equal_plain_counts():
     assert s.n_words.tolist() == [6, 0, 6, 1]
     assert np.allclose(s.distinct, [1.0, 0, 1 / 3, 1])
     assert np.allclose(s.distinct_pairs, [1, 0, 2 / 5, 0]) and np.allclose(s.shouts, [2 / 6, 0, 0, 0]) and np.allclose(s.bars, [1 / 6, 0, 0, 0])
+
+
+def test_samples_do_not_follow_repeated_ids(spark, prose, monkeypatch):
+    """Null, zero and repeated ids and a flood of equal rows neither fill the sample nor empty it."""
+    from structsim.llm import language_id, quality
+
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda buckets, *rest: sizes.append(len(buckets)))
+    texts = [" ".join(prose(30, k)) for k in range(1500)]
+    for rows in ([(None, t) for t in texts], [(0, t) for t in texts], [(77, t) for t in texts], [*((k, t) for k, t in enumerate(texts)), *[(None, texts[0])] * 700]):
+        quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sample=200)
+    assert all(50 <= n <= 200 for n in sizes) and len(sizes) == 4
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda x, y, languages: taken.append(len(y)))
+    for doc in (1, 2, 3, 4, 5, 6):
+        language_id.fit(spark.createDataFrame([(doc, t, "xx") for t in texts], "doc_id long, text string, lang string"), per_language=20, per_text=1)
+    assert taken and all(10 <= n <= 20 for n in taken)
