@@ -4,34 +4,39 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased. A document's set h
 64-bit hashes; with fewer words the whole sequence is one shingle; without words or text the set is empty and the
 document is linked with nothing. Two documents link when 100 * |intersection| >= percent * |union|.
 
-1. Documents with equal sets are one class, represented by the smallest doc_id, and only representatives go on.
+1. Documents with equal sets are one class, represented by the smallest doc_id, and only representatives are searched.
 2. Meeting places: linked sets of sizes up to r differ in at most k shingles, k = 2 r (100 - percent) / (100 + percent).
    The hash range is cut into k + 1 + e parts, so linked sets agree on at least e + 1 parts whole. Up to e parts of a
    set that say little (none or one shingle) are left out; sets that share the content of a part left meet there.
-   Shingles of very many documents, as counted on every ``SAMPLED``-th document, are taken out of all sets for this step,
-   which makes differences only smaller: no link is lost whatever is taken out, and a frequent passage is no meeting place.
-   One pair of 64-bit numbers per part is all that is shuffled for all documents.
+   Frequent shingles are taken out of all sets for this step, which makes differences only smaller: no link is lost
+   whatever is taken out, and a frequent passage is no meeting place. They are counted in all documents, by each task in
+   buffers of ``BUFFER`` hashes; at most the ``FREQUENT`` most frequent ones are sent out.
+   A task makes the keys of each class it sees once, settles those that meet within a buffer by itself, and sends one row
+   per key and buffer, so neither copies nor near copies crowd a key.
 3. Sets that meet, directly or over others, form a cell. In a cell every set searches an inverted index of the cell:
    a partner must occur on at least T = ceil(percent / 100 * size) of the set's lists. DivideSkip sets the T - 1
-   longest lists aside, merges the other, short ones, and probes the long lists by binary search for the sets found.
-   Each hit is settled by exact counts. Only links between sets not yet connected are looked for, as classes need no more.
-4. A cell above ``CELL`` sets is first thinned: its sets are compared with those they met as the smallest in a part,
-   and only sets outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``.
+   longest lists aside, merges the other, short ones by a heap, and probes the long lists by binary search for the sets
+   found. Each hit is settled by exact counts. Only links between sets not yet connected are looked for, as classes need
+   no more.
+4. A cell above ``CELL`` sets is first thinned: its sets are compared with those they met, and only sets outside the
+   cell's largest component found so far search the whole cell, in blocks of ``CELL``.
 
 Null texts have empty sets. Repeated rows give a row each; rows that share a doc_id count as one document, which is
-linked by any of its texts. Rows of null doc_id get the smallest doc_id of their class, or null. Extra columns are not read. An empty table gives no rows.
+linked by any of its texts; those of them with empty sets name their own doc_id. Rows of null doc_id get the component of
+their class, or null if no row with an id has their set. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.components import connected_components
@@ -39,9 +44,13 @@ from structsim.llm.wordhash import chain, mix, text_slices, words
 from structsim.llm.workspace import new_folder, written
 
 WORDS, PERCENT, CELL = 3, 90, 512
-#: Every how-many-th document is counted for frequent shingles, how often one must be seen, and how many at most are taken out.
-SAMPLED, SEEN, FREQUENT = 16, 3, 1_000_000
-SETS = "doc_id long, n_shingles long, d1 long, d2 long"
+#: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
+#: places, and how many shingles are taken out at most (eight bytes each are broadcast).
+BUFFER, SEEN, FREQUENT = 2_000_000, 32, 1_000_000
+#: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
+SENT = 1_000_000
+SETS = "doc_id long, n_shingles long, d1 long, d2 long, shingle long, times long"
+PAIRS = "a long, b long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -140,33 +149,104 @@ def meeting_keys(own: np.ndarray, frequent: np.ndarray, classes: list[SizeClass]
     return np.concatenate(found)
 
 
+def _digest(own: np.ndarray) -> tuple[int | None, int | None]:
+    """What names a set: two 64-bit numbers, null for the empty set."""
+    if not len(own):
+        return None, None
+    return int(own.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(own)).astype(np.int64))
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A row per document, with its set's size and digest, and rows (shingle, times) of what repeats within a buffer."""
+    types = [pa.int64()] * 6
+    names = ["doc_id", "n_shingles", "d1", "d2", "shingle", "times"]
+    held: list[np.ndarray] = []
+
+    def repeated() -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        found, times = found[times > 1].view(np.int64), times[times > 1]
+        held.clear()
+        return pa.record_batch([*(pa.nulls(len(found), t) for t in types[:4]), pa.array(found), pa.array(times)], names=names)
+
+    seen: set[tuple] = set()
     for batch in batches:
         for at, to, data, offsets in text_slices(batch, 1):
-            sizes, first, second = [], [], []
+            sizes, digests = [], []
             for own in shingle_sets(data, offsets, n):
                 sizes.append(len(own))
-                first.append(int(own.sum().astype(np.int64)) if len(own) else None)
-                second.append(int(np.bitwise_xor.reduce(mix(own)).astype(np.int64)) if len(own) else None)
-            yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
-
-
-def _flat(batches: Iterator[pa.RecordBatch], n: int, make: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, key): ``make`` of every set."""
+                digests.append(_digest(own))
+                if digests[-1] not in seen:
+                    held.append(own)
+                    seen.add(digests[-1])
+            if sum(map(len, held)) >= BUFFER:
+                yield repeated()
+                seen.clear()
+            columns = [pa.array(sizes, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
+            none = [pa.nulls(to - at, pa.int64())] * 2
+            yield pa.record_batch([batch.column(0).slice(at, to - at).cast(pa.int64()), *columns, *none], names=names)
+    yield repeated()
+
+
+def _met_in_buffer(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) rows that say the same as the given ones: one per key, and two of a key of their own per pair that met."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    least = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    apart = nodes != least
+    pairs = np.unique(np.stack([least[apart], nodes[apart]], axis=1), axis=0)
+    own = chain(pairs[:, 0], pairs[:, 1])
+    return np.concatenate([keys[first], own, own]), np.concatenate([nodes[first], pairs[:, 0], pairs[:, 1]])
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node); a node is the first number of a set's digest."""
+    sizes = size_classes(1 << 31, percent)
+    highs = np.array([c.high for c in sizes])
+    held: list[tuple[np.ndarray, int]] = []
+    seen: set[int] = set()
+
+    def sent() -> pa.RecordBatch:
+        keys = np.concatenate([*(k for k, _ in held), np.zeros(0, np.uint64)])
+        nodes = np.repeat(np.array([d for _, d in held], np.int64).view(np.uint64), [len(k) for k, _ in held])
+        held.clear()
+        seen.clear()
+        keys, nodes = _met_in_buffer(keys, nodes)
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "node"])
+
+    total = 0
     for batch in batches:
-        for at, to, data, offsets in text_slices(batch, 1):
-            keys = [make(own) for own in shingle_sets(data, offsets, n)]
-            count = [len(k) for k in keys]
-            docs = batch.column(0).slice(at, to - at).take(pa.array(np.repeat(np.arange(to - at), count)))
-            yield pa.record_batch([docs, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], names=["a", "key"])
+        for _, _, data, offsets in text_slices(batch, 0):
+            for own in shingle_sets(data, offsets, n):
+                node = _digest(own)[0]
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                held.append((meeting_keys(own, frequent, sizes, highs, percent), node))
+                total += len(held[-1][0]) + 1
+            if total >= BUFFER:
+                yield sent()
+                total = 0
+    yield sent()
+
+
+def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) sorted by both -> pairs (a, b) of a node and the least one under a key of it, each once a batch."""
+    last = np.zeros((2, 0), np.int64)  # the least node under the last key
+    for batch in batches:
+        key, node = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        first = np.append(True, key[1:] != key[:-1])[: len(key)]
+        least = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        last = np.array([key[-1:], least[-1:]])
+        pairs = np.unique(np.stack([node, least], axis=1)[node != least], axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def frequent_shingles(docs: DataFrame, n: int, sampled: int = SAMPLED, seen: int = SEEN, most: int = FREQUENT) -> np.ndarray:
-    """Sorted hashes of shingles that ``seen`` sampled documents or more hold; at most the ``most`` most frequent."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sampled)) == 0)
-    counted = some.mapInArrow(lambda it: _flat(it, n, lambda own: own), "a long, key long").groupBy("key").agg(F.count("*").alias("n"))
-    top = counted.where(F.col("n") >= seen).orderBy(F.col("n").desc(), "key").limit(most).select("key").toPandas()
-    return np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
+def frequent_shingles(counted: DataFrame, seen: int = SEEN, most: int = FREQUENT) -> np.ndarray:
+    """Sorted hashes of the shingles of (shingle, times) that ``seen`` documents or more hold; at most the ``most`` most frequent."""
+    total = counted.groupBy("shingle").agg(F.sum("times").alias("n")).where(F.col("n") >= seen)
+    top = total.orderBy(F.col("n").desc(), "shingle").limit(most).select("shingle").toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
 def linked(a: int, b: int, both: int, percent: int) -> bool:
@@ -196,6 +276,7 @@ def connect(sets: list[np.ndarray], percent: int, queries: range | list[int], un
     tokens, owner = tokens[order], owner[order]  # a token's inverted list is a run of ascending owners
     begin = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     lists, end = tokens[begin], np.append(begin[1:], len(tokens))
+    owners = owner.tolist()
     roots = np.array([union.root(k) for k in range(len(sets))])
     left = len(set(roots.tolist()))
     for q in queries:
@@ -207,8 +288,8 @@ def connect(sets: list[np.ndarray], percent: int, queries: range | list[int], un
         length = end[place] - begin[place]
         by_length = np.argsort(length, kind="stable")
         short, long = place[by_length[: size - need + 1]], place[by_length[size - need + 1 :]]
-        met = np.concatenate([owner[begin[p] : end[p]] for p in short.tolist()])
-        found, times = np.unique(met, return_counts=True)
+        merged = [(k, sum(1 for _ in same)) for k, same in groupby(merge(*(owners[begin[p] : end[p]] for p in short.tolist())))]
+        found, times = np.array([k for k, _ in merged]), np.array([c for _, c in merged])
         far = (roots[found] != roots[q]) & (100 * np.minimum(sizes[found], size) >= percent * np.maximum(sizes[found], size))
         found, times = found[far], times[far]
         for done, p in enumerate(long.tolist()):
@@ -261,54 +342,64 @@ def _block_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
         yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A table of some numbers a row, to be joined with wide rows: up to ``SENT`` of them are broadcast, more are shuffled."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def _active_sets(docs: DataFrame, active: DataFrame, n: int) -> DataFrame:
-    """(doc, set) of the documents named in ``active`` (doc, unique); sets are made anew from the texts."""
+    """(d1, d2, set) of the rows whose doc_id is in ``active`` (doc_id, unique); sets are made anew from the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in text_slices(batch, 1):
-                sets = [s.tobytes() for s in shingle_sets(data, offsets, n)]
-                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(sets, pa.binary())], names=["doc", "set"])
+            for _, _, data, offsets in text_slices(batch, 0):
+                sets = [s for s in shingle_sets(data, offsets, n) if len(s)]
+                digests = [_digest(s) for s in sets]
+                columns = [*(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch(columns, names=["d1", "d2", "set"])
+
+    return docs.join(few(active), "doc_id", "left_semi").select("text").mapInArrow(make, "d1 long, d2 long, set binary")
 
-    found = docs.join(active.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return found.mapInArrow(make, "doc long, set binary")
+
+def _ids_of_many_sets(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives whose sets are of one doc_id."""
+    own = made.where("doc_id is not null").join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    many = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
+    return own.join(many.select("doc_id", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, cell_size: int = CELL) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     folder = new_folder(docs.sparkSession, "ngram-join")
     rows = docs.select("doc_id", "text")
-    made = written(rows.mapInArrow(lambda it: _set_batches(it, n), SETS), folder, "sets")
+    scanned = written(rows.mapInArrow(lambda it: _set_batches(it, n), SETS), folder, "sets")
+    made = scanned.where("n_shingles is not null").select("doc_id", "n_shingles", "d1", "d2")
     classes = written(made.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), folder, "classes")
 
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, n))
-    sizes = size_classes(1 << 31, percent)
-    highs = np.array([c.high for c in sizes])
-    keys = rows.where("doc_id is not null").mapInArrow(lambda it: _flat(it, n, lambda own: meeting_keys(own, frequent.value, sizes, highs, percent)), "a long, key long")
-    met = keys.withColumn("b", F.min("a").over(Window.partitionBy("key"))).where("a <> b").select("a", "b").distinct()
-    # A part's smallest document is the smallest of its class; of the others, too, only representatives go on.
-    edges = written(met.join(classes.select(F.col("rep").alias("a")), "a", "left_semi"), folder, "edges")
-
-    cells = written(connected_components(edges, folder, "cells").select(F.col("node").alias("doc"), F.col("root").alias("cell")), folder, "cells")
-    big = written(cells.groupBy("cell").count().where(F.col("count") > cell_size).select("cell", F.col("count").alias("n")), folder, "big")
-    sets = written(_active_sets(rows, cells, n), folder, "active")
-    members = sets.join(cells, "doc")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(scanned.where("shingle is not null").select("shingle", "times")))
+    keys = rows.select("text").mapInArrow(lambda it: _key_batches(it, n, percent, frequent.value), "key long, node long")
+    met = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting_batches, PAIRS).distinct(), folder, "met")
+
+    cells = written(connected_components(met, folder, "cells").select(F.col("node").alias("d1"), F.col("root").alias("cell")), folder, "cells")
+    active = written(classes.where("rep is not null").join(cells, "d1").select("d1", "d2", F.col("rep").alias("doc"), "cell"), folder, "active")
+    big = written(active.groupBy("cell").count().where(F.col("count") > cell_size).select("cell", F.col("count").alias("n")), folder, "big")
+    sets = _active_sets(rows, active.select(F.col("doc").alias("doc_id")).distinct(), n)
+    members = written(sets.join(few(active), ["d1", "d2"]).select("cell", "d1", "doc", "set"), folder, "members")
     small = members.join(big, "cell", "left_anti").select("cell", "doc", "set").repartition("cell").sortWithinPartitions("cell", "doc")
-    links = small.mapInArrow(lambda it: _cell_batches(it, percent), "a long, b long")
+    links = small.mapInArrow(lambda it: _cell_batches(it, percent), PAIRS)
     if big.take(1):
-        links = links.unionByName(_big_cells(members.join(big, "cell"), edges, folder, percent, cell_size))
-    comps = connected_components(written(links, folder, "links"), folder, "components")
+        links = links.unionByName(_big_cells(members.join(big, "cell"), met, folder, percent, cell_size))
+    comps = connected_components(written(links.unionByName(_ids_of_many_sets(made, classes)), folder, "links"), folder, "components")
     return (
-        made.select("doc_id", "n_shingles", "d1", "d2")
-        .join(classes, ["d1", "d2"], "left")
+        made.join(classes, ["d1", "d2"], "left")
         .join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
     )
 
 
-def _big_cells(members: DataFrame, edges: DataFrame, folder: str, percent: int, cell_size: int) -> DataFrame:
-    """Links of the cells above ``cell_size``; members: cell, n, doc, set."""
-    members = written(members.select("cell", "n", "doc", "set"), folder, "big_members")
+def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, cell_size: int) -> DataFrame:
+    """Links of the cells above ``cell_size``; members: cell, n, d1, doc, set; met: pairs (a, b) of d1."""
+    members = written(members.select("cell", "n", "d1", "doc", "set").dropDuplicates(["cell", "d1", "doc"]), folder, "big_members")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,8 +411,10 @@ def _big_cells(members: DataFrame, edges: DataFrame, folder: str, percent: int,
                     pairs.append((a, b))
             yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    left, right = members.select(F.col("doc").alias("a"), F.col("set").alias("x")), members.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    sure = written(edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), folder, "sure")
+    left = members.select(F.col("d1").alias("a"), F.col("doc").alias("doc_a"), F.col("set").alias("x"))
+    right = members.select(F.col("d1").alias("b"), F.col("doc").alias("doc_b"), F.col("set").alias("y"))
+    both = met.join(left, "a").join(right, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
+    sure = written(both.mapInArrow(check, PAIRS), folder, "sure")
     comps = connected_components(sure, folder, "thinned").withColumnRenamed("node", "doc")
     known = written(members.join(comps, "doc", "left").select("cell", "n", "doc", F.coalesce("root", "doc").alias("component"), "set"), folder, "known")
     counts = known.groupBy("cell", "component").agg(F.count("*").alias("size"))
@@ -345,6 +438,12 @@ def keep_one_per_group(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
 
     Rows with null doc_id cannot be told apart from their group by an id; they stay as they are.
     """
-    kept = ngram_components(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    # The join leaves rows of one doc_id together, so dropping repeats needs no further shuffle.
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    folder = new_folder(docs.sparkSession, "kept")
+    comps = written(ngram_components(docs, n, percent).where("doc_id is not null"), folder, "components")
+    ids = comps.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    ids = written(ids.where("least < doc_id or n > 1").select("doc_id", (F.col("least") == F.col("doc_id")).alias("stays")), folder, "ids")
+    once = docs.join(few(ids.select("doc_id")), "doc_id", "left_anti")
+    repeated = ids.where("stays").select("doc_id")
+    if repeated.take(1):
+        once = once.unionByName(docs.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return once.select(*docs.columns)

@@ -70,6 +70,28 @@ def test_rows_of_one_id_are_one_document(table, prose):
     assert got(J.ngram_components(table([(5, a), (5, b), (3, a + " end"), (4, b + " end")]))) == {5: ([48, 48], 3), 3: ([49], 3), 4: ([49], 3)}
 
 
+def test_exact_copies_under_shared_ids_are_one_component(table, prose):
+    a, b, c = (" ".join(prose(50, k)) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (3, a), (4, b), (5, ""), (9, c), (9, c), (8, c + " end"), (8, "other words here"), (7, "other words here")]
+    assert {d: v[1] for d, v in got(J.ngram_components(table([r for r in rows if r[1]]))).items()} == {3: 3, 4: 3, 5: 3, 7: 7, 8: 7, 9: 7}
+    kept = J.keep_one_per_group(table(rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 7]
+
+
+@pytest.mark.parametrize("buffer", [1, 300])
+def test_small_buffers_lose_no_link(table, prose, monkeypatch, buffer):
+    monkeypatch.setattr(J, "BUFFER", buffer)
+    rows = near_copies(prose)
+    assert got(J.ngram_components(table(rows))) == brute(rows)
+
+
+def test_more_ids_than_are_broadcast(table, prose, monkeypatch):
+    monkeypatch.setattr(J, "SENT", 0)
+    rows = near_copies(prose)
+    assert got(J.ngram_components(table(rows), cell_size=3)) == brute(rows)
+    assert {r["doc_id"] for r in J.keep_one_per_group(table(rows)).collect()} == {d for d, (_, c) in brute(rows).items() if d == c}
+
+
 def test_one_row_per_group_stays(table, prose):
     rows = near_copies(prose)
     docs = table([*rows, rows[0], (None, "x y z")])
@@ -99,7 +121,8 @@ def test_linked_sets_share_a_part(percent):
 
 def test_frequent_shingles(table):
     rows = [(k, f"one two three four five w{k} x{k}") for k in range(400)]
-    found = J.frequent_shingles(table(rows), 3, sampled=2, seen=100)
+    scanned = table(rows).select("doc_id", "text").mapInArrow(lambda it: J._set_batches(it, 3), J.SETS)
+    found = J.frequent_shingles(scanned.where("shingle is not null").select("shingle", "times"), seen=400)
     assert len(found) == 3
     assert got(J.ngram_components(table(rows), 3, 40)) == brute(rows, 3, 40)
 
