@@ -212,6 +212,8 @@ def _key_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int, freque
         held.clear()
         seen.clear()
         keys, nodes = _met_in_buffer(keys, nodes)
+        order = np.argsort(nodes, kind="stable")  # runs of equal nodes pack better
+        keys, nodes = keys[order], nodes[order]
         return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "node"])
 
     total = 0
