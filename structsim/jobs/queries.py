@@ -12,6 +12,7 @@ from structsim.operators import explain as X
 from structsim.operators import groups as G
 from structsim.operators import simjoin as J
 from structsim.sources import adapters as A
+from structsim.sources.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,11 +159,18 @@ def _document_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return fragments, bags, J.similar_pairs(fragments, bags, DOC_THRESHOLD)
 
 
+def _document_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(fragments, bags, profiles, similar profiles) of documents."""
+    fragments, bags = A.document_bags(spark, sf_dir)
+    profs = stored(J.profiles(fragments), "profiles")
+    return fragments, bags, profs, stored(J.similar_profiles(fragments, bags, DOC_THRESHOLD, profs=profs), "similar")
+
+
 @query(f"with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)}, {SQL_GROUPS} select group_id, score, min_fc::bigint as min_fc, location_pairs from groups")
 def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: groups and their pair counts by arithmetic on profiles."""
-    fragments, bags = A.document_bags(spark, sf_dir)
-    out = G.group_counts(fragments, J.similar_profiles(fragments, bags, DOC_THRESHOLD), J.profiles(fragments))
+    _, _, profs, similar = _document_profiles(spark, sf_dir)
+    out = G.group_counts(similar, profs)
     return out.select("group_id", "score", F.col("min_fc").cast("long").alias("min_fc"), F.col("location_pairs").cast("long").alias("location_pairs"))
 
 
@@ -176,8 +184,8 @@ ranked as (select *, row_number() over (partition by group_id, fingerprint order
 select group_id, fingerprint, location_key, place::int as place, occurrence_count from ranked where place <= 3""")
 def group_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first places of each profile of each group, with exact counts."""
-    fragments, _, pairs = _document_pairs(spark, sf_dir)
-    return G.occurrences(pairs, fragments, 3)
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    return G.occurrences(G.counted_members(similar, J.members(fragments, profs, "all")), fragments, 3)
 
 
 _PLACES = f"""
@@ -226,19 +234,17 @@ reviewed as (select g.*, 4 * s1::int + 2 * s2::int + 2 * s3::int + s4::int + (lo
 
 
 def reviewed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fragments, _, pairs = _document_pairs(spark, sf_dir)
-    sizes = fragments.select(F.col("fragment_id").alias("left_id"), F.col("feature_count").alias("lfc")), fragments.select(F.col("fragment_id").alias("right_id"), F.col("feature_count").alias("rfc"))
-    sized = pairs.join(sizes[0], "left_id").join(sizes[1], "right_id")
-    least = sized.groupBy(N.pair_id("left_fingerprint", "right_fingerprint").alias("group_id")).agg(F.min(F.least("lfc", "rfc")).alias("min_fc"))
-    groups = G.match_groups(pairs).join(least, "group_id")
-    return G.review_priority(groups, G.path_pairs(pairs, fragments), RULES)
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    flags = G.profile_flags(similar, J.members(fragments, profs, "all"), RULES)
+    return G.review_priority(G.group_counts(similar, profs), flags, RULES)
 
 
 @query(f"""with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)}, {SQL_GROUPS}, {_PLACES}, {_REVIEW}
 select group_id, score, min_fc::bigint as min_fc, location_pairs, priority::int as priority, array_to_string(signals, ',') as signals from reviewed""")
 def review_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review priority and signals of every group."""
-    return reviewed_groups(spark, sf_dir).select("group_id", "score", "min_fc", "location_pairs", "priority", F.array_join("signals", ",").alias("signals"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("min_fc", "location_pairs")]
+    return reviewed_groups(spark, sf_dir).select("group_id", "score", *counts, "priority", F.array_join("signals", ",").alias("signals"))
 
 
 @query(f"""with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)}, {SQL_GROUPS}, {_PLACES}, {_REVIEW}
@@ -254,10 +260,10 @@ select group_id, coalesce(focused_count, 0) as focused_count, score, row_number(
 from groups left join foc using (group_id) order by rank limit 40""")
 def focused_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Focused places per group, and groups with one come first."""
-    fragments, bags, pairs = _document_pairs(spark, sf_dir)
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
     fragments = fragments.withColumn("focused", F.col("fragment_id") % 7 == 0)
-    groups = G.group_counts(fragments, J.similar_profiles(fragments, bags, DOC_THRESHOLD), J.profiles(fragments))
-    groups = groups.join(G.focused_counts(pairs, fragments), "group_id", "left").na.fill({"focused_count": 0})
+    counts = G.focused_counts(G.counted_members(similar, J.members(fragments, profs, "all")), fragments)
+    groups = G.group_counts(similar, profs).join(counts, "group_id", "left").na.fill({"focused_count": 0})
     return G.top_groups(groups, 40, focus_active=True).select("group_id", "focused_count", "score", "rank")
 
 
@@ -267,8 +273,8 @@ select (select count(*) from documents)::int as files, (select count(*) from fra
 (select sum(location_pairs)::bigint from groups) as location_pairs, (select count(*) from groups) as total_groups, 0 as focused_groups, 0 as suppressed_pairs, 0 as suppressed_groups, (select count(*) > 100 from groups) as truncated""")
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals before any cut."""
-    fragments, bags = A.document_bags(spark, sf_dir)
-    groups = G.group_counts(fragments, J.similar_profiles(fragments, bags, DOC_THRESHOLD), J.profiles(fragments))
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    groups = G.group_counts(similar, profs)
     out = G.report_totals(A.read(spark, sf_dir, "documents").count(), fragments, J.candidate_pairs(fragments, DOC_THRESHOLD), groups, 100)
     return out.withColumn("location_pairs", F.col("location_pairs").cast("long"))
 

@@ -11,6 +11,7 @@ from structsim.operators import evaluate as E
 from structsim.operators import focus as C
 from structsim.operators import groups as G
 from structsim.sources import adapters as A
+from structsim.sources.storage import stored
 
 _CURRENT = f"with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)}, {SQL_GROUPS}, {_PLACES}"
 _ENTRIES = """,
@@ -25,8 +26,9 @@ old as (select id, left_path, right_path, 'intentional' as classification, 'seen
 def _current(spark: SparkSession, sf_dir: str, scope: str) -> tuple[DataFrame, DataFrame]:
     """(entries of the current groups, path pairs)."""
     fragments, _, pairs = _document_pairs(spark, sf_dir)
-    places = G.path_pairs(pairs, fragments)
-    return B.entries_from_groups(G.match_groups(pairs), places, scope), places
+    pairs = stored(pairs, "pairs")
+    places = stored(G.path_pairs(pairs, fragments), "places")
+    return stored(B.entries_from_groups(G.match_groups(pairs), places, scope), "entries"), places
 
 
 def _reviewed(current: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from structsim.functions.names import glob_match, is_distinctive_name, location_key, pair_id, parent_dir
 
 
-def group_counts(fragments: DataFrame, similar: DataFrame, profs: DataFrame) -> DataFrame:
+def group_counts(similar: DataFrame, profs: DataFrame) -> DataFrame:
     """Groups from pairs of profiles (``simjoin.similar_profiles``) by counting, without listing pairs of fragments.
 
     A group is an unordered pair of fingerprints, also across partitions: group_id, score, min_fc, location_pairs.
@@ -34,13 +35,29 @@ def with_location_key(fragments: DataFrame) -> DataFrame:
     return fragments.withColumn("location_key", location_key("path", "start_line", "end_line", "language", "name"))
 
 
-def occurrences(pairs: DataFrame, fragments: DataFrame, max_occurrences: int = 0) -> DataFrame:
+def listed_members(pairs: DataFrame) -> DataFrame:
+    """(group_id, fragment_id, fingerprint) of the fragments in listed pairs."""
+    side = lambda c: F.struct(F.col(f"{c}_id").alias("fragment_id"), F.col(f"{c}_fingerprint").alias("fingerprint"))
+    both = pairs.select(pair_id("left_fingerprint", "right_fingerprint").alias("group_id"), F.explode(F.array(side("left"), side("right"))).alias("s"))
+    return both.select("group_id", "s.*").distinct()
+
+
+def counted_members(similar: DataFrame, members: DataFrame) -> DataFrame:
+    """The same from pairs of profiles and the fragments with their ``profile_id``; no pair of fragments is listed."""
+    prints = members.select("profile_id", "fingerprint").distinct()
+    left = prints.select(F.col("profile_id").alias("l_id"), F.col("fingerprint").alias("lf"))
+    right = prints.select(F.col("profile_id").alias("r_id"), F.col("fingerprint").alias("rf"))
+    sides = F.explode(F.array("l_id", "r_id")).alias("profile_id")
+    ids = similar.join(left, "l_id").join(right, "r_id").select(pair_id("lf", "rf").alias("group_id"), sides).distinct()
+    return ids.join(members.select("profile_id", "fragment_id", "fingerprint"), "profile_id").select("group_id", "fragment_id", "fingerprint")
+
+
+def occurrences(ids: DataFrame, fragments: DataFrame, max_occurrences: int = 0) -> DataFrame:
     """The places of each profile of each group: group_id, fingerprint, location_key, place, occurrence_count.
 
-    Places are distinct and ordered; the count is exact, and at most ``max_occurrences`` places are kept (0: all).
+    ids: (group_id, fragment_id, fingerprint), as from ``listed_members`` or ``counted_members``. Places are distinct and
+    ordered; the count is exact, and at most ``max_occurrences`` places are kept (0: all).
     """
-    sides = F.explode(F.array(F.struct(F.col("left_id").alias("id"), F.col("left_fingerprint").alias("fp")), F.struct(F.col("right_id").alias("id"), F.col("right_fingerprint").alias("fp"))))
-    ids = pairs.select(pair_id("left_fingerprint", "right_fingerprint").alias("group_id"), sides.alias("s")).select("group_id", F.col("s.id").alias("fragment_id"), F.col("s.fp").alias("fingerprint")).distinct()
     places = ids.join(with_location_key(fragments).select("fragment_id", "location_key"), "fragment_id").select("group_id", "fingerprint", "location_key").distinct()
     own = Window.partitionBy("group_id", "fingerprint")
     out = places.withColumn("place", F.row_number().over(own.orderBy("location_key"))).withColumn("occurrence_count", F.count("*").over(own))
@@ -76,26 +93,59 @@ def literal_evidence(pairs: DataFrame, literals: DataFrame) -> DataFrame:
     )
 
 
-def review_priority(groups: DataFrame, places: DataFrame, rules: Iterable[tuple[str, int]] = ()) -> DataFrame:
-    """Adds priority and signals to groups (group_id, location_pairs) from their path pairs."""
+def _rule_flags(rules: tuple[tuple[str, int], ...], *paths: str) -> list[Column]:
+    hit = lambda p: reduce(lambda a, b: a | b, (glob_match(p, path) for path in paths))
+    return [F.bool_or(hit(p)).alias(f"rule{k}") for k, (p, _) in enumerate(rules)]
+
+
+def place_flags(places: DataFrame, rules: Iterable[tuple[str, int]] = ()) -> DataFrame:
+    """What path pairs say about their group: group_id, same_name_away, away, same_name, other_file and a flag per rule."""
     rules = tuple(rules)
     other = F.col("left_path") != F.col("right_path")
     same = other & is_distinctive_name("left_name") & (F.col("left_name") == F.col("right_name"))
     away = other & (parent_dir("left_path") != parent_dir("right_path"))
-    flags = [F.bool_or(c).alias(n) for c, n in ((same & away, "a"), (away, "b"), (same, "c"), (other, "d"))]
-    flags += [F.bool_or(glob_match(p, "left_path") | glob_match(p, "right_path")).alias(f"rule{k}") for k, (p, _) in enumerate(rules)]
-    marked = groups.join(places.groupBy("group_id").agg(*flags), "group_id")
-    known = [("a", 4, "same-name-cross-directory"), ("b", 2, "cross-directory"), ("c", 2, "same-name-cross-file"), ("d", 1, "cross-file")]
+    flags = [F.bool_or(c).alias(n) for c, n in ((same & away, "same_name_away"), (away, "away"), (same, "same_name"), (other, "other_file"))]
+    return places.groupBy("group_id").agg(*flags, *_rule_flags(rules, "left_path", "right_path"))
+
+
+def profile_flags(similar: DataFrame, members: DataFrame, rules: Iterable[tuple[str, int]] = ()) -> DataFrame:
+    """The same from pairs of profiles and the fragments with their ``profile_id``, without listing pairs of places.
+
+    Two sides have unequal paths somewhere unless all their paths are one, so least and greatest paths and directories say
+    it all, for whole profiles and for the fragments of one name in them. Not for fragments among which blocks overlap.
+    """
+    rules = tuple(rules)
+    ends = [F.min("path").alias("p0"), F.max("path").alias("p1"), F.min(parent_dir("path")).alias("d0"), F.max(parent_dir("path")).alias("d1")]
+    whole = members.groupBy("profile_id", "fingerprint").agg(*ends, *_rule_flags(rules, "path"))
+    named = members.where(is_distinctive_name("name")).groupBy("profile_id", "name").agg(*ends)
+    as_side = lambda frame, a: frame.select(*[F.col(c).alias(c if c == "name" else "l_id r_id".split()[a == "r"] if c == "profile_id" else f"{a}_{c}") for c in frame.columns])
+    differ = lambda c: F.least(f"l_{c}0", f"r_{c}0") != F.greatest(f"l_{c}1", f"r_{c}1")
+    pairs = similar.select("l_id", "r_id")
+    sides = pairs.join(as_side(whole, "l"), "l_id").join(as_side(whole, "r"), "r_id")
+    files = [F.bool_or(differ("d")).alias("away"), F.bool_or(differ("p")).alias("other_file")]
+    files += [F.bool_or(F.col(f"l_rule{k}") | F.col(f"r_rule{k}")).alias(f"rule{k}") for k in range(len(rules))]
+    group = pair_id("l_fingerprint", "r_fingerprint").alias("group_id")
+    names = pairs.join(as_side(named, "l"), "l_id").join(as_side(named, "r"), ["r_id", "name"])
+    names = names.groupBy("l_id", "r_id").agg(F.bool_or(differ("d")).alias("n_away"), F.bool_or(differ("p")).alias("n_other"))
+    same = [F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for c, n in (("n_away", "same_name_away"), ("n_other", "same_name"))]
+    return sides.join(names, ["l_id", "r_id"], "left").groupBy(group).agg(*same, *files)
+
+
+def review_priority(groups: DataFrame, flags: DataFrame, rules: Iterable[tuple[str, int]] = ()) -> DataFrame:
+    """Adds priority and signals to groups (group_id, location_pairs) by their flags (``place_flags`` or ``profile_flags``)."""
+    rules = tuple(rules)
+    known = [("same_name_away", 4, "same-name-cross-directory"), ("away", 2, "cross-directory"), ("same_name", 2, "same-name-cross-file"), ("other_file", 1, "cross-file")]
     terms = [(F.col(c), w, s) for c, w, s in known] + [(F.col("location_pairs") > 1, 1, "repeated-location-pairs")]
     terms += [(F.col(f"rule{k}"), w, f"priority-path:{p}(+{w})") for k, (p, w) in enumerate(rules)]
     total = sum((F.when(c, w).otherwise(0) for c, w, _ in terms), F.lit(0))
     signals = F.array_compact(F.array(*[F.when(c, s) for c, _, s in terms]))
-    return marked.withColumn("priority", total).withColumn("signals", signals).drop("a", "b", "c", "d", *[f"rule{k}" for k in range(len(rules))])
+    marked = groups.join(flags, "group_id").withColumn("priority", total).withColumn("signals", signals)
+    return marked.drop(*[c for c, _, _ in known], *[f"rule{k}" for k in range(len(rules))])
 
 
-def focused_counts(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+def focused_counts(ids: DataFrame, fragments: DataFrame) -> DataFrame:
     """Distinct focused places per group (group_id, focused_count), for groups that have any; fragments have ``focused``."""
-    found = occurrences(pairs, fragments.where("focused"))
+    found = occurrences(ids, fragments.where("focused"))
     return found.groupBy("group_id").agg(F.countDistinct("location_key").alias("focused_count"))
 
 

@@ -1,8 +1,11 @@
 """Thresholded self-join of bags by weighted Jaccard similarity, exact and without an all-pairs scan.
 
-Fragments with equal bags in a comparison partition are one *profile*. A profile of size ``fc`` (sum of counts) can only
-reach the threshold t with another if they share a feature within the first features, rarest first, whose weight before
-them is at most ``fc - ceil(t * fc)``; only those prefixes are joined. Candidates are then verified on whole bags.
+Fragments with equal bags in a comparison partition are one *profile*. To reach the threshold t, profiles of sizes (sums of
+counts) a and b must share weight of at least ``need`` = ceil(t / (1 + t) * (a + b)). Their first common feature, the
+rarest one, then has no more than ``a - need`` and ``b - need`` of weight before it, so only features with at most
+``a - ceil(t * a)`` before them are joined, and a joined row goes on only if both sides have ``need`` left at it.
+What is left is thinned by sketches, the weights of ``SKETCH`` buckets of features: the sums of their minima bound the
+shared weight. The rest is verified on whole bags. Profiles, their bags and prefixes are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structsim.sources.storage import stored
+
+#: Buckets of a profile's sketch.
+SKETCH = 128
 MODES = ("all", "same_family", "cross_family", "language_pairs")
 PARTS = {"all": (), "same_family": ("family",), "cross_family": ("family",), "language_pairs": ("language",)}
 
@@ -25,33 +32,52 @@ def partition_key(mode: str) -> Column:
     return F.concat_ws("\x1f", "domain", "kind", *(["family"] if mode == "same_family" else []))
 
 
+def _profile_key(mode: str) -> list[str]:
+    return ["part", *PARTS[mode], "fingerprint"]
+
+
 def profiles(fragments: DataFrame, mode: str = "all") -> DataFrame:
-    """One row per distinct bag and comparison partition: profile_id, part, family, language, fingerprint, fc, n_occ, sample.
+    """One row per distinct bag and comparison partition: profile_id, part, family, language, fingerprint, fc, n_occ, focused.
 
-    ``sample`` is the smallest fragment_id, whose bag stands for the profile. Fragments without features are left out.
+    ``profile_id`` is the smallest fragment_id, whose bag stands for the profile; ``focused``: whether any of its fragments
+    is (null where fragments have no such column). Fragments without features are left out.
     """
     named = fragments.where("feature_count > 0").withColumn("part", partition_key(mode))
-    key = ["part", *PARTS[mode], "fingerprint"]
-    grouped = named.groupBy(*key).agg(F.first("feature_count").alias("fc"), F.count("*").alias("n_occ"), F.min("fragment_id").alias("sample"))
+    focus = F.bool_or(F.coalesce("focused", F.lit(False))) if "focused" in fragments.columns else F.first(F.lit(None).cast("boolean"))
+    counts = [F.first("feature_count").alias("fc"), F.count("*").alias("n_occ"), F.min("fragment_id").alias("profile_id"), focus.alias("focused")]
+    grouped = named.groupBy(*_profile_key(mode)).agg(*counts)
     for c in ("family", "language"):
         if c not in grouped.columns:
             grouped = grouped.withColumn(c, F.lit(None).cast("string"))
-    return grouped.withColumn("profile_id", F.concat_ws("\x1f", *key))
+    return grouped
 
 
 def profile_bags(profs: DataFrame, bags: DataFrame) -> DataFrame:
-    """(profile_id, feature, cnt) of each profile's sample."""
-    return bags.join(profs.select("profile_id", F.col("sample").alias("fragment_id")), "fragment_id").select("profile_id", "feature", "cnt")
+    """(profile_id, feature, cnt): the bag of the fragment that stands for each profile."""
+    return bags.join(profs.select(F.col("profile_id").alias("fragment_id")), "fragment_id", "left_semi").withColumnRenamed("fragment_id", "profile_id")
 
 
 def prefixes(profs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The features of each profile that a partner must share one of: part, profile_id, fc, feature, family, language."""
+    """The features of each profile that a partner must share one of, each with the weight of the rarer ones before it.
+
+    part, profile_id, fc, family, language, focused, feature (a 64-bit hash), before.
+    """
     rarity = bags.groupBy("feature").agg(F.count("*").alias("df"))
     order = Window.partitionBy("profile_id").orderBy("df", "feature")
     before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    full = bags.join(rarity, "feature").join(profs.select("profile_id", "part", "fc", "family", "language"), "profile_id")
+    columns = ["profile_id", "part", "fc", "family", "language", "focused"]
+    full = bags.join(rarity, "feature").join(profs.select(*columns), "profile_id")
     spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
-    return full.withColumn("before", before).where(F.col("before") <= spare).select("part", "profile_id", "fc", "family", "language", "feature")
+    return full.withColumn("before", before).where(F.col("before") <= spare).select(*columns, F.xxhash64("feature").alias("feature"), "before")
+
+
+def sketches(bags: DataFrame) -> DataFrame:
+    """(profile_id, sketch): the weight in each of ``SKETCH`` buckets of features."""
+    bucket = F.pmod(F.xxhash64("feature"), F.lit(SKETCH)).cast("int")
+    weights = bags.groupBy("profile_id", bucket.alias("b")).agg(F.sum("cnt").cast("int").alias("w"))
+    some = weights.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)))
+    return some.select("profile_id", every.alias("sketch"))
 
 
 def _allowed(mode: str, pairs: Iterable[tuple[str, str]]) -> Column | None:
@@ -65,14 +91,38 @@ def _allowed(mode: str, pairs: Iterable[tuple[str, str]]) -> Column | None:
     return None
 
 
-def candidate_profiles(profs: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = ()) -> DataFrame:
-    """Distinct (l_id, r_id, l_fc, r_fc) of different profiles that share a prefix feature and pass the size bound."""
-    pre = prefixes(profs, bags, threshold)
+def _need(threshold: float) -> Column:
+    """The least weight that profiles of sizes l_fc and r_fc must share."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l_fc") + F.col("r_fc")) - F.lit(1e-6))
+
+
+def candidate_profiles(
+    profs: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False
+) -> DataFrame:
+    """Distinct (l_id, r_id, l_fc, r_fc) of different profiles that may reach the threshold.
+
+    With ``focused_only`` one side or both must have a focused fragment; others are not even joined.
+    """
+    pre = stored(prefixes(profs, bags, threshold), "prefixes")
     near = F.least("l.fc", "r.fc").cast("double") / F.greatest("l.fc", "r.fc") >= threshold
-    on = (F.col("l.part") == F.col("r.part")) & (F.col("l.feature") == F.col("r.feature")) & (F.col("l.profile_id") < F.col("r.profile_id")) & near
+    left = F.least(F.col("l.fc") - F.col("l.before"), F.col("r.fc") - F.col("r.before"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l.fc") + F.col("r.fc")) - F.lit(1e-6))
+    on = (F.col("l.part") == F.col("r.part")) & (F.col("l.feature") == F.col("r.feature")) & near & (left >= need)
     allowed = _allowed(mode, language_pairs)
-    joined = pre.alias("l").join(pre.alias("r"), on if allowed is None else on & allowed)
-    return joined.select(F.col("l.profile_id").alias("l_id"), F.col("r.profile_id").alias("r_id"), F.col("l.fc").alias("l_fc"), F.col("r.fc").alias("r_fc")).distinct()
+    on = on if allowed is None else on & allowed
+    if focused_only:
+        # The focused side is small: each of its pairs is met from there, in order of ids if both sides are focused.
+        on = on & (F.col("l.profile_id") != F.col("r.profile_id")) & (~F.col("r.focused") | (F.col("l.profile_id") < F.col("r.profile_id")))
+        joined = pre.where("focused").alias("l").join(pre.alias("r"), on)
+    else:
+        joined = pre.alias("l").join(pre.alias("r"), on & (F.col("l.profile_id") < F.col("r.profile_id")))
+    sides = [F.col(f"{a}.{b}").alias(f"{a}_{c}") for b, c in (("profile_id", "id"), ("fc", "fc")) for a in ("l", "r")]
+    met = joined.select(*sides).distinct()
+    drawn = stored(sketches(bags), "sketches")
+    both = met.join(drawn.select(F.col("profile_id").alias("l_id"), F.col("sketch").alias("l_sketch")), "l_id")
+    both = both.join(drawn.select(F.col("profile_id").alias("r_id"), F.col("sketch").alias("r_sketch")), "r_id")
+    shared = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    return both.where(shared >= _need(threshold)).select("l_id", "r_id", "l_fc", "r_fc")
 
 
 def weighted_jaccard(pairs: DataFrame, bags: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -90,42 +140,60 @@ def weighted_jaccard(pairs: DataFrame, bags: DataFrame, threshold: float | None
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
-def similar_profiles(fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = ()) -> DataFrame:
+def similar_profiles(
+    fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False,
+    profs: DataFrame | None = None,
+) -> DataFrame:
     """Pairs of profiles that reach the threshold, each profile with itself included where several fragments share it.
 
-    Columns: l_id, r_id (profile ids), l_fc, r_fc, intersection, union_size, score.
+    Columns: l_id, r_id (profile ids), l_fc, r_fc, intersection, union_size, score. With ``focused_only`` the fragments have
+    a column ``focused``, and pairs without a focused fragment are left out. ``profs``: the stored ``profiles``, if at hand.
     """
-    profs = profiles(fragments, mode)
-    own = profile_bags(profs, bags)
-    found = weighted_jaccard(candidate_profiles(profs, own, threshold, mode, language_pairs), own, threshold)
+    profs = stored(profiles(fragments, mode), "profiles") if profs is None else profs
+    own = stored(profile_bags(profs, bags), "bags")
+    candidates = stored(candidate_profiles(profs, own, threshold, mode, language_pairs, focused_only), "candidates")
+    found = weighted_jaccard(candidates, own, threshold)
     names = ["l_id", "r_id", "l_fc", "r_fc", "intersection", "union_size", "score"]
     # Equal bags of different families or languages are different profiles there, so they come from the join.
-    itself = profs.where("n_occ > 1")
+    itself = profs.where("n_occ > 1 and focused") if focused_only else profs.where("n_occ > 1")
     if mode == "cross_family":
         itself = itself.limit(0)
     if mode == "language_pairs":
         same = [a for a, b in language_pairs if a == b]
         itself = itself.where(F.col("language").isin(*same)) if same else itself.limit(0)
-    own_pairs = itself.select(F.col("profile_id").alias("l_id"), F.col("profile_id").alias("r_id"), F.col("fc").alias("l_fc"), F.col("fc").alias("r_fc"), F.col("fc").alias("intersection"), F.col("fc").alias("union_size"), F.lit(1.0).alias("score"))
+    whole = [F.col("fc").alias(c) for c in ("l_fc", "r_fc", "intersection", "union_size")]
+    own_pairs = itself.select(F.col("profile_id").alias("l_id"), F.col("profile_id").alias("r_id"), *whole, F.lit(1.0).alias("score"))
     return found.select(*names).unionByName(own_pairs.select(*names))
 
 
-def similar_pairs(fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False) -> DataFrame:
+def members(fragments: DataFrame, profs: DataFrame, mode: str) -> DataFrame:
+    """The fragments that have features, with the ``profile_id`` of their profile."""
+    named = fragments.where("feature_count > 0").withColumn("part", partition_key(mode))
+    key = _profile_key(mode)
+    ids = profs.select(*[F.col(c).alias(f"_{c}") for c in key], "profile_id")
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return named.join(ids, equal).drop(*[f"_{c}" for c in key])
+
+
+def similar_pairs(
+    fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False
+) -> DataFrame:
     """Pairs of fragments that reach the threshold: left_id < right_id (fragment ids), their fingerprints, score, counts.
 
     Overlapping blocks of one path are no pair. With ``focused_only`` one side or both must be ``focused``.
     This lists every pair; ``group_counts`` in ``groups`` counts them from profiles without listing.
     """
-    found = similar_profiles(fragments, bags, threshold, mode, language_pairs)
-    key = ["part", *PARTS[mode], "fingerprint"]
-    named = fragments.where("feature_count > 0").withColumn("part", partition_key(mode)).withColumn("profile_id", F.concat_ws("\x1f", *key))
+    profs = stored(profiles(fragments, mode), "profiles")
+    found = stored(similar_profiles(fragments, bags, threshold, mode, language_pairs, focused_only, profs), "similar")
+    named = members(fragments, profs, mode)
     columns = ["profile_id", "fragment_id", "fingerprint", "path", "kind", "start_byte", "end_byte", "focused"]
     has = named.select(*[c if c in named.columns else F.lit(False if c == "focused" else None).alias(c) for c in columns])
     left = has.select(*[F.col(c).alias(f"l_{c}") for c in columns])
     right = has.select(*[F.col(c).alias(f"r_{c}") for c in columns])
     pairs = found.join(left, found.l_id == left.l_profile_id).join(right, found.r_id == right.r_profile_id)
     pairs = pairs.where((F.col("l_id") != F.col("r_id")) | (F.col("l_fragment_id") < F.col("r_fragment_id")))
-    overlap = (F.col("l_kind") == "block") & (F.col("r_kind") == "block") & (F.col("l_path") == F.col("r_path")) & (F.col("l_start_byte") < F.col("r_end_byte")) & (F.col("r_start_byte") < F.col("l_end_byte"))
+    blocks = (F.col("l_kind") == "block") & (F.col("r_kind") == "block") & (F.col("l_path") == F.col("r_path"))
+    overlap = blocks & (F.col("l_start_byte") < F.col("r_end_byte")) & (F.col("r_start_byte") < F.col("l_end_byte"))
     pairs = pairs.where(~F.coalesce(overlap, F.lit(False)))
     if focused_only:
         pairs = pairs.where(F.col("l_focused") | F.col("r_focused"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structsim.operators import bags as B
+from structsim.sources.storage import stored
 
 ROMANCE, GERMANIC = ("fr", "es"), ("en", "de")
 
@@ -35,7 +36,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(fragments, bags) of documents by their words."""
     files = document_files(spark, sf_dir)
-    own = B.word_bags(files)
+    own = stored(B.word_bags(files), "word-bags")
     return files.drop("text").join(B.fingerprints(own), "fragment_id"), own
 
 

@@ -64,7 +64,7 @@ def test_prefix_join_equals_brute_force(spark, threshold):
 def test_groups_count_without_listing(spark):
     items = [(i, {"a": 3, "b": 1}, {}) for i in range(3)] + [(9, {"a": 3, "b": 2}, {})]
     fragments, bags = make(spark, items)
-    counted = {r["group_id"]: r["location_pairs"] for r in G.group_counts(fragments, J.similar_profiles(fragments, bags, 0.7), J.profiles(fragments)).collect()}
+    counted = {r["group_id"]: r["location_pairs"] for r in G.group_counts(J.similar_profiles(fragments, bags, 0.7), J.profiles(fragments)).collect()}
     listed = {r["group_id"]: r["location_pairs"] for r in G.match_groups(J.similar_pairs(fragments, bags, 0.7)).collect()}
     assert counted == listed and sorted(counted.values()) == [3, 3]
 
@@ -106,7 +106,11 @@ def priority(spark, names, rules=()):
     items = [(k, {"a": 1}, {"path": f"d{k % 2}/auth/f{k}.x", "name": n}) for k, n in enumerate(names)]
     fragments, bags = make(spark, items)
     pairs = J.similar_pairs(fragments, bags, 0.9)
-    row = G.review_priority(G.match_groups(pairs), G.path_pairs(pairs, fragments), rules).first()
+    row = G.review_priority(G.match_groups(pairs), G.place_flags(G.path_pairs(pairs, fragments), rules), rules).first()
+    profs = J.profiles(fragments)
+    similar = J.similar_profiles(fragments, bags, 0.9)
+    counted = G.review_priority(G.group_counts(similar, profs), G.profile_flags(similar, J.members(fragments, profs, "all"), rules), rules).first()
+    assert (counted["priority"], counted["signals"]) == (row["priority"], row["signals"])
     return row["priority"], row["signals"]
 
 
