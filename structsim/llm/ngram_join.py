@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.components import connected_components
-from structsim.llm.wordhash import chain, mix, text_slices, words
+from structsim.llm.wordhash import chain, give_back, mix, text_slices, words
 from structsim.llm.workspace import new_folder, written
 
 WORDS, PERCENT, CELL = 3, 90, 512
 #: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
 #: places, and how many shingles are taken out at most (eight bytes each are broadcast).
-BUFFER, SEEN, FREQUENT = 2_000_000, 32, 1_000_000
+BUFFER, SEEN, FREQUENT = 1_000_000, 32, 1_000_000
 #: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
 SENT = 1_000_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, shingle long, times long"
@@ -156,17 +156,24 @@ def _digest(own: np.ndarray) -> tuple[int | None, int | None]:
     return int(own.sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix(own)).astype(np.int64))
 
 
+def _sliced(rows: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that are small outside this process, too."""
+    for at in range(0, rows.num_rows, most):
+        yield rows.slice(at, most)
+    give_back()
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document, with its set's size and digest, and rows (shingle, times) of what repeats within a buffer."""
     types = [pa.int64()] * 6
     names = ["doc_id", "n_shingles", "d1", "d2", "shingle", "times"]
     held: list[np.ndarray] = []
 
-    def repeated() -> pa.RecordBatch:
+    def repeated() -> Iterator[pa.RecordBatch]:
         found, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         found, times = found[times > 1].view(np.int64), times[times > 1]
         held.clear()
-        return pa.record_batch([*(pa.nulls(len(found), t) for t in types[:4]), pa.array(found), pa.array(times)], names=names)
+        yield from _sliced(pa.record_batch([*(pa.nulls(len(found), t) for t in types[:4]), pa.array(found), pa.array(times)], names=names))
 
     seen: set[tuple] = set()
     for batch in batches:
@@ -179,12 +186,12 @@ def _set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
                     held.append(own)
                     seen.add(digests[-1])
             if sum(map(len, held)) >= BUFFER:
-                yield repeated()
+                yield from repeated()
                 seen.clear()
             columns = [pa.array(sizes, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
             none = [pa.nulls(to - at, pa.int64())] * 2
             yield pa.record_batch([batch.column(0).slice(at, to - at).cast(pa.int64()), *columns, *none], names=names)
-    yield repeated()
+    yield from repeated()
 
 
 def _met_in_buffer(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +213,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int, freque
     held: list[tuple[np.ndarray, int]] = []
     seen: set[int] = set()
 
-    def sent() -> pa.RecordBatch:
+    def sent() -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([*(k for k, _ in held), np.zeros(0, np.uint64)])
         nodes = np.repeat(np.array([d for _, d in held], np.int64).view(np.uint64), [len(k) for k, _ in held])
         held.clear()
@@ -214,7 +221,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int, freque
         keys, nodes = _met_in_buffer(keys, nodes)
         order = np.argsort(nodes, kind="stable")  # runs of equal nodes pack better
         keys, nodes = keys[order], nodes[order]
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "node"])
+        yield from _sliced(pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], names=["key", "node"]))
 
     total = 0
     for batch in batches:
@@ -227,9 +234,9 @@ def _key_batches(batches: Iterator[pa.RecordBatch], n: int, percent: int, freque
                 held.append((meeting_keys(own, frequent, sizes, highs, percent), node))
                 total += len(held[-1][0]) + 1
             if total >= BUFFER:
-                yield sent()
+                yield from sent()
                 total = 0
-    yield sent()
+    yield from sent()
 
 
 def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
