@@ -3,49 +3,56 @@
 Three kinds, leftmost and non-overlapping per kind: ``assign`` (a credential word, a sign and a value of at least 8
 characters), ``access`` (an access key id of at least 16 characters) and ``hex`` (at least 32 lower-case hex digits).
 
-A worklist then unwraps layers until nothing new comes out: URL escapes, Unicode escapes, base64 (either alphabet, with
-or without padding) and, below base64, gzip, zlib and bzip2 data. Base64 is read across line breaks and at all four
-alignments, so that it is found behind path segments, prefixes and other words that share its alphabet. Of the bytes
-that come out, every stretch of ASCII text is a layer, also as UTF-16 or UTF-32, whatever bytes stand beside it; all
-patterns are ASCII, so none reaches beyond one. Each layer is scanned again, its spans are mapped to
-the original text (to the character for escapes, to the base64 characters for encoded text, to all of its base64
-characters for compressed data), and layers seen before are not unwrapped again, which ends cycles.
+A worklist then unwraps layers until nothing new comes out: URL and Unicode escapes, base64 (either alphabet, with or
+without padding) and, below base64, gzip, zlib and bzip2 data with all their members. Base64 is read across line breaks
+and at all four alignments, so that it is found behind path segments, prefixes and other words that share its alphabet. Of
+the bytes that come out, every stretch of ASCII text is a layer, also as UTF-16 or UTF-32, whatever bytes stand beside it;
+all patterns are ASCII, so none reaches beyond one. Each layer is scanned again, and its spans are mapped to the original
+text: to the character for escapes, to the base64 characters for encoded text, to all of its base64 characters for
+compressed data. A layer carries the places of its characters as arrays, so nesting costs no stack. Layers seen before are
+not unwrapped again, which ends cycles, as of archives that inflate to themselves. Escapes nested more than ``DEEP`` deep
+are resolved in one pass, in linear time, and what comes out is scanned.
+
+Compressed data is inflated in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, however long it gets. Only a text
+whose layers inflate to more than ``MOST_INFLATED`` bytes in all, a decompression bomb, is not unwrapped to the end: its
+``complete`` is false, and the characters of what is left count as a span when it is redacted.
 
 Spans count code points, ends exclusive. Null text counts as empty and has no spans. Rows are independent, so repeated
-rows, ties and extra columns change nothing; an empty table gives no rows. A compressed layer is unwrapped up to
-``LARGEST_LAYER`` bytes, which stops decompression bombs.
+rows, ties and extra columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structsim.llm.wordhash import give_back
+
 KINDS = ("assign", "access", "hex")
-LARGEST_LAYER = 64_000_000
+DEEP, PIECE, OVERLAP, MOST_INFLATED = 8, 16_000_000, 1_000_000, 1_000_000_000
 # The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-_URL_RUN = re.compile(r"[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
-_URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE_RUN = re.compile(r"[^\s\\]*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})[^\s\\]*)+")
-_UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_URL, _UNICODE = r"%[0-9A-Fa-f]{2}", r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}"
+_ESCAPES = re.compile(rf"(?:{_URL})+|(?:{_UNICODE})+")
+_LAST_ESCAPE = re.compile(rf"(?:{_URL}|{_UNICODE})\Z")
 LEAST_RUN, LEAST_TEXT = 16, 14
 _BREAK = re.compile(r"(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*")
 _BASE64_RUN = re.compile(r"(?<![B])(?=[B]{16}|[B]++K[B])[B]++(?:K[B]++)*+={0,2}".replace("B", "A-Za-z0-9+/_-").replace("K", _BREAK.pattern))
+#: What a text without any encoding lacks.
+_ENCODED = re.compile(rf"{_URL}|{_UNICODE}|{_BASE64_RUN.pattern}")
 _STANDARD = str.maketrans("-_", "+/")
 _ASCII = rb"[\t-\r\x20-\x7e]"
 #: Stretches of ``LEAST_TEXT`` characters or more (no secret is shorter), by the bytes of a character.
@@ -53,7 +60,27 @@ _STRETCHES = {width: re.compile(rb"(?:%s\x00{%d}){%d,}%s" % (_ASCII, width - 1,
 _PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh")
 
 Span = tuple[str, int, int]
-Mapping = Callable[[int, int], tuple[int, int]]
+
+
+@dataclass
+class Layer:
+    """Text or bytes, and where each of its characters begins and ends in the original text; ``fixed``: all stand for one span."""
+
+    content: str | bytes
+    begins: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    fixed: tuple[int, int] | None = None
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        return self.fixed or (int(self.begins[start]), int(self.ends[end - 1]))
+
+    def below(self, content: str | bytes, begins: np.ndarray, ends: np.ndarray) -> Layer:
+        """A layer whose character k stands for the characters begins[k] to ends[k] of this one."""
+        return Layer(content, fixed=self.fixed) if self.fixed else Layer(content, self.begins[begins], self.ends[ends - 1])
+
+    def key(self) -> tuple:
+        raw = self.content if isinstance(self.content, bytes) else self.content.encode("utf-8", "surrogatepass")
+        return type(self.content), hashlib.blake2b(raw, digest_size=16).digest(), *self.place(0, len(self.content))
 
 
 def direct_spans(text: str) -> list[Span]:
@@ -71,26 +98,6 @@ def _sorted(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _unescaped(run: str, at: int, escapes: re.Pattern, decode: Callable[[str], list[tuple[str, int]]]) -> tuple[str, Mapping]:
-    """The run without escapes, and the place of each of its characters; decode gives (character, escape length) pairs."""
-    chars: list[str] = []
-    places: list[int] = []
-    done = 0
-    for m in [*escapes.finditer(run), None]:
-        plain = run[done : m.start() if m else len(run)]
-        chars += plain
-        places += range(done, done + len(plain))
-        if m:
-            place = m.start()
-            for char, width in decode(m[0]):
-                chars.append(char)
-                places.append(place)
-                place += width
-            done = m.end()
-    places.append(len(run))
-    return "".join(chars), lambda s, e: (at + places[s], at + places[e])
-
-
 def _url_chars(escapes: str) -> list[tuple[str, int]]:
     raw = bytes.fromhex(escapes.replace("%", ""))
     return [(c, 3 * len(c.encode("utf-8", "surrogateescape"))) for c in raw.decode("utf-8", "surrogateescape")]
@@ -110,18 +117,72 @@ def _unicode_chars(escapes: str) -> list[tuple[str, int]]:
     return out
 
 
-def _inflated(raw: bytes | memoryview) -> tuple[bytes, int] | None:
-    """The data below compressed data, and how many bytes the latter has; None if it is not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            packer = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
+def _chars(escapes: str) -> list[tuple[str, int]]:
+    """The characters of a run of escapes of one kind, each with the length of its escapes."""
+    return _url_chars(escapes) if escapes[0] == "%" else _unicode_chars(escapes)
+
+
+def unescaped(layer: Layer) -> Layer | None:
+    """The layer with all its escapes resolved once; None if it has none."""
+    text, parts, begins, done = layer.content, [], [], 0
+    for m in _ESCAPES.finditer(text):
+        chars = _chars(m[0])
+        parts += [text[done : m.start()], "".join(c for c, _ in chars)]
+        begins += [np.arange(done, m.start()), m.start() + np.cumsum([0, *(w for _, w in chars)])[:-1]]
+        done = m.end()
+    if not done:
+        return None
+    start = np.concatenate([*begins, np.arange(done, len(text) + 1)])
+    return layer.below("".join([*parts, text[done:]]), start[:-1], start[1:])
+
+
+def fully_unescaped(layer: Layer) -> Layer:
+    """The layer with its escapes, and those that come out of them, resolved until none is left.
+
+    Characters go to a stack; when its end is an escape, that is replaced by its character. Bytes above ASCII, which no
+    pattern has, stand for themselves.
+    """
+    text, out, begins, ends = layer.content, [], [], []
+    at = 0
+    while at < len(text):
+        out.append(text[at])
+        begins.append(at)
+        at += 1
+        ends.append(at)
+        while out[-1] in "0123456789abcdefABCDEF" and (m := _LAST_ESCAPE.search("".join(out[-6:]))):
+            n = len(m[0])
+            out[-n:], begins[-n:], ends[-n:] = [chr(int(m[0].lstrip("%\\ux"), 16))], [begins[-n]], [at]
+    return layer.below("".join(out), np.array(begins, np.int64), np.array(ends, np.int64))
+
+
+def unpacked(raw: memoryview) -> Iterator[tuple[bytes, int]]:
+    """What compressed data holds, in pieces, each with the number of bytes of ``raw`` read for it or, at an end, up to there.
+
+    gzip and bzip2 members follow each other. Of data cut off, what comes before the cut is given; damage ends it.
+    """
+    at = 0
+    while at < len(raw):
+        head = bytes(raw[at : at + 3])
+        if head[:2] == b"\x1f\x8b":
+            packer = zlib.decompressobj(31)
+        elif head == b"BZh":
             packer = bz2.BZ2Decompressor()
+        elif head[:1] == b"x" and not at:
+            packer = zlib.decompressobj()
         else:
-            return None
-        return packer.decompress(raw, LARGEST_LAYER), len(raw) - len(packer.unused_data)
-    except (zlib.error, OSError, ValueError, EOFError):
-        return None
+            return
+        feed: bytes | memoryview = raw[at:]
+        try:
+            while not packer.eof:
+                piece = packer.decompress(feed, PIECE)
+                feed = getattr(packer, "unconsumed_tail", b"")
+                if piece:
+                    yield piece, len(raw) - len(packer.unused_data)
+                elif not packer.eof:
+                    return
+        except (zlib.error, OSError, ValueError, EOFError):
+            return
+        at = len(raw) - len(packer.unused_data)
 
 
 def _stretches(raw: bytes) -> Iterator[tuple[str, int, int]]:
@@ -132,80 +193,103 @@ def _stretches(raw: bytes) -> Iterator[tuple[str, int, int]]:
                 yield m[0][::width].decode("ascii"), m.start(), width
 
 
-def _base64_layers(run: str, at: int) -> Iterator[tuple[str, Mapping]]:
-    breaks = [m.span() for m in _BREAK.finditer(run)]
-    body = (_BREAK.sub("", run) if breaks else run).rstrip("=").translate(_STANDARD)
-    if len(body) < LEAST_RUN:
-        return
-    # Where lines begin in the body, and what the breaks before them take.
-    begins, taken = [], [0]
-    for start, end in breaks:
-        begins.append(start - taken[-1])
-        taken.append(taken[-1] + end - start)
-
-    def place(k: int) -> int:
-        return at + k + taken[bisect_right(begins, k)]
-
-    def chars(first: int, end: int, turn: int) -> tuple[int, int]:
-        """The place of bytes first to end."""
-        return place(turn + first * 4 // 3), place(turn - (-end * 4 // 3) - 1) + 1
-
-    for turn in range(4):
-        size = len(body) - turn
-        size -= size % 4 == 1
-        raw = binascii.a2b_base64(body[turn : turn + size] + "=" * (-size % 4))
+def base64_layers(layer: Layer) -> Iterator[Layer]:
+    """The bytes of each base64 run at each alignment."""
+    for m in _BASE64_RUN.finditer(layer.content):
+        run = m[0]
+        breaks = [b.span() for b in _BREAK.finditer(run)]
+        body = (_BREAK.sub("", run) if breaks else run).rstrip("=").translate(_STANDARD)
+        if len(body) < LEAST_RUN:
+            continue
+        # Where lines begin in the body, and what the breaks before them take.
+        begins, taken = [], [0]
+        for start, end in breaks:
+            begins.append(start - taken[-1])
+            taken.append(taken[-1] + end - start)
+        place = np.arange(len(body))
+        place += m.start() + np.array(taken)[np.searchsorted(begins, place, side="right")]
+        for turn in range(4):
+            size = len(body) - turn
+            size -= size % 4 == 1
+            raw = binascii.a2b_base64(body[turn : turn + size] + "=" * (-size % 4))
+            if not _PACKED.search(raw) and not any(p.search(raw) for w, p in _STRETCHES.items() if w == 1 or b"\x00" in raw):
+                continue
+            first = np.arange(len(raw))
+            yield layer.below(raw, place[turn + first * 4 // 3], place[turn - (-(first + 1) * 4 // 3) - 1] + 1)
+
+
+class Worklist:
+    """The layers below a text that are still to be unwrapped; ``complete`` tells that all of them could be."""
+
+    def __init__(self, text: str):
+        self.spans: set[Span] = set()
+        self.left: set[tuple[int, int]] = set()  # what was not unwrapped to the end
+        self.room = MOST_INFLATED
+        places = np.arange(len(text) + 1)
+        self.work = [(Layer(text, places[:-1], places[1:]), 0)]
+        self.seen = {self.work[0][0].key()}
+
+    @property
+    def complete(self) -> bool:
+        return not self.left
+
+    def add(self, layer: Layer, deep: int = 0) -> None:
+        if layer.content and (key := layer.key()) not in self.seen:
+            self.seen.add(key)
+            if isinstance(layer.content, str):
+                self.spans |= {(kind, *layer.place(s, e)) for kind, s, e in direct_spans(layer.content)}
+            self.work.append((layer, deep))
+
+    def run(self) -> Worklist:
+        while self.work:
+            layer, deep = self.work.pop()
+            if isinstance(layer.content, bytes):
+                self.unwrap_bytes(layer)
+                continue
+            if ("%" in layer.content or "\\" in layer.content) and (once := unescaped(layer)):
+                self.add(once, deep + 1) if deep < DEEP else self.add(fully_unescaped(once))
+            for raw in base64_layers(layer):
+                self.add(raw)
+        return self
+
+    def unwrap_bytes(self, layer: Layer) -> None:
+        raw = layer.content
         for text, first, width in _stretches(raw):
-            yield text, lambda s, e, first=first, width=width, turn=turn: chars(first + s * width, first + (e - 1) * width + 1, turn)
+            begins = first + width * np.arange(len(text))
+            self.add(layer.below(text, begins, begins + 1))
         for m in _PACKED.finditer(raw):
-            found = _inflated(memoryview(raw)[m.start() :])
-            if found is None:
-                continue
-            start, end = chars(m.start(), m.start() + found[1], turn)
-            if m.start() + found[1] == len(raw):
-                end = at + len(run)
-            # Compressed data may hold compressed data, base64 or escapes in turn; their places are those of all its characters.
-            while found is not None:
-                for text, _, _ in _stretches(found[0]):
-                    yield text, lambda s, e, start=start, end=end: (start, end)
-                found = _inflated(found[0])
-
-
-def layers(text: str) -> Iterator[tuple[str, Mapping]]:
-    """The texts one encoding below ``text``, each with the map of its spans to those of ``text``."""
-    if "%" in text:
-        for m in _URL_RUN.finditer(text):
-            yield _unescaped(m[0], m.start(), _URL_ESCAPES, _url_chars)
-    if "\\" in text:
-        for m in _UNICODE_RUN.finditer(text):
-            yield _unescaped(m[0], m.start(), _UNICODE_ESCAPES, _unicode_chars)
-    for m in _BASE64_RUN.finditer(text):
-        yield from _base64_layers(m[0], m.start())
-
-
-def added_spans(text: str) -> set[Span]:
-    """Spans found below encodings, in places of ``text``."""
-    out: set[Span] = set()
-    seen = {(text, 0)}
-    work: list[tuple[str, Mapping]] = [(text, lambda s, e: (s, e))]
-    while work:
-        current, place = work.pop()
-        for below, inside in layers(current):
-            whole = lambda s, e, inside=inside, place=place: place(*inside(s, e))
-            key = (below, whole(0, len(below))[0])
-            if key in seen:
+            packed, room, read = memoryview(raw)[m.start() :], self.room, 0
+            for piece, read in unpacked(packed):
+                room -= len(piece)
+                if room < 0:
+                    break
+            if not read:
                 continue
-            seen.add(key)
-            out |= {(kind, *whole(s, e)) for kind, s, e in direct_spans(below)}
-            work.append((below, whole))
-    return out
+            here = layer.place(m.start(), m.start() + read)
+            before = b""
+            for piece, _ in unpacked(packed):
+                self.room -= len(piece)
+                if self.room < 0:
+                    self.left.add(here)
+                    break
+                self.add(Layer(before + piece, fixed=here))
+                before = piece[-OVERLAP:] if len(piece) == PIECE else b""
+
+
+def scanned(text: str | None) -> tuple[list[Span], list[Span], set[tuple[int, int]]]:
+    """(spans as they stand, all spans, places of what was not unwrapped to the end) of one text."""
+    if not text:
+        return [], [], set()
+    base = direct_spans(text)
+    if not _ENCODED.search(text):
+        return base, base, set()
+    done = Worklist(text).run()
+    return base, _sorted(list({*base, *done.spans})), done.left
 
 
 def secret_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(spans as they stand, all spans) of one text."""
-    if not text:
-        return [], []
-    base = direct_spans(text)
-    return base, _sorted(list({*base, *added_spans(text)}))
+    return scanned(text)[:2]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -213,47 +297,61 @@ def _joined(spans: list[Span]) -> str:
 
 
 SPAN_ROWS = "array<struct<kind:string,start:long,end:long,direct:boolean>>"
+_PART = 256
 
 
-def _span_rows(texts: pd.Series) -> pd.Series:
-    out = []
-    for text in texts:
-        base, every = secret_spans(text)
-        own = set(base)
-        out.append([{"kind": k, "start": s, "end": e, "direct": (k, s, e) in own} for k, s, e in every])
-    return pd.Series(out, dtype=object)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _PART):
+            yield batch.slice(at, _PART)
+        give_back()
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and all its secret spans: array of (kind, start, end, direct: as it stands in the text)."""
-    return docs.select("doc_id", F.pandas_udf(_span_rows, SPAN_ROWS)("text").alias("spans"))
+    """doc_id, all its secret spans: array of (kind, start, end, direct: as it stands in the text), and complete."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("direct", pa.bool_())]))
+        for part in _parts(batches):
+            found, complete = [], []
+            for text in part.column(1):
+                base, every, left = scanned(text.as_py())
+                own = set(base)
+                found.append([{"kind": k, "start": s, "end": e, "direct": (k, s, e) in own} for k, s, e in every])
+                complete.append(not left)
+            yield pa.record_batch([part.column(0), pa.array(found, kinds), pa.array(complete)], names=["doc_id", "spans", "complete"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id long, spans {SPAN_ROWS}, complete boolean")
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, counts of direct spans by kind, base_sha256 over the direct spans, spans: all spans as text."""
+    """Per row: doc_id, counts of direct spans by kind, base_sha256 over the direct spans, spans: all spans as text, complete."""
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "complete"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [secret_spans(t.as_py()) for t in part.column(1)]
-                counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS]
-                sums = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string())
-                yield pa.record_batch([part.column(0), *counts, sums, pa.array([_joined(every) for _, every in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for part in _parts(batches):
+            found = [scanned(t.as_py()) for t in part.column(1)]
+            counts = [pa.array([sum(s[0] == kind for s in base) for base, _, _ in found], pa.int64()) for kind in KINDS]
+            sums = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _, _ in found], pa.string())
+            spans = pa.array([_joined(every) for _, every, _ in found], pa.string())
+            yield pa.record_batch([part.column(0), *counts, sums, spans, pa.array([not left for _, _, left in found], pa.bool_())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, complete boolean"
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
 def redacted(text: str | None, mark: str = "[secret]") -> str | None:
-    """The text with every span, overlapping ones together, replaced by ``mark``."""
-    _, every = secret_spans(text)
-    if not every:
+    """The text with every span, overlapping ones together, replaced by ``mark``; so is what was not unwrapped to the end."""
+    _, every, left = scanned(text)
+    gone = sorted({*((s, e) for _, s, e in every), *left})
+    if not gone:
         return text
     parts, done, k = [], 0, 0
-    while k < len(every):
-        start, end = every[k][1:]
-        while k < len(every) and every[k][1] <= end:
-            end = max(end, every[k][2])
+    while k < len(gone):
+        start, end = gone[k]
+        while k < len(gone) and gone[k][0] <= end:
+            end = max(end, gone[k][1])
             k += 1
         parts += [text[done:start], mark]
         done = end
@@ -263,10 +361,13 @@ def redacted(text: str | None, mark: str = "[secret]") -> str | None:
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with all secrets in ``text`` replaced, other columns as they are, and n_chars, if there, counted anew."""
 
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redacted(t, mark))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            at = part.schema.get_field_index("text")
+            texts = pa.array([redacted(t.as_py(), mark) for t in part.column(at)], part.schema.field(at).type)
+            yield part.set_column(at, part.schema.field(at), texts)
 
-    out = docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    out = docs.mapInArrow(rows, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -73,6 +73,52 @@ def test_cycles_and_bombs_end():
     assert S.secret_spans(bomb + " " + "%25" * 2000 + "\\u005c" * 500)[0] == []
 
 
+def nested(text, depth):
+    return "%" + "25" * (depth - 1) + f"{ord(text[0]):02x}" + text[1:]
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 10, 300, 10_000])
+def test_deep_escapes_end_in_linear_time(depth):
+    text = "é " + nested(SECRETS, depth)
+    assert ("assign", 2, 2 + 2 * depth + len("password=hunter2hunter2")) in S.secret_spans(text)[1]
+
+
+def test_mixed_deep_escapes():
+    text = "x " + "%5cu0025" + "5cu0025" * 3000 + "70assword=hunter2hunter2 y"
+    assert ("assign", 2, len(text) - 2) in S.secret_spans(text)[1]
+
+
+def test_all_members_and_layers_below_compressed_data():
+    for pack in (gzip.compress, bz2.compress):
+        text = b64(pack(b"nothing here") + pack(SECRETS.encode()) + pack(b"nor here"))
+        assert {kind for kind, _, _ in S.secret_spans(text)[1]} == set(S.KINDS)
+        twice = b64(pack(b"\xff\xfe" + pack(SECRETS.encode())))
+        assert {kind for kind, _, _ in S.secret_spans(twice)[1]} == set(S.KINDS)
+        cut = b64((pack(SECRETS.encode()) + pack(b"more"))[:-9])
+        assert {kind for kind, _, _ in S.secret_spans(cut)[1]} == set(S.KINDS)
+
+
+def test_archives_that_hold_themselves_end(monkeypatch):
+    archive = gzip.compress(SECRETS.encode())
+    monkeypatch.setattr(S, "unpacked", lambda raw: iter([(archive, len(raw))]) if bytes(raw[:2]) == b"\x1f\x8b" else iter(()))
+    assert S.scanned("x " + b64(archive)) == ([], [], set())
+
+
+def test_long_layers_are_scanned_whole(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 1000)
+    monkeypatch.setattr(S, "OVERLAP", 200)
+    for at in (0, 930, 960, 990, 1010, 4980, 7000):
+        raw = b"\xc3\xa9" * (at // 2) + b" " + SECRETS.encode() + " é".encode() * 400
+        text = b64(gzip.compress(raw))
+        assert {kind for kind, _, _ in S.secret_spans(text)[1]} == set(S.KINDS)
+
+
+def test_bombs_are_told_and_redacted(monkeypatch):
+    monkeypatch.setattr(S, "MOST_INFLATED", 100_000)
+    text = "see " + b64(zlib.compress(b"a" * 5_000_000)) + " here"
+    assert S.scanned(text)[2] and S.redacted(text) == "see [secret] here"
+
+
 def test_clean_text_has_no_added_spans(prose):
     for k in range(50):
         text = " ".join(prose(200, k)) + " thtiontiontionthereing internationalization/abcdefghijkl"
