@@ -102,13 +102,17 @@ def path_uri(path: Col) -> Column:
 
 
 def short_digest(text: Col, length: int = 12) -> Column:
-    return F.substring(F.sha2(_c(text).cast("binary"), 256), 1, length)
+    """The first characters of an id or digest."""
+    return F.substring(_c(text), 1, length)
 
 
 def terminal_safe(text: Col) -> Column:
-    """Control and format characters written as ``\\uXXXX``; only texts that hold some are taken apart."""
+    """Control and format characters as ``\\uXXXX``, or ``\\UXXXXXXXX`` above 0xFFFF; only texts that hold some are taken apart."""
     text = _c(text)
-    shown = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[\p{Cc}\p{Cf}]"), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c))
+    # A code point is read from its four bytes of UTF-32.
+    code = lambda c: F.ltrim(F.hex(F.encode(c, "UTF-32")), F.lit("0"))
+    escape = lambda c: F.when(F.length(code(c)) <= 4, F.concat(F.lit("\\u"), F.lpad(code(c), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(code(c), 8, "0")))
+    shown = F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(r"[\p{Cc}\p{Cf}]"), escape(c)).otherwise(c))
     return F.when(text.rlike(r"[\p{Cc}\p{Cf}]"), F.array_join(shown, "")).otherwise(text)
 
 

@@ -207,7 +207,7 @@ _LITERALS = r"list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: true)"
 
 
 @query(f"""with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)},
-lit as (select doc_id as id, [sha256('number' || chr(1) || x) for x in {_LITERALS}] as ds from documents),
+lit as (select doc_id as id, [sha256('number' || chr(0) || x) for x in {_LITERALS}] as ds from documents),
 both_ as (select least(afp, bfp) || ':' || greatest(afp, bfp) as group_id, x.ds as l, y.ds as r from pairs join lit x on x.id = a join lit y on y.id = b where len(x.ds) > 0 or len(y.ds) > 0),
 diff as (select group_id, abs(len(l) - len(r)) as gap, len(list_filter(range(1, least(len(l), len(r)) + 1), lambda k: l[k] <> r[k])) + abs(len(l) - len(r)) as d from both_)
 select group_id, count(*) as compared_pairs, count(*) filter (d > 0) as pairs_with_differences, max(d)::int as max_differing, count(*) filter (gap > 0) as count_mismatch_pairs from diff group by group_id""")

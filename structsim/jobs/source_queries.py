@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from structsim.functions import names as N
 from structsim.jobs.queries import query
+from structsim.jobs.scan import Scan, scan
 from structsim.operators import features as X
 from structsim.operators import report as R
+from structsim.options import Options
 from structsim.sources import adapters as A
 from structsim.sources import discover as D
 
@@ -76,8 +78,53 @@ def ordered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with c as (select user_id as fragment_id, event_type as callee, row_number() over (partition by user_id order by event_id) as k from events where user_id is not null),
 s as (select fragment_id, callee, row_number() over (partition by fragment_id order by callee) as slot, count(*) over (partition by fragment_id) as n from (select distinct fragment_id, callee from c))
-select fragment_id, 'ordered:call:top:callee-slot-' || slot as feature, count(*)::int as cnt from c join s using (fragment_id, callee) where k <= 8 and n between 2 and 8 group by all""")
+select fragment_id, 'ordered:call:top:callee-slot-' || (slot - 1) as feature, count(*)::int as cnt from c join s using (fragment_id, callee) where k <= 8 and n between 2 and 8 group by all""")
 def call_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: the first events of each user as anonymous calls."""
     calls = A.read(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").alias("fragment_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("callee"), F.lit("top").alias("context"))
     return X.call_slots(calls)
+
+
+SCANNED = Options(threshold=0.7, min_tokens=4, max_groups=100, max_pairs=0, domains=("text",), priority_paths=(("src1/**", 5),))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> Scan:
+    files = A.document_files(spark, sf_dir).where("text is not null").withColumnRenamed("text", "content")
+    return scan(files.withColumn("size", F.octet_length("content").cast("long")), SCANNED, "text", ("document",))
+
+
+_SCAN = f"""with lines as (select source || '/' || lang || '/doc_' || doc_id || '.txt' as path, source || '/' || lang as dir, len(string_split(text, chr(10))) as n from documents where text is not null),
+kept as (select * from lines where n + 1 >= {SCANNED.min_tokens}),
+bag as (select n, 'node:syntax:document' as feature, 1 as cnt from (select distinct n from kept) union all select n, 'node:syntax:line', n from (select distinct n from kept)
+  union all select n, 'edge:syntax:document>syntax:line', n from (select distinct n from kept)),
+prints as (select n, sum(cnt) as fc, substr(sha256(string_agg(feature || chr(31) || cnt || chr(30), '' order by feature)), 1, 16) as fp from bag group by n),
+facts as (select n, count(*) as c, min(path) as p0, max(path) as p1, min(dir) as d0, max(dir) as d1, bool_or(path like 'src1/%') as r from kept group by n),
+sides as (select f.*, fc, fp from facts f join prints using (n)),
+groups as (select least(a.fp, b.fp) || ':' || greatest(a.fp, b.fp) as group_id, (1 + 2 * a.n)::double / (1 + 2 * b.n) as score, a.fc as min_fc,
+  case when a.n = b.n then a.c * (a.c - 1) // 2 else a.c * b.c end as location_pairs,
+  least(a.d0, b.d0) <> greatest(a.d1, b.d1) as away, least(a.p0, b.p0) <> greatest(a.p1, b.p1) as other, a.r or b.r as rule
+  from sides a join sides b on a.n < b.n or (a.n = b.n and a.c > 1) where (1 + 2 * a.n)::double / (1 + 2 * b.n) >= {SCANNED.threshold})"""
+
+
+@query(f"""{_SCAN} select group_id, score, min_fc::bigint as min_fc, location_pairs::bigint as location_pairs,
+(2 * away::int + other::int + (location_pairs > 1)::int + 5 * rule::int)::int as priority from groups""")
+def scanned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, each a fragment with a node per line, in groups."""
+    counts = [F.col(c).cast("long").alias(c) for c in ("min_fc", "location_pairs")]
+    return _scanned(spark, sf_dir).groups.select("group_id", "score", *counts, "priority")
+
+
+@query(f"""{_SCAN} select path, 'analyzed' as status, case when n + 1 >= {SCANNED.min_tokens} then 1 else 0 end::bigint as fragment_count, 1::bigint as candidate_count,
+case when n + 1 < {SCANNED.min_tokens} then 'below_token_floor' end as zero_reason from lines""")
+def scanned_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan made of every file."""
+    return _scanned(spark, sf_dir).coverage.select("path", "status", "fragment_count", "candidate_count", "zero_reason")
+
+
+@query(f"""{_SCAN} select (select count(*) from lines)::bigint as files, (select count(*) from kept) as fragments,
+(select count(*) from kept a join kept b on a.path < b.path where least(1 + 2 * a.n, 1 + 2 * b.n)::double / greatest(1 + 2 * a.n, 1 + 2 * b.n) >= {SCANNED.threshold}) as candidate_pairs,
+(select coalesce(sum(location_pairs), 0)::bigint from groups) as location_pairs, (select count(*) from groups) as total_groups, (select count(*) > {SCANNED.max_groups} from groups) as truncated""")
+def scanned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's totals before any cut."""
+    totals = _scanned(spark, sf_dir).totals.withColumn("files", F.col("files").cast("long")).withColumn("location_pairs", F.col("location_pairs").cast("long"))
+    return totals.select("files", "fragments", "candidate_pairs", "location_pairs", "total_groups", "truncated")

@@ -140,15 +140,30 @@ def profile_digest(profile: Mapping[str, object]) -> str:
     return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()
 
 
+#: How many digests one step of ``index_digest`` joins, about.
+DIGEST_FAN = 4096
+
+
 def index_digest(entries: DataFrame) -> DataFrame:
-    """One row ``index_digest`` over (mode, oid, path) in path order.
+    """One row ``index_digest`` over (mode, oid, path), equal for equal sets of entries.
 
-    Digests of up to 1024 consecutive buckets of paths are digested again, so no task gathers the whole index.
+    Each entry's digest is SHA-256 of mode, oid and path, NUL after each. A single stream over all entries would be one
+    task, so digests are joined as a tree: sorted ones with a common beginning are digested together, about ``DIGEST_FAN``
+    at a time, until one is left.
     """
-    line = F.concat("mode", F.lit("\x01"), "oid", F.lit("\x01"), "path", F.lit("\x01"))
-    bucket = F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 2)
-    parts = entries.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "").cast("binary"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("index_digest"))
+    nul = F.lit("\x00")
+    level = entries.select(F.sha2(F.concat("mode", nul, "oid", nul, "path", nul).cast("binary"), 256).alias("d"))
+    n, fan_digits = entries.count(), 3
+    digits = 0
+    while 16**digits * DIGEST_FAN < n:
+        digits += 1
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "").cast("binary"), 256)
+    key = F.substring("d", 1, digits)
+    while digits:
+        level = level.groupBy(key.alias("k")).agg(joined.alias("d"))
+        digits = max(0, digits - fan_digits)
+        key = F.substring("k", 1, digits)
+    return level.agg(joined.alias("index_digest"))
 
 
 def validate(entries: DataFrame, meta: Mapping[str, object], expected: Mapping[str, object], scope: str) -> None:
@@ -205,6 +220,13 @@ def receipt_drift(receipt: DataFrame, current: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(F.coalesce(*checks).alias("drift"))
 
 
+def migrated(entries: DataFrame, meta: Mapping[str, object], profile: Mapping[str, object], threshold: float, scope: str) -> tuple[DataFrame, dict[str, object]]:
+    """The entries with their metadata as they are, and ``meta`` with the digest of a scan profile that was accepted."""
+    kept = dict(meta) | {"profile_digest": profile_digest(profile), "threshold": threshold}
+    validate(entries, kept, kept, scope)
+    return entries, kept
+
+
 def latest(entries: DataFrame, scope: str, order: Column) -> DataFrame:
     """One entry per key, the last by ``order``."""
     w = Window.partitionBy(entry_key(scope)).orderBy(order.desc())

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def literal_digests(rows: DataFrame, key: str, text: str, pattern: str, canonical: str = "number") -> DataFrame:
-    """(fragment_id, literal_digests): SHA-256 of canonical name, a mark and the literal, in text order."""
+    """(fragment_id, literal_digests): SHA-256 of canonical name, NUL and the literal, in text order."""
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({pattern})"), F.lit(1))
-    return rows.select(F.col(key).alias("fragment_id"), F.transform(found, lambda x: F.sha2(F.concat(F.lit(canonical + "\x01"), x).cast("binary"), 256)).alias("literal_digests"))
+    return rows.select(F.col(key).alias("fragment_id"), F.transform(found, lambda x: F.sha2(F.concat(F.lit(canonical + "\x00"), x).cast("binary"), 256)).alias("literal_digests"))
 
 
 def statement_windows(statements: DataFrame, size: int, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -32,21 +32,22 @@ def statement_windows(statements: DataFrame, size: int, cap: int) -> tuple[DataF
 def ordered_statements(statements: DataFrame) -> DataFrame:
     """(fragment_id, feature, cnt) of ``ordered:statement:<first, middle, last or only>:<shape>``.
 
-    statements: fragment_id, container, pos, shape. All children count for the position.
+    statements: fragment_id, container, pos, shape. All children count for the position; those without a shape give nothing.
     """
     own = Window.partitionBy("fragment_id", "container")
     nth, n = F.row_number().over(own.orderBy("pos")), F.count("*").over(own)
     place = F.when(n == 1, "only").when(nth == 1, "first").when(nth == n, "last").otherwise("middle")
-    return statements.select("fragment_id", F.concat_ws(":", F.lit("ordered:statement"), place, "shape").alias("feature")).groupBy("fragment_id", "feature").agg(F.count("*").cast("int").alias("cnt"))
+    placed = statements.select("fragment_id", "shape", place.alias("place")).where("shape is not null and shape <> ''")
+    return placed.select("fragment_id", F.concat_ws(":", F.lit("ordered:statement"), "place", "shape").alias("feature")).groupBy("fragment_id", "feature").agg(F.count("*").cast("int").alias("cnt"))
 
 
 def call_slots(calls: DataFrame, most_calls: int = 8, most_slots: int = 8) -> DataFrame:
     """(fragment_id, feature, cnt) of ``ordered:call:<context>:callee-slot-k`` for the first calls.
 
-    calls: fragment_id, pos, callee, context. Only fragments of 2 to 8 distinct callees; slots follow the sorted callees.
+    calls: fragment_id, pos, callee, context. Only fragments of 2 to 8 distinct callees; slots count the sorted callees from 0.
     """
     names = calls.select("fragment_id", "callee").distinct()
-    slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("fragment_id").orderBy("callee"))).withColumn("n", F.count("*").over(Window.partitionBy("fragment_id"))).where(F.col("n").between(2, most_slots))
+    slots = names.withColumn("slot", F.row_number().over(Window.partitionBy("fragment_id").orderBy("callee")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("fragment_id"))).where(F.col("n").between(2, most_slots))
     early = calls.withColumn("nth", F.row_number().over(Window.partitionBy("fragment_id").orderBy("pos"))).where(F.col("nth") <= most_calls)
     named = early.join(slots, ["fragment_id", "callee"]).select("fragment_id", F.concat_ws(":", F.lit("ordered:call"), "context", F.concat(F.lit("callee-slot-"), F.col("slot").cast("string"))).alias("feature"))
     return named.groupBy("fragment_id", "feature").agg(F.count("*").cast("int").alias("cnt"))

@@ -27,6 +27,14 @@ class Options:
     domains: tuple[str, ...] = ()
     priority_paths: tuple[tuple[str, int], ...] = ()
     roots: tuple[str, ...] = ()
+    same_language_only: bool = False
+    exclude_generated: bool = False
+    require_coverage: bool = False
+    require_focus: bool = False
+    min_file_coverage: float = 0.0
+    max_zero_files: int = -1
+    fail_on_warning: bool = False
+    fail_on_diagnostic: bool = False
 
     def __post_init__(self) -> None:
         if not math.isfinite(self.threshold) or not 0 < self.threshold <= 1:
@@ -39,6 +47,11 @@ class Options:
             raise ValueError(f"mode must be one of {MODES}")
         if (self.mode == "language_pairs") != bool(self.language_pairs):
             raise ValueError("language_pairs go with the mode of that name, and with no other")
+        if not 0 <= self.min_file_coverage <= 1:
+            raise ValueError("min_file_coverage is a share")
+        for root in self.roots:
+            if not root or root.startswith("/") or ".." in root.split("/"):
+                raise ValueError("roots are relative paths within the project")
         if self.focused_only and not self.focus_active:
             raise ValueError("focused_only needs a focus")
         if self.ranking not in ("structural", "review"):
@@ -51,9 +64,12 @@ class Options:
 
 #: The presets of the three review workflows.
 PRESETS = {
-    "review": Options(threshold=0.85, min_tokens=40, max_groups=250, max_occurrences=10, ranking="review"),
+    "review": Options(
+        threshold=0.85, min_tokens=40, max_groups=250, max_occurrences=10, domains=("code",), ranking="review", mode="same_family", same_language_only=True,
+        require_coverage=True, exclude_generated=True,
+    ),
     "explore": Options(),
-    "sql": Options(max_groups=250, max_occurrences=10, domains=("sql-query",)),
+    "sql": Options(max_groups=250, max_occurrences=10, domains=("sql-query",), ranking="review", require_coverage=True, exclude_generated=True),
 }
 
 

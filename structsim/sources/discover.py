@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structsim.functions.names import extension, glob_regex
+from structsim.options import Options
 
 # Directories that are never entered, and links and submodules in a snapshot.
 EXCLUDED_DIRECTORIES = (".build", ".git", ".hg", ".svn", ".turbo", "build", "coverage", "dist", "node_modules", "target", "vendor")
@@ -169,40 +170,86 @@ def glob_column(pattern: Column) -> Column:
     return F.concat(F.lit("^"), quoted, F.lit("$"))
 
 
-def file_coverage(files: DataFrame, fragments: DataFrame, dropped: DataFrame, diagnostics: DataFrame) -> DataFrame:
+def in_domains(domains: Iterable[str]) -> Column:
+    """Whether a file's ``domain`` is selected; without a selection all are."""
+    names = list(domains)
+    return F.col("domain").isin(*names) if names else F.lit(True)
+
+
+def below_roots(roots: Iterable[str], path: str = "path") -> Column:
+    """Whether a path is one of the roots or below one; without roots, or with ``.``, all are."""
+    clean = [r.strip("/").removeprefix("./") for r in roots]
+    if not clean or any(r in ("", ".") for r in clean):
+        return F.lit(True)
+    hit = F.lit(False)
+    for r in clean:
+        hit = hit | (F.col(path) == r) | F.col(path).startswith(f"{r}/")
+    return hit
+
+
+def file_coverage(files: DataFrame, fragments: DataFrame, dropped: DataFrame, warnings: DataFrame) -> DataFrame:
     """Per file: fragment, candidate, below-floor, skipped and diagnostic counts, and why it has no fragments.
 
-    files: path, status (of discovery); fragments: path, kind; dropped: path, below_floor, skipped; diagnostics: path.
-    Blocks count as fragments, but not as candidates.
+    files: path, status (of discovery); fragments: path, kind; dropped: path, below_floor, skipped; warnings: path, kind,
+    total_diagnostics, skipped_fragments. Blocks count as fragments, but not as candidates. A file without fragments has
+    invalid ones if a warning of kind ``parse``, of skipped fragments or of diagnostics names it, or its size or another
+    warning stopped it, or all its candidates were below the floor, or it had none.
     """
     made = fragments.groupBy("path").agg(F.count("*").alias("fragment_count"), F.count(F.when(F.col("kind") != "block", 1)).alias("_own"))
     lost = dropped.groupBy("path").agg(F.sum("below_floor").alias("below_floor"), F.sum("skipped").alias("skipped"))
-    said = diagnostics.groupBy("path").agg(F.count("*").alias("diagnostics"))
-    out = files.join(made, "path", "left").join(lost, "path", "left").join(said, "path", "left").na.fill(0, ["fragment_count", "_own", "below_floor", "skipped", "diagnostics"])
-    reason = F.when(F.col("skipped") > 0, "invalid_fragments").when(F.col("status") == "skipped_resource", "resource_limit").when(F.col("below_floor") > 0, "below_token_floor").otherwise("no_boundaries")
-    return out.select("path", "status", "fragment_count", (F.col("_own") + F.col("below_floor") + F.col("skipped")).alias("candidate_count"), "below_floor", "skipped", "diagnostics", F.when(F.col("fragment_count") == 0, reason).alias("zero_reason"))
+    invalid = (F.col("kind") == "parse") | (F.col("skipped_fragments") > 0) | (F.col("total_diagnostics") > 0)
+    said = warnings.groupBy("path").agg(
+        F.sum(F.coalesce("total_diagnostics", F.lit(0))).alias("diagnostics"), F.count("*").alias("_warned"), F.bool_or(F.coalesce(invalid, F.lit(False))).alias("_invalid")
+    )
+    counts = ["fragment_count", "_own", "below_floor", "skipped", "diagnostics", "_warned"]
+    out = files.join(made, "path", "left").join(lost, "path", "left").join(said, "path", "left").na.fill(0, counts).na.fill(False, ["_invalid"])
+    out = out.withColumn("candidate_count", F.col("_own") + F.col("below_floor") + F.col("skipped"))
+    stopped = (F.col("_warned") > 0) | (F.col("status") == "skipped_resource")
+    low = (F.col("candidate_count") > 0) & (F.col("below_floor") == F.col("candidate_count"))
+    reason = F.when(F.col("_invalid") | (F.col("skipped") > 0), "invalid_fragments").when(stopped, "resource_limit").when(low, "below_token_floor").otherwise("no_boundaries")
+    return out.select("path", "status", "fragment_count", "candidate_count", "below_floor", "skipped", "diagnostics", F.when(F.col("fragment_count") == 0, reason).alias("zero_reason"))
 
 
-def coverage_summary(coverage: DataFrame) -> DataFrame:
+def coverage_summary(coverage: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row of totals over files and warnings; only analyzed files have or lack fragments."""
     n = lambda c: F.count(F.when(c, 1))
-    c = F.col
-    return coverage.agg(
-        F.count("*").alias("supported"), n(c("status") == "analyzed").alias("analyzed"), F.sum("fragment_count").alias("fragments"), n(c("fragment_count") == 0).alias("zero_files"),
-        n(c("status") == "excluded_generated").alias("generated"), n(c("diagnostics") > 0).alias("diagnostic_files"), F.sum("diagnostics").alias("diagnostics"),
+    done = F.col("status") == "analyzed"
+    own = coverage.agg(
+        F.count("*").alias("supported"), n(done).alias("analyzed"), n(F.col("status") == "excluded_generated").alias("generated"),
+        F.coalesce(F.sum("fragment_count"), F.lit(0)).alias("fragments"), n(done & (F.col("fragment_count") > 0)).alias("fragment_files"), n(done & (F.col("fragment_count") == 0)).alias("zero_files"),
+    )
+    named = F.when(F.col("path") != "", F.col("path"))
+    parse = (F.col("kind") == "parse") | (F.col("total_diagnostics") > 0)
+    said = warnings.agg(
+        F.count("*").alias("warnings"), F.countDistinct(named).alias("warning_files"), F.countDistinct(F.when(parse, named)).alias("diagnostic_files"),
+        F.coalesce(F.sum(F.when(parse, F.col("total_diagnostics"))), F.lit(0)).alias("diagnostics"),
     )
+    return own.crossJoin(said)  # one row each
 
 
-def coverage_gates(summary: DataFrame, min_ratio: float | None = None, max_zero: int | None = None, forbid_diagnostics: bool = False, groups: int | None = None) -> DataFrame:
-    """(gate) rows of failed policies; a failed coverage gate hides the match gate."""
+def coverage_gates(summary: DataFrame, options: Options, focus: DataFrame | None = None, groups: int = 0) -> DataFrame:
+    """(gate) rows of the policies that a scan fails: required_coverage, required_focus, file_coverage, zero_files, warnings, diagnostics.
+
+    focus: one row required, covered. File coverage is the share of analyzed files that have fragments. A failed gate hides
+    the ``matches`` of a scan that found groups.
+    """
+    c = F.col
     failed = []
-    if min_ratio is not None:
-        failed.append(F.when(F.col("analyzed").cast("double") / F.greatest(F.col("supported"), F.lit(1)) < min_ratio, "min_ratio"))
-    if max_zero is not None:
-        failed.append(F.when(F.col("zero_files") > max_zero, "max_zero_files"))
-    if forbid_diagnostics:
-        failed.append(F.when(F.col("diagnostics") > 0, "diagnostics"))
+    if options.require_coverage:
+        failed.append(F.when((c("analyzed") == 0) | (c("fragments") == 0), "required_coverage"))
+    if options.require_focus:
+        short = focus.select((c("covered") < c("required")).alias("_short")) if focus is not None else summary.select(F.lit(True).alias("_short"))
+        summary = summary.crossJoin(short)
+        failed.append(F.when(c("_short"), "required_focus"))
+    if options.min_file_coverage > 0:
+        share = F.when(c("analyzed") > 0, c("fragment_files").cast("double") / c("analyzed")).otherwise(F.lit(-1.0))
+        failed.append(F.when(share < options.min_file_coverage, "file_coverage"))
+    if options.max_zero_files >= 0:
+        failed.append(F.when(c("zero_files") > options.max_zero_files, "zero_files"))
+    if options.fail_on_warning:
+        failed.append(F.when(c("warnings") > 0, "warnings"))
+    if options.fail_on_diagnostic:
+        failed.append(F.when(c("diagnostic_files") > 0, "diagnostics"))
     gates = F.array_compact(F.array(*failed, F.lit(None).cast("string")))
     match = F.array(F.lit("matches")) if groups else F.array().cast("array<string>")
     return summary.select(F.explode(F.when(F.size(gates) > 0, gates).otherwise(match)).alias("gate"))
-
-

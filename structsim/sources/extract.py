@@ -1,4 +1,7 @@
-"""Files parsed into the node table, per batch of files; a file that cannot be parsed gives a warning row."""
+"""Files parsed into the node table, per batch of files; a file that cannot be parsed gives a warning row.
+
+Spans are byte offsets in the UTF-8 file. A file is one record, bounded by the size limit of discovery.
+"""
 
 from __future__ import annotations
 
@@ -8,43 +11,79 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-NODES = "path string, node_id long, parent_id long, child_idx int, kind string, is_named boolean, field string, text string, start_byte int, end_byte int, start_line int, end_line int, is_error boolean, is_missing boolean, is_extra boolean, warning string"
+NODES = (
+    "path string, node_id long, parent_id long, child_idx int, kind string, is_named boolean, field string, text string, start_byte int, end_byte int, "
+    "start_line int, end_line int, is_error boolean, is_missing boolean, is_extra boolean, warning string"
+)
 # Kinds of Python's own syntax classes.
 PYTHON_KINDS = {
-    "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "Lambda": "lambda", "If": "if_statement", "IfExp": "conditional_expression", "For": "for_statement", "While": "while_statement", "Call": "call",
-    "Return": "return_statement", "Raise": "raise_statement", "Try": "try_statement", "Break": "break_statement", "Continue": "continue_statement", "Assign": "assignment", "AugAssign": "augmented_assignment", "Name": "identifier",
-    "Attribute": "member_expression", "Subscript": "subscript", "BinOp": "binary_operator", "BoolOp": "boolean_operator", "Compare": "comparison_operator", "UnaryOp": "unary_operator", "List": "list", "Tuple": "tuple", "Dict": "dictionary",
-    "Set": "set", "arguments": "parameters", "arg": "parameter", "Match": "match_statement", "Await": "await",
+    "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "Lambda": "lambda",
+    "If": "if_statement", "IfExp": "conditional_expression", "For": "for_statement", "While": "while_statement", "Call": "call",
+    "Return": "return_statement", "Raise": "raise_statement", "Try": "try_statement", "Break": "break_statement", "Continue": "continue_statement",
+    "Assign": "assignment", "AugAssign": "augmented_assignment", "Name": "identifier", "Attribute": "member_expression", "Subscript": "subscript",
+    "BinOp": "binary_operator", "BoolOp": "boolean_operator", "Compare": "comparison_operator", "UnaryOp": "unary_operator",
+    "List": "list", "Tuple": "tuple", "Dict": "dictionary", "Set": "set", "arguments": "parameters", "arg": "parameter",
+    "Match": "match_statement", "Await": "await",
+}
+_FIELDS = {
+    "func": "function", "args": "arguments", "test": "condition", "body": "body", "orelse": "alternative", "left": "left", "right": "right",
+    "value": "value", "slice": "index",
 }
-_FIELDS = {"func": "function", "args": "arguments", "test": "condition", "body": "body", "orelse": "alternative", "left": "left", "right": "right", "value": "value", "slice": "index"}
+_UNSEEN = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+_WITH_TEXT = ("identifier", "member_expression", "number", "string", "boolean", "none")
 
 
 def _constant(node: ast.Constant) -> str:
     return "none" if node.value is None else "boolean" if isinstance(node.value, bool) else "string" if isinstance(node.value, (str, bytes)) else "number"
 
 
+def _line_starts(source: bytes) -> list[int]:
+    """Where each line begins, and the end."""
+    starts = [0]
+    for line in source.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    return starts
+
+
 def python_nodes(path: str, source: str) -> list[tuple]:
     """Node rows of one Python source, parents before children."""
+    raw = source.encode()
+    starts = _line_starts(raw)
     rows: list[tuple] = []
-    work: list[tuple[ast.AST, int | None, int, str | None]] = [(ast.parse(source), None, 0, None)]
+    work: list[tuple[ast.AST | str, int | None, int, str | None]] = [(ast.parse(source), None, 0, None)]
+    span = (0, len(raw), 1, max(1, len(starts) - 1))
+    spans = [span]
     while work:
         node, up, k, field = work.pop()
+        here = len(rows)
+        span = spans[up] if up is not None else span
+        if isinstance(node, str):  # a function's name
+            rows.append((path, here, up, k, "identifier", True, field, node, *span, False, False, False, None))
+            spans.append(span)
+            continue
         kind = _constant(node) if isinstance(node, ast.Constant) else PYTHON_KINDS.get(type(node).__name__, type(node).__name__.lower())
-        text = ast.get_source_segment(source, node) if hasattr(node, "lineno") and kind in ("identifier", "member_expression", "number", "string", "boolean", "none") else ""
-        here, line = len(rows), getattr(node, "lineno", 1)
-        rows.append((path, here, up, k, kind, True, field, text, getattr(node, "col_offset", 0), getattr(node, "end_col_offset", 0), line, getattr(node, "end_lineno", line), False, False, False, None))
-        below = [(child, here, n, _FIELDS.get(name)) for n, (name, child) in enumerate((name, c) for name, value in ast.iter_fields(node) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST) and not isinstance(c, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)))]
-        work += below[::-1]
+        if hasattr(node, "lineno"):
+            span = (starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset, node.lineno, node.end_lineno)
+        text = raw[span[0] : span[1]].decode(errors="replace") if kind in _WITH_TEXT else ""
+        rows.append((path, here, up, k, kind, True, field, text, *span, False, False, False, None))
+        spans[here:] = [span]
+        below: list[tuple[ast.AST | str, str]] = [(node.name, "name")] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else []
+        for name, value in ast.iter_fields(node):
+            found = value if isinstance(value, list) else [value]
+            below += [(c, _FIELDS.get(name)) for c in found if isinstance(c, ast.AST) and not isinstance(c, _UNSEEN)]
+        work += [(child, here, n, name) for n, (child, name) in enumerate(below)][::-1]
     return rows
 
 
 def line_nodes(path: str, source: str) -> list[tuple]:
     """A plain text as a document with a node per line."""
-    rows: list[tuple] = [(path, 0, None, 0, "document", True, None, "", 0, len(source), 1, source.count("\n") + 1, False, False, False, None)]
+    lines = source.split("\n")
+    sizes = [len(line.encode()) for line in lines]
+    rows: list[tuple] = [(path, 0, None, 0, "document", True, None, "", 0, sum(sizes) + len(lines) - 1, 1, len(lines), False, False, False, None)]
     at = 0
-    for k, line in enumerate(source.split("\n")):
-        rows.append((path, k + 1, 0, k, "line", True, None, line, at, at + len(line), k + 1, k + 1, False, False, False, None))
-        at += len(line) + 1
+    for k, (line, size) in enumerate(zip(lines, sizes, strict=True)):
+        rows.append((path, k + 1, 0, k, "line", True, None, line, at, at + size, k + 1, k + 1, False, False, False, None))
+        at += size + 1
     return rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,17 @@ def detect_language(files: DataFrame, sql_dialect: str = "sql") -> DataFrame:
     language = F.when((F.col("_ext") == ".sql"), sql_dialect).when((F.col("_ext") == ".php") & hack, "hack").otherwise(language)
     out = out.withColumn("language", language).drop("_ext", "_int", "_e", "_s")
     return out.join(F.broadcast(known.select(F.col("id").alias("language"), "family", "domain", "kind")), "language", "left")
+
+
+def resolve_selector(selector: str) -> list[str]:
+    """The sorted ids of a language id or family; an unknown one is an error."""
+    wanted = selector.strip().lower()
+    found = sorted(i for i, family, _, _ in LANGUAGES if wanted in (i, family))
+    if not found:
+        raise ValueError(f"no language or family {selector}")
+    return found
+
+
+def language_pairs(selectors: Iterable[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
+    """All pairs of language ids that pairs of selectors stand for, each sorted, once, in order."""
+    return tuple(sorted({tuple(sorted((a, b))) for left, right in selectors for a in resolve_selector(left) for b in resolve_selector(right)}))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from structsim.options import Options
 from structsim.sources import discover as D
 from structsim.sources import registry as R
 
@@ -71,8 +72,31 @@ def test_overlay_merge_snapshot_size(spark, tmp_path):
 
 def test_coverage(spark):
     t = lambda rows, s: spark.createDataFrame(rows, s)
-    cov = D.file_coverage(t([("a", "analyzed"), ("b", "analyzed"), ("c", "skipped_resource"), ("d", "analyzed"), ("e", "analyzed")], "path string, status string"), t([("a", "function"), ("a", "block")], "path string, kind string"), t([("b", 2, 0), ("d", 0, 1)], "path string, below_floor int, skipped int"), t([("a",)], "path string"))
-    assert {r["path"]: (r["fragment_count"], r["candidate_count"], r["zero_reason"]) for r in cov.collect()} == {"a": (2, 1, None), "b": (0, 2, "below_token_floor"), "c": (0, 0, "resource_limit"), "d": (0, 1, "invalid_fragments"), "e": (0, 0, "no_boundaries")}
-    total = D.coverage_summary(cov)
-    assert [r["gate"] for r in D.coverage_gates(total, 0.9, 3, True, 5).collect()] == ["min_ratio", "max_zero_files", "diagnostics"]
-    assert [r["gate"] for r in D.coverage_gates(total, groups=5).collect()] == ["matches"] and D.coverage_gates(total).count() == 0
+    files_ = t([(p, "skipped_resource" if p == "c" else "excluded_generated" if p == "i" else "analyzed") for p in "abcdefghi"], "path string, status string")
+    made = t([("a", "function"), ("a", "block")], "path string, kind string")
+    dropped = t([("b", 2, 0), ("d", 0, 1), ("h", 1, 1)], "path string, below_floor int, skipped int")
+    said = t([("a", "parse", 2, 0), ("f", "parse", 3, 0), ("g", "", 0, 0), ("", "other", 0, 0)], "path string, kind string, total_diagnostics int, skipped_fragments int")
+    cov = D.file_coverage(files_, made, dropped, said)
+    assert {r["path"]: (r["fragment_count"], r["candidate_count"], r["zero_reason"]) for r in cov.collect()} == {
+        "a": (2, 1, None), "b": (0, 2, "below_token_floor"), "c": (0, 0, "resource_limit"), "d": (0, 1, "invalid_fragments"), "e": (0, 0, "no_boundaries"),
+        "f": (0, 0, "invalid_fragments"), "g": (0, 0, "resource_limit"), "h": (0, 2, "invalid_fragments"), "i": (0, 0, "no_boundaries"),
+    }
+    total = D.coverage_summary(cov, said)
+    assert total.first().asDict() == {"supported": 9, "analyzed": 7, "generated": 1, "fragments": 2, "fragment_files": 1, "zero_files": 6, "warnings": 4, "warning_files": 3, "diagnostic_files": 2, "diagnostics": 5}
+    gates = lambda groups=0, focus=None, **o: [r["gate"] for r in D.coverage_gates(total, Options(**o), focus, groups).collect()]
+    assert gates(5, min_file_coverage=0.2, max_zero_files=5, fail_on_warning=True, fail_on_diagnostic=True) == ["file_coverage", "zero_files", "warnings", "diagnostics"]
+    assert gates(min_file_coverage=1 / 7, max_zero_files=6, require_coverage=True) == [] and gates(5) == ["matches"]
+    assert gates(require_focus=True) == ["required_focus"] == gates(1, t([(1, 2)], "covered int, required int"), require_focus=True)
+    assert gates(require_focus=True, focus=t([(2, 2)], "covered int, required int")) == []
+    none = D.coverage_summary(cov.limit(0), said.limit(0))
+    assert [r["gate"] for r in D.coverage_gates(none, Options(require_coverage=True, min_file_coverage=0.1)).collect()] == ["required_coverage", "file_coverage"]
+
+
+def test_domains_roots_and_selectors(spark):
+    frame = spark.createDataFrame([("a/x", "code"), ("ab/x", "sql-query"), ("a", "code")], "path string, domain string")
+    assert paths(frame.where(D.in_domains(("code",)))) == ["a", "a/x"] and paths(frame.where(D.in_domains(()))) == ["a", "a/x", "ab/x"]
+    assert paths(frame.where(D.below_roots(("a/",)))) == ["a", "a/x"] and paths(frame.where(D.below_roots((".",)))) == ["a", "a/x", "ab/x"]
+    assert R.resolve_selector(" Shell ") == ["bash", "zsh"] and R.resolve_selector("go") == ["go"]
+    assert R.language_pairs([("shell", "go"), ("go", "bash"), ("sql", "sql")]) == (("bash", "go"), ("go", "zsh"), ("postgresql", "postgresql"), ("postgresql", "sql"), ("sql", "sql"))
+    with pytest.raises(ValueError):
+        R.resolve_selector("cobol")

@@ -1,5 +1,6 @@
 """Golden cases of the operators on hand-made rows, and properties against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from structsim.operators import bags as B
 from structsim.operators import baseline as L
 from structsim.operators import evaluate as E
 from structsim.operators import explain as X
+from structsim.operators import features as Y
 from structsim.operators import focus as C
 from structsim.operators import groups as G
 from structsim.operators import simjoin as J
@@ -37,10 +39,10 @@ def test_fingerprint_golden(spark):
 
 
 def test_jaccard_golden(spark):
-    items = [(1, {"function": 1, "return": 1, "call": 2}, {}), (2, {"function": 1, "return": 1, "call": 1, "branch": 1}, {})]
-    row = J.similar_pairs(*make(spark, items), 0.6).first()
-    assert (row["intersection"], row["union_size"], row["score"]) == (3, 5, 0.6)
-    assert J.similar_pairs(*make(spark, items), 0.61).count() == 0
+    items = [(1, {"oak": 4, "elm": 1}, {}), (2, {"oak": 3, "ash": 1}, {})]
+    row = J.similar_pairs(*make(spark, items), 0.5).first()
+    assert (row["intersection"], row["union_size"], row["score"]) == (3, 6, 0.5)
+    assert J.similar_pairs(*make(spark, items), 0.51).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.9, 1.0])
@@ -88,11 +90,11 @@ def test_domains_and_focus_and_limit(spark):
 
 
 def test_evidence_golden(spark):
-    bags = spark.createDataFrame([(1, "shared", 2), (1, "left-large", 4), (1, "left-tie", 1), (2, "shared", 3), (2, "right-large", 5), (2, "right-tie", 1)], "fragment_id long, feature string, cnt int")
+    bags = spark.createDataFrame([(1, "oak", 6), (1, "elm", 7), (1, "fir", 2), (2, "oak", 9), (2, "ash", 8), (2, "yew", 2)], "fragment_id long, feature string, cnt int")
     pairs = spark.createDataFrame([("p", 1, 2)], "pair_id string, left_id long, right_id long")
     row = X.structural_evidence(pairs, bags, 1).first()
-    assert (row["intersection"], row["union_size"], row["left_total"], row["right_total"]) == (2, 14, 5, 7)
-    assert (row["shared"], row["left_only"], row["right_only"]) == (["shared=2"], ["left-large=4"], ["right-large=5"])
+    assert (row["intersection"], row["union_size"], row["left_total"], row["right_total"]) == (6, 28, 9, 13)
+    assert (row["shared"], row["left_only"], row["right_only"]) == (["oak=6"], ["elm=7"], ["ash=8"])
 
 
 def test_shape_golden(spark):
@@ -122,7 +124,7 @@ def test_review_priority(spark):
 
 def test_literals_golden(spark):
     fragments, bags = make(spark, [(1, {"a": 1}, {}), (2, {"a": 1}, {})])
-    lits = spark.createDataFrame([(1, ["same", "jpeg"]), (2, ["same", "avif", "fallback"])], "fragment_id long, literal_digests array<string>")
+    lits = spark.createDataFrame([(1, ["10", "20", "30"]), (2, ["10", "21"])], "fragment_id long, literal_digests array<string>")
     row = G.literal_evidence(J.similar_pairs(fragments, bags, 0.9), lits).first()
     assert (row["compared_pairs"], row["pairs_with_differences"], row["max_differing"], row["count_mismatch_pairs"]) == (1, 1, 2, 1)
 
@@ -201,6 +203,44 @@ def test_receipts(spark):
         L.make_receipt(groups.limit(0), proof)
 
 
+def test_literal_digests_golden(spark):
+    rows = spark.createDataFrame([(1, "a 7 b 42"), (2, None)], "i long, t string")
+    got = {r["fragment_id"]: r["literal_digests"] for r in Y.literal_digests(rows, "i", "t", "[0-9]+").collect()}
+    assert got == {1: [hashlib.sha256(b"number\0" + x).hexdigest() for x in (b"7", b"42")], 2: []}
+
+
+def test_ordered_features_golden(spark):
+    rows = [(1, 0, 0, "flow:if"), (1, 0, 1, None), (1, 0, 2, "expression:call"), (2, 0, 0, None), (3, 0, 0, "x"), (3, 1, 0, "x"), (3, 1, 1, ""), (3, 1, 2, "y")]
+    got = Y.ordered_statements(spark.createDataFrame(rows, "fragment_id long, container long, pos int, shape string")).collect()
+    assert sorted((r["fragment_id"], r["feature"], r["cnt"]) for r in got) == [
+        (1, "ordered:statement:first:flow:if", 1), (1, "ordered:statement:last:expression:call", 1), (3, "ordered:statement:first:x", 1), (3, "ordered:statement:last:y", 1), (3, "ordered:statement:only:x", 1),
+    ]
+    calls = [(1, 0, "b", "linear"), (1, 1, "a", "branch"), (2, 0, "a", "linear"), *((3, k, f"c{k:02}", "linear") for k in range(9)), *((4, k, "ab"[k % 2], "linear") for k in range(10))]
+    got = Y.call_slots(spark.createDataFrame(calls, "fragment_id long, pos int, callee string, context string")).collect()
+    assert sorted((r["fragment_id"], r["feature"], r["cnt"]) for r in got) == [
+        (1, "ordered:call:branch:callee-slot-0", 1), (1, "ordered:call:linear:callee-slot-1", 1), (4, "ordered:call:linear:callee-slot-0", 4), (4, "ordered:call:linear:callee-slot-1", 4),
+    ]
+
+
+@pytest.mark.parametrize("fan", [1, 3, 4096])
+def test_index_digest(spark, monkeypatch, fan):
+    monkeypatch.setattr(L, "DIGEST_FAN", fan)
+    rows = [("100644", f"{k:040x}", f"p{k}") for k in range(60)]
+    digest = lambda r: L.index_digest(spark.createDataFrame(r, "mode string, oid string, path string")).first()["index_digest"]
+    whole = digest(rows)
+    assert len(whole) == 64 and digest(rows[::-1]) == whole != digest([*rows[:-1], ("100755", *rows[-1][1:])]) and digest(rows[:0])
+    if fan == 4096:
+        parts = sorted(hashlib.sha256("".join(f"{x}\0" for x in r).encode()).hexdigest() for r in rows)
+        assert whole == hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def test_migrate_keeps_entries(spark):
+    entries = spark.createDataFrame([("a" * 16 + ":" + "b" * 16, 0.9, "p", "k", "q", "l", "other", "why")], L.ENTRY)
+    old = {"schema_version": 1, "normalization_version": 2, "profile_digest": "x", "threshold": 0.7}
+    kept, meta = L.migrated(entries, old, {"mode": "all"}, 0.8, "content")
+    assert kept.collect() == entries.collect() and meta == {**old, "profile_digest": L.profile_digest({"mode": "all"}), "threshold": 0.8}
+
+
 def test_evaluation_and_manifest(spark, tmp_path):
     rows = [("b", "accepted-positive", 0.9, 0.8, 1.0, 1), ("a", "false-positive", 0.9, 0.0, 0.5, 2)]
     res = spark.createDataFrame(rows, "id string, classification string, score double, min_score double, max_score double, rank int").withColumn("reference_score", F.lit(None).cast("double")).withColumn("reference_rank", F.lit(None).cast("int"))
@@ -218,6 +258,7 @@ def test_evaluation_and_manifest(spark, tmp_path):
 
 
 def test_options():
+    assert (preset("review").mode, preset("review").domains, preset("sql").ranking, preset("explore").require_coverage) == ("same_family", ("code",), "review", False)
     assert preset("review").max_groups == 250 and scoped(Options(), {"s": {"roots": ("a",)}}, "s").roots == ("a",)
     for bad in ({"threshold": float("nan")}, {"threshold": 0}, {"min_tokens": 0}, {"max_pairs": -1}, {"focused_only": True}, {"mode": "x"}, {"mode": "language_pairs"}, {"priority_paths": (("a", 101),)}, {"statement_blocks": True, "block_statements": 1}):
         with pytest.raises(ValueError):
@@ -232,6 +273,9 @@ def test_globs(spark, pattern, path, hit):
 def test_names(spark):
     row = spark.range(1).select(
         N.clean_name(F.lit("a \n b" + "x" * 90)).alias("long"), N.fallback_name(F.lit(None).cast("string"), F.lit(4), F.lit("query")).alias("q"), N.query_label(F.lit("-- name: GetIt :one")).alias("l"),
-        N.terminal_safe(F.lit("a\x1bb")).alias("t"), N.path_uri(F.lit("a b/é")).alias("u"), N.parent_dir(F.lit("x")).alias("d"), N.location_key(F.lit("p"), F.lit(3), F.lit(12), F.lit("go"), F.lit("f")).alias("k"),
+        N.terminal_safe(F.lit("a\x1bb")).alias("t"), N.terminal_safe(F.lit("q\u200e\U000e0001é")).alias("w"), N.short_digest(F.lit("0123456789abcdef:0")).alias("s"), N.short_digest(F.lit("ab")).alias("s2"), N.path_uri(F.lit("a b/é")).alias("u"), N.parent_dir(F.lit("x")).alias("d"), N.location_key(F.lit("p"), F.lit(3), F.lit(12), F.lit("go"), F.lit("f")).alias("k"),
     ).first()
-    assert (len(row["long"]), row["q"], row["l"], row["t"], row["u"], row["d"], row["k"]) == (80, "query@4", "GetIt", "a\\u001bb", "a%20b/%C3%A9", ".", "p:000000003:000000012:go:f")
+    assert (len(row["long"]), row["q"], row["l"], row["t"], row["u"], row["d"], row["k"]) == (80, "query@4", "GetIt", "a\\u001Bb", "a%20b/%C3%A9", ".", "p:000000003:000000012:go:f")
+    assert (row["w"], row["s"], row["s2"]) == ("q\\u200E\\U000E0001é", "0123456789ab", "ab")
+    for a, b, want in ((8, 10, 0.8), (0, 3, 0.0), (5, 5, 1.0)):
+        assert spark.range(1).select(N.size_upper_bound(F.lit(a), F.lit(b)).alias("x")).first()["x"] == want
