@@ -249,6 +249,7 @@ def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         last = np.array([key[-1:], least[-1:]])
         pairs = np.unique(np.stack([node, least], axis=1)[node != least], axis=0)
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    give_back()
 
 
 def frequent_shingles(counted: DataFrame, seen: int = SEEN, most: int = FREQUENT) -> np.ndarray:
@@ -337,6 +338,7 @@ def _cell_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         connect([np.frombuffer(r[2], np.uint64) for r in cell], percent, range(len(cell)), union)
         pairs = [(r[1], cell[union.root(k)][1]) for k, r in enumerate(cell) if union.root(k) != k]
         yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    give_back()
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -349,6 +351,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
         connect([np.frombuffer(r[6], np.uint64) for r in block], percent, [k for k, r in enumerate(block) if r[3]], union)
         pairs = [(block[k][4], block[union.root(k)][4]) for k in sorted(set(before)) if union.root(k) != k]
         yield pa.record_batch([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    give_back()
 
 
 def few(ids: DataFrame) -> DataFrame:
