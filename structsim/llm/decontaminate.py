@@ -15,8 +15,8 @@ five words is one shingle. An item with neither mark is one part, and counts as
 stretch of the document in at most 1 - ``OVERLAP`` of its words (changed, left out or put in), as one edit alone breaks
 five shingles; both overlaps are then the larger of the two shares.
 
-Broadcast are the items alone, in shards of up to ``SHARD_BYTES`` of text; larger benchmarks are searched shard by shard, each
-an index with statistics of its own. Null or wordless texts and items match nothing. Repeated rows are found each on their
+Broadcast are the items alone, in shards of up to ``SHARD_BYTES`` of text, whose index takes about 15 times as much memory;
+larger benchmarks are searched shard by shard, each an index with statistics of its own. Null or wordless texts and items match nothing. Repeated rows are found each on their
 own; repeated item rows are one item (the least text of an item_id counts). Extra columns are not read. Empty tables give no rows.
 """
 
@@ -36,7 +36,7 @@ from structsim.llm.wordhash import chain, range_hashes, text_slices
 LEAST_SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
 BLOCK, FREQUENT = 4, 256
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 8_000_000
 _CELLS = 4_000_000
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -113,7 +113,8 @@ class Index:
         #: The words of items that are one part.
         self.whole = [None if m else w for m, w in zip(marked, words, strict=True)]
         # Each part's shingles and how many words they have.
-        self.questions, self.answers = ([(shingles(w), min(SHINGLE, len(w))) for w in hashed_words([p[i] for p in parts])] for i in (0, 1))
+        cut = [[(shingles(w), min(SHINGLE, len(w))) for w in hashed_words([p[i] for p in parts])] for i in (0, 1)]
+        self.questions, self.answers = cut[0], [q if m is None else a for q, a, m in zip(*cut, marked, strict=True)]
         self.stride = max([32, *(-(-5 * len(w) // 4) for w in words)])
         n = len(words)
         self.blocks = -(-n // BLOCK)
@@ -121,28 +122,31 @@ class Index:
         item = np.repeat(np.arange(n), lengths)
         self.terms, term = np.unique(np.concatenate(words), return_inverse=True)
         pair, times = np.unique(term * n + item, return_counts=True)
-        self.term_of, self.item_of = pair // n, pair % n
-        have = np.bincount(self.term_of, minlength=len(self.terms))
+        term_of, item_of = pair // n, pair % n
+        have = np.bincount(term_of, minlength=len(self.terms))
         idf = np.log1p((n - have + 0.5) / (have + 0.5))
-        impact = idf[self.term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[self.item_of] / lengths.mean()))
-        self.impact = impact / np.bincount(self.item_of, impact, n)[self.item_of]
-        #: Per block: term -> its items there, their impacts, and the largest of these.
-        self.postings: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(self.blocks)]
-        for term, item, impact in zip(self.term_of.tolist(), self.item_of.tolist(), self.impact.tolist(), strict=True):
-            items, impacts, most = self.postings[item // BLOCK].get(term, ([], [], 0.0))
-            self.postings[item // BLOCK][term] = ([*items, item], [*impacts, impact], max(most, impact))
+        impact = idf[term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[item_of] / lengths.mean()))
+        impact /= np.bincount(item_of, impact, n)[item_of]
+        # Postings by block, then term: the items of each (block, term) cell are a run of ascending numbers.
+        cell = item_of // BLOCK * len(self.terms) + term_of
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        self.run_begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.run_cell = cell[self.run_begin]
+        self.run_begin = np.append(self.run_begin, len(cell))
+        self.run_item, self.run_impact = item_of[order].astype(np.int32), impact[order]
         # Block maxima: a row per term and block that has any; the most frequent terms as a dense matrix.
-        cell = self.term_of * self.blocks + self.item_of // BLOCK
+        cell = term_of * self.blocks + item_of // BLOCK
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        most = np.maximum.reduceat(self.impact, first)
-        self.max_term, self.max_block, self.max_impact = cell[first] // self.blocks, cell[first] % self.blocks, most
-        self.max_begin = np.searchsorted(self.max_term, np.arange(len(self.terms) + 1))
+        most = np.maximum.reduceat(impact, first)
+        max_term, self.max_block, self.max_impact = cell[first] // self.blocks, (cell[first] % self.blocks).astype(np.int32), most
+        self.max_begin = np.searchsorted(max_term, np.arange(len(self.terms) + 1))
         frequent = np.argsort(-have, kind="stable")[:FREQUENT]
         self.dense_of = np.full(len(self.terms), -1)
         self.dense_of[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), self.blocks), np.float32)
-        in_dense = self.dense_of[self.max_term] >= 0
-        self.dense[self.dense_of[self.max_term[in_dense]], self.max_block[in_dense]] = most[in_dense]
+        in_dense = self.dense_of[max_term] >= 0
+        self.dense[self.dense_of[max_term[in_dense]], self.max_block[in_dense]] = most[in_dense]
 
     def bounds(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Sums of block maxima, passages by blocks, from distinct (passage, term) pairs."""
@@ -156,10 +160,15 @@ class Index:
         total += np.bincount(np.repeat(passage, count) * self.blocks + self.max_block[at], self.max_impact[at], n * self.blocks).reshape(n, -1)
         return total
 
-    def wand(self, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
+    def wand(self, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
         """Items of a block that reach ``least`` for the given terms."""
-        own = self.postings[block]
-        lists = [[own[t][0][0], 0, *own[t]] for t in terms if t in own]  # item at the cursor, cursor, items, impacts, largest impact
+        cells = block * len(self.terms) + terms
+        at = np.minimum(np.searchsorted(self.run_cell, cells), len(self.run_cell) - 1)
+        lists = []  # item at the cursor, cursor, items, impacts, largest impact
+        for k in at[self.run_cell[at] == cells].tolist():
+            run = slice(self.run_begin[k], self.run_begin[k + 1])
+            items, impacts = self.run_item[run].tolist(), self.run_impact[run].tolist()
+            lists.append([items[0], 0, items, impacts, max(impacts)])
         out = []
         while lists:
             lists.sort(key=itemgetter(0))
@@ -211,7 +220,7 @@ class Index:
             bound = self.bounds(own, its, min(most, len(owner) - at))
             for p, block in zip(*np.nonzero(bound >= least - 1e-5), strict=True):
                 x, y = np.searchsorted(own, [p, p + 1])
-                for item, score in self.wand(its[x:y].tolist(), int(block), least):
+                for item, score in self.wand(its[x:y], int(block), least):
                     key = (int(owner[at + p]), item)
                     out[key] = max(score, out.get(key, 0.0))
         return out
