@@ -3,8 +3,8 @@
 A record is a JSON object. Its nested field paths (array items as ``[]``) are sorted and hashed; the hash selects a
 declarative mapping that says where the turns are: a list of messages with a role field and a text field, or single
 fields that stand for one turn each. Layouts are data: ``LAYOUTS`` lists the known ones and callers can add their own.
-Paths that a layout calls optional do not count for its fingerprint. Records of an unknown layout give no turns and keep
-their fingerprint for review.
+Paths that a layout calls optional do not count for its fingerprint. Records of an unknown layout give no turns;
+``unknown_records`` lists them with their fingerprint for review.
 
 Turns are written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts ``<``, any number of backslashes
 and ``|`` get one backslash more, so no text can hold a control string and unescaping takes that one away again; a
@@ -172,7 +172,8 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def format_conversations(rows: DataFrame, layouts: Iterable[Layout] = LAYOUTS) -> DataFrame:
     """Formats records (conv_id, turn, record): conv_id, formatted, loss_spans (array of start, end).
 
-    A record may hold one turn or a whole conversation; a conversation's records go by ``turn``.
+    A record may hold one turn or a whole conversation; a conversation's records go by ``turn``. Records of an unknown layout
+    are no part of it; ``unknown_records`` has them.
     """
     turns = canonical_turns(rows.select("conv_id", "turn", "record"), "record", layouts)
     one = turns.select("conv_id", "turn", F.posexplode("turns").alias("pos", "t")).select("conv_id", F.struct("turn", "pos", "t.role", "t.text").alias("t"))
@@ -186,6 +187,13 @@ def format_conversations(rows: DataFrame, layouts: Iterable[Layout] = LAYOUTS) -
     return whole.select("conv_id", out.alias("o")).select("conv_id", "o.formatted", "o.loss_spans")
 
 
+def unknown_records(rows: DataFrame, layouts: Iterable[Layout] = LAYOUTS) -> DataFrame:
+    """(conv_id, turn, record, fingerprint) of the records whose layout is not known, for review; they have no turns."""
+    known, _ = by_fingerprint(layouts)
+    turns = canonical_turns(rows.select("conv_id", "turn", "record"), "record", layouts)
+    return turns.where(~F.coalesce(F.col("fingerprint").isin(*known), F.lit(False))).drop("turns")
+
+
 def turn_records(conversations: DataFrame) -> DataFrame:
     """A table with a row per turn (conv_id, turn, role, text) as records."""
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)

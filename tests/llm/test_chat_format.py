@@ -57,3 +57,11 @@ def test_digests(spark):
         assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_chars"]) == (len(own), want, len(said))
         assert got[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert digests(spark, []) == {}
+
+
+def test_unknown_layouts_are_listed(spark):
+    rows = [(1, 0, '{"role":"user","text":"a"}'), (1, 1, '{"odd":{"x":[1]}}'), (2, 0, None), (3, 0, "no json")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, record string")
+    assert [r["conv_id"] for r in C.format_conversations(frame).collect()] == [1]
+    got = {(r["conv_id"], r["turn"]): r["fingerprint"] for r in C.unknown_records(frame).collect()}
+    assert set(got) == {(1, 1), (2, 0), (3, 0)} and len(got[1, 1]) == 16 and got[2, 0] is None
