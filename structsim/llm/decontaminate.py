@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.wordhash import chain, range_hashes, text_slices
+from structsim.llm.workspace import small_batches
 
 LEAST_SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
@@ -238,6 +239,7 @@ def _shards(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text) and item (item_id, text) that it contains: doc_id, item_id, score, question_overlap, answer_overlap."""
+    small_batches(docs.sparkSession)
     out = None
     for items in _shards(benchmark, shard_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items))
@@ -279,6 +281,7 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, least: float,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; the columns stay as they are."""
+    small_batches(docs.sparkSession)
     for items in _shards(benchmark, SHARD_BYTES):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 

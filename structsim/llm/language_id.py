@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.wordhash import text_slices
+from structsim.llm.workspace import small_batches
 
 WINDOW, PER_LANGUAGE, PER_TEXT = 256, 500, 4
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
@@ -207,6 +208,7 @@ def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Dat
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a language of chance ``least`` or more; the columns stay as they are."""
+    small_batches(docs.sparkSession)
     net = fit(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from structsim.llm.components import connected_components
 from structsim.llm.wordhash import chain, give_back, mix, text_slices, words
-from structsim.llm.workspace import new_folder, written
+from structsim.llm.workspace import new_folder, small_batches, written
 
 WORDS, PERCENT, CELL = 3, 90, 512
 #: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
@@ -382,6 +382,7 @@ def _ids_of_many_sets(made: DataFrame, classes: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, cell_size: int = CELL) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    small_batches(docs.sparkSession)
     folder = new_folder(docs.sparkSession, "ngram-join")
     rows = docs.select("doc_id", "text")
     scanned = written(rows.mapInArrow(lambda it: _set_batches(it, n), SETS), folder, "sets")

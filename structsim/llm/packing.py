@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.tokens import END_ID, default_tokenizer, encoded_slices
-from structsim.llm.workspace import new_folder, written
+from structsim.llm.workspace import new_folder, small_batches, written
 
 CAPACITY = 1024
 GROUP_ITEMS = 65_536
@@ -51,6 +51,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, ca
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of each document of (doc_id, text): doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     schema = PIECES + (", ids binary" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(lambda it: _piece_batches(it, path, end_id, capacity, with_ids), schema)

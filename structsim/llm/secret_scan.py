@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.wordhash import give_back
+from structsim.llm.workspace import small_batches
 
 KINDS = ("assign", "access", "hex")
 DEEP, PIECE, OVERLAP, MOST_INFLATED = 8, 16_000_000, 1_000_000, 1_000_000_000
@@ -337,6 +338,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
             spans = pa.array([_joined(every) for _, every, _ in found], pa.string())
             yield pa.record_batch([part.column(0), *counts, sums, spans, pa.array([not left for _, _, left in found], pa.bool_())], names=names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, complete boolean"
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
@@ -367,6 +369,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = pa.array([redacted(t.as_py(), mark) for t in part.column(at)], part.schema.field(at).type)
             yield part.set_column(at, part.schema.field(at), texts)
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(rows, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

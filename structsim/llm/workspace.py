@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch of rows that goes to a Python worker, at most (but for a single row).
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, as texts can be long; workers and executors hold several at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
