@@ -117,7 +117,7 @@ def similar_cross_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(J.similar_pairs(*A.supplier_bags(spark, sf_dir), SUPPLIER_THRESHOLD, "cross_family"))
 
 
-LANGUAGE_PAIRS = (("NATION_1", "NATION_2"), ("NATION_3", "NATION_3"), ("NATION_4", "NATION_1"))
+LANGUAGE_PAIRS = (("NATION_21", "NATION_9"), ("NATION_11", "NATION_11"), ("NATION_4", "NATION_2"), ("NATION_0", "NATION_6"), ("NATION_9", "NATION_9"))
 _IN_PAIRS = " or ".join(f"(least(l.language, r.language) = '{min(p)}' and greatest(l.language, r.language) = '{max(p)}')" for p in LANGUAGE_PAIRS)
 
 

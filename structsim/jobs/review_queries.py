@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structsim.jobs.queries import DOC_THRESHOLD, SQL_DOC_BAGS, SQL_GROUPS, _document_pairs, _PLACES, query, sql_pairs
+from structsim.jobs.queries import DOC_THRESHOLD, SQL_DOC_BAGS, SQL_GROUPS, _document_pairs, _document_profiles, _PLACES, query, sql_pairs
 from structsim.operators import baseline as B
 from structsim.operators import evaluate as E
+from structsim.operators import explain as X
 from structsim.operators import focus as C
 from structsim.operators import groups as G
+from structsim.operators import report as R
+from structsim.operators import simjoin as J
 from structsim.sources import adapters as A
 from structsim.sources.storage import stored
 
@@ -109,7 +112,7 @@ def focused_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.mark_focused(clicks, paths, spans).select("fragment_id", "path", "focused")
 
 
-@query("""with req as (select source || '/' || lang || '/doc_' || (doc_id + 40) || '.txt' as path, doc_id % 11 = 0 as deleted from documents where doc_id % 3 = 0),
+@query("""with req as (select source || '/' || lang || '/doc_' || (doc_id + 40) || '.txt' as path, doc_id % 11 = 0 as deleted from documents),
 files as (select source || '/' || lang || '/doc_' || doc_id || '.txt' as path, length(text) as n from documents),
 r as (select path, bool_or(deleted) as deleted from req group by path),
 s as (select r.path, case when deleted then 'deleted' when n <= 4000 then 'analyzed' when n > 4000 then 'skipped_resource' when path like 'src1%' then 'unsupported' else 'not_discovered' end as status from r left join files using (path))
@@ -117,7 +120,7 @@ select path, status, case when status = 'skipped_resource' then 'resource_limit'
 def focus_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of requested paths."""
     docs = A.read(spark, sf_dir, "documents")
-    asked = docs.where("doc_id % 3 = 0").select(F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), (F.col("doc_id") + 40).cast("string"), F.lit(".txt"))).alias("path"), (F.col("doc_id") % 11 == 0).alias("deleted"))
+    asked = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), (F.col("doc_id") + 40).cast("string"), F.lit(".txt"))).alias("path"), (F.col("doc_id") % 11 == 0).alias("deleted"))
     files = docs.select(A.document_path().alias("path"), F.length("text").alias("n"))
     left_out = files.where("n > 4000").select("path", F.lit("skipped_resource").alias("status"), F.lit("resource_limit").alias("reason"))
     return C.focus_evidence(asked, files.where("n <= 4000"), left_out, ~F.col("path").startswith("src1"))
@@ -172,3 +175,27 @@ count(*) filter (classification = 'false-positive') as false_positives, (count(*
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and actionability."""
     return E.metrics(_results(spark, sf_dir))
+
+
+@query(f"""{_CURRENT}, top as (select path from (select left_path as path from places union all select right_path from places) group by path order by count(*) desc, path limit 1),
+sides as (select distinct group_id, left_key as k, left_path as path from places union select distinct group_id, right_key, right_path from places),
+here as (select group_id, k from sides semi join top using (path))
+select h.group_id, h.k as location_key, coalesce((select string_agg(s.k, ',' order by s.k) from sides s where s.group_id = h.group_id and s.k <> h.k), '') as related from here h""")
+def path_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a path has in common with others, for the path with the most places."""
+    _, places = _current(spark, sf_dir, "content")
+    both = places.select("group_id", F.explode(F.array(*[F.struct(F.col(f"{a}_key").alias("location_key"), F.col(f"{a}_path").alias("path")) for a in ("left", "right")])).alias("s")).select("group_id", "s.*")
+    path = both.groupBy("path").count().orderBy(F.col("count").desc(), "path").first()["path"]
+    return X.findings_for_path(both.distinct(), path).select("group_id", "location_key", F.array_join("related", ",").alias("related"))
+
+
+@query(f"""{_CURRENT}, r as (select group_id, score, location_pairs, row_number() over (order by score desc, min_fc desc, location_pairs desc, group_id) as rank from groups),
+sides as (select distinct group_id, left_key as k from places union select distinct group_id, right_key from places),
+n as (select *, row_number() over (partition by group_id order by k) as nth from sides)
+select rank::int as rank, printf('%d. %.2f%% %s %d pairs: %s', rank, score * 100, substr(group_id, 1, 12), location_pairs, string_agg(k, ', ' order by nth) filter (nth <= 3)) as line
+from r join n using (group_id) where rank <= 100 group by rank, score, group_id, location_pairs""")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report of at most 100 groups."""
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    ranked = G.top_groups(G.group_counts(similar, profs), 100)
+    return R.report_lines(ranked, G.occurrences(G.counted_members(similar, J.members(fragments, profs, "all")), fragments))

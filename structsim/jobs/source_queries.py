@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structsim.functions import names as N
 from structsim.jobs.queries import query
 from structsim.jobs.scan import Scan, scan
+from structsim.operators import baseline as L
 from structsim.operators import features as X
 from structsim.operators import report as R
 from structsim.options import Options
@@ -25,7 +26,7 @@ _PAGES = "p as (select page_id, regexp_replace(url, '^https?://|[?#].*$', '', 'g
 @query(f"""with {_PAGES} select page_id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as dir, lower(regexp_extract(string_split(path, '/')[-1], '([.][^.]*)$', 1)) as ext,
 regexp_matches(path, '^(?:[^/]+/)*[^/]*[.]org(?:/.*)?$') as is_org, len(list_filter(string_split(path, '/')[:-2], lambda x: lower(x) in ('build', 'fr', 'vendor'))) > 0 as in_excluded from p""")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories, extensions, globs and excluded directories of page paths."""
+    """Directories, extensions, globs and excluded directories of page paths."""
     pages = _page_paths(spark, sf_dir)
     return pages.select("page_id", N.parent_dir("path").alias("dir"), N.extension("path").alias("ext"), N.glob_match("**/*.org/**", "path").alias("is_org"), D.in_excluded_directory("path", ("build", "fr", "vendor")).alias("in_excluded"))
 
@@ -48,24 +49,28 @@ def redacted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redact_paths(_page_paths(spark, sf_dir))
 
 
-_LINES = """lines as (select doc_id, pos, (select coalesce(sum(length(x) + 1), 0) from (select unnest(ls[:pos - 1]) as x))::bigint as start_byte, ls[pos] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as pos from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null)))"""
-
-
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents as statements; a line begins after all that is before it."""
     docs = A.read(spark, sf_dir, "documents").where("text is not null")
-    lines = F.split("text", "\n")
-    starts = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda k: F.struct(k.alias("pos"), F.element_at(lines, k).alias("line"), (k - 1 + F.length(F.array_join(F.slice(lines, 1, k - 1), ""))).alias("start_byte")))
-    rows = docs.select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.*")
-    return rows.select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("function"), F.lit(0).alias("container"), "pos", "start_byte", (F.col("start_byte") + F.length("line")).alias("end_byte"), F.col("pos").alias("start_line"), F.col("pos").alias("end_line"), "line", F.col("doc_id").alias("fragment_id"))
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+    rows = rows.withColumn("start_byte", start).withColumn("pos", F.col("pos") + 1)
+    line = [F.col("pos").alias("start_line"), F.col("pos").alias("end_line")]
+    head = [F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("function"), F.lit(0).alias("container")]
+    return rows.select(*head, "pos", "start_byte", (F.col("start_byte") + F.length("line")).alias("end_byte"), *line, "line", F.col("doc_id").alias("fragment_id"))
 
 
 @query("""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null), w as (select doc_id, ls, unnest(range(1, len(ls) - 1)) as a from l where len(ls) >= 3),
 n as (select doc_id, count(*) as n_blocks from w group by doc_id)
-select w.doc_id::varchar as path, a::int as start_line, (a + 2)::int as end_line, 'block@' || a || '-' || (a + 2) as name from w join n using (doc_id) where n_blocks <= 64""")
+select w.doc_id::varchar as path, a::int as start_line, (a + 2)::int as end_line, 'block@' || a || '-' || (a + 2) as name, null::bigint as left_out from w join n using (doc_id) where n_blocks <= 64
+union all select doc_id::varchar, null, null, null, n_blocks from n where n_blocks > 64""")
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """windows of three lines; documents with more than 64 have none."""
-    blocks, _ = X.statement_windows(_statements(spark, sf_dir), 3, 64)
-    return blocks.select("path", "start_line", "end_line", "name")
+    """windows of three lines; documents with more than 64 have none and are told with their number."""
+    blocks, over = X.statement_windows(_statements(spark, sf_dir), 3, 64)
+    kept = blocks.select("path", "start_line", "end_line", "name", F.lit(None).cast("long").alias("left_out"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"), ("name", "string"))]
+    return kept.unionByName(over.select("path", *none, F.col("n_blocks").alias("left_out")))
 
 
 @query("""with t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n from conversations)
@@ -128,3 +133,33 @@ def scanned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan's totals before any cut."""
     totals = _scanned(spark, sf_dir).totals.withColumn("files", F.col("files").cast("long")).withColumn("location_pairs", F.col("location_pairs").cast("long"))
     return totals.select("files", "fragments", "candidate_pairs", "location_pairs", "total_groups", "truncated")
+
+
+@query(f"""with {_PAGES}, q as (select page_id, path, string_split(path, '/') as s from p)
+select page_id, regexp_matches(path, '[.]html$') or len(list_filter(range(1, len(s)), lambda k: s[k] in ('fr', 'a') or (k = 1 and s[k] = 'example.org'))) > 0 or path = 'example.org' as excluded from q""")
+def excluded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that an exclude glob matches by path, name or a directory above."""
+    return _page_paths(spark, sf_dir).select("page_id", D.excluded_by(("*.html", "fr", "[a]", "example.org")).alias("excluded"))
+
+
+@query(r"""select doc_id, case when regexp_matches(lang, '^[de]') then 'query@' || doc_id when trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) = '' then 'anonymous@' || doc_id
+  when length(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g'))) > 80 then substr(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')), 1, 77) || '...'
+  else trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) end as name, substr(sha256(text), 1, 12) as short, least(length(text), 500)::double / greatest(length(text), 500) as bound
+from documents where text is not null and length(text) > 0""")
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned and fallback names, short digests and size bounds of documents."""
+    docs = A.read(spark, sf_dir, "documents").where("text is not null and length(text) > 0")
+    kind = F.when(F.col("lang").rlike("^[de]"), "query").otherwise("function")
+    said = F.when(kind == "function", F.split_part("text", F.lit("."), F.lit(1)))
+    return docs.select(
+        "doc_id", N.fallback_name(said, "doc_id", kind).alias("name"), N.short_digest(F.sha2(F.col("text").cast("binary"), 256)).alias("short"),
+        N.size_upper_bound(F.length("text"), F.lit(500)).alias("bound"),
+    )
+
+
+@query("""with w as (select page_id, url, case when page_id % 5 = 0 then '' when page_id % 3 = 0 then 'parse' else 'size' end as kind from pages)
+select case when kind = '' then 'other' else kind end as kind, count(*) as n from w where kind <> 'size' group by 1""")
+def blocking_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings by kind, but for the allowed ones."""
+    kind = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 3 == 0, "parse").otherwise("size")
+    return L.warnings_by_kind(A.read(spark, sf_dir, "pages").select(kind.alias("kind")), ("size",))

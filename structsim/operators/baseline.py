@@ -225,9 +225,3 @@ def migrated(entries: DataFrame, meta: Mapping[str, object], profile: Mapping[st
     kept = dict(meta) | {"profile_digest": profile_digest(profile), "threshold": threshold}
     validate(entries, kept, kept, scope)
     return entries, kept
-
-
-def latest(entries: DataFrame, scope: str, order: Column) -> DataFrame:
-    """One entry per key, the last by ``order``."""
-    w = Window.partitionBy(entry_key(scope)).orderBy(order.desc())
-    return entries.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -128,6 +128,12 @@ def focus_evidence(requested: DataFrame, files: DataFrame, excluded: DataFrame,
     return out.select("path", "status", F.when(F.col("status") == F.col("out_status"), F.col("out_reason")).alias("reason"), required.alias("required"), (required & (F.col("status") == "analyzed")).alias("covered"))
 
 
+def focus_totals(evidence: DataFrame) -> DataFrame:
+    """One row: requested, required and covered paths of ``focus_evidence``."""
+    n = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
+    return evidence.agg(F.count("*").alias("requested"), n("required"), n("covered"))
+
+
 def assign_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Each file with the longest root (a directory prefix) that holds it; roots are few and checked before.
 

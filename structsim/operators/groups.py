@@ -173,8 +173,10 @@ def report_totals(files: int, fragments: DataFrame, candidate_pairs: DataFrame,
 
 
 def fragment_order() -> list[Column]:
+    """The order of fragments in a report."""
     return [location_key("path", "start_line", "end_line", "language", "name")]
 
 
 def warning_order() -> list[Column]:
+    """The order of warnings in a report."""
     return [F.col("path"), F.col("message")]

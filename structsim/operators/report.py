@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structsim.functions.names import path_uri, short_digest, terminal_safe
+from structsim.sources.storage import stored
 
 AGENT_GROUPS, AGENT_WARNINGS = 25, 20
 
@@ -50,9 +51,10 @@ def report_json(totals: DataFrame, groups: DataFrame, schema_version: int) -> Da
 def redact_paths(paths: DataFrame) -> DataFrame:
     """(path, redacted) of all distinct paths: ``<path-NNN>`` by sorted order, with an extension of up to 16 characters.
 
-    Numbers come from a range sort and the counts of its partitions, so no task holds all paths.
+    Numbers come from a range sort, written once, and the counts of its partitions, so no task holds all paths.
     """
-    sorted_ = paths.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").withColumn("_id", F.monotonically_increasing_id())
+    sorted_ = paths.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path")
+    sorted_ = stored(sorted_.withColumn("_id", F.monotonically_increasing_id()), "sorted-paths")
     part = sorted_.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id") - F.shiftleft(F.shiftright("_id", 33), 33))
     counts = part.groupBy("_part").agg(F.count("*").alias("n"))
     # One row per partition: bounded by the number of tasks.

@@ -274,10 +274,21 @@ def fragment_bags(
 
 
 def parse_diagnostics(nodes: DataFrame, limit: int = 5) -> DataFrame:
-    """(path, total, first) of files with error or missing nodes: how many, and the first ones in document order."""
-    bad = nodes.where("is_error or is_missing")
+    """(path, total, first) of files with error or missing nodes: how many, and the first ones in document order.
+
+    Nodes may have a column ``has_error`` (of the node or of something below it): of a file that has such nodes only, the
+    narrowest one, the first of equal ones, is its one diagnostic.
+    """
     at = F.struct("start_byte", "node_id", F.col("kind").alias("node_kind"), "start_line")
-    return bad.groupBy("path").agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_list(at)), 1, limit).alias("first"))
+    bad = F.col("is_error") | F.col("is_missing")
+    first = F.slice(F.array_sort(F.collect_list(F.when(bad, at))), 1, limit)
+    counts = [F.count(F.when(bad, 1)).alias("total"), first.alias("first")]
+    if "has_error" not in nodes.columns:
+        return nodes.where(bad).groupBy("path").agg(*counts)
+    narrowest = F.min_by(at, F.struct(F.col("end_byte") - F.col("start_byte"), F.col("node_id")))
+    found = nodes.where(bad | F.col("has_error")).groupBy("path").agg(*counts, narrowest.alias("narrowest"))
+    none = F.col("total") == 0
+    return found.select("path", F.when(none, 1).otherwise(F.col("total")).cast("long").alias("total"), F.when(none, F.array("narrowest")).otherwise(F.col("first")).alias("first"))
 
 
 def annotate_nesting(fragments: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def parse_ignore_rules(ignore_files: DataFrame) -> DataFrame:
 
 
 def ignore_evidence(ignore_files: DataFrame) -> DataFrame:
-    """(path, digest) of the ignore files that count."""
-    return ignore_files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    """(path, digest: SHA-256) of the ignore files that were read (path, content), in the order of their paths."""
+    return ignore_files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest")).orderBy("path")
 
 
 def split_by_size(files: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +97,7 @@ GENERATED_MARKERS = (
     ("auto-generated.*do not edit|do not edit.*auto-generated", "auto-generated-do-not-edit"),
     ("@generated", "at-generated"),
 )
-HEADER_CHARS = 8192
+HEADER_BYTES = 8192
 _COMMENT = r"(?m)(^[ \t]*(?:/\*(?s:.*?)(?:\*/|\z)|(?://|#|--|<!--)[^\n]*))"
 
 
@@ -106,7 +106,8 @@ def generated_marker(content: Column | str) -> Column:
 
     Line comments and block comments that begin a line count, code does not.
     """
-    text = F.substring(F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit("")), 1, HEADER_CHARS)
+    whole = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
+    text = F.substring(whole.cast("binary"), 1, HEADER_BYTES).cast("string")
     lines = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_COMMENT), F.lit(1)), lambda c: F.split(c, "\n")))
     said = F.transform(lines, lambda x: F.lower(F.trim(F.regexp_replace(x, r"^[ \t]*(?:/\*|//|#|--|<!--|\*)?|\*/.*$|\r$", ""))))
     marked = F.transform(said, lambda x: F.coalesce(*[F.when(x.rlike(rx), name) for rx, name in GENERATED_MARKERS]))

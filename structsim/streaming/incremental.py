@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from structsim.operators import bags as B
 from structsim.operators import simjoin as J
+from structsim.sources.storage import stored
 
 
 def newest(changes: DataFrame) -> DataFrame:
@@ -16,29 +19,75 @@ def newest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by(rest, "version").alias("r")).select("path", "r.*")
 
 
-def findings(changed: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
+@dataclass
+class CorpusIndex:
+    """What batches are matched with, stored once: the corpus's bags, sizes and prefixes, and how rare its features are."""
+
+    threshold: float
+    bags: DataFrame  # path, feature, cnt
+    sizes: DataFrame  # path, fc
+    rarity: DataFrame  # feature, df
+    prefixes: DataFrame  # path, fc, feature, before
+
+
+def _prefixes(bags: DataFrame, sizes: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """(path, fc, feature, before) of the features, rarest in the corpus first, that a partner must share one of."""
+    order = Window.partitionBy("path").orderBy("df", "feature")
+    before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = bags.join(rarity, "feature", "left").na.fill(0, ["df"]).join(sizes, "path").withColumn("before", before)
+    spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
+    return full.where(F.col("before") <= spare).select("path", "fc", "feature", "before")
+
+
+def _bags(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = B.word_bags(files, "path").withColumnRenamed("fragment_id", "path")
+    return own, own.groupBy("path").agg(F.sum("cnt").alias("fc"))
+
+
+def build_index(corpus: DataFrame, threshold: float) -> CorpusIndex:
+    """The index of a corpus (path, text), for one threshold."""
+    own, sizes = _bags(corpus)
+    own = stored(own, "corpus-bags")
+    sizes = stored(own.groupBy("path").agg(F.sum("cnt").alias("fc")), "corpus-sizes")
+    rarity = stored(own.groupBy("feature").agg(F.count("*").alias("df")), "corpus-rarity")
+    return CorpusIndex(threshold, own, sizes, rarity, stored(_prefixes(own, sizes, rarity, threshold), "corpus-prefixes"))
+
+
+def findings(changed: DataFrame, index: CorpusIndex) -> DataFrame:
     """(path, version, other_path, score) of changed files (path, version, text) against all others.
 
-    Changed files replace their old version in the corpus (path, text) and are the focus: only their pairs are scored.
+    Changed files replace their old version in the corpus and are the focus: only they are read and only their pairs are
+    scored. Features that the corpus does not have count as its rarest, so one order holds for both sides.
     """
-    stays = corpus.join(changed.select("path"), "path", "left_anti").select("path", "text", F.lit(None).cast("long").alias("version"), F.lit(False).alias("focused"))
-    now = stays.unionByName(changed.select("path", "text", F.col("version").cast("long").alias("version"), F.lit(True).alias("focused"))).withColumn("fragment_id", F.col("path"))
-    own = B.word_bags(now)
-    named = now.drop("text").join(B.fingerprints(own), "fragment_id").withColumn("domain", F.lit("text")).withColumn("kind", F.lit("document")).withColumn("family", F.lit("")).withColumn("language", F.lit(""))
-    pairs = J.similar_pairs(named, own, threshold, focused_only=True)
-    sides = F.explode(F.array(F.struct(F.col("left_id").alias("p"), F.col("right_id").alias("o")), F.struct(F.col("right_id").alias("p"), F.col("left_id").alias("o")))).alias("s")
-    return pairs.select(sides, "score").select(F.col("s.p").alias("path"), F.col("s.o").alias("other_path"), "score").join(changed.select("path", "version"), "path").select("path", "version", "other_path", "score")
+    t = index.threshold
+    own, sizes = _bags(changed)
+    own = stored(own, "changed-bags")
+    sizes = own.groupBy("path").agg(F.sum("cnt").alias("fc"))
+    pre = stored(_prefixes(own, sizes, index.rarity, t), "changed-prefixes")
+    gone = changed.select("path")
+    others = index.prefixes.join(gone, "path", "left_anti").unionByName(pre)
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("l.fc") + F.col("r.fc")) - F.lit(1e-6))
+    left = F.least(F.col("l.fc") - F.col("l.before"), F.col("r.fc") - F.col("r.before"))
+    near = F.least("l.fc", "r.fc").cast("double") / F.greatest("l.fc", "r.fc") >= t
+    on = (F.col("l.feature") == F.col("r.feature")) & (F.col("l.path") != F.col("r.path")) & near & (left >= need)
+    sides = [F.col(f"{a}.{b}").alias(f"{a}_{c}") for b, c in (("path", "id"), ("fc", "fc")) for a in ("l", "r")]
+    met = pre.alias("l").join(others.alias("r"), on).select(*sides).distinct()
+    bags = index.bags.join(gone, "path", "left_anti").unionByName(own).withColumnRenamed("path", "profile_id")
+    scored = J.weighted_jaccard(met, bags, t)
+    return scored.select(F.col("l_id").alias("path"), F.col("r_id").alias("other_path"), "score").join(changed.select("path", "version"), "path").select("path", "version", "other_path", "score")
 
 
 def incremental_scan(stream: DataFrame, corpus: DataFrame, threshold: float, sink: str, checkpoint: str) -> StreamingQuery:
     """Appends the findings of every micro-batch to ``sink``, each with its ``batch``.
 
-    A batch that runs again after a failure writes its own folder anew, so findings are there once. A result for a
-    version that is no longer the newest can be told by ``version``; ``current_findings`` leaves those out.
+    The corpus is indexed once, when the stream starts. A batch that runs again after a failure writes its own folder anew,
+    so findings are there once. A result for a version that is no longer the newest can be told by ``version``;
+    ``current_findings`` leaves those out.
     """
+    index = build_index(corpus, threshold)
 
     def score(batch: DataFrame, number: int) -> None:
-        findings(newest(batch), corpus, threshold).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        findings(stored(newest(batch), "batch"), index).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).start()
 

@@ -1,5 +1,7 @@
 """Discovery on small made-up trees."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,14 @@ def test_coverage(spark):
     assert [r["gate"] for r in D.coverage_gates(none, Options(require_coverage=True, min_file_coverage=0.1)).collect()] == ["required_coverage", "file_coverage"]
 
 
+def test_health_and_ignore_evidence(spark):
+    frame = files(spark, ("b", "x"), ("a", "y"))
+    none = frame.limit(0)
+    assert {r["check"]: (r["healthy"], r["n"]) for r in D.health_checks(frame, none).collect()} == {"discovery": (True, 2), "warnings": (True, 0)}
+    assert {r["check"]: (r["healthy"], r["n"]) for r in D.health_checks(none, frame).collect()} == {"discovery": (False, 0), "warnings": (False, 2)}
+    assert [tuple(r) for r in D.ignore_evidence(frame).collect()] == [("a", hashlib.sha256(b"y").hexdigest()), ("b", hashlib.sha256(b"x").hexdigest())]
+
+
 def test_domains_roots_and_selectors(spark):
     frame = spark.createDataFrame([("a/x", "code"), ("ab/x", "sql-query"), ("a", "code")], "path string, domain string")
     assert paths(frame.where(D.in_domains(("code",)))) == ["a", "a/x"] and paths(frame.where(D.in_domains(()))) == ["a", "a/x", "ab/x"]

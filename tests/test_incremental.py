@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from structsim.operators import report as R
 from structsim.streaming import incremental as I
 
@@ -14,6 +17,20 @@ def test_stream_scores_the_newest_version(spark, tmp_path):
     assert sorted((r["path"], r["version"], r["other_path"], r["score"]) for r in got) == [("c", 2, "a", 1.0), ("c", 2, "b", 0.8)]
 
 
+def test_findings_equal_brute_force(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))
+    corpus = {f"p{k}": text() for k in range(40)}
+    changed = {f"p{k}": text() + (" new" if k % 3 else "") for k in range(30, 50)}
+    index = I.build_index(spark.createDataFrame(list(corpus.items()), "path string, text string"), 0.6)
+    got = I.findings(spark.createDataFrame([(p, 1, t) for p, t in changed.items()], "path string, version long, text string"), index).collect()
+    bag = lambda t: Counter(t.split())
+    score = lambda a, b: sum((a & b).values()) / max(1, sum((a | b).values()))
+    now = {**corpus, **changed}
+    want = {(p, o): score(bag(t), bag(u)) for p, t in changed.items() for o, u in now.items() if o != p and score(bag(t), bag(u)) >= 0.6}
+    assert {(r["path"], r["other_path"]): r["score"] for r in got} == want and len(got) == len(want) > 10
+
+
 def test_reports(spark):
     groups = spark.createDataFrame([(1, "g1", 0.9, 2), (2, "g2", 0.8, 1)], "rank int, group_id string, score double, location_pairs long")
     places = spark.createDataFrame([("g1", f"k{n}", f"p {n}", n, n + 1) for n in range(4)] + [("g2", "k9", "p", 1, 2)], "group_id string, location_key string, path string, start_line int, end_line int")

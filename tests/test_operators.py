@@ -203,6 +203,48 @@ def test_receipts(spark):
         L.make_receipt(groups.limit(0), proof)
 
 
+def test_explain_and_findings_of_a_path(spark):
+    groups = spark.createDataFrame([("g1", 0.9), ("g2", 0.8)], "group_id string, score double")
+    assert X.explain(groups, "g2").first()["score"] == 0.8
+    with pytest.raises(LookupError):
+        X.explain(groups, "g3")
+    places = spark.createDataFrame([("g1", "p", "p:1"), ("g1", "q", "q:1"), ("g1", "p", "p:9"), ("g2", "r", "r:1")], "group_id string, path string, location_key string")
+    said = spark.createDataFrame([("p", "w1"), (None, "w2"), ("q", "w3")], "path string, message string")
+    got = [(r["group_id"], r["location_key"], r["related"], r["message"]) for r in X.findings_for_path(places, "p", said).collect()]
+    assert sorted(got, key=str) == sorted([("g1", "p:1", ["p:9", "q:1"], None), ("g1", "p:9", ["p:1", "q:1"], None), (None, "p", [], "w1"), (None, None, [], "w2")], key=str)
+
+
+def test_orders_and_refusals(spark):
+    frags = spark.createDataFrame([("b", 1, 2, "go", "f"), ("a", 10, 11, "go", "f"), ("a", 9, 9, "go", "f")], "path string, start_line int, end_line int, language string, name string")
+    assert [(r["path"], r["start_line"]) for r in frags.orderBy(*G.fragment_order()).collect()] == [("a", 9), ("a", 10), ("b", 1)]
+    said = spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "x")], "path string, message string")
+    assert [tuple(r) for r in said.orderBy(*G.warning_order()).collect()] == [("a", "x"), ("a", "y"), ("b", "x")]
+    L.refuse_truncated(False)
+    with pytest.raises(L.BaselineError):
+        L.refuse_truncated(True)
+    kinds = spark.createDataFrame([("parse",), ("",), (None,), ("size",)], "kind string")
+    assert {r["kind"]: r["n"] for r in L.warnings_by_kind(kinds, ["size"]).collect()} == {"parse": 1, "other": 2}
+
+
+def test_resolved_cases(spark):
+    frags = spark.createDataFrame([(1, "a", "f", 3), (2, "a", "g", 9), (3, "b", "f", 1), (4, "b", "f", 7)], "fragment_id long, path string, name string, start_line int")
+    side = "struct<path:string,name:string,start_line:int>"
+    cases = lambda *rows: spark.createDataFrame(list(rows), f"id string, left {side}, right {side}")
+    got = E.resolve_cases(cases(("c", ("a", "g", None), ("b", None, 7)), ("d", ("a", "f", 3), ("b", "f", 1))), frags).collect()
+    assert {r["id"]: (r["left_id"], r["right_id"]) for r in got} == {"c": (2, 4), "d": (1, 3)}
+    for bad in (("c", ("a", None, None), ("b", None, 7)), ("c", ("z", "f", None), ("b", None, 7))):
+        with pytest.raises(LookupError):
+            E.resolve_cases(cases(bad), frags)
+
+
+def test_focus_totals(spark):
+    asked = spark.createDataFrame([("a", False), ("b", True), ("c", False), ("d.q", False), ("a", False)], "path string, deleted boolean")
+    here = spark.createDataFrame([("a",)], "path string")
+    out = spark.createDataFrame([("c", "skipped_resource", "resource_limit")], "path string, status string, reason string")
+    evidence = C.focus_evidence(asked, here, out, ~F.col("path").endswith(".q"))
+    assert C.focus_totals(evidence).first().asDict() == {"requested": 4, "required": 2, "covered": 1}
+
+
 def test_literal_digests_golden(spark):
     rows = spark.createDataFrame([(1, "a 7 b 42"), (2, None)], "i long, t string")
     got = {r["fragment_id"]: r["literal_digests"] for r in Y.literal_digests(rows, "i", "t", "[0-9]+").collect()}

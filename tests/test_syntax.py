@@ -48,6 +48,10 @@ def test_nesting_diagnostics_and_floor(spark):
     bad = spark.createDataFrame([("q", k, "ERROR", k, k + 1, 1, True, False) for k in range(7)], "path string, node_id long, kind string, start_byte int, end_byte int, start_line int, is_error boolean, is_missing boolean")
     row = S.parse_diagnostics(bad).first()
     assert (row["path"], row["total"], [x["node_id"] for x in row["first"]]) == ("q", 7, [0, 1, 2, 3, 4])
+    flagged = spark.createDataFrame([("r", 0, "program", 0, 9), ("r", 1, "call", 2, 5), ("r", 2, "name", 6, 9)], "path string, node_id long, kind string, start_byte int, end_byte int")
+    flagged = flagged.selectExpr("*", "1 as start_line", "false as is_error", "false as is_missing", "true as has_error")
+    row = S.parse_diagnostics(flagged).first()
+    assert (row["path"], row["total"], [x["node_kind"] for x in row["first"]]) == ("r", 1, ["call"])
     kept, counts = S.drop_invalid(f, bad, 10)
     assert sorted(r["fragment_id"] for r in kept.collect()) == [1, 2, 4]
     assert {r["path"]: (r["below_floor"], r["skipped"]) for r in counts.collect()} == {"p": (1, 0), "q": (0, 1)}
