@@ -46,7 +46,7 @@ from structsim.llm.workspace import new_folder, small_batches, written
 WORDS, PERCENT, CELL = 3, 90, 512
 #: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
 #: places, and how many shingles are taken out at most (eight bytes each are broadcast).
-BUFFER, SEEN, FREQUENT = 1_000_000, 32, 1_000_000
+BUFFER, SEEN, FREQUENT = 500_000, 32, 1_000_000
 #: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
 SENT = 1_000_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, shingle long, times long"
@@ -99,7 +99,7 @@ def size_classes(most: int, percent: int) -> list[SizeClass]:
     out: list[SizeClass] = []
     low = 1
     while not out or out[-1].high < most:
-        high = max(low, low * 5 // 4, 100 * low // percent)
+        high = max(low, low * 8 // 5, 100 * low // percent)
         if not out and percent < 100:  # sizes whose linked sets are equal
             high = max(high, -(-(100 + percent) // (2 * (100 - percent))) - 1)
         apart = 2 * high * (100 - percent) // (100 + percent)
@@ -391,7 +391,9 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ce
 
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(scanned.where("shingle is not null").select("shingle", "times")))
     keys = rows.select("text").mapInArrow(lambda it: _key_batches(it, n, percent, frequent.value), "key long, node long")
-    met = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting_batches, PAIRS).distinct(), folder, "met")
+    # As many partitions as a shuffle has, not fewer, larger ones: each is sorted whole.
+    dealt = keys.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node")
+    met = written(dealt.mapInArrow(_meeting_batches, PAIRS).distinct(), folder, "met")
 
     cells = written(connected_components(met, folder, "cells").select(F.col("node").alias("d1"), F.col("root").alias("cell")), folder, "cells")
     active = written(classes.where("rep is not null").join(cells, "d1").select("d1", "d2", F.col("rep").alias("doc"), "cell"), folder, "active")
