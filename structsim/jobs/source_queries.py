@@ -63,13 +63,13 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null), w as (select doc_id, ls, unnest(range(1, len(ls) - 1)) as a from l where len(ls) >= 3),
 n as (select doc_id, count(*) as n_blocks from w group by doc_id)
-select w.doc_id::varchar as path, a::int as start_line, (a + 2)::int as end_line, 'block@' || a || '-' || (a + 2) as name, null::bigint as left_out from w join n using (doc_id) where n_blocks <= 64
-union all select doc_id::varchar, null, null, null, n_blocks from n where n_blocks > 64""")
+select w.doc_id::varchar as path, a::int as start_line, (a + 2)::int as end_line, 'block@' || a || '-' || (a + 2) as name, 0::bigint as left_out from w join n using (doc_id) where n_blocks <= 64
+union all select doc_id::varchar, 0, 0, '', n_blocks from n where n_blocks > 64""")
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """windows of three lines; documents with more than 64 have none and are told with their number."""
     blocks, over = X.statement_windows(_statements(spark, sf_dir), 3, 64)
-    kept = blocks.select("path", "start_line", "end_line", "name", F.lit(None).cast("long").alias("left_out"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"), ("name", "string"))]
+    kept = blocks.select("path", "start_line", "end_line", "name", F.lit(0).cast("long").alias("left_out"))
+    none = [F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("name")]
     return kept.unionByName(over.select("path", *none, F.col("n_blocks").alias("left_out")))
 
 
