@@ -18,8 +18,8 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
    longest lists aside, merges the other, short ones by a heap, and probes the long lists by binary search for the sets
    found. Each hit is settled by exact counts. Only links between sets not yet connected are looked for, as classes need
    no more.
-4. A cell above ``CELL`` sets is first thinned: its sets are compared with those they met, and only sets outside the
-   cell's largest component found so far search the whole cell, in blocks of ``CELL``.
+4. A cell above ``CELL`` sets is first thinned: each of its sets is compared with two of those it met, and only sets
+   outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``.
 
 Null texts have empty sets. Repeated rows give a row each; rows that share a doc_id count as one document, which is
 linked by any of its texts; those of them with empty sets name their own doc_id. Rows of null doc_id get the component of
@@ -46,7 +46,7 @@ from structsim.llm.workspace import new_folder, small_batches, written
 WORDS, PERCENT, CELL = 3, 90, 512
 #: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
 #: places, and how many shingles are taken out at most (eight bytes each are broadcast).
-BUFFER, SEEN, FREQUENT = 500_000, 32, 1_000_000
+BUFFER, SEEN, FREQUENT = 1_000_000, 32, 1_000_000
 #: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
 SENT = 1_000_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, shingle long, times long"
@@ -428,7 +428,10 @@ def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, ce
 
     left = members.select(F.col("d1").alias("a"), F.col("doc").alias("doc_a"), F.col("set").alias("x"))
     right = members.select(F.col("d1").alias("b"), F.col("doc").alias("doc_b"), F.col("set").alias("y"))
-    both = met.join(left, "a").join(right, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
+    # Two of the sets that each one met are enough to thin a cell, and whole sets are joined for no more pairs than that.
+    few_met = met.join(members.select(F.col("d1").alias("a")).distinct(), "a", "left_semi").groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    few_met = few_met.select("a", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
+    both = few_met.join(left, "a").join(right, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
     sure = written(both.mapInArrow(check, PAIRS), folder, "sure")
     comps = connected_components(sure, folder, "thinned").withColumnRenamed("node", "doc")
     known = written(members.join(comps, "doc", "left").select("cell", "n", "doc", F.coalesce("root", "doc").alias("component"), "set"), folder, "known")
