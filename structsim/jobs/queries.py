@@ -280,11 +280,13 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- evidence ---------------------------------------------------------------------------------------------------------
-def _aligned_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with the smaller fingerprint on the left."""
-    turn = F.col("left_fingerprint") > F.col("right_fingerprint")
+def _aligned_profiles(similar: DataFrame, profs: DataFrame) -> DataFrame:
+    """Pairs of similar profiles with the smaller fingerprint on the left; a profile's bag is that of its id's fragment."""
+    side = lambda a: profs.select(F.col("profile_id").alias(f"{a}_id"), F.col("fingerprint").alias(f"{a}_print"))
+    turn = F.col("l_print") > F.col("r_print")
     pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
-    return pairs.select(F.concat_ws("-", "left_id", "right_id").alias("pair_id"), pick("left_id", "right_id").alias("left_id"), pick("right_id", "left_id").alias("right_id"))
+    both = similar.join(side("l"), "l_id").join(side("r"), "r_id")
+    return both.select(F.concat_ws("-", "l_id", "r_id").alias("pair_id"), pick("l_id", "r_id").alias("left_id"), pick("r_id", "l_id").alias("right_id"))
 
 
 @query(f"""with {SQL_DOC_BAGS}, {sql_pairs(DOC_THRESHOLD)},
@@ -297,9 +299,10 @@ s as (select pair_id, coalesce(string_agg(feature || '=' || v, ';' order by n) f
 tot as (select pair_id, sum(least(lc, rc))::bigint as intersection, sum(greatest(lc, rc))::bigint as union_size, sum(lc - least(lc, rc))::bigint as left_total, sum(rc - least(lc, rc))::bigint as right_total from al group by pair_id)
 select pair_id, intersection, union_size, left_total, right_total, shared, left_only, right_only from tot join s using (pair_id)""")
 def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared and one-sided features of every similar pair."""
-    _, bags, pairs = _document_pairs(spark, sf_dir)
-    out = X.structural_evidence(_aligned_pairs(pairs), bags)
+    """Shared and one-sided features of every similar pair, worked out once per pair of profiles."""
+    fragments, bags, profs, similar = _document_profiles(spark, sf_dir)
+    out = stored(X.structural_evidence(_aligned_profiles(similar, profs), bags), "evidence").withColumnRenamed("pair_id", "profiles")
     for c in ("shared", "left_only", "right_only"):
         out = out.withColumn(c, F.array_join(c, ";"))
-    return out.select("pair_id", "intersection", "union_size", "left_total", "right_total", "shared", "left_only", "right_only")
+    pairs = J.listed_pairs(fragments, profs, similar).select(F.concat_ws("-", "left_id", "right_id").alias("pair_id"), F.concat_ws("-", "l_id", "r_id").alias("profiles"))
+    return pairs.join(out, "profiles").select("pair_id", "intersection", "union_size", "left_total", "right_total", "shared", "left_only", "right_only")

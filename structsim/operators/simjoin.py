@@ -175,22 +175,17 @@ def members(fragments: DataFrame, profs: DataFrame, mode: str) -> DataFrame:
     return named.join(ids, equal).drop(*[f"_{c}" for c in key])
 
 
-def similar_pairs(
-    fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False
-) -> DataFrame:
-    """Pairs of fragments that reach the threshold: left_id < right_id (fragment ids), their fingerprints, score, counts.
+def listed_pairs(fragments: DataFrame, profs: DataFrame, similar: DataFrame, mode: str = "all", focused_only: bool = False) -> DataFrame:
+    """Pairs of fragments of similar profiles: left_id < right_id (fragment ids), their fingerprints, score, counts, l_id, r_id.
 
     Overlapping blocks of one path are no pair. With ``focused_only`` one side or both must be ``focused``.
-    This lists every pair; ``group_counts`` in ``groups`` counts them from profiles without listing.
     """
-    profs = stored(profiles(fragments, mode), "profiles")
-    found = stored(similar_profiles(fragments, bags, threshold, mode, language_pairs, focused_only, profs), "similar")
     named = members(fragments, profs, mode)
     columns = ["profile_id", "fragment_id", "fingerprint", "path", "kind", "start_byte", "end_byte", "focused"]
     has = named.select(*[c if c in named.columns else F.lit(False if c == "focused" else None).alias(c) for c in columns])
     left = has.select(*[F.col(c).alias(f"l_{c}") for c in columns])
     right = has.select(*[F.col(c).alias(f"r_{c}") for c in columns])
-    pairs = found.join(left, found.l_id == left.l_profile_id).join(right, found.r_id == right.r_profile_id)
+    pairs = similar.join(left, similar.l_id == left.l_profile_id).join(right, similar.r_id == right.r_profile_id)
     pairs = pairs.where((F.col("l_id") != F.col("r_id")) | (F.col("l_fragment_id") < F.col("r_fragment_id")))
     blocks = (F.col("l_kind") == "block") & (F.col("r_kind") == "block") & (F.col("l_path") == F.col("r_path"))
     overlap = blocks & (F.col("l_start_byte") < F.col("r_end_byte")) & (F.col("r_start_byte") < F.col("l_end_byte"))
@@ -202,10 +197,22 @@ def similar_pairs(
     return pairs.select(
         pick("l_fragment_id", "r_fragment_id").alias("left_id"), pick("r_fragment_id", "l_fragment_id").alias("right_id"),
         pick("l_fingerprint", "r_fingerprint").alias("left_fingerprint"), pick("r_fingerprint", "l_fingerprint").alias("right_fingerprint"),
-        "intersection", "union_size", "score",
+        "intersection", "union_size", "score", "l_id", "r_id",
     )
 
 
+def similar_pairs(
+    fragments: DataFrame, bags: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False
+) -> DataFrame:
+    """Pairs of fragments that reach the threshold, as ``listed_pairs`` gives them, without the profiles' ids.
+
+    This lists every pair; ``group_counts`` in ``groups`` counts them from profiles without listing.
+    """
+    profs = stored(profiles(fragments, mode), "profiles")
+    found = stored(similar_profiles(fragments, bags, threshold, mode, language_pairs, focused_only, profs), "similar")
+    return listed_pairs(fragments, profs, found, mode, focused_only).drop("l_id", "r_id")
+
+
 def candidate_pairs(fragments: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False) -> DataFrame:
     """The exact number of fragment pairs that pass mode, size bound, overlap and focus, as one row ``candidate_pairs``.
 
