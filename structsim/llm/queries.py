@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structsim.llm import chat_format, decontaminate, language_id, ngram_join, packing, quality, secret_scan, token_counts, token_files, vector_search
+from structsim.llm import (
+    chat_format,
+    decontaminate,
+    filter_audit,
+    hard_negatives,
+    language_id,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    token_counts,
+    token_files,
+    topk_search,
+    vector_search,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +76,19 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -73,5 +100,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_vector_search": op10_vector_search,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_top_k": op13_top_k,
+}
+
+_VECTORS = """v as materialized (
+ select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""with {_VECTORS},
+own as materialized (
+ select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, q from v where label is not null
+),
+pairs as materialized (
+ select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+ from own a join own b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+),
+positives as (
+ select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+),
+taken as (
+ select p.anchor_id, p.other_id as positive_id, n.other_id as negative_id, p.score as positive_score,
+  n.score as negative_score,
+  row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id) as rank
+ from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+  and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from taken where rank <= 3""",
+    "op12_filter_audit": """with words as (
+ select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+),
+first as (select coalesce(text, '') as text, min(doc_id) as first_id from documents group by all),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+masks as (
+ select part, (len(words) < 200)::int + 2 * (100 * list_unique(words) < 50 * len(words))::int
+   + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::int
+   + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first_id, false)::int as mask,
+  coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+ from words left join first using (text) left join marks using (doc_id)
+),
+counted as (
+ select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from masks group by all
+),
+letters as (select unnest([0, 1, 2, 3, 4]) as k),
+orders as (
+ select chr(65 + a.k) || chr(65 + b.k) || chr(65 + c.k) || chr(65 + d.k) || chr(65 + e.k) as filter_order,
+  [a.k, b.k, c.k, d.k, e.k] as ks
+ from letters a join letters b on b.k <> a.k join letters c on c.k not in (a.k, b.k)
+  join letters d on d.k not in (a.k, b.k, c.k) join letters e on e.k not in (a.k, b.k, c.k, d.k)
+),
+steps as (
+ select filter_order, step, (1 << ks[step]) as own,
+  list_sum(list_transform(ks[1:step], lambda x: 1 << x))::int - (1 << ks[step]) as before
+ from orders, unnest([1, 2, 3, 4, 5]) as s(step)
+),
+rows as (
+ select part, filter_order, step, own,
+  coalesce(sum(n) filter (mask & (before | own) = 0), 0) as kept,
+  coalesce(sum(n) filter (mask & own > 0 and mask & before = 0), 0) as removed,
+  coalesce(sum(n) filter (mask & own > 0 and mask & before > 0), 0) as redundant,
+  coalesce(sum(n) filter (mask = own), 0) as unique_fails,
+  coalesce(sum(good) filter (mask & own > 0 and mask & before = 0), 0) as good_lost,
+  coalesce(sum(toxic) filter (mask & own > 0 and mask & before = 0), 0) as toxic_lost
+ from counted, steps group by all
+)
+select part, filter_order, step::integer as step, kept::bigint as kept, removed::bigint as removed,
+ redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+ toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, own)::bigint as shapley
+from rows""",
+    "op13_top_k": f"""with {_VECTORS},
+scored as (
+ select a.vec_id as query_id, b.vec_id as vec_id, list_dot_product(a.q, b.q)::bigint as score
+ from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5""",
 }
-ORACLE_SQL: dict[str, str] = {}
