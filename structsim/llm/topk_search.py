@@ -118,8 +118,9 @@ def _searching(dimension: int, k: int, leaf: int):
         best = Best(len(query_ids), k)
         for shard in shards:
             ids, _, points = unpacked(shard, dimension)
-            centres = np.frombuffer(shard["centres"], np.float64).reshape(-1, dimension)
-            search_shard(queries, query_ids, points, ids, centres, np.frombuffer(shard["radii"], np.float64), best, floor, leaf)
+            radii = np.frombuffer(shard["radii"], np.float64)
+            centres = np.frombuffer(shard["centres"], np.float64).reshape(len(radii), dimension)
+            search_shard(queries, query_ids, points, ids, centres, radii, best, floor, leaf)
         row, ids, scores = best.entries()
         yield pa.record_batch([pa.array(query_ids[row]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 

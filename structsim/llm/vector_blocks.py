@@ -78,7 +78,8 @@ def packed(rows: DataFrame, size: int, count: int, extra: Callable[[np.ndarray],
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, own in _runs(batches):
             ids, labels = (own.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "label"))
-            points = own.column("q").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(ids), -1)
+            points = own.column("q").combine_chunks().flatten().to_numpy().astype(np.int64)
+            points = points.reshape(len(ids), len(points) // len(ids))
             order, more = extra(points) if extra else (slice(None), [])
             values = [ids[order].tobytes(), labels[order].tobytes(), points[order].tobytes(), *more]
             columns = [pa.array([block], pa.int32()), *(pa.array([v], pa.binary()) for v in values)]
