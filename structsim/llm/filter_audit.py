@@ -61,9 +61,11 @@ def failures(documents: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     """(row, part, doc_id, A to E, good, toxic): ``text_failures``, repeated texts, and the labels."""
     own = written(text_failures(documents), folder, "texts")
     repeated = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = repeated.where("last > first").select("digest", "first")
+    # stored, as Spark splits hot keys of a join of two shuffled tables only where neither is an aggregate
+    repeated = written(repeated.where("last > first").select("digest", "first"), folder, "repeated")
     marks = [F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(name) for c, name in (("quality", "good"), ("toxic", "toxic"))]
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*marks).where("good or toxic")
+    marked = written(marked, folder, "marked")
     known = own.join(repeated, "digest", "left").join(marked, "doc_id", "left")
     no = F.lit(False)
     return known.select(
