@@ -53,13 +53,26 @@ frags as (select s_suppkey as id, r_name || '/' || n_name || '/s_' || s_suppkey
 
 
 def sql_pairs(threshold: float, where: str = "true") -> str:
-    """Pairs of ``frags`` that reach the threshold, over whole bags: (a, b, inter, uni, score)."""
+    """Pairs of ``frags`` that reach the threshold, over whole bags: (a, b, inter, uni, score).
+
+    Of fragments with equal bags one is compared. Two bags that reach the threshold t share one of the features that
+    stand, rarest first, before the last t of a bag's weight, so only bags that share such a feature are compared.
+    """
     return f"""
-near as (select l.id as a, r.id as b, l.fc as afc, r.fc as bfc, l.fp as afp, r.fp as bfp, l.path as apath, r.path as bpath, l.name as aname, r.name as bname
-  from frags l join frags r on l.id < r.id and least(l.fc, r.fc)::double / greatest(l.fc, r.fc) >= {threshold} and ({where})),
-met as (select a, b, sum(least(x.cnt, y.cnt)) as inter from near join bags x on x.id = a join bags y on y.id = b and y.feature = x.feature group by a, b),
-pairs as (select n.*, inter, afc + bfc - inter as uni, inter::double / (afc + bfc - inter) as score from near n join met using (a, b)
-  where inter::double / (afc + bfc - inter) >= {threshold})"""
+uniq as materialized (select fp, min(id) as rep, any_value(fc) as fc from frags group by fp),
+ubag as materialized (select rep, fc, feature, cnt from uniq join bags on id = rep),
+rarity as (select feature, count(*) as df from ubag group by feature),
+ahead as (select rep, fc, feature, coalesce(sum(cnt) over (partition by rep order by df, feature rows between unbounded preceding and 1 preceding), 0) as before from ubag join rarity using (feature)),
+pre as materialized (select * from ahead where before <= fc - ceil({threshold} * fc - 1e-9)),
+near as materialized (select distinct l.rep as a, r.rep as b, l.fc as afc, r.fc as bfc from pre l join pre r on l.feature = r.feature and l.rep < r.rep
+  and least(l.fc, r.fc)::double / greatest(l.fc, r.fc) >= {threshold}
+  and least(l.fc - l.before, r.fc - r.before) >= ceil({threshold / (1 + threshold)} * (l.fc + r.fc) - 1e-6)),
+met as (select a, b, afc, bfc, sum(least(x.cnt, y.cnt)) as inter from near join ubag x on x.rep = a join ubag y on y.rep = b and y.feature = x.feature group by a, b, afc, bfc),
+likes as materialized (select l.fp as x, r.fp as y, inter, afc + bfc - inter as uni from met join uniq l on l.rep = a join uniq r on r.rep = b where inter::double / (afc + bfc - inter) >= {threshold}
+  union all select fp, fp, fc, fc from uniq),
+pairs as (select l.id as a, r.id as b, l.fc as afc, r.fc as bfc, l.fp as afp, r.fp as bfp, l.path as apath, r.path as bpath, l.name as aname, r.name as bname,
+  inter, uni, inter::double / uni as score
+  from (select x, y, inter, uni from likes union select y, x, inter, uni from likes) join frags l on l.fp = x join frags r on r.fp = y and l.id < r.id where {where})"""
 
 
 SQL_GROUPS = """

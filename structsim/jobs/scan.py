@@ -11,7 +11,8 @@ from structsim.functions.names import fallback_name
 from structsim.operators import bags as B
 from structsim.operators import groups as G
 from structsim.operators import simjoin as J
-from structsim.operators import syntax as S
+from structsim.operators import spans as P
+from structsim.operators import treebags as T
 from structsim.options import Options
 from structsim.sources import discover as D
 from structsim.sources import extract as X
@@ -35,6 +36,7 @@ class Scan:
     similar: DataFrame
     groups: DataFrame
     totals: DataFrame
+    lonely: DataFrame | None = None
 
     def ranked(self, options: Options) -> DataFrame:
         """The groups that are reported, in order."""
@@ -44,7 +46,7 @@ class Scan:
         """The places of the reported groups, so many as are kept."""
         members = J.members(self.fragments, self.profiles, options.mode)
         kept = self.ranked(options).select("group_id")
-        ids = G.counted_members(self.similar, members).join(kept, "group_id", "left_semi")
+        ids = G.counted_members(self.similar, members, self.lonely).join(kept, "group_id", "left_semi")
         return G.occurrences(ids, self.fragments, options.max_occurrences)
 
 
@@ -56,56 +58,70 @@ def selected_files(files: DataFrame, options: Options) -> DataFrame:
     return files.where(chosen).withColumn("status", F.when(large, "skipped_resource").when(marked, "excluded_generated").otherwise("analyzed"))
 
 
-def fragments_of(files: DataFrame, nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Fragments with location, span and facts (``syntax.fragment_bags``) from their boundary nodes."""
-    name = nodes.where("field = 'name'").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.min_by("text", "child_idx").alias("said"))
-    root = nodes.select("path", "node_id", F.col("kind").alias("node_kind"), "start_byte", "end_byte", "start_line", "end_line")
-    out = facts.join(root, ["path", "node_id"]).join(name, ["path", "node_id"], "left").join(files.select("path", "language", "family", "domain", "kind"), "path")
-    whole = F.col("node_kind").isin(*SCRIPTS)
-    named = F.when(whole, F.lit(SCRIPT_NAME)).otherwise(fallback_name("said", "start_line", "kind"))
-    return out.withColumn("name", named).withColumn("kind", F.when(whole, SCRIPT_KIND).otherwise(F.col("kind"))).drop("said", "node_kind", "node_id")
+def located(files: DataFrame, units: DataFrame) -> DataFrame:
+    """Fragments and blocks of ``treebags`` with location, fingerprint and size, from valid units with an id."""
+    whole, block = F.col("node_kind").isin(*SCRIPTS) & (F.col("unit") == "fragment"), F.col("unit") == "block"
+    lines = F.concat(F.lit("block@"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    name = F.when(block, lines).when(whole, F.lit(SCRIPT_NAME)).otherwise(fallback_name("said", "start_line", "kind"))
+    kind = F.when(block, F.lit("block")).when(whole, F.lit(SCRIPT_KIND)).otherwise(F.col("kind"))
+    size = F.aggregate(F.map_values("features"), F.lit(0), lambda total, n: total + n)
+    made = units.join(files.select("path", "language", "family", "domain", "kind"), "path")
+    made = made.withColumn("name", name).withColumn("kind", kind)
+    made = made.withColumn("feature_count", size.cast("long")).withColumn("n_features", F.size("features").cast("long"))
+    return made.withColumn("fingerprint", B.fingerprint_of_map("features")).drop("said", "node_kind", "node_id", "last_id", "unit")
 
 
-def scan(files: DataFrame, options: Options, extractor: str = "python", boundaries: tuple[str, ...] = BOUNDARIES) -> Scan:
+def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python", boundaries: tuple[str, ...] = BOUNDARIES) -> Scan:
     """Scans files (path, content, size, language, family, domain, kind) that one extractor reads.
 
     Too many candidate pairs raise ``TooManyPairs`` before any is scored. With ``focus_active`` the files have a column
-    ``focused``, which their fragments take over.
+    ``focused``, which their fragments take over. With ``statement_blocks`` runs of statements are fragments, too.
     """
     mode = "same_family" if options.same_language_only and options.mode == "all" else options.mode
     options = replace(options, mode=mode)
-    chosen = stored(selected_files(files, options), "files")
-    read = chosen.where("status = 'analyzed'")
-    nodes = stored(X.extract_nodes(read, extractor), "nodes")
-    good = nodes.where("warning is null")
-    diagnostics = S.parse_diagnostics(good).select("path", F.lit("parse").alias("kind"), F.lit("syntax errors").alias("message"), F.col("total").alias("total_diagnostics"))
-    unread = nodes.where("warning is not null").select("path", F.lit("parse").alias("kind"), F.col("warning").alias("message"), F.lit(1).cast("long").alias("total_diagnostics"))
-
-    rows = stored(S.walked_nodes(good, (*boundaries, *SCRIPTS)), "walked")
-    bags, facts = S.fragment_bags(good, (*boundaries, *SCRIPTS), rows=rows)
-    every = stored(fragments_of(read, good, facts), "facts")
-    kept, dropped = S.drop_invalid(every, good, options.min_tokens)
-    dropped = stored(dropped, "dropped")
+    selected = selected_files(files, options)
+    # contents are read once for the status and once for the units, and not written
+    chosen = stored(selected.drop("content"), "files")
+    read = selected.where("status = 'analyzed'")
+    size, most = (options.block_statements, options.max_blocks_per_function) if options.statement_blocks else (0, 0)
+    nodes = X.extract_nodes(read, extractor)
+    units = stored(T.with_id(T.streamed_units(nodes, boundaries, SCRIPTS, size, most)), "units")
+
+    own = units.where("unit = 'fragment'")
+    small = F.col("token_count") < options.min_tokens
+    low = F.count(F.when(~F.col("invalid") & small, 1)).alias("below_floor")
+    dropped = own.groupBy("path").agg(low, F.count(F.when(F.col("invalid"), 1)).alias("skipped"))
     skipped = dropped.select("path", F.col("skipped").alias("skipped_fragments"))
-    warnings = diagnostics.unionByName(unread).join(skipped, "path", "left").na.fill(0, ["skipped_fragments"])
-    warnings = stored(warnings, "warnings")
-
-    bags = stored(bags.join(kept.select("fragment_id"), "fragment_id", "left_semi"), "bags")
-    found = kept.join(B.fingerprints(bags), "fragment_id")
+    message = F.coalesce("warning", F.lit("syntax errors")).alias("message")
+    parse = units.where("unit = 'file'").select("path", F.lit("parse").alias("kind"), message, F.col("total").alias("total_diagnostics"))
+    parse = parse.join(skipped, "path", "left")
+    no = F.lit(0).cast("long")
+    said = F.format_string("%s at line %d has more than %d windows of statements", F.coalesce("said", F.lit("a function")), "start_line", F.lit(most))
+    over = units.where("unit = 'left_out'").select("path", F.lit("coverage").alias("kind"), said.alias("message"), no.alias("total_diagnostics"), no.alias("skipped_fragments"))
+    warnings = stored(parse.na.fill(0, ["skipped_fragments"]).unionByName(over), "warnings")
+
+    kept = units.where((F.col("unit") == "block") | (F.col("unit") == "fragment")).where(~F.col("invalid") & ~small)
+    found = located(chosen, kept).drop("invalid", "total", "warning")
     if options.focus_active:
         found = found.join(chosen.select("path", "focused"), "path")
-    fragments = stored(S.annotate_nesting(found), "fragments")
-    J.check_pair_limit(fragments, options.threshold, options.max_pairs, mode, options.language_pairs, options.focused_only)
+    found = stored(found, "fragments")
+    bags = found.select("fragment_id", F.explode("features").alias("feature", "cnt"))
+    fragments = stored(P.annotate_nesting(found.drop("features")), "nested")
+    pairs = J.check_pair_limit(fragments, options.threshold, options.max_pairs, mode, options.language_pairs, options.focused_only)
     profs = stored(J.profiles(fragments, mode), "profiles")
     similar = stored(J.similar_profiles(fragments, bags, options.threshold, mode, options.language_pairs, options.focused_only, profs), "similar")
     members = J.members(fragments, profs, mode)
+    lonely = None
+    if options.statement_blocks:
+        members = stored(members, "members")
+        similar, lonely = (stored(t, n) for t, n in zip(G.without_overlaps(similar, profs, members), ("similar", "lonely"), strict=True))
     flags = G.profile_flags(similar, members, options.priority_paths)
     groups = G.review_priority(G.group_counts(similar, profs), flags, options.priority_paths)
     if options.focus_active:
-        counts = G.focused_counts(G.counted_members(similar, members), fragments)
+        counts = G.focused_counts(G.counted_members(similar, members, lonely), fragments)
         groups = groups.join(counts, "group_id", "left").na.fill(0, ["focused_count"])
     groups = stored(groups, "groups")
     coverage = stored(D.file_coverage(chosen, fragments, dropped, warnings), "coverage")
-    candidates = J.candidate_pairs(fragments, options.threshold, mode, options.language_pairs, options.focused_only)
-    totals = G.report_totals(read.count(), fragments, candidates, groups, options.max_groups)
-    return Scan(coverage, warnings, fragments, bags, profs, similar, groups, totals)
+    candidates = chosen.sparkSession.range(1).select(F.lit(pairs).alias("candidate_pairs"))
+    totals = G.report_totals(chosen.where("status = 'analyzed'").count(), fragments, candidates, groups, options.max_groups)
+    return Scan(coverage, warnings, fragments, bags, profs, similar, groups, totals, lonely)

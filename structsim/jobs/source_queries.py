@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structsim.functions import names as N
-from structsim.jobs.queries import query
+from structsim.jobs.queries import query, sql_pairs
 from structsim.jobs.scan import Scan, scan
+from structsim.operators import bags as B
 from structsim.operators import baseline as L
 from structsim.operators import features as X
+from structsim.operators import groups as G
 from structsim.operators import report as R
+from structsim.operators import simjoin as J
 from structsim.options import Options
 from structsim.sources import adapters as A
 from structsim.sources import discover as D
+from structsim.sources.storage import stored
 
 
 def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,39 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(over.select("path", *none, F.col("n_blocks").alias("left_out")))
 
 
+BLOCK_THRESHOLD = 0.75
+
+
+@query(rf"""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as materialized (select doc_id, k, ls[k] as line, length(ls[k]) as n, sum(length(ls[k]) + 1) over (partition by doc_id order by k) - length(ls[k]) - 1 as start
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from l)),
+few as (select doc_id from lines group by doc_id having count(*) between 3 and 66),
+blocks as materialized (select x.doc_id, x.k as first, x.start as s, z.start + z.n as e from lines x join lines z on z.doc_id = x.doc_id and z.k = x.k + 2 semi join few on few.doc_id = x.doc_id),
+words as (select doc_id, k, 'word:' || w as feature from (select doc_id, k, unnest(regexp_split_to_array(lower(line), '[ 	
+]+')) as w from lines) where w <> ''),
+bags as materialized (select b.doc_id || '#' || first as id, feature, count(*)::int as cnt from blocks b join words w on w.doc_id = b.doc_id and w.k between first and first + 2 group by all
+  union all select doc_id || '#' || first, 'node:block', 1 from blocks),
+prints as (select id, sum(cnt) as fc, substr(sha256(string_agg(feature || chr(31) || cnt || chr(30), '' order by feature)), 1, 16) as fp from bags group by id),
+frags as materialized (select id, doc_id as path, '' as name, s, e, fc, fp from prints join blocks b on id = b.doc_id || '#' || b.first),
+{sql_pairs(BLOCK_THRESHOLD, 'l.path <> r.path or l.s >= r.e or r.s >= l.e')}
+select least(afp, bfp) || ':' || greatest(afp, bfp) as group_id, max(score) as score, count(*)::bigint as location_pairs from pairs group by 1""")
+def block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three lines with the words of their lines, grouped; overlapping ones are no pair."""
+    lines = stored(_statements(spark, sf_dir), "lines")
+    windows = X.statement_windows(lines, 3, 64)[0].withColumn("fragment_id", F.concat_ws("#", "path", F.col("first").cast("string")))
+    windows = stored(windows, "windows")
+    key = F.struct("path", "function", "container", "pos")
+    words = B.word_bags(lines.withColumn("line_id", key), "line_id", "line").select("fragment_id.*", "feature", "cnt")
+    bags = stored(X.window_bags(windows, lines, words, 3, "node:block"), "bags")
+    labels = [F.lit(x).alias(c) for c, x in (("language", ""), ("family", ""), ("domain", "text"))]
+    blocks = windows.select("fragment_id", "path", *labels, "kind", "name", "start_byte", "end_byte", "start_line", "end_line")
+    blocks = stored(blocks.join(B.fingerprints(bags), "fragment_id"), "blocks")
+    profs = stored(J.profiles(blocks), "profiles")
+    similar = stored(J.similar_profiles(blocks, bags, BLOCK_THRESHOLD, profs=profs), "similar")
+    left, _ = G.without_overlaps(similar, profs, stored(J.members(blocks, profs, "all"), "members"))
+    return G.group_counts(left, profs).select("group_id", "score", F.col("location_pairs").cast("long").alias("location_pairs"))
+
+
 @query("""with t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n from conversations)
 select conv_id as fragment_id, 'ordered:statement:' || case when n = 1 then 'only' when k = 1 then 'first' when k = n then 'last' else 'middle' end || ':' || role as feature, count(*)::int as cnt from t group by all""")
 def ordered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

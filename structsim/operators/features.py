@@ -12,16 +12,24 @@ def literal_digests(rows: DataFrame, key: str, text: str, pattern: str, canonica
     return rows.select(F.col(key).alias("fragment_id"), F.transform(found, lambda x: F.sha2(F.concat(F.lit(canonical + "\x00"), x).cast("binary"), 256)).alias("literal_digests"))
 
 
+_CONTAINER = ("path", "function", "container")
+
+
 def statement_windows(statements: DataFrame, size: int, cap: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, functions over the cap): every ``size`` consecutive statements of a container.
 
     statements: path, function, container, pos, start_byte, end_byte, start_line, end_line. Blocks of one function with
-    the same span count once. A function with more than ``cap`` blocks has none and is reported.
+    the same span count once, as of the first container, and ``first`` is the number of their first statement in it. A
+    function with more than ``cap`` blocks has none and is reported.
     """
-    order = Window.partitionBy("path", "function", "container").orderBy("pos").rowsBetween(0, size - 1)
+    own = Window.partitionBy(*_CONTAINER).orderBy("pos")
+    order = own.rowsBetween(0, size - 1)
     last = lambda c: F.last(c).over(order).alias(c)
-    wide = statements.select("path", "function", "start_byte", last("end_byte"), "start_line", last("end_line"), F.count("*").over(order).alias("_n")).where(F.col("_n") == size).drop("_n")
-    blocks = wide.dropDuplicates(["path", "function", "start_byte", "end_byte"])
+    ends = [F.col("start_byte"), last("end_byte"), F.col("start_line"), last("end_line")]
+    wide = statements.select(*_CONTAINER, *ends, F.row_number().over(own).alias("first"), F.count("*").over(order).alias("_n"))
+    span = ["path", "function", "start_byte", "end_byte"]
+    at = F.min(F.struct("container", "first", "start_line", "end_line")).alias("at")
+    blocks = wide.where(F.col("_n") == size).groupBy(*span).agg(at).select(*span, "at.*")
     counted = blocks.groupBy("path", "function").agg(F.count("*").alias("n_blocks"))
     over = counted.where(F.col("n_blocks") > cap)
     kept = blocks.join(counted.where(F.col("n_blocks") <= cap).select("path", "function"), ["path", "function"])
@@ -29,6 +37,22 @@ def statement_windows(statements: DataFrame, size: int, cap: int) -> tuple[DataF
     return kept.withColumn("name", name).withColumn("kind", F.lit("block")), over
 
 
+def window_bags(blocks: DataFrame, statements: DataFrame, bags: DataFrame, size: int, root: str | None = None) -> DataFrame:
+    """(fragment_id, feature, cnt) of blocks (``statement_windows`` with a fragment_id) by the bags of their statements.
+
+    bags: path, function, container, pos, feature, cnt. A statement's bag is made once and handed to each of the at most
+    ``size`` windows over it; sums are taken where the features are. ``root``: a feature of the block itself.
+    """
+    nth = F.row_number().over(Window.partitionBy(*_CONTAINER).orderBy("pos"))
+    numbered = statements.select(*_CONTAINER, "pos", nth.alias("nth"))
+    over = F.explode(F.sequence(F.greatest(F.col("nth") - (size - 1), F.lit(1)), F.col("nth"))).alias("first")
+    dealt = bags.join(numbered, [*_CONTAINER, "pos"]).select(*_CONTAINER, over, "feature", "cnt")
+    found = dealt.join(blocks.select("fragment_id", *_CONTAINER, "first"), [*_CONTAINER, "first"]).select("fragment_id", "feature", "cnt")
+    if root:
+        found = found.unionByName(blocks.select("fragment_id", F.lit(root).alias("feature"), F.lit(1).alias("cnt")))
+    return found.groupBy("fragment_id", "feature").agg(F.sum("cnt").cast("int").alias("cnt"))
+
+
 def ordered_statements(statements: DataFrame) -> DataFrame:
     """(fragment_id, feature, cnt) of ``ordered:statement:<first, middle, last or only>:<shape>``.
 

@@ -9,23 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structsim.functions.names import glob_match, is_distinctive_name, location_key, pair_id, parent_dir
+from structsim.operators.spans import overlapping_blocks
 
 
 def group_counts(similar: DataFrame, profs: DataFrame) -> DataFrame:
     """Groups from pairs of profiles (``simjoin.similar_profiles``) by counting, without listing pairs of fragments.
 
     A group is an unordered pair of fingerprints, also across partitions: group_id, score, min_fc, location_pairs.
-    Only for fragments among which no blocks overlap; else use ``match_groups`` on listed pairs.
+    Where blocks may overlap, ``similar`` comes from ``without_overlaps``.
     """
     left = profs.select(F.col("profile_id").alias("l_id"), F.col("fingerprint").alias("lf"), F.col("n_occ").alias("ln"))
     right = profs.select(F.col("profile_id").alias("r_id"), F.col("fingerprint").alias("rf"), F.col("n_occ").alias("rn"))
-    n = F.when(F.col("l_id") == F.col("r_id"), F.expr("ln * (ln - 1) div 2")).otherwise(F.col("ln") * F.col("rn"))
+    n = _all_pairs() - (F.col("overlaps") if "overlaps" in similar.columns else F.lit(0))
     return (
         similar.join(left, "l_id").join(right, "r_id").groupBy(pair_id("lf", "rf").alias("group_id"))
         .agg(F.max("score").alias("score"), F.min(F.least("l_fc", "r_fc")).alias("min_fc"), F.sum(n).alias("location_pairs"))
     )
 
 
+def _all_pairs() -> Column:
+    """Pairs of fragments of two profiles with ln and rn fragments."""
+    return F.when(F.col("l_id") == F.col("r_id"), F.expr("ln * (ln - 1) div 2")).otherwise(F.col("ln") * F.col("rn"))
+
+
+def without_overlaps(similar: DataFrame, profs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(similar, lonely): pairs of profiles that have pairs of fragments left when overlapping blocks of a path are none.
+
+    ``similar`` has a column ``overlaps``, the number of pairs to take away. lonely: l_id, r_id, fragment_id of fragments
+    that overlap every partner. Only the overlapping pairs are listed, never all pairs of two profiles.
+    """
+    of = members.where("kind = 'block'").select("fragment_id", "profile_id")
+    met = overlapping_blocks(members).join(of.toDF("l_id", "lp"), "l_id").join(of.toDF("r_id", "rp"), "r_id")
+    pair = [F.least("lp", "rp").alias("l_id"), F.greatest("lp", "rp").alias("r_id")]
+    counts = met.groupBy(*pair).agg(F.count("*").alias("overlaps"))
+    sizes = profs.select("profile_id", "n_occ")
+    sized = similar.join(counts, ["l_id", "r_id"], "left").na.fill(0, ["overlaps"])
+    sized = sized.join(sizes.toDF("l_id", "ln"), "l_id").join(sizes.toDF("r_id", "rn"), "r_id")
+    left = sized.where(_all_pairs() > F.col("overlaps")).drop("ln", "rn")
+    side = lambda own, other: F.struct(F.col(own).alias("fragment_id"), F.col(other).alias("other"))
+    both = F.explode(F.array(side("l_id", "rp"), side("r_id", "lp"))).alias("s")
+    each = met.select("lp", "rp", both).groupBy(*pair, "s.fragment_id", "s.other").agg(F.count("*").alias("met"))
+    partners = F.col("n_occ") - F.when(F.col("l_id") == F.col("r_id"), 1).otherwise(0)
+    each = each.join(sizes.withColumnRenamed("profile_id", "other"), "other")
+    return left, each.where(F.col("met") == partners).select("l_id", "r_id", "fragment_id")
+
+
 def match_groups(pairs: DataFrame) -> DataFrame:
     """Groups from listed pairs (``simjoin.similar_pairs``): group_id, score, location_pairs."""
     return pairs.groupBy(pair_id("left_fingerprint", "right_fingerprint").alias("group_id")).agg(F.max("score").alias("score"), F.count("*").alias("location_pairs"))
@@ -42,14 +70,21 @@ def listed_members(pairs: DataFrame) -> DataFrame:
     return both.select("group_id", "s.*").distinct()
 
 
-def counted_members(similar: DataFrame, members: DataFrame) -> DataFrame:
-    """The same from pairs of profiles and the fragments with their ``profile_id``; no pair of fragments is listed."""
+def counted_members(similar: DataFrame, members: DataFrame, lonely: DataFrame | None = None) -> DataFrame:
+    """The same from pairs of profiles and the fragments with their ``profile_id``; no pair of fragments is listed.
+
+    ``lonely``: the fragments that are in no pair of a pair of profiles (``without_overlaps``).
+    """
     prints = members.select("profile_id", "fingerprint").distinct()
     left = prints.select(F.col("profile_id").alias("l_id"), F.col("fingerprint").alias("lf"))
     right = prints.select(F.col("profile_id").alias("r_id"), F.col("fingerprint").alias("rf"))
     sides = F.explode(F.array("l_id", "r_id")).alias("profile_id")
-    ids = similar.join(left, "l_id").join(right, "r_id").select(pair_id("lf", "rf").alias("group_id"), sides).distinct()
-    return ids.join(members.select("profile_id", "fragment_id", "fingerprint"), "profile_id").select("group_id", "fragment_id", "fingerprint")
+    ids = similar.join(left, "l_id").join(right, "r_id").select(pair_id("lf", "rf").alias("group_id"), "l_id", "r_id", sides)
+    own = members.select("profile_id", "fragment_id", "fingerprint")
+    if lonely is None:
+        return ids.select("group_id", "profile_id").distinct().join(own, "profile_id").select("group_id", "fragment_id", "fingerprint")
+    found = ids.join(own, "profile_id").join(lonely, ["l_id", "r_id", "fragment_id"], "left_anti")
+    return found.select("group_id", "fragment_id", "fingerprint").distinct()
 
 
 def occurrences(ids: DataFrame, fragments: DataFrame, max_occurrences: int = 0) -> DataFrame:
@@ -112,7 +147,8 @@ def profile_flags(similar: DataFrame, members: DataFrame, rules: Iterable[tuple[
     """The same from pairs of profiles and the fragments with their ``profile_id``, without listing pairs of places.
 
     Two sides have unequal paths somewhere unless all their paths are one, so least and greatest paths and directories say
-    it all, for whole profiles and for the fragments of one name in them. Not for fragments among which blocks overlap.
+    it all, for whole profiles and for the fragments of one name in them. Overlapping blocks are of one path, so that
+    leaving their pairs out changes no flag of a pair of profiles that has others.
     """
     rules = tuple(rules)
     ends = [F.min("path").alias("p0"), F.max("path").alias("p1"), F.min(parent_dir("path")).alias("d0"), F.max(parent_dir("path")).alias("d1")]

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structsim.operators.spans import overlapping_blocks
 from structsim.sources.storage import stored
 
 #: Buckets of a profile's sketch.
@@ -216,7 +217,7 @@ def similar_pairs(
 def candidate_pairs(fragments: DataFrame, threshold: float, mode: str = "all", language_pairs: Iterable[tuple[str, str]] = (), focused_only: bool = False) -> DataFrame:
     """The exact number of fragment pairs that pass mode, size bound, overlap and focus, as one row ``candidate_pairs``.
 
-    Counted from the sizes per partition; no pair of fragments is listed, but for overlapping blocks of one path.
+    Counted from the sizes per partition; no pair of fragments is listed but those of overlapping blocks.
     """
     label = F.col("family") if mode in ("cross_family", "same_family") else F.col("language") if mode == "language_pairs" else F.lit("")
     focus = F.col("focused") if focused_only else F.lit(True)
@@ -236,16 +237,20 @@ def candidate_pairs(fragments: DataFrame, threshold: float, mode: str = "all", l
     out = F.when(same, (F.col("l.n") - F.col("l.f")) * (F.col("l.n") - F.col("l.f") - 1) / 2).otherwise((F.col("l.n") - F.col("l.f")) * (F.col("r.n") - F.col("r.f")))
     total = F.sum((every("l.n", "r.n") - (out if focused_only else F.lit(0))).cast("long"))
     counted = l.join(r, on).agg(F.coalesce(total, F.lit(0)).alias("n"))
-    blocks = fragments.where("kind = 'block' and feature_count > 0")
     if "start_byte" not in fragments.columns:
         return counted.select(F.col("n").alias("candidate_pairs"))
-    b = blocks.withColumn("part", partition_key(mode)).withColumn("label", label).withColumn("focus", focus)
-    l, r = b.alias("l"), b.alias("r")
-    on = (F.col("l.part") == F.col("r.part")) & (F.col("l.path") == F.col("r.path")) & (F.col("l.fragment_id") < F.col("r.fragment_id")) & (F.col("l.start_byte") < F.col("r.end_byte")) & (F.col("r.start_byte") < F.col("l.end_byte"))
-    on = on & (F.least("l.feature_count", "r.feature_count").cast("double") / F.greatest("l.feature_count", "r.feature_count") >= threshold) & (F.col("l.focus") | F.col("r.focus"))
+    sides = fragments.where("feature_count > 0").withColumn("part", partition_key(mode)).withColumn("label", label)
+    sides = sides.select("fragment_id", "part", "label", F.col("feature_count").alias("fc"), focus.alias("focus"))
+    side = lambda a: sides.select(*[F.col(c).alias(f"{a}_id" if c == "fragment_id" else f"{a}_{c}") for c in sides.columns])
+    met = overlapping_blocks(fragments.where("feature_count > 0")).join(side("l"), "l_id").join(side("r"), "r_id")
+    on = (F.col("l_part") == F.col("r_part")) & (F.col("l_focus") | F.col("r_focus"))
+    on = on & (F.least("l_fc", "r_fc").cast("double") / F.greatest("l_fc", "r_fc") >= threshold)
     if mode == "cross_family":
-        on = on & (F.col("l.label") != F.col("r.label"))
-    overlapping = l.join(r, on).agg(F.count("*").alias("m"))
+        on = on & (F.col("l_label") != F.col("r_label"))
+    if mode == "language_pairs":
+        pair = F.struct(F.least("l_label", "r_label").alias("a"), F.greatest("l_label", "r_label").alias("b"))
+        on = on & pair.isin(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in known])
+    overlapping = met.where(on).agg(F.count("*").alias("m"))
     return counted.crossJoin(overlapping).select((F.col("n") - F.col("m")).alias("candidate_pairs"))
 
 

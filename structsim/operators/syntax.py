@@ -1,89 +1,163 @@
-"""Features of syntax trees, from a table with one row per node.
+"""Names and classes of syntax nodes, and what a file's fragments are made of.
 
 nodes: path, node_id (in document order), parent_id, child_idx, kind, is_named, field, text, start_byte, end_byte,
 start_line, end_line, is_error, is_missing, is_extra. Any parser can fill it. Names and classes of nodes are column
-expressions over small fixed vocabularies (callers can pass a larger one); only the walk to the nearest visible ancestor
-is done per file in numpy-sized batches, and its rows go back to Spark.
+expressions over small fixed vocabularies (callers can pass a larger one); ``treebags`` walks the trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structsim.operators.features import call_slots, ordered_statements
-
 # Subtrees that are left out, and containers that are looked through.
 SKIPPED = (
-    "comment arraykey bool bottom_type decorator dynamic float generic_type int intersection_type lifetime lifetime_parameter primitive_type mixed named_type nonnull "
-    "noreturn nothing num optional_type resource type_annotation type_arguments type_bound type_identifier type_parameter type_parameters type_specifier type_list union_type user_type"
-).split()
+    "comment", "arraykey", "bool", "bottom_type", "decorator", "dynamic", "float", "generic_type", "int",
+    "intersection_type", "lifetime", "lifetime_parameter", "primitive_type", "mixed", "named_type", "nonnull",
+    "noreturn", "nothing", "num", "optional_type", "resource", "type_annotation", "type_arguments",
+    "type_bound", "type_identifier", "type_parameter", "type_parameters", "type_specifier", "type_list",
+    "union_type", "user_type",
+)
 TRANSPARENT = (
-    "statement_list expression_list value_argument argument parenthesized_expression script_block_body pipeline pipeline_chain attribute_list attribute type_literal type_spec "
-    "stmt select_no_parens simple_select a_expr a_expr_prec c_expr ColId ColLabel attr_name indirection indirection_el unreserved_keyword"
-).split()
+    "statement_list", "expression_list", "value_argument", "argument", "parenthesized_expression",
+    "script_block_body", "pipeline", "pipeline_chain", "attribute_list", "attribute", "type_literal",
+    "type_spec", "stmt", "select_no_parens", "simple_select", "a_expr", "a_expr_prec", "c_expr", "ColId",
+    "ColLabel", "attr_name", "indirection", "indirection_el", "unreserved_keyword",
+)
 # Canonical name, kinds that have it. A seed of common kinds; ``vocabulary`` extends it.
 CANONICAL = (
-    ("function", "function_definition function_declaration function_item function_expression arrow_function func_literal anonymous_function"),
-    ("function", "constructor_declaration method_declaration method_definition lambda lambda_expression"),
-    ("block", "block body statement_block compound_statement function_body"),
-    ("parameters", "parameters formal_parameters parameter_list"),
-    ("parameter", "parameter formal_parameter lambda_parameter script_parameter"),
-    ("parameter:default", "default_parameter"),
-    ("arguments", "arguments argument_list value_arguments"),
-    ("binding", "variable_declarator let_declaration short_var_declaration variable_declaration"),
-    ("collection", "list tuple dictionary array object map dictionary_literal"),
-    ("flow:if", "if_statement if_expression if"),
-    ("flow:else", "else_clause"),
-    ("flow:loop", "for_statement while_statement for_in_statement foreach_statement enhanced_for_statement"),
-    ("flow:switch", "switch_statement match_expression match_block"),
-    ("flow:case", "switch_case match_arm switch_rule"),
-    ("flow:return", "return_statement return_expression return"),
-    ("flow:break", "break_statement"),
-    ("flow:continue", "continue_statement"),
-    ("flow:defer", "defer_statement"),
-    ("flow:try", "try_statement try_expression"),
-    ("flow:catch", "except_clause catch_clause"),
-    ("flow:yield", "yield_expression"),
-    ("expression:call", "call call_expression invocation invocation_expression method_invocation function_call_expression member_call_expression"),
-    ("expression:member", "member_expression field_expression selector_expression member_access_expression navigation_expression"),
-    ("expression:index", "subscript index_expression subscript_expression"),
-    ("expression:slice", "slice_expression"),
-    ("expression:binary", "binary_expression binary_operator infix_expression"),
-    ("expression:boolean", "boolean_operator"),
-    ("expression:comparison", "comparison_operator"),
-    ("expression:assignment", "assignment assignment_expression assignment_statement"),
-    ("expression:unary", "unary_expression prefix_unary_expression postfix_unary_expression unary_operator"),
-    ("expression:conditional", "ternary_expression conditional_expression"),
-    ("expression:await", "await_expression awaitable_expression"),
-    ("expression:new", "new_expression object_creation_expression"),
-    ("symbol", "identifier field_identifier function_name simple_identifier simple_name property_identifier shorthand_property_identifier name word variable_name"),
-    ("symbol:self", "self this"),
-    ("literal:boolean", "boolean false true boolean_literal"),
-    ("literal:character", "char_literal character_literal"),
-    ("literal:null", "none null nil null_literal"),
-    ("literal:pattern", "regex regex_pattern"),
-    ("literal:number", "float_literal integer integer_literal number decimal_integer_literal hex_integer_literal"),
-    ("literal:number", "octal_integer_literal binary_integer_literal decimal_floating_point_literal hex_floating_point_literal"),
-    ("literal:string", "interpreted_string_literal raw_string_literal string string_literal template_string line_string_literal multi_line_string_literal"),
-    ("literal:string-part", "string_content"),
+    ("function", (
+        "function_definition", "function_declaration", "function_item", "function_expression",
+        "arrow_function", "func_literal", "anonymous_function",
+    )),
+    ("function", (
+        "constructor_declaration", "method_declaration", "method_definition", "lambda", "lambda_expression",
+    )),
+    ("block", ("block", "body", "statement_block", "compound_statement", "function_body")),
+    ("parameters", ("parameters", "formal_parameters", "parameter_list")),
+    ("parameter", ("parameter", "formal_parameter", "lambda_parameter", "script_parameter")),
+    ("parameter:default", ("default_parameter",)),
+    ("arguments", ("arguments", "argument_list", "value_arguments")),
+    ("binding", ("variable_declarator", "let_declaration", "short_var_declaration", "variable_declaration")),
+    ("collection", ("list", "tuple", "dictionary", "array", "object", "map", "dictionary_literal")),
+    ("flow:if", ("if_statement", "if_expression", "if")),
+    ("flow:else", ("else_clause",)),
+    ("flow:loop", (
+        "for_statement", "while_statement", "for_in_statement", "foreach_statement", "enhanced_for_statement",
+    )),
+    ("flow:switch", ("switch_statement", "match_expression", "match_block")),
+    ("flow:case", ("switch_case", "match_arm", "switch_rule")),
+    ("flow:return", ("return_statement", "return_expression", "return")),
+    ("flow:break", ("break_statement",)),
+    ("flow:continue", ("continue_statement",)),
+    ("flow:defer", ("defer_statement",)),
+    ("flow:try", ("try_statement", "try_expression")),
+    ("flow:catch", ("except_clause", "catch_clause")),
+    ("flow:yield", ("yield_expression",)),
+    ("expression:call", (
+        "call", "call_expression", "invocation", "invocation_expression", "method_invocation",
+        "function_call_expression", "member_call_expression",
+    )),
+    ("expression:member", (
+        "member_expression", "field_expression", "selector_expression", "member_access_expression",
+        "navigation_expression",
+    )),
+    ("expression:index", ("subscript", "index_expression", "subscript_expression")),
+    ("expression:slice", ("slice_expression",)),
+    ("expression:binary", ("binary_expression", "binary_operator", "infix_expression")),
+    ("expression:boolean", ("boolean_operator",)),
+    ("expression:comparison", ("comparison_operator",)),
+    ("expression:assignment", ("assignment", "assignment_expression", "assignment_statement")),
+    ("expression:unary", (
+        "unary_expression", "prefix_unary_expression", "postfix_unary_expression", "unary_operator",
+    )),
+    ("expression:conditional", ("ternary_expression", "conditional_expression")),
+    ("expression:await", ("await_expression", "awaitable_expression")),
+    ("expression:new", ("new_expression", "object_creation_expression")),
+    ("symbol", (
+        "identifier", "field_identifier", "function_name", "simple_identifier", "simple_name",
+        "property_identifier", "shorthand_property_identifier", "name", "word", "variable_name",
+    )),
+    ("symbol:self", ("self", "this")),
+    ("literal:boolean", ("boolean", "false", "true", "boolean_literal")),
+    ("literal:character", ("char_literal", "character_literal")),
+    ("literal:null", ("none", "null", "nil", "null_literal")),
+    ("literal:pattern", ("regex", "regex_pattern")),
+    ("literal:number", (
+        "float_literal", "integer", "integer_literal", "number", "decimal_integer_literal",
+        "hex_integer_literal",
+    )),
+    ("literal:number", (
+        "octal_integer_literal", "binary_integer_literal", "decimal_floating_point_literal",
+        "hex_floating_point_literal",
+    )),
+    ("literal:string", (
+        "interpreted_string_literal", "raw_string_literal", "string", "string_literal", "template_string",
+        "line_string_literal", "multi_line_string_literal",
+    )),
+    ("literal:string-part", ("string_content",)),
 )
 # Operator families, roles of fields and operation families of callees.
-OPERATORS = (("and", "&& and"), ("or", "|| or"), ("not", "! not"), ("equal", "== ==="), ("not-equal", "!= !=="), ("ordered", "< <= > >= <>"), ("membership", "in"), ("additive", "+ -"), ("multiplicative", "* / // %"), ("power", "**"), ("bitwise", "& | ^ << >>"), ("assign", "= :="), ("compound-assign", "+= -= *= /= %= &= |= ^="))
-ROLES = (("arguments", "arguments"), ("alternative", "alternative"), ("body", "body"), ("condition", "condition"), ("consequence", "consequence"), ("callee", "function"), ("index", "index"), ("operand", "left lhs right rhs"), ("receiver", "object operand"), ("parameters", "parameters"), ("value", "value"))
+OPERATORS = (
+    ("and", ("&&", "and")),
+    ("or", ("||", "or")),
+    ("not", ("!", "not")),
+    ("equal", ("==", "===")),
+    ("not-equal", ("!=", "!==")),
+    ("ordered", ("<", "<=", ">", ">=", "<>")),
+    ("membership", ("in",)),
+    ("additive", ("+", "-")),
+    ("multiplicative", ("*", "/", "//", "%")),
+    ("power", ("**",)),
+    ("bitwise", ("&", "|", "^", "<<", ">>")),
+    ("assign", ("=", ":=")),
+    ("compound-assign", ("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")),
+)
+ROLES = (
+    ("arguments", ("arguments",)),
+    ("alternative", ("alternative",)),
+    ("body", ("body",)),
+    ("condition", ("condition",)),
+    ("consequence", ("consequence",)),
+    ("callee", ("function",)),
+    ("index", ("index",)),
+    ("operand", ("left", "lhs", "right", "rhs")),
+    ("receiver", ("object", "operand")),
+    ("parameters", ("parameters",)),
+    ("value", ("value",)),
+)
 OPERATIONS = (
-    ("aggregate", "avg count group_concat groupconcat max min sum total"), ("parameter", "arg narg slice"), ("membership", "contains containskey containsvalue has haskey includes indexof str_contains"),
-    ("pattern-match", "match matches matchstring search test"), ("length", "len length size strlen"), ("lowercase", "lower strtolower tolower tolowercase"), ("uppercase", "strtoupper upper toupper touppercase"),
-    ("trim", "strip trim trimspace"), ("filter", "filter where"), ("reduce", "fold reduce"), ("map", "map select"),
+    ("aggregate", ("avg", "count", "group_concat", "groupconcat", "max", "min", "sum", "total")),
+    ("parameter", ("arg", "narg", "slice")),
+    ("membership", (
+        "contains", "containskey", "containsvalue", "has", "haskey", "includes", "indexof", "str_contains",
+    )),
+    ("pattern-match", ("match", "matches", "matchstring", "search", "test")),
+    ("length", ("len", "length", "size", "strlen")),
+    ("lowercase", ("lower", "strtolower", "tolower", "tolowercase")),
+    ("uppercase", ("strtoupper", "upper", "toupper", "touppercase")),
+    ("trim", ("strip", "trim", "trimspace")),
+    ("filter", ("filter", "where")),
+    ("reduce", ("fold", "reduce")),
+    ("map", ("map", "select")),
+)
+# Kinds of calls.
+CALLS = (
+    "call", "call_expression", "invocation", "invocation_expression", "method_invocation",
+    "function_call_expression", "member_call_expression", "nullsafe_member_call_expression",
+    "scoped_call_expression",
 )
-CALLS = "call call_expression invocation invocation_expression method_invocation function_call_expression member_call_expression nullsafe_member_call_expression scoped_call_expression".split()
+# What a node's child is in, by the node's canonical name and the child's field; others pass theirs on.
+IN_BRANCH = {"condition": "condition", "alternative": "alternative"}
+
+ROLE = {field: role for role, fields in ROLES for field in fields}
+OPERATION = {word: family for family, words in OPERATIONS for word in words}
 
 
 def _map(groups, prefix: str = "") -> Column:
-    return F.create_map(*[F.lit(x) for name, keys in groups for key in keys.split() for x in (key, prefix + name)])
+    return F.create_map(*[F.lit(x) for name, keys in groups for key in keys for x in (key, prefix + name)])
 
 
 def canonical_named(kind: Column, text: Column, vocabulary: Mapping[str, str] | None = None) -> Column:
@@ -92,20 +166,29 @@ def canonical_named(kind: Column, text: Column, vocabulary: Mapping[str, str] |
     Transparent containers come first, then transfers of control by their first word, the vocabulary, keywords, literals
     of SQL, and the suffix rules.
     """
-    extended = {k: name for name, kinds in CANONICAL for k in kinds.split()} | dict(vocabulary or {})
-    known = _map([(v, k) for k, v in extended.items()])
+    extended = {k: name for name, kinds in CANONICAL for k in kinds} | dict(vocabulary or {})
+    known = F.element_at(_map([(v, (k,)) for k, v in extended.items()]), kind)
     word = F.lower(F.regexp_extract(text, r"^\s*(\S+)", 1))
-    transfer = F.when(word.isin("break", "continue", "fallthrough", "return", "throw"), F.concat(F.lit("flow:"), word)).otherwise("statement:control-transfer")
+    transfer = F.when(
+        word.isin("break", "continue", "fallthrough", "return", "throw"), F.concat(F.lit("flow:"), word)
+    ).otherwise("statement:control-transfer")
     low = F.lower(F.trim(text))
     scalar = (
-        F.when((low == "?") | low.rlike(r"^sqlc\.n?arg\(.*\S.*\)$"), "parameter").when(low.isin("true", "false"), "literal:boolean").when(low == "null", "literal:null")
-        .when(low.rlike("""^['"]|^[eu].*'|^\\$.*\\$"""), "literal:string").when(low.rlike(r"^[0-9+\-.]"), "literal:number").otherwise("literal:scalar")
+        F.when((low == "?") | low.rlike(r"^sqlc\.n?arg\(.*\S.*\)$"), "parameter")
+        .when(low.isin("true", "false"), "literal:boolean").when(low == "null", "literal:null")
+        .when(low.rlike("""^['"]|^[eu].*'|^\\$.*\\$"""), "literal:string")
+        .when(low.rlike(r"^[0-9+\-.]"), "literal:number").otherwise("literal:scalar")
     )
-    suffix = F.regexp_extract(kind, "^(.*)_(statement|expression|declaration|literal)$", 2)
+    endings = "_(statement|expression|declaration|literal)$"
+    suffix = F.regexp_extract(kind, "^(.*)" + endings, 2)
+    none = F.lit(None).cast("string")
     return (
-        F.when(kind.isin(*TRANSPARENT) | kind.startswith("opt_"), F.lit(None).cast("string")).when(kind.isin("control_transfer_statement", "flow_control_statement"), transfer)
-        .when(F.element_at(known, kind).isNotNull(), F.element_at(known, kind)).when(kind == "literal", scalar).when(kind.startswith("keyword_") | kind.startswith("kw_"), F.lit(None).cast("string"))
-        .when(suffix != "", F.concat_ws(":", suffix, F.regexp_replace(kind, "_(statement|expression|declaration|literal)$", ""))).otherwise(F.concat(F.lit("syntax:"), kind))
+        F.when(kind.isin(*TRANSPARENT) | kind.startswith("opt_"), none)
+        .when(kind.isin("control_transfer_statement", "flow_control_statement"), transfer)
+        .when(known.isNotNull(), known).when(kind == "literal", scalar)
+        .when(kind.startswith("keyword_") | kind.startswith("kw_"), none)
+        .when(suffix != "", F.concat_ws(":", suffix, F.regexp_replace(kind, endings, "")))
+        .otherwise(F.concat(F.lit("syntax:"), kind))
     )
 
 
@@ -113,14 +196,12 @@ def canonical_operator(kind: Column) -> Column:
     return F.element_at(_map(OPERATORS, "operator:"), kind)
 
 
-def canonical_role(field: Column) -> Column:
-    return F.element_at(_map(ROLES), field)
-
-
 def coarse_class(c: Column) -> Column:
     return (
-        F.when(c == "function", "function").when(c.startswith("parameter"), "parameter").when(c.isin("block", "arguments", "binding", "collection"), c)
-        .when(c.isin("symbol", "symbol:self") | c.startswith("literal:"), "operand").when(c.startswith("flow:"), "control").when(c.startswith("expression:"), "operation")
+        F.when(c == "function", "function").when(c.startswith("parameter"), "parameter")
+        .when(c.isin("block", "arguments", "binding", "collection"), c)
+        .when(c.isin("symbol", "symbol:self") | c.startswith("literal:"), "operand")
+        .when(c.startswith("flow:"), "control").when(c.startswith("expression:"), "operation")
         .when(c.startswith("operator:"), "operator").when((c == "query") | c.startswith("query:"), "query")
     )
 
@@ -135,30 +216,10 @@ def semantic_operation(callee: Column) -> Column:
     return F.element_at(_map(OPERATIONS), rightmost_word(callee))
 
 
-def named_nodes(nodes: DataFrame, vocabulary: Mapping[str, str] | None = None) -> DataFrame:
-    """Adds canonical, role, skipped, and of calls callee (their right-most word) and operation to nodes.
-
-    The callee is the function or callee child, of a method call else the name, of a plain invocation else its first child.
-    """
-    by_field = F.when(F.col("field") == "function", 0).when(F.col("field") == "callee", 1).when(F.col("field") == "name", 2).otherwise(3)
-    below = nodes.where("is_named").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.min_by(F.struct(by_field.alias("f"), "text"), F.struct(by_field, "node_id")).alias("_c"))
-    calls = nodes.where(F.col("kind").isin(*CALLS)).select("path", "node_id", F.col("kind").alias("_kind")).join(below, ["path", "node_id"])
-    known = (F.col("_c.f") < 2) | ((F.col("_kind") == "method_invocation") & (F.col("_c.f") == 2)) | (F.col("_kind") == "invocation")
-    calls = calls.where(known).select("path", "node_id", rightmost_word(F.col("_c.text")).alias("callee"))
-    named = F.when(F.col("is_named"), canonical_named(F.col("kind"), F.col("text"), vocabulary)).otherwise(canonical_operator(F.col("kind")))
-    out = nodes.join(calls, ["path", "node_id"], "left").withColumn("canonical", named).withColumn("role", canonical_role(F.col("field")))
-    out = out.withColumn("skipped", F.col("is_error") | F.col("is_missing") | F.col("is_extra") | F.col("kind").isin(*SKIPPED))
-    return out.withColumn("operation", semantic_operation(F.col("callee")))
-
-
-WALKED = "path string, node_id long, fragment long, parent string, nested boolean, context string"
-# What a node's child is in, by the node's canonical name and the child's field; other nodes pass theirs on.
-_IN_BRANCH = {"condition": "condition", "alternative": "alternative"}
-
-
-def _context(canonical: str | None, field: str | None, inherited: str) -> str:
+def context_of(canonical: str | None, field: str | None, inherited: str) -> str:
+    """What a child with this field is in, below a node of this name."""
     if canonical == "flow:if":
-        return _IN_BRANCH.get(field, "branch")
+        return IN_BRANCH.get(field, "branch")
     if canonical == "flow:loop":
         return "loop-condition" if field == "condition" else "loop-body"
     if canonical in ("flow:switch", "flow:case"):
@@ -166,113 +227,6 @@ def _context(canonical: str | None, field: str | None, inherited: str) -> str:
     return "deferred" if canonical == "flow:defer" else inherited
 
 
-def _walk(frame: pd.DataFrame) -> pd.DataFrame:
-    """Per visible node: its fragment (the nearest boundary, itself included), its nearest visible ancestor's name and its context.
-
-    A boundary below another one is seen there as one nested function and not entered.
-    """
-    state: dict[int, tuple[int, str | None, str, str | None] | None] = {}  # fragment, visible name above, context, own name
-    out = []
-    columns = ["path", "node_id", "parent_id", "canonical", "field", "skipped", "boundary"]
-    for path, node, up, canonical, field, skipped, boundary in frame.sort_values("node_id")[columns].itertuples(index=False):
-        above = state.get(up)
-        state[node] = None
-        if skipped or (pd.notna(up) and up in state and above is None and not boundary):
-            continue
-        name = canonical if canonical is not None and pd.notna(canonical) else None
-        if boundary:
-            if above is not None:
-                out.append((path, node, above[0], above[1], True, above[2]))
-            above = (node, None, "linear", None)
-        if above is None:
-            continue
-        context = above[2] if boundary else _context(above[3], field, above[2])
-        if name is not None:
-            out.append((path, node, above[0], above[1], False, context))
-        state[node] = (above[0], name or above[1], context, name)
-    return pd.DataFrame(out, columns=["path", "node_id", "fragment", "parent", "nested", "context"])
-
-
-def walked_nodes(nodes: DataFrame, boundaries: tuple[str, ...], vocabulary: Mapping[str, str] | None = None) -> DataFrame:
-    """The visible nodes of every boundary node's fragment, named and with their place in it.
-
-    One file is one group, and files are bounded by the size limit of discovery.
-    """
-    named = named_nodes(nodes, vocabulary).withColumn("boundary", F.col("kind").isin(*boundaries))
-    walked = named.select("path", "node_id", "parent_id", "canonical", "field", "skipped", "boundary").groupBy("path").applyInPandas(_walk, WALKED)
-    return walked.join(named.select("path", "node_id", "kind", "is_named", "text", "canonical", "role", "operation", "callee"), ["path", "node_id"])
-
-
-def _receives(nodes: DataFrame) -> DataFrame:
-    """(path, node_id) of method calls with a receiver but without a node for the access to it."""
-    with_object = nodes.where("field = 'object'").select("path", F.col("parent_id").alias("node_id")).distinct()
-    return nodes.where("kind = 'method_invocation'").select("path", "node_id").join(with_object, ["path", "node_id"])
-
-
-def node_features(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, fragment, feature, cnt) of walked nodes: node, class, edge, role and semantic features."""
-    c = F.when(F.col("nested"), "function:nested").otherwise(F.col("canonical"))
-    own = ~F.col("nested")
-    pair = lambda f, n=1: F.struct(f.alias("feature"), F.lit(n).alias("n"))
-    call_arguments = (F.col("parent") == "expression:call") & (c == "arguments")
-    role = F.when(F.col("role").isNotNull(), F.concat(F.lit("role:"), "role", F.lit(">"), c)).when(call_arguments, "role:arguments>arguments")
-    member = (F.col("canonical") == "operator:membership") & (~F.col("is_named") | (F.col("kind") == "keyword_in"))
-    made = F.array(
-        pair(F.concat(F.lit("node:"), c)), pair(F.when(own, F.concat(F.lit("class:"), coarse_class(c)))),
-        pair(F.when(F.col("parent").isNotNull(), F.concat(F.lit("edge:"), "parent", F.lit(">"), c))), pair(F.when(own, role)),
-        pair(F.when(own, F.concat(F.lit("semantic:"), "operation")), 2), pair(F.when(own & member, "semantic:membership"), 2),
-    )
-    layer = ("node:expression:member", "class:operation", "edge:expression:call>expression:member", "role:callee>expression:member")
-    receiving = rows.where("not nested").join(_receives(nodes), ["path", "node_id"])
-    receiving = receiving.select("path", "fragment", F.explode(F.array(*[pair(F.lit(f)) for f in layer])).alias("x"))
-    found = rows.select("path", "fragment", F.explode(made).alias("x")).where("x.feature is not null").unionByName(receiving)
-    return found.groupBy("path", "fragment", F.col("x.feature").alias("feature")).agg(F.sum("x.n").cast("int").alias("cnt"))
-
-
-def features_from_nodes(nodes: DataFrame, boundaries: tuple[str, ...], vocabulary: Mapping[str, str] | None = None) -> DataFrame:
-    """(path, fragment, feature, cnt) of every boundary node's fragment, without the ordered ones."""
-    return node_features(walked_nodes(nodes, boundaries, vocabulary), nodes)
-
-
-def block_statements(rows: DataFrame, nodes: DataFrame, boundaries: tuple[str, ...], vocabulary: Mapping[str, str] | None = None) -> DataFrame:
-    """(path, fragment, container, pos, shape) of the named children of every block, or of its only one if that is a list.
-
-    All of them take a position; invalid ones, boundaries and transparent ones have no shape.
-    """
-    blocks = rows.where("canonical = 'block' and not nested").select("path", "fragment", F.col("node_id").alias("container"))
-    named = named_nodes(nodes.where("is_named"), vocabulary)
-    bad = F.col("is_error") | F.col("is_missing") | F.col("is_extra") | F.col("kind").isin(*boundaries)
-    child = named.select("path", "parent_id", F.col("node_id").alias("pos"), "kind", F.when(~bad, F.col("canonical")).alias("shape"))
-    direct = blocks.join(child.withColumnRenamed("parent_id", "container"), ["path", "container"])
-    only = direct.groupBy("path", "container").agg(F.count("*").alias("n"), F.min("kind").alias("k"), F.min("pos").alias("list"))
-    lists = only.where("n = 1 and k in ('statement_list', 'statements')").select("path", "container", "list")
-    inner = blocks.join(lists, ["path", "container"]).join(child.withColumnRenamed("parent_id", "list"), ["path", "list"])
-    columns = ["path", "fragment", "container", "pos", "shape"]
-    return direct.join(lists, ["path", "container"], "left_anti").select(*columns).unionByName(inner.select(*columns))
-
-
-def fragment_bags(
-    nodes: DataFrame, boundaries: tuple[str, ...], vocabulary: Mapping[str, str] | None = None, rows: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(bags, facts) of every boundary node's fragment.
-
-    bags: fragment_id, feature, cnt, with the ordered statements and calls. facts: fragment_id, path, node_id, token_count
-    (visible nodes), nested_count, literal_digests (SHA-256 of canonical name, NUL and text, in document order).
-    ``fragment_id`` is the path and the boundary's node_id. ``rows``: the stored ``walked_nodes``, if at hand.
-    """
-    rows = walked_nodes(nodes, boundaries, vocabulary) if rows is None else rows
-    fragment_id = F.concat_ws("#", "path", F.col("fragment").cast("string")).alias("fragment_id")
-    statements = block_statements(rows, nodes, boundaries, vocabulary).select(fragment_id, "container", "pos", "shape")
-    called = rows.where("canonical = 'expression:call' and not nested and callee <> ''").select(fragment_id, F.col("node_id").alias("pos"), "callee", "context")
-    bags = node_features(rows, nodes).select(fragment_id, "feature", "cnt").unionByName(ordered_statements(statements)).unionByName(call_slots(called))
-    literal = F.when(F.col("canonical").startswith("literal:") & ~F.col("nested"), F.sha2(F.concat("canonical", F.lit("\x00"), F.coalesce("text", F.lit(""))).cast("binary"), 256))
-    digests = F.transform(F.array_sort(F.collect_list(F.when(literal.isNotNull(), F.struct("node_id", literal.alias("d"))))), lambda x: x["d"])
-    layers = rows.where("not nested").join(_receives(nodes), ["path", "node_id"]).groupBy(fragment_id).agg(F.count("*").alias("layers"))
-    facts = rows.groupBy("path", "fragment").agg(F.count("*").alias("tokens"), F.count(F.when(F.col("nested"), 1)).alias("nested_count"), digests.alias("literal_digests"))
-    facts = facts.withColumn("fragment_id", fragment_id).join(layers, "fragment_id", "left").na.fill(0, ["layers"])
-    return bags, facts.select("fragment_id", "path", F.col("fragment").alias("node_id"), (F.col("tokens") + F.col("layers")).alias("token_count"), "nested_count", "literal_digests")
-
-
 def parse_diagnostics(nodes: DataFrame, limit: int = 5) -> DataFrame:
     """(path, total, first) of files with error or missing nodes: how many, and the first ones in document order.
 
@@ -288,28 +242,33 @@ def parse_diagnostics(nodes: DataFrame, limit: int = 5) -> DataFrame:
     narrowest = F.min_by(at, F.struct(F.col("end_byte") - F.col("start_byte"), F.col("node_id")))
     found = nodes.where(bad | F.col("has_error")).groupBy("path").agg(*counts, narrowest.alias("narrowest"))
     none = F.col("total") == 0
-    return found.select("path", F.when(none, 1).otherwise(F.col("total")).cast("long").alias("total"), F.when(none, F.array("narrowest")).otherwise(F.col("first")).alias("first"))
+    total = F.when(none, 1).otherwise(F.col("total")).cast("long")
+    return found.select("path", total.alias("total"), F.when(none, F.array("narrowest")).otherwise(F.col("first")).alias("first"))
 
 
-def annotate_nesting(fragments: DataFrame) -> DataFrame:
-    """Adds parent_id, the smallest fragment of the file that strictly holds this one, and nesting_depth.
+def drop_invalid(fragments: DataFrame, nodes: DataFrame, min_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(fragments without errors and of ``min_tokens`` or more, per file below_floor and skipped counts).
 
-    Equal spans never nest, blocks are not parents of blocks; of equally small ones the first fragment_id is taken.
-    Fragments are joined within their file only.
+    Both tables carry intervals: ``node_id`` and ``last_id``, the last node of the tree below. A fragment is hurt if an
+    error or missing node is in its tree or above it, however wide that node is. Per file one sweep in document order: bad
+    nodes up to a place are a running count, and the end of what is below a bad node a running maximum.
     """
-    span = lambda p: F.col(f"{p}.end_byte") - F.col(f"{p}.start_byte")
-    l, r = fragments.alias("l"), fragments.select("fragment_id", "path", "kind", "start_byte", "end_byte").alias("r")
-    inside = (F.col("l.path") == F.col("r.path")) & (F.col("r.start_byte") <= F.col("l.start_byte")) & (F.col("r.end_byte") >= F.col("l.end_byte")) & (span("r") > span("l")) & ~((F.col("l.kind") == "block") & (F.col("r.kind") == "block"))
-    held = l.join(r, inside).groupBy(F.col("l.fragment_id").alias("fragment_id")).agg(F.min_by(F.col("r.fragment_id"), F.struct(span("r"), F.col("r.fragment_id"))).alias("parent_id"), F.count("*").alias("nesting_depth"))
-    return fragments.join(held, "fragment_id", "left").na.fill({"nesting_depth": 0})
-
-
-def drop_invalid(fragments: DataFrame, nodes: DataFrame, min_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(fragments without errors and of ``min_tokens`` or more, per file below_floor and skipped counts)."""
-    bad = nodes.where("is_error or is_missing").select("path", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-    meets = (F.col("f.path") == F.col("b.path")) & (F.col("b.s") < F.col("f.end_byte")) & (F.col("b.e") > F.col("f.start_byte"))
-    hurt = fragments.alias("f").join(bad.alias("b"), meets, "left_semi").select("fragment_id").withColumn("hurt", F.lit(True))
-    marked = fragments.join(hurt, "fragment_id", "left").withColumn("hurt", F.coalesce("hurt", F.lit(False)))
+    bad = nodes.where("is_error or is_missing").select("path", "node_id", F.col("last_id").alias("reach"))
+    ends = F.explode(F.array(
+        F.struct(F.col("node_id").alias("at"), F.lit(0).alias("turn"), F.lit(True).alias("opens")),
+        F.struct(F.col("last_id").alias("at"), F.lit(2).alias("turn"), F.lit(False).alias("opens")),
+    ))
+    marks = fragments.select("path", "fragment_id", ends.alias("e")).select("path", "fragment_id", "e.*", F.lit(None).cast("long").alias("reach"))
+    marks = marks.unionByName(bad.select(
+        "path", F.lit(None).cast(fragments.schema["fragment_id"].dataType).alias("fragment_id"), F.col("node_id").alias("at"),
+        F.lit(1).alias("turn"), F.lit(None).cast("boolean").alias("opens"), F.col("reach").cast("long"),
+    ))
+    before = Window.partitionBy("path").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.withColumn("n", F.count("reach").over(before)).withColumn("below", F.max("reach").over(before) >= F.col("at"))
+    swept = swept.where("opens is not null").groupBy("fragment_id").agg(
+        (F.max("n") > F.min("n")).alias("inside"), F.bool_or(F.col("opens") & F.coalesce("below", F.lit(False))).alias("under"))
+    hurt = swept.select("fragment_id", (F.col("inside") | F.col("under")).alias("hurt"))
+    marked = fragments.join(hurt, "fragment_id", "left")
     low = ~F.col("hurt") & (F.col("token_count") < min_tokens)
     counts = marked.groupBy("path").agg(F.count(F.when(low, 1)).alias("below_floor"), F.count(F.when(F.col("hurt"), 1)).alias("skipped"))
     return marked.where(~F.col("hurt") & (F.col("token_count") >= min_tokens)).drop("hurt"), counts

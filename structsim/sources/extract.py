@@ -1,35 +1,52 @@
-"""Files parsed into the node table, per batch of files; a file that cannot be parsed gives a warning row.
+"""Files parsed into nodes, file after file in document order; a file that cannot be parsed gives a warning row.
 
-Spans are byte offsets in the UTF-8 file. A file is one record, bounded by the size limit of discovery.
+Spans are byte offsets in the UTF-8 file. A file is one record, bounded by the size limit of discovery; its nodes are
+handed on in slices, and files come in batches that are bounded by bytes.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 NODES = (
-    "path string, node_id long, parent_id long, child_idx int, kind string, is_named boolean, field string, text string, start_byte int, end_byte int, "
-    "start_line int, end_line int, is_error boolean, is_missing boolean, is_extra boolean, warning string"
+    "path string, node_id long, parent_id long, child_idx int, kind string, is_named boolean, field string, text string, "
+    "start_byte int, end_byte int, start_line int, end_line int, is_error boolean, is_missing boolean, is_extra boolean, "
+    "warning string"
 )
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in NODES.split(", "))])
+#: Bytes of files in a batch, but for a single larger one, and nodes that are handed on at a time.
+BATCH_BYTES, SLICE = 4 << 20, 4096
 # Kinds of Python's own syntax classes.
 PYTHON_KINDS = {
     "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "Lambda": "lambda",
-    "If": "if_statement", "IfExp": "conditional_expression", "For": "for_statement", "While": "while_statement", "Call": "call",
-    "Return": "return_statement", "Raise": "raise_statement", "Try": "try_statement", "Break": "break_statement", "Continue": "continue_statement",
-    "Assign": "assignment", "AugAssign": "augmented_assignment", "Name": "identifier", "Attribute": "member_expression", "Subscript": "subscript",
-    "BinOp": "binary_operator", "BoolOp": "boolean_operator", "Compare": "comparison_operator", "UnaryOp": "unary_operator",
-    "List": "list", "Tuple": "tuple", "Dict": "dictionary", "Set": "set", "arguments": "parameters", "arg": "parameter",
-    "Match": "match_statement", "Await": "await",
+    "If": "if_statement", "IfExp": "conditional_expression", "For": "for_statement", "While": "while_statement",
+    "Call": "call", "Return": "return_statement", "Raise": "raise_statement", "Try": "try_statement",
+    "Break": "break_statement", "Continue": "continue_statement", "Assign": "assignment",
+    "AugAssign": "augmented_assignment", "Name": "identifier", "Attribute": "member_expression",
+    "Subscript": "subscript", "BinOp": "binary_operator", "BoolOp": "boolean_operator",
+    "Compare": "comparison_operator", "UnaryOp": "unary_operator", "List": "list", "Tuple": "tuple",
+    "Dict": "dictionary", "Set": "set", "arguments": "parameters", "arg": "parameter", "Match": "match_statement",
+    "Await": "await",
 }
+# Fields of Python's syntax classes, and lists of statements, which are a block each but in a module.
 _FIELDS = {
-    "func": "function", "args": "arguments", "test": "condition", "body": "body", "orelse": "alternative", "left": "left", "right": "right",
-    "value": "value", "slice": "index",
+    "func": "function", "args": "arguments", "test": "condition", "body": "body", "orelse": "alternative", "left": "left",
+    "right": "right", "value": "value", "slice": "index",
 }
-_UNSEEN = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+_BLOCKS = {"body": "body", "orelse": "alternative", "finalbody": "finalbody"}
+_TOKENS = {
+    "Add": "+", "Sub": "-", "Mult": "*", "Div": "/", "FloorDiv": "//", "Mod": "%", "Pow": "**", "BitAnd": "&",
+    "BitOr": "|", "BitXor": "^", "LShift": "<<", "RShift": ">>", "And": "and", "Or": "or", "Not": "not", "Eq": "==",
+    "NotEq": "!=", "Lt": "<", "LtE": "<=", "Gt": ">", "GtE": ">=", "In": "in", "NotIn": "not in", "Is": "is",
+    "IsNot": "is not", "UAdd": "+", "USub": "-", "Invert": "~",
+}
+_UNSEEN = (ast.expr_context,)
+_OPERATORS = (ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 _WITH_TEXT = ("identifier", "member_expression", "number", "string", "boolean", "none")
 
 
@@ -45,64 +62,105 @@ def _line_starts(source: bytes) -> list[int]:
     return starts
 
 
-def python_nodes(path: str, source: str) -> list[tuple]:
+class _Block:
+    """A list of statements."""
+
+    def __init__(self, statements: list[ast.stmt]):
+        self.statements = statements
+
+
+def _below(node: ast.AST | _Block | str) -> list[tuple]:
+    """What a node holds, in order, with fields: nodes, blocks, names, and operators as tokens."""
+    if isinstance(node, _Block):
+        return [(s, None) for s in node.statements]
+    if isinstance(node, str) or isinstance(node, _OPERATORS):
+        return []
+    out: list[tuple] = [(node.name, "name")] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else []
+    for name, value in ast.iter_fields(node):
+        found = value if isinstance(value, list) else [value]
+        if name in _BLOCKS and not isinstance(node, ast.Module) and found and all(isinstance(c, ast.stmt) for c in found):
+            branch = "consequence" if isinstance(node, ast.If) and name == "body" else _BLOCKS[name]
+            out.append((_Block(found), branch))
+        else:
+            out += [(c, _FIELDS.get(name)) for c in found if isinstance(c, ast.AST) and not isinstance(c, _UNSEEN)]
+    return out
+
+
+def python_nodes(path: str, source: str) -> Iterator[tuple]:
     """Node rows of one Python source, parents before children."""
     raw = source.encode()
     starts = _line_starts(raw)
-    rows: list[tuple] = []
-    work: list[tuple[ast.AST | str, int | None, int, str | None]] = [(ast.parse(source), None, 0, None)]
-    span = (0, len(raw), 1, max(1, len(starts) - 1))
-    spans = [span]
+    whole = (0, len(raw), 1, max(1, len(starts) - 1))
+
+    def span_of(first: ast.AST, last: ast.AST) -> tuple[int, int, int, int]:
+        begin = starts[first.lineno - 1] + first.col_offset
+        return begin, starts[last.end_lineno - 1] + last.end_col_offset, first.lineno, last.end_lineno
+
+    here = 0
+    work: list[tuple] = [(ast.parse(source), None, 0, None, whole)]
     while work:
-        node, up, k, field = work.pop()
-        here = len(rows)
-        span = spans[up] if up is not None else span
-        if isinstance(node, str):  # a function's name
-            rows.append((path, here, up, k, "identifier", True, field, node, *span, False, False, False, None))
-            spans.append(span)
-            continue
-        kind = _constant(node) if isinstance(node, ast.Constant) else PYTHON_KINDS.get(type(node).__name__, type(node).__name__.lower())
-        if hasattr(node, "lineno"):
-            span = (starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset, node.lineno, node.end_lineno)
-        text = raw[span[0] : span[1]].decode(errors="replace") if kind in _WITH_TEXT else ""
-        rows.append((path, here, up, k, kind, True, field, text, *span, False, False, False, None))
-        spans[here:] = [span]
-        below: list[tuple[ast.AST | str, str]] = [(node.name, "name")] if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else []
-        for name, value in ast.iter_fields(node):
-            found = value if isinstance(value, list) else [value]
-            below += [(c, _FIELDS.get(name)) for c in found if isinstance(c, ast.AST) and not isinstance(c, _UNSEEN)]
-        work += [(child, here, n, name) for n, (child, name) in enumerate(below)][::-1]
-    return rows
-
-
-def line_nodes(path: str, source: str) -> list[tuple]:
+        node, up, k, field, span = work.pop()
+        named, text = True, ""
+        if isinstance(node, str):
+            kind, text = "identifier", node
+        elif isinstance(node, _Block):
+            kind, span = "block", span_of(node.statements[0], node.statements[-1])
+        elif isinstance(node, _OPERATORS):
+            kind, named = _TOKENS.get(type(node).__name__, type(node).__name__.lower()), False
+        else:
+            own = type(node).__name__
+            kind = _constant(node) if isinstance(node, ast.Constant) else PYTHON_KINDS.get(own, own.lower())
+            span = span_of(node, node) if hasattr(node, "lineno") else span
+            text = raw[span[0] : span[1]].decode(errors="replace") if kind in _WITH_TEXT else ""
+        yield path, here, up, k, kind, named, field, text, *span, False, False, False, None
+        work += [(child, here, n, name, span) for n, (child, name) in enumerate(_below(node))][::-1]
+        here += 1
+
+
+def line_nodes(path: str, source: str) -> Iterator[tuple]:
     """A plain text as a document with a node per line."""
     lines = source.split("\n")
     sizes = [len(line.encode()) for line in lines]
-    rows: list[tuple] = [(path, 0, None, 0, "document", True, None, "", 0, sum(sizes) + len(lines) - 1, 1, len(lines), False, False, False, None)]
+    end = sum(sizes) + len(lines) - 1
+    yield path, 0, None, 0, "document", True, None, "", 0, end, 1, len(lines), False, False, False, None
     at = 0
     for k, (line, size) in enumerate(zip(lines, sizes, strict=True)):
-        rows.append((path, k + 1, 0, k, "line", True, None, line, at, at + size, k + 1, k + 1, False, False, False, None))
+        yield path, k + 1, 0, k, "line", True, None, line, at, at + size, k + 1, k + 1, False, False, False, None
         at += size + 1
-    return rows
 
 
-EXTRACTORS = {"python": python_nodes, "text": line_nodes}
+Reader = Callable[[str, str], Iterator[tuple]]
+EXTRACTORS: dict[str, Reader] = {"python": python_nodes, "text": line_nodes}
+
 
+def extract_nodes(files: DataFrame, extractor: str | Reader = "python") -> DataFrame:
+    """The nodes of files (path, content); rows with a ``warning`` stand for files that could not be parsed.
 
-def extract_nodes(files: DataFrame, extractor: str = "python") -> DataFrame:
-    """The nodes of files (path, content); rows with a ``warning`` stand for files that could not be parsed."""
-    read = EXTRACTORS[extractor]
+    ``extractor``: a name, or a function from path and text to node rows.
+    """
+    read = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODES.split(", ")]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows += read(path, content or "")
+                    # a file that fails half way gives none of its nodes
+                    rows = list(read(path, content or ""))
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
+                    rows = [(path, *[None] * (len(_SCHEMA) - 2), f"{type(e).__name__}: {e}")]
+                for row in rows:
+                    held.append(row)
+                    if len(held) == SLICE:
+                        yield _batch(held)
+                        held = []
+        if held:
+            yield _batch(held)
+
+    return files.select("path", "content").mapInArrow(parse, NODES)
+
 
-    return files.select("path", "content").mapInPandas(parse, NODES)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
