@@ -5,21 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` and reads it back.
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``.
 
-    What reads it several times then computes it once, lineage ends there, and lost executors cost no recomputation.
     Where the setting is absent only a local master gets a temporary folder; elsewhere that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet to a ``fresh_folder`` and reads it back.
+
+    What reads it several times then computes it once, lineage ends there, and lost executors cost no recomputation.
+    """
+    spark = df.sparkSession
+    path = fresh_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

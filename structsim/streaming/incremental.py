@@ -1,10 +1,22 @@
-"""A stream of changed files, scored against profiles of an existing corpus."""
+"""A stream of changed files against a corpus that follows it: a log of bags with versions and tombstones.
+
+The log is a folder. ``gen=n`` holds the corpus as it was after batch n (-1: at the start): the newest version of every
+path, its bag, the prefix of its bag that a partner must share a feature of, how rare features are, and the findings
+among these versions. ``delta=k`` holds what batch k changed. What a batch sees is merged when it is read: paths that
+deltas have changed hide their rows in the generation, so the generation is neither shuffled nor written for a batch.
+After ``every`` deltas the next batch first merges them into a new generation, whose rarity is counted anew; all prefixes
+of a generation and its deltas are in the order of its rarity.
+
+Batch k reads generations and deltas of earlier batches only and writes its own delta anew, so a batch that runs again
+after a failure changes nothing. A version that is not above its path's newest one comes late and is left out; of equal
+versions in a batch a deletion counts, then the greater text.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,87 +24,220 @@ from structsim.operators import bags as B
 from structsim.operators import simjoin as J
 from structsim.sources.storage import stored
 
+TABLES = {
+    "heads": "path string, version long, deleted boolean",
+    "bags": "path string, version long, feature string, cnt int",
+    "prefixes": "path string, version long, fc long, feature string, before long",
+    "rarity": "feature string, df long",
+    "findings": "left_path string, left_version long, right_path string, right_version long, score double",
+}
 
-def newest(changes: DataFrame) -> DataFrame:
-    """The newest version of each path (path, version, text, and other columns)."""
-    rest = F.struct(*[c for c in changes.columns if c != "path"])
-    return changes.groupBy("path").agg(F.max_by(rest, "version").alias("r")).select("path", "r.*")
 
+def _names(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table].split(", ")]
 
-@dataclass
-class CorpusIndex:
-    """What batches are matched with, stored once: the corpus's bags, sizes and prefixes, and how rare its features are."""
-
-    threshold: float
-    bags: DataFrame  # path, feature, cnt
-    sizes: DataFrame  # path, fc
-    rarity: DataFrame  # feature, df
-    prefixes: DataFrame  # path, fc, feature, before
 
-
-def _prefixes(bags: DataFrame, sizes: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
-    """(path, fc, feature, before) of the features, rarest in the corpus first, that a partner must share one of."""
-    order = Window.partitionBy("path").orderBy("df", "feature")
-    before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    full = bags.join(rarity, "feature", "left").na.fill(0, ["df"]).join(sizes, "path").withColumn("before", before)
-    spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
-    return full.where(F.col("before") <= spare).select("path", "fc", "feature", "before")
+def newest(changes: DataFrame) -> DataFrame:
+    """The newest version of each path: path, version, text, deleted."""
+    if "deleted" not in changes.columns:
+        changes = changes.withColumn("deleted", F.lit(False))
+    row = F.struct(F.col("version").cast("long").alias("version"), F.coalesce("deleted", F.lit(False)).alias("deleted"), "text")
+    return changes.where("path is not null and version is not null").groupBy("path").agg(F.max(row).alias("r")).select("path", "r.*")
 
 
-def _bags(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = B.word_bags(files, "path").withColumnRenamed("fragment_id", "path")
-    return own, own.groupBy("path").agg(F.sum("cnt").alias("fc"))
+def _bags(files: DataFrame) -> DataFrame:
+    """(path, version, feature, cnt) of live files (path, version, text, deleted)."""
+    own = B.word_bags(files.where("not deleted").withColumn("id", F.struct("path", "version")), "id")
+    return own.select("fragment_id.*", "feature", "cnt")
 
 
-def build_index(corpus: DataFrame, threshold: float) -> CorpusIndex:
-    """The index of a corpus (path, text), for one threshold."""
-    own, sizes = _bags(corpus)
-    own = stored(own, "corpus-bags")
-    sizes = stored(own.groupBy("path").agg(F.sum("cnt").alias("fc")), "corpus-sizes")
-    rarity = stored(own.groupBy("feature").agg(F.count("*").alias("df")), "corpus-rarity")
-    return CorpusIndex(threshold, own, sizes, rarity, stored(_prefixes(own, sizes, rarity, threshold), "corpus-prefixes"))
+def _prefixes(bags: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """The features, rarest first, that a partner must share one of, each with the weight before it.
 
+    Features that ``rarity`` does not have are the rarest, so one order holds for a generation and all its deltas.
+    """
+    own = Window.partitionBy("path", "version")
+    order = own.orderBy("df", "feature")
+    before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = bags.join(rarity, "feature", "left").na.fill(0, ["df"])
+    full = full.withColumn("before", before).withColumn("fc", F.sum("cnt").over(own))
+    spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
+    return full.where(F.col("before") <= spare).select("path", "version", "fc", "feature", "before")
 
-def findings(changed: DataFrame, index: CorpusIndex) -> DataFrame:
-    """(path, version, other_path, score) of changed files (path, version, text) against all others.
 
-    Changed files replace their old version in the corpus and are the focus: only they are read and only their pairs are
-    scored. Features that the corpus does not have count as its rarest, so one order holds for both sides.
-    """
-    t = index.threshold
-    own, sizes = _bags(changed)
-    own = stored(own, "changed-bags")
-    sizes = own.groupBy("path").agg(F.sum("cnt").alias("fc"))
-    pre = stored(_prefixes(own, sizes, index.rarity, t), "changed-prefixes")
-    gone = changed.select("path")
-    others = index.prefixes.join(gone, "path", "left_anti").unionByName(pre)
+def _met(changed: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of prefixes that may reach the threshold, each once: l_id, r_id (path and version), l_fc, r_fc."""
+    t = threshold
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("l.fc") + F.col("r.fc")) - F.lit(1e-6))
     left = F.least(F.col("l.fc") - F.col("l.before"), F.col("r.fc") - F.col("r.before"))
     near = F.least("l.fc", "r.fc").cast("double") / F.greatest("l.fc", "r.fc") >= t
     on = (F.col("l.feature") == F.col("r.feature")) & (F.col("l.path") != F.col("r.path")) & near & (left >= need)
-    sides = [F.col(f"{a}.{b}").alias(f"{a}_{c}") for b, c in (("path", "id"), ("fc", "fc")) for a in ("l", "r")]
-    met = pre.alias("l").join(others.alias("r"), on).select(*sides).distinct()
-    bags = index.bags.join(gone, "path", "left_anti").unionByName(own).withColumnRenamed("path", "profile_id")
-    scored = J.weighted_jaccard(met, bags, t)
-    return scored.select(F.col("l_id").alias("path"), F.col("r_id").alias("other_path"), "score").join(changed.select("path", "version"), "path").select("path", "version", "other_path", "score")
+    side = lambda a: F.struct(F.struct(F.col(f"{a}.path").alias("path"), F.col(f"{a}.version").alias("version")).alias("id"), F.col(f"{a}.fc").alias("fc"))
+    pairs = changed.alias("l").join(others.alias("r"), on).select(side("l").alias("a"), side("r").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).distinct()
+    return pairs.select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), F.col("l.fc").alias("l_fc"), F.col("r.fc").alias("r_fc"))
 
 
-def incremental_scan(stream: DataFrame, corpus: DataFrame, threshold: float, sink: str, checkpoint: str) -> StreamingQuery:
-    """Appends the findings of every micro-batch to ``sink``, each with its ``batch``.
+def _scored(met: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    found = J.weighted_jaccard(met, bags.select(F.struct("path", "version").alias("profile_id"), "feature", "cnt"), threshold)
+    ends = [F.col(f"{a}_id.{c}").alias(f"{side}_{c}") for a, side in (("l", "left"), ("r", "right")) for c in ("path", "version")]
+    return found.select(*ends, "score")
 
-    The corpus is indexed once, when the stream starts. A batch that runs again after a failure writes its own folder anew,
-    so findings are there once. A result for a version that is no longer the newest can be told by ``version``;
-    ``current_findings`` leaves those out.
-    """
-    index = build_index(corpus, threshold)
 
-    def score(batch: DataFrame, number: int) -> None:
-        findings(stored(newest(batch), "batch"), index).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+@dataclass(frozen=True)
+class CorpusLog:
+    """The log in a folder, for one threshold. One stream writes it; its checkpoint and the folder belong together."""
 
-    return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).start()
-
-
-def current_findings(found: DataFrame) -> DataFrame:
-    """The findings of each path's newest version."""
-    last = found.groupBy("path").agg(F.max("version").alias("version"))
-    return found.join(last, ["path", "version"], "left_semi")
+    spark: SparkSession
+    folder: str
+    threshold: float
+    every: int = 16
+
+    # --- files --------------------------------------------------------------------------------------------------------
+    def _path(self, part: str, table: str = "") -> str:
+        return f"{self.folder.rstrip('/')}/{part}/{table}".rstrip("/")
+
+    def _write(self, df: DataFrame, part: str, table: str) -> None:
+        df.select(*_names(table)).write.mode("overwrite").parquet(self._path(part, table))
+
+    def _read(self, table: str, *parts: str) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*(self._path(p, table) for p in parts))
+
+    def _file(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def built(self) -> bool:
+        files, at = self._file(self._path("gen=-1", "findings/_SUCCESS"))
+        return files.exists(at)
+
+    def _remove(self, part: str) -> None:
+        files, at = self._file(self._path(part))
+        files.delete(at, True)
+
+    # --- state --------------------------------------------------------------------------------------------------------
+    def view(self, batch: int) -> View:
+        """What ``batch`` sees: the last generation before it, and the deltas since."""
+        n = max(batch, 0) // self.every * self.every - 1
+        return View(self, n, range(n + 1, batch))
+
+    def after(self, batch: int) -> View:
+        """What there is after ``batch``, -1 being the start."""
+        n = self.view(batch).generation
+        return View(self, n, range(n + 1, batch + 1))
+
+    def build(self, corpus: DataFrame) -> None:
+        """Generation -1: a corpus (path, text, and version where it has one, else 0) and the findings among it."""
+        if "version" not in corpus.columns:
+            corpus = corpus.withColumn("version", F.lit(0).cast("long"))
+        files = stored(newest(corpus), "corpus")
+        self._write(files, "gen=-1", "heads")
+        self._write(_bags(files), "gen=-1", "bags")
+        self._index("gen=-1")
+        pre = self._read("prefixes", "gen=-1")
+        met = stored(_met(pre, pre, self.threshold), "met")
+        self._write(_scored(met, self._read("bags", "gen=-1"), self.threshold), "gen=-1", "findings")
+
+    def _index(self, part: str) -> None:
+        """Counts rarity and makes prefixes anew from a generation's bags."""
+        bags = self._read("bags", part)
+        self._write(bags.groupBy("feature").agg(F.count("*").alias("df")), part, "rarity")
+        self._write(_prefixes(bags, self._read("rarity", part), self.threshold), part, "prefixes")
+
+    def current_heads(self, batch: int) -> DataFrame:
+        """(path, version) of the files that there are after ``batch``."""
+        return self.after(batch).heads().where("not deleted").select("path", "version")
+
+    def current_findings(self, batch: int) -> DataFrame:
+        """All pairs of newest versions that reach the threshold, after ``batch``."""
+        return self.after(batch).findings()
+
+    # --- changes ------------------------------------------------------------------------------------------------------
+    def apply(self, changes: DataFrame, batch: int) -> None:
+        """Logs a batch of changes (path, version, text, and deleted where there are deletions) and its findings."""
+        if batch and batch % self.every == 0:
+            self._merge(batch)
+        part, view = f"delta={batch}", self.view(batch)
+        rows = stored(newest(changes), "changes")
+        seen = view.heads().select("path", F.col("version").alias("seen"))
+        late = seen.join(rows.select("path", "version"), "path").where("seen >= version").select("path")
+        rows = stored(rows.join(late, "path", "left_anti"), "changed")
+        self._write(rows, part, "heads")
+        self._write(_bags(rows), part, "bags")
+        own, rarity = self._read("bags", part), self._read("rarity", f"gen={view.generation}")
+        self._write(_prefixes(own, rarity, self.threshold), part, "prefixes")
+        pre, gone = self._read("prefixes", part), rows.select("path")
+        others = view.live("prefixes").join(gone, "path", "left_anti").unionByName(pre)
+        met = stored(_met(pre, others, self.threshold), "met")
+        bags = view.live("bags").join(gone, "path", "left_anti").unionByName(own)
+        self._write(_scored(met, bags, self.threshold), part, "findings")
+
+    def _merge(self, batch: int) -> None:
+        """What ``batch`` would see, as a generation.
+
+        The generation before it and its deltas stay, as a rerun of this batch reads them; older ones go.
+        """
+        n, part = batch - 1, f"gen={batch - 1}"
+        view = View(self, n - self.every, range(n - self.every + 1, batch))
+        self._write(view.heads(), part, "heads")
+        self._write(view.live("bags"), part, "bags")
+        self._write(view.findings(), part, "findings")
+        self._index(part)
+        if view.generation >= 0:
+            self._remove(f"gen={view.generation - self.every}")
+            for k in range(view.generation - self.every + 1, view.generation + 1):
+                self._remove(f"delta={k}")
+
+
+@dataclass(frozen=True)
+class View:
+    """A generation with deltas on top, merged as it is read."""
+
+    log: CorpusLog
+    generation: int
+    deltas: range
+
+    def _base(self, table: str) -> DataFrame:
+        return self.log._read(table, f"gen={self.generation}")
+
+    def _changes(self, table: str) -> DataFrame:
+        return self.log._read(table, *(f"delta={k}" for k in self.deltas))
+
+    def fresh(self) -> DataFrame:
+        """The newest state of the paths that deltas changed; no more of them than rows of the deltas."""
+        states = self._changes("heads").groupBy("path").agg(F.max(F.struct("version", "deleted")).alias("r"))
+        return states.select("path", "r.*")
+
+    def heads(self) -> DataFrame:
+        """The newest state of every path, deletions included: late versions of a deleted path are told by it."""
+        fresh = self.fresh()
+        return self._base("heads").join(fresh, "path", "left_anti").unionByName(fresh)
+
+    def live(self, table: str) -> DataFrame:
+        """Rows of bags or prefixes of the newest versions."""
+        fresh = self.fresh()
+        new = self._changes(table).join(fresh.where("not deleted"), ["path", "version"], "left_semi")
+        return self._base(table).join(fresh, "path", "left_anti").unionByName(new)
+
+    def findings(self) -> DataFrame:
+        """Found pairs whose sides are both the newest versions."""
+        found, fresh = self._base("findings").unionByName(self._changes("findings")), self.fresh()
+        for side in ("left", "right"):
+            now = fresh.select(F.col("path").alias(f"{side}_path"), F.col("version").alias("v"), F.col("deleted").alias("d"))
+            same = F.col("v").isNull() | ((F.col("v") == F.col(f"{side}_version")) & ~F.col("d"))
+            found = found.join(now, f"{side}_path", "left").where(same).drop("v", "d")
+        return found.select(*_names("findings"))
+
+
+def incremental_scan(stream: DataFrame, corpus: DataFrame, threshold: float, folder: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Keeps a log in ``folder`` of a corpus and of the stream's changes, with the findings of each micro-batch.
+
+    The corpus is logged when the stream first starts. ``CorpusLog(...).current_findings(k)`` gives the state after batch
+    k, whichever batches ran twice.
+    """
+    log = CorpusLog(corpus.sparkSession, folder, threshold, every)
+    if not log.built():
+        log.build(corpus)
+    return stream.writeStream.foreachBatch(log.apply).option("checkpointLocation", checkpoint).start()

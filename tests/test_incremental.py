@@ -4,31 +4,105 @@ from collections import Counter
 from structsim.operators import report as R
 from structsim.streaming import incremental as I
 
+CHANGE = "path string, version long, text string, deleted boolean"
 
-def test_stream_scores_the_newest_version(spark, tmp_path):
-    corpus = spark.createDataFrame([("a", "x y z w"), ("b", "x y z w v"), ("c", "q r s t")], "path string, text string")
-    source = f"file://{tmp_path}/in"
-    spark.createDataFrame([("c", 1, "x x x x"), ("c", 2, "x y z w"), ("d", 1, "q r s t")], "path string, version long, text string").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("path string, version long, text string").parquet(source)
-    q = I.incremental_scan(stream, corpus, 0.75, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
-    q.processAllAvailable()
-    q.stop()
-    got = I.current_findings(spark.read.parquet(f"file://{tmp_path}/out")).collect()
-    assert sorted((r["path"], r["version"], r["other_path"], r["score"]) for r in got) == [("c", 2, "a", 1.0), ("c", 2, "b", 0.8)]
 
+def bag(text):
+    return Counter(text.lower().split())
 
-def test_findings_equal_brute_force(spark):
-    rng = random.Random(4)
-    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))
-    corpus = {f"p{k}": text() for k in range(40)}
-    changed = {f"p{k}": text() + (" new" if k % 3 else "") for k in range(30, 50)}
-    index = I.build_index(spark.createDataFrame(list(corpus.items()), "path string, text string"), 0.6)
-    got = I.findings(spark.createDataFrame([(p, 1, t) for p, t in changed.items()], "path string, version long, text string"), index).collect()
-    bag = lambda t: Counter(t.split())
+
+def rescan(state, threshold):
+    """All pairs of what is there."""
     score = lambda a, b: sum((a & b).values()) / max(1, sum((a | b).values()))
-    now = {**corpus, **changed}
-    want = {(p, o): score(bag(t), bag(u)) for p, t in changed.items() for o, u in now.items() if o != p and score(bag(t), bag(u)) >= 0.6}
-    assert {(r["path"], r["other_path"]): r["score"] for r in got} == want and len(got) == len(want) > 10
+    paths, out = sorted(state), {}
+    for k, a in enumerate(paths):
+        for b in paths[k + 1 :]:
+            s = score(bag(state[a][1]), bag(state[b][1]))
+            if s >= threshold and bag(state[a][1]):
+                out[a, state[a][0], b, state[b][0]] = s
+    return out
+
+
+def found(log, batch):
+    rows = log.current_findings(batch).collect()
+    out = {(r["left_path"], r["left_version"], r["right_path"], r["right_version"]): r["score"] for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_log_equals_a_rescan_after_each_batch(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))
+    state = {f"p{k}": (0, text()) for k in range(24)}
+    log = I.CorpusLog(spark, f"file://{tmp_path}/log", 0.6, every=2)
+    log.build(spark.createDataFrame([(p, t) for p, (_, t) in state.items()], "path string, text string"))
+    assert found(log, -1) == rescan(state, 0.6) and len(rescan(state, 0.6)) > 3
+    tombs, batches = {}, []
+    for k in range(5):
+        rows = []
+        for _ in range(9):
+            path = f"p{rng.randrange(30)}"
+            seen = max(state.get(path, (-1,))[0], tombs.get(path, -1))
+            version = seen + rng.choice((-1, 0, 1, 2)) if seen >= 0 else 0
+            rows.append((path, version, text() + rng.choice(("", " new", f" only{k}")), rng.random() < 0.25))
+        rows += [(None, 1, "a", False), ("nul", None, "a", False)] if k == 1 else []
+        batches.append(rows)
+        fresh = {}
+        for path, version, t, gone in rows:
+            if path is not None and version is not None:
+                fresh[path] = max(fresh.get(path, (version, gone, t)), (version, gone, t))
+        for path, (version, gone, t) in fresh.items():
+            if version > max(state.get(path, (-1,))[0], tombs.get(path, -1)):
+                state.pop(path, None)
+                if gone:
+                    tombs[path] = version
+                else:
+                    state[path] = (version, t)
+        frame = spark.createDataFrame(rows, CHANGE).repartition(3)
+        log.apply(frame, k)
+        want = rescan(state, 0.6)
+        assert found(log, k) == want
+        assert {(r["path"], r["version"]) for r in log.current_heads(k).collect()} == {(p, v) for p, (v, _) in state.items()}
+        if k in (2, 4):  # batches that merge; they run again after a failure
+            log.apply(frame, k)
+            assert found(log, k) == want
+    assert tombs
+
+
+def test_findings_go_with_their_version(spark, tmp_path):
+    """c becomes equal to the new a and e to the old one; a later e has no findings; an old e comes late."""
+    log = I.CorpusLog(spark, f"file://{tmp_path}/log", 0.75)
+    log.build(spark.createDataFrame([("a", "x y z w"), ("b", "k l m n")], "path string, text string"))
+    step = lambda k, *rows: log.apply(spark.createDataFrame(rows, "path string, version long, text string"), k)
+    step(0, ("a", 1, "q r s t"))
+    step(1, ("c", 1, "q r s t"), ("e", 1, "x y z w"))
+    assert found(log, 1) == {("a", 1, "c", 1): 1.0}
+    step(2, ("e", 2, "q r s t"))
+    assert set(found(log, 2)) == {("a", 1, "c", 1), ("a", 1, "e", 2), ("c", 1, "e", 2)}
+    step(3, ("e", 3, "nothing like it"), ("a", 0, "k l m n"))
+    assert set(found(log, 3)) == {("a", 1, "c", 1)}
+    step(4, ("e", 2, "q r s t"))
+    assert set(found(log, 4)) == {("a", 1, "c", 1)} and set(found(log, 2)) == {("a", 1, "c", 1), ("a", 1, "e", 2), ("c", 1, "e", 2)}
+
+
+def test_stream_follows_its_changes(spark, tmp_path):
+    schema = "path string, version long, text string"
+    corpus = spark.createDataFrame([("a", "x y z w"), ("b", "x y z w v"), ("c", "q r s t")], "path string, text string")
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/log"
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        q = I.incremental_scan(stream, corpus, 0.75, folder, f"file://{tmp_path}/ck")
+        q.processAllAvailable()
+        q.stop()
+
+    log = I.CorpusLog(spark, folder, 0.75)
+    spark.createDataFrame([("c", 1, "x x x x"), ("c", 2, "x y z w"), ("d", 1, "q r s t")], schema).coalesce(1).write.parquet(source)
+    run()
+    assert found(log, 0) == {("a", 0, "b", 0): 0.8, ("a", 0, "c", 2): 1.0, ("b", 0, "c", 2): 0.8}
+    spark.createDataFrame([("a", 5, "q r s t")], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert found(log, 1) == {("b", 0, "c", 2): 0.8, ("a", 5, "d", 1): 1.0}
 
 
 def test_reports(spark):
