@@ -137,11 +137,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> Network | None:
     """Trains on documents (doc_id, text, lang) that are not held out and have a language.
 
-    The sample is bounded: at most ``per_language`` texts of each language, chosen by hash of the id and the text (equal rows count once), and
-    ``per_text`` windows of each, spread over the whole text. None if there is no labelled text.
+    The sample is bounded: at most ``per_language`` texts of each language, chosen by hash of the id and the text, and
+    ``per_text`` windows of each, spread over the whole text. Equal rows count once, in the sample and in the number of a
+    language's texts that its share is worked out from. None if there is no labelled text.
     """
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = F.approx_count_distinct(F.xxhash64("doc_id", "text", "lang"), 0.05).alias("n")
+    counts = {r["lang"]: max(1, r["n"]) for r in labelled.groupBy("lang").agg(distinct).collect()}
     if not counts:
         return None
     scale = 1 << 30
@@ -164,7 +166,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_T
             yield pa.record_batch([pa.array(rows["drawn"], pa.int64()), pa.array(rows["turn"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["lang"], pa.string()), pa.array(rows["windows"], pa.binary())], names=list(rows))
 
     made = picked.mapInArrow(windows, "drawn long, turn long, doc_id long, lang string, windows binary").dropDuplicates(["drawn"])
-    # Turns as shares of the language's chance: the least are as many of each language. Twice the expected number bounds them.
+    # Turns as shares of the language's chance: the least are as many of each language. About half as many again are
+    # expected as are taken; three times as many bound what is collected.
     got = made.orderBy(F.col("turn") / share[F.col("lang")], "drawn").limit(3 * per_language * len(counts)).collect()
     taken = dict.fromkeys(counts, 0)
     x, y, languages = [], [], sorted(counts)

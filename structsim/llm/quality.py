@@ -165,27 +165,33 @@ class Scorer:
         return np.where(s.n_words > 0, 1 / (1 + np.exp(-x)), 0.0), np.where(s.n_words > 0, label, 0.0)
 
 
+def _drawn(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each row's id and text."""
+    return chain(ids.fill_null(0).to_numpy().astype(np.uint64), range_hashes(data, offsets[:-1], offsets[1:]))
+
+
 def _pattern_counts(docs: DataFrame) -> pd.DataFrame:
-    """Patterns of all documents and their counts; at most 3 ** labellers rows."""
+    """Patterns of all documents, how many rows have them, and about how many different ones (id and text); at most
+    3 ** labellers rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, 0):
+            for at, to, data, offsets in text_slices(batch, 1):
                 s, _, _ = shape(data, offsets)
-                for p, n in zip(*np.unique(pattern(votes(s))[s.n_words > 0], return_counts=True), strict=True):
-                    total[int(p)] = total.get(int(p), 0) + int(n)
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
+                spoken = s.n_words > 0
+                drawn = _drawn(batch.column(0).slice(at, to - at), data, offsets).view(np.int64)
+                columns = [pa.array(pattern(votes(s))[spoken].astype(np.int64)), pa.array(drawn[spoken])]
+                yield pa.record_batch(columns, names=["pattern", "drawn"])
 
-    made = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return made.orderBy("pattern").toPandas()
+    made = docs.select("doc_id", "text").mapInArrow(seen, "pattern long, drawn long").groupBy("pattern")
+    return made.agg(F.count("*").alias("n"), F.approx_count_distinct("drawn", 0.05).alias("different")).orderBy("pattern").toPandas()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     """Weak labels from all of (doc_id, text), then the scorer from at most ``sample`` documents; None without words.
 
     Documents are drawn by hash of id and text, and rows equal in both count once, so a repeated or null id or a flood of
-    copies neither fills the sample nor reaches the driver.
+    copies neither fills nor empties the sample, nor reaches the driver.
     """
     counts = _pattern_counts(docs)
     if not len(counts):
@@ -194,8 +200,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     posterior = dict(zip(counts["pattern"].tolist(), good.tolist(), strict=True))
     # Both classes get half of the sample, whatever their shares are: the chance of a document goes by its pattern's class.
     is_good = good >= 0.5
-    per_class = {k: max(1, int(counts["n"].to_numpy()[is_good == k].sum())) for k in (False, True)}
-    chance = {p: min(1.0, sample / 2 / per_class[bool(g)]) for p, g in zip(counts["pattern"].tolist(), is_good, strict=True)}
+    # A class is as large as its different rows are many, as copies of a row are drawn together; half as many again as
+    # are wanted make up for the estimate.
+    per_class = {k: max(1, int(counts["different"].to_numpy()[is_good == k].sum())) for k in (False, True)}
+    chance = {p: min(1.0, 0.75 * sample / per_class[bool(g)]) for p, g in zip(counts["pattern"].tolist(), is_good, strict=True)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -204,7 +212,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
                 s, h, before = shape(data, offsets)
                 w, wb, g, gb, shares = features(data, offsets, s, h, before)
                 ids = batch.column(0).slice(at, to - at)
-                drawn = chain(pa.array(ids).fill_null(0).to_numpy().astype(np.uint64), range_hashes(data, offsets[:-1], offsets[1:]))
+                drawn = _drawn(ids, data, offsets)
                 turn = drawn.astype(np.float64) / 2.0**64
                 drawn = drawn.view(np.int64)
                 p = pattern(votes(s))

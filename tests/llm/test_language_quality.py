@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from structsim.llm import language_id as L
 from structsim.llm import quality as Q
@@ -109,3 +110,27 @@ def test_samples_do_not_follow_repeated_ids(spark, prose, monkeypatch):
     for doc in (1, 2, 3, 4, 5, 6):
         language_id.fit(spark.createDataFrame([(doc, t, "xx") for t in texts], "doc_id long, text string, lang string"), per_language=20, per_text=1)
     assert taken and all(10 <= n <= 20 for n in taken)
+
+
+def test_floods_of_one_row_empty_no_sample(spark, prose):
+    """One row many times, alone or beside others, good or bad, with an id or without."""
+    schema = "doc_id long, text string"
+    good, bad = " ".join(prose(60, 5)), "over and over again " * 40
+    flood = lambda text, doc: spark.range(100_000).select(F.lit(doc).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    assert Q.score_quality(flood(good, 7)).where("keep").count() == 100_000
+    others = [(k, " ".join(prose(60, k + 10))) for k in range(200)] + [(1000 + k, sound(k + 1).upper()) for k in range(30)]
+    beside = spark.createDataFrame(others, schema)
+    for text, doc in ((bad, 7), (good, None)):
+        got = Q.score_quality(beside.unionByName(flood(text, doc)))
+        assert got.where("doc_id < 1000 and doc_id <> 7 and keep").count() >= 195
+
+
+def test_a_flooded_language_takes_none_of_another(spark):
+    rows = [(k, t, lang) for k, t, lang in texts(400) if lang != "cc"]
+    flood = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(rows[0][1]).alias("text"), F.lit("aa").alias("lang"))
+    one = [(5, "\u044f \u0436 \u044e " * 30, "zz")]
+    docs = spark.createDataFrame(rows + one, "doc_id long, text string, lang string").unionByName(flood)
+    got = L.identify_languages(docs, per_language=50).where("doc_id <> 1").collect()
+    right = {d: lang for d, _, lang in rows}
+    assert len(got) == docs.where("doc_id <> 1").count()
+    assert np.mean([r["lang_pred"] == right[r["doc_id"]] for r in got if r["doc_id"] in right and r["doc_id"] != 5]) > 0.97
