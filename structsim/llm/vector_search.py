@@ -10,8 +10,9 @@ is bounded and no pair of rows is ever a row of a table. Equal vectors are searc
 vector only the k + 1 smallest ids can be among k nearest, and queries that share one share its answer.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those without an id or of another
-dimension than most (ties: the smaller one). Repeated rows count once. Ties in nearness go to the smaller vec_id. Extra
-columns are not read. An empty table gives no rows.
+dimension than most (ties: the smaller one). An id stands for one vector: of several usable rows with an id, the one with
+the smallest vector counts. Ties in nearness go to the smaller vec_id. Extra columns are not read. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -116,6 +117,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding) of the rows that take part, and their dimension (0 if there are none)."""
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0))
+    good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
     dimension = sizes[0]["d"] if sizes else 0
     return good.where(F.size("embedding") == dimension), dimension
@@ -125,6 +127,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, seed: int = SEED, qu
     """The k nearest other rows of each row that ``is_query`` (a condition on vec_id): query_id, rank, vec_id, score."""
     spark, folder = vectors.sparkSession, new_folder(vectors.sparkSession, "vector-search")
     good, d = usable(vectors)
+    good = written(good, folder, "rows")
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     least = Window.partitionBy("embedding").orderBy("vec_id")

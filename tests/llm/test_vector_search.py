@@ -54,6 +54,12 @@ def test_few_and_no_vectors(spark):
     assert V.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_an_id_stands_for_one_vector(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 1.0]), (3, [3.0, 1.0]), (3, [9.0, 9.0]), (4, [2.0, 5.0]), (4, [2.0, 5.0])]
+    got = V.nearest(spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(20, 1, 4, 6.0), (20, 2, 3, 2.5)]
+
+
 def test_estimates_stay_within_the_bound():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(3000, 64)), rng.normal(size=64)
