@@ -228,8 +228,9 @@ def group_literal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the numbers in similar documents differ."""
     from structsim.operators.features import literal_digests
 
-    _, _, pairs = _document_pairs(spark, sf_dir)
-    return G.literal_evidence(pairs, literal_digests(A.read(spark, sf_dir, "documents"), "doc_id", "text", "[0-9]+"))
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    literals = literal_digests(A.read(spark, sf_dir, "documents"), "doc_id", "text", "[0-9]+")
+    return G.profile_literal_evidence(similar, J.members(fragments, profs, "all"), literals)
 
 
 RULES = (("src1/**", 25), ("**/de/*.txt", 3))

@@ -26,12 +26,15 @@ ce as (select group_id as id, score as similarity, arg_min(left_path, left_key |
 old as (select id, left_path, right_path, 'intentional' as classification, 'seen' as note from ce where substr(id, 1, 1) < '8' union all select 'gone:' || substr(id, 1, 4), left_path, right_path, 'other', '' from ce where substr(id, 1, 1) = '0')"""
 
 
-def _current(spark: SparkSession, sf_dir: str, scope: str) -> tuple[DataFrame, DataFrame]:
-    """(entries of the current groups, path pairs)."""
-    fragments, _, pairs = _document_pairs(spark, sf_dir)
-    pairs = stored(pairs, "pairs")
-    places = stored(G.path_pairs(pairs, fragments), "places")
-    return stored(B.entries_from_groups(G.match_groups(pairs), places, scope), "entries"), places
+def _profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(similar profiles, profiles, members) of documents."""
+    fragments, _, profs, similar = _document_profiles(spark, sf_dir)
+    return similar, profs, stored(J.members(fragments, profs, "all"), "members")
+
+
+def _current(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
+    """Entries of the current groups."""
+    return stored(B.entries_from_profiles(*_profiles(spark, sf_dir), scope), "entries")
 
 
 def _reviewed(current: DataFrame) -> DataFrame:
@@ -44,20 +47,20 @@ def _reviewed(current: DataFrame) -> DataFrame:
 @query(f"{_CURRENT}{_ENTRIES} select id, similarity, left_path, left_key, right_path, right_key from pe")
 def baseline_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: path-scoped entries of the current groups."""
-    return _current(spark, sf_dir, "path")[0].drop("classification", "note")
+    return _current(spark, sf_dir, "path").drop("classification", "note")
 
 
 @query(f"{_CURRENT}{_ENTRIES} select ce.id, similarity, ce.left_path, ce.left_key, ce.right_path, ce.right_key, coalesce(classification, '') as classification, coalesce(note, '') as note from ce left join old using (id)")
 def baseline_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, B2: content-scoped entries with the metadata of earlier ones."""
-    current, _ = _current(spark, sf_dir, "content")
+    current = _current(spark, sf_dir, "content")
     return B.replaced(current, _reviewed(current), "content")
 
 
 @query(f"{_CURRENT}{_ENTRIES} select 'kept' as what, old.id from old join ce using (id) union all select 'stale', old.id from old anti join ce using (id)")
 def baseline_kept_and_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that are still there, and those that are not."""
-    current, _ = _current(spark, sf_dir, "content")
+    current = _current(spark, sf_dir, "content")
     old = _reviewed(current)
     kept = B.pruned(old, current, "content").select(F.lit("kept").alias("what"), "id")
     return kept.unionByName(B.stale(old, current, "content").select(F.lit("stale").alias("what"), "id"))
@@ -66,16 +69,16 @@ def baseline_kept_and_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CURRENT}{_ENTRIES} select (select count(*) from ce) as candidates, (select count(*) from ce anti join old using (id)) as new, (select count(*) from ce semi join old using (id)) as retained, (select count(distinct id) from old anti join ce using (id)) as removed")
 def baseline_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What replacing the baseline would do."""
-    current, _ = _current(spark, sf_dir, "content")
+    current = _current(spark, sf_dir, "content")
     return B.replacement_preview(_reviewed(current), current, "content")
 
 
 @query(f"{_CURRENT}{_ENTRIES}, gone as (select group_id from places semi join old on id = group_id) select (select count(*) from gone) as suppressed_pairs, (select count(distinct group_id) from gone) as suppressed_groups, (select count(*) from places) - (select count(*) from gone) as left_pairs")
 def baseline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that the baseline accepts, and the rest."""
-    current, places = _current(spark, sf_dir, "content")
-    rest, gone = B.suppress(places, _reviewed(current), "content")
-    return gone.crossJoin(rest.agg(F.count("*").alias("left_pairs")))
+    found = _profiles(spark, sf_dir)
+    current = stored(B.entries_from_profiles(*found, "content"), "entries")
+    return B.suppressed_counts(*found, _reviewed(current), "content")
 
 
 _SPANS = "select 'u' || user_id as path, (floor(epoch(ts))::bigint // 3600 % 5000 + 1)::int as start_line, (floor(epoch(ts))::bigint // 3600 % 5000 + 1 + floor(abs(value))::int % 7 - 1)::int as end_line from events where user_id is not null"
@@ -183,7 +186,8 @@ here as (select group_id, k from sides semi join top using (path))
 select h.group_id, h.k as location_key, coalesce((select string_agg(s.k, ',' order by s.k) from sides s where s.group_id = h.group_id and s.k <> h.k), '') as related from here h""")
 def path_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a path has in common with others, for the path with the most places."""
-    _, places = _current(spark, sf_dir, "content")
+    fragments, _, pairs = _document_pairs(spark, sf_dir)
+    places = stored(G.path_pairs(pairs, fragments), "places")
     both = places.select("group_id", F.explode(F.array(*[F.struct(F.col(f"{a}_key").alias("location_key"), F.col(f"{a}_path").alias("path")) for a in ("left", "right")])).alias("s")).select("group_id", "s.*")
     path = both.groupBy("path").count().orderBy(F.col("count").desc(), "path").first()["path"]
     return X.findings_for_path(both.distinct(), path).select("group_id", "location_key", F.array_join("related", ",").alias("related"))

@@ -13,6 +13,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structsim.functions.names import pair_id
+from structsim.operators.groups import with_location_key
+
 SCOPES = ("content", "path")
 # What a reviewer can call an accepted entry.
 CLASSIFICATIONS = ("", "intentional", "necessary-duplication", "test-fixture", "generated", "false-positive", "other")
@@ -44,6 +47,71 @@ def entries_from_groups(groups: DataFrame, places: DataFrame, scope: str) -> Dat
     return chosen.join(groups.select("group_id", "score"), "group_id").select(F.col("group_id").alias("id"), F.col("score").alias("similarity"), "left_path", "left_key", "right_path", "right_key", F.lit("").alias("classification"), F.lit("").alias("note"))
 
 
+def _ends(members: DataFrame, by: list[str], last: bool) -> DataFrame:
+    """Per profile (and path) its first two or last two places, ``one`` and ``two``: (location_key, path), two may be null."""
+    order = F.col("location_key").desc() if last else F.col("location_key")
+    own = Window.partitionBy("profile_id", *by).orderBy(order)
+    nth = with_location_key(members).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= 2)
+    side = F.struct("location_key", F.col("path").alias("at"))
+    picks = [F.max(F.when(F.col("nth") == k, side)).alias(name) for k, name in ((1, "one"), (2, "two"))]
+    return nth.groupBy("profile_id", *by).agg(*picks)
+
+
+def _sides(similar: DataFrame, profs: DataFrame, each: DataFrame) -> DataFrame:
+    """Pairs of profiles with their group_id and both sides' columns of ``each``, as l_* and r_*."""
+    prints = profs.select("profile_id", "fingerprint")
+    of = lambda a: each.join(prints, "profile_id").select(*[F.col(c).alias(f"{a}_{'id' if c == 'profile_id' else c}") for c in [*each.columns, "fingerprint"]])
+    pairs = similar.select("l_id", "r_id", "score").join(of("l"), "l_id").join(of("r"), "r_id")
+    return pairs.withColumn("group_id", pair_id("l_fingerprint", "r_fingerprint"))
+
+
+def entries_from_profiles(similar: DataFrame, profs: DataFrame, members: DataFrame, scope: str) -> DataFrame:
+    """``entries_from_groups`` without listing pairs of places, from pairs of profiles and fragments with ``profile_id``.
+
+    Of all pairs of a place a of one set and b of another, the first in order of the lesser place and then of the greater
+    is that of both sets' first places, and the last one that of their last places; within one set it is that of its
+    first or last two. Content scope needs two places of a profile, path scope two of a profile and path; only pairs of
+    paths are listed there, as each is an entry. Not for fragments among which blocks overlap.
+    """
+    if scope not in SCOPES:
+        raise BaselineError(f"scope must be one of {SCOPES}")
+    path = scope == "path"
+    both = _sides(similar, profs, _ends(members, ["path"] if path else [], path))
+    same = F.col("l_id") == F.col("r_id")
+    if path:
+        both = both.where(~same | (F.col("l_path") < F.col("r_path")) | ((F.col("l_path") == F.col("r_path")) & F.col("l_two").isNotNull()))
+        same = same & (F.col("l_path") == F.col("r_path"))
+    a, b = F.col("l_one"), F.when(same, F.col("l_two")).otherwise(F.col("r_one"))
+    pair = F.struct(F.least(a, b).alias("l"), F.greatest(a, b).alias("r"))
+    both = both.withColumn("pair", F.when(b.isNotNull(), pair)).where("pair is not null")
+    paths = [F.least("l_path", "r_path").alias("p"), F.greatest("l_path", "r_path").alias("q")] if path else []
+    pick = F.max("pair") if path else F.min("pair")
+    chosen = both.groupBy("group_id", *paths).agg(pick.alias("s"))
+    scores = both.groupBy("group_id").agg(F.max("score").alias("similarity"))
+    ends = [F.col(f"s.{x}.{c}").alias(f"{side}_{n}") for x, side in (("l", "left"), ("r", "right")) for c, n in (("at", "path"), ("location_key", "key"))]
+    return chosen.join(scores, "group_id").select(F.col("group_id").alias("id"), "similarity", *ends, F.lit("").alias("classification"), F.lit("").alias("note"))
+
+
+def suppressed_counts(similar: DataFrame, profs: DataFrame, members: DataFrame, baseline: DataFrame, scope: str) -> DataFrame:
+    """One row suppressed_pairs, suppressed_groups, left_pairs of pairs of fragments, by arithmetic on profiles (and paths)."""
+    by = ["path"] if scope == "path" else []
+    both = _sides(similar, profs, members.groupBy("profile_id", *by).agg(F.count("*").alias("n")))
+    same = F.col("l_id") == F.col("r_id")
+    if by:
+        both = both.where(~same | (F.col("l_path") <= F.col("r_path")))
+        same = same & (F.col("l_path") == F.col("r_path"))
+    n = F.when(same, F.expr("l_n * (l_n - 1) div 2")).otherwise(F.col("l_n") * F.col("r_n"))
+    key = entry_key(scope, "group_id", "l_path", "r_path").alias("k")
+    counted = both.select("group_id", key, n.alias("n")).where("n > 0").groupBy("group_id", "k").agg(F.sum("n").alias("n"))
+    accepted = baseline.select(entry_key(scope).alias("k")).distinct().withColumn("known", F.lit(True))
+    told = counted.join(accepted, "k", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return told.agg(
+        total(F.col("known")).alias("suppressed_pairs"), F.count_distinct(F.when(F.col("known"), F.col("group_id"))).alias("suppressed_groups"),
+        total(~F.col("known")).alias("left_pairs"),
+    )
+
+
 def refuse_truncated(truncated: bool) -> None:
     if truncated:
         raise BaselineError("a truncated report cannot change a baseline")

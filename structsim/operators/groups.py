@@ -128,6 +128,33 @@ def literal_evidence(pairs: DataFrame, literals: DataFrame) -> DataFrame:
     )
 
 
+def profile_literal_evidence(similar: DataFrame, members: DataFrame, literals: DataFrame) -> DataFrame:
+    """``literal_evidence`` from pairs of profiles and fragments with ``profile_id``, without listing pairs of fragments.
+
+    Fragments of a profile with equal literals stand for each other: pairs of different lists are compared once and
+    counted by the products of how often the lists occur.
+    """
+    none = F.array().cast("array<string>")
+    own = members.select("profile_id", "fingerprint", "fragment_id").join(literals.select("fragment_id", "literal_digests"), "fragment_id", "left")
+    lists = own.groupBy("profile_id", "fingerprint", F.coalesce("literal_digests", none).alias("d")).agg(F.count("*").alias("n"))
+    side = lambda a: lists.select(*[F.col(c).alias(f"{a}_{n}") for c, n in (("profile_id", "id"), ("fingerprint", "print"), ("d", "d"), ("n", "n"))])
+    both = similar.select("l_id", "r_id").join(side("l"), "l_id").join(side("r"), "r_id")
+    itself, equal = F.col("l_id") == F.col("r_id"), F.col("l_d") == F.col("r_d")
+    n = F.when(itself & equal, F.expr("l_n * (l_n - 1) div 2")).otherwise(F.col("l_n") * F.col("r_n"))
+    both = both.where(~itself | (F.col("l_d") <= F.col("r_d"))).withColumn("n", n)
+    both = both.where((F.col("n") > 0) & ((F.size("l_d") > 0) | (F.size("r_d") > 0)))
+    shorter = F.least(F.size("l_d"), F.size("r_d"))
+    unequal = F.zip_with(F.slice("l_d", 1, shorter), F.slice("r_d", 1, shorter), lambda a, b: a != b)
+    gap = F.abs(F.size("l_d") - F.size("r_d"))
+    differing = F.when(equal, 0).otherwise(F.size(F.filter(unequal, lambda x: x)) + gap)
+    told = both.select(pair_id("l_print", "r_print").alias("group_id"), "n", gap.alias("gap"), differing.alias("differing"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return told.groupBy("group_id").agg(
+        F.sum("n").cast("long").alias("compared_pairs"), total(F.col("differing") > 0).alias("pairs_with_differences"),
+        F.max("differing").alias("max_differing"), total(F.col("gap") > 0).alias("count_mismatch_pairs"),
+    )
+
+
 def _rule_flags(rules: tuple[tuple[str, int], ...], *paths: str) -> list[Column]:
     hit = lambda p: reduce(lambda a, b: a | b, (glob_match(p, path) for path in paths))
     return [F.bool_or(hit(p)).alias(f"rule{k}") for k, (p, _) in enumerate(rules)]

@@ -321,3 +321,59 @@ def test_names(spark):
     assert (row["w"], row["s"], row["s2"]) == ("q\\u200E\\U000E0001é", "0123456789ab", "ab")
     for a, b, want in ((8, 10, 0.8), (0, 3, 0.0), (5, 5, 1.0)):
         assert spark.range(1).select(N.size_upper_bound(F.lit(a), F.lit(b)).alias("x")).first()["x"] == want
+
+
+def _copies(spark, n, seed=2):
+    """Profiles with copies in few files, some places twice: (similar, profiles, members, listed pairs)."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        fp = rng.choice("abc") * 16
+        path, line = f"d{rng.randrange(2)}/f{rng.randrange(4)}.py", rng.randrange(5)
+        rows.append((k, path, "py", "c", "code", "function", f"n{rng.randrange(2)}", line, line + 2, fp, 10))
+    fragments = spark.createDataFrame(rows, "fragment_id long, path string, language string, family string, domain string, kind string, name string, start_line int, end_line int, fingerprint string, feature_count long")
+    profs = J.profiles(fragments).cache()
+    ids = {r["fingerprint"][0]: r["profile_id"] for r in profs.collect()}
+    pairs = [("a", "a", 1.0), ("b", "b", 1.0), ("a", "b", 0.9), ("b", "c", 0.8)]
+    found = [(*sorted((ids[x], ids[y])), 10, 10, 9, 11, s) for x, y, s in pairs if x in ids and y in ids]
+    similar = spark.createDataFrame(found, "l_id long, r_id long, l_fc long, r_fc long, intersection long, union_size long, score double")
+    return similar, profs, J.members(fragments, profs, "all"), J.listed_pairs(fragments, profs, similar), fragments
+
+
+def test_entries_and_counts_without_listed_pairs(spark):
+    for n, seed in ((60, 2), (9, 5)):
+        similar, profs, members, listed, fragments = _copies(spark, n, seed)
+        places = G.path_pairs(listed, fragments)
+        for scope in L.SCOPES:
+            want = sorted(map(tuple, L.entries_from_groups(G.match_groups(listed), places, scope).collect()))
+            entries = L.entries_from_profiles(similar, profs, members, scope)
+            assert sorted(map(tuple, entries.collect())) == want and want
+            some = entries.where("hash(left_key, right_key) % 2 = 0")
+            known = {(r["id"], *(sorted((r["left_path"], r["right_path"])) if scope == "path" else ())) for r in some.collect()}
+            keyed = listed.join(fragments.selectExpr("fragment_id as left_id", "path as p"), "left_id").join(fragments.selectExpr("fragment_id as right_id", "path as q"), "right_id").collect()
+            key = lambda r: (":".join(sorted((r["left_fingerprint"], r["right_fingerprint"]))), *(sorted((r["p"], r["q"])) if scope == "path" else ()))
+            gone = [key(r) for r in keyed if key(r) in known]
+            row = L.suppressed_counts(similar, profs, members, some, scope).first()
+            assert tuple(row) == (len(gone), len({k[0] for k in gone}), len(keyed) - len(gone))
+
+
+def test_literals_are_compared_once_a_list(spark):
+    similar, _, members, listed, fragments = _copies(spark, 70)
+    values = spark.createDataFrame([(k, [["x"], ["x", "y"], [], ["z", "y"], None][k % 5]) for k in range(66)], "fragment_id long, literal_digests array<string>")
+    want = sorted(map(tuple, G.literal_evidence(listed, values).collect()))
+    assert sorted(map(tuple, G.profile_literal_evidence(similar, members, values).collect())) == want and len(want) == 4
+
+
+def test_a_hundred_thousand_copies(spark):
+    """5 billion pairs of copies, none of them listed."""
+    ids = spark.range(100_000)
+    fragments = ids.select(F.col("id").alias("fragment_id"), F.format_string("d/f%06d.py", "id").alias("path"), *[F.lit(x).alias(c) for c, x in (("language", "py"), ("family", "c"), ("domain", "code"), ("kind", "function"), ("name", "f"), ("fingerprint", "a" * 16))], F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(10).cast("long").alias("feature_count"))
+    profs = J.profiles(fragments)
+    similar = profs.selectExpr("profile_id as l_id", "profile_id as r_id", "fc as l_fc", "fc as r_fc", "fc as intersection", "fc as union_size", "1.0d as score")
+    members = J.members(fragments, profs, "all")
+    entry = L.entries_from_profiles(similar, profs, members, "content").collect()
+    assert [(e["left_path"], e["right_path"]) for e in entry] == [("d/f000000.py", "d/f000001.py")]
+    pairs = 100_000 * 99_999 // 2
+    assert tuple(L.suppressed_counts(similar, profs, members, spark.createDataFrame(entry), "content").first()) == (pairs, 1, 0)
+    literals = ids.select(F.col("id").alias("fragment_id"), F.array(F.lit("x")).alias("literal_digests"))
+    assert tuple(G.profile_literal_evidence(similar, members, literals).first())[1:] == (pairs, 0, 0, 0)
