@@ -130,6 +130,13 @@ def fallback_name(name: Col, start_line: Col, kind: Col) -> Column:
 
 
 def query_label(comment: Col) -> Column:
-    """The label X of an exact comment ``-- name: X :mode``, else null."""
-    found = F.regexp_extract(F.trim(_c(comment)), r"^--\s*name:\s*([A-Za-z_][A-Za-z0-9_]*)\s+:[a-z]+$", 1)
+    """The label X of a line that is exactly ``-- name: X :mode``, with single blanks, else null."""
+    found = F.regexp_extract(_c(comment), r"^-- name: ([A-Za-z_][A-Za-z0-9_]*) :[A-Za-z_][A-Za-z0-9_]*\z", 1)
     return F.when(found != "", found)
+
+
+def label_above(content: Col, start_byte: Col) -> Column:
+    """The label in the line right above the one where a fragment begins; only blanks may stand before the fragment."""
+    before = F.substring(_c(content).cast("binary"), F.lit(1), _c(start_byte).cast("int")).cast("string")
+    line = F.regexp_extract(before, r"(?:^|\n)([^\n]*?)\r?\n[ \t]*\z", 1)
+    return query_label(line)

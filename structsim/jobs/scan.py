@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structsim.functions.names import fallback_name
+from structsim.functions.names import fallback_name, label_above
 from structsim.operators import bags as B
 from structsim.operators import groups as G
 from structsim.operators import simjoin as J
@@ -71,6 +71,13 @@ def located(files: DataFrame, units: DataFrame) -> DataFrame:
     return made.withColumn("fingerprint", B.fingerprint_of_map("features")).drop("said", "node_kind", "node_id", "last_id", "unit")
 
 
+def labelled(units: DataFrame, files: DataFrame) -> DataFrame:
+    """Units whose name is the label in the comment line right above them, where their file (path, content) has one."""
+    above = units.where("unit = 'fragment'").join(files.select("path", "content"), "path")
+    labels = above.select("fragment_id", label_above("content", "start_byte").alias("label")).where("label is not null")
+    return units.join(labels, "fragment_id", "left").withColumn("said", F.coalesce("label", "said")).drop("label")
+
+
 def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python", boundaries: tuple[str, ...] = BOUNDARIES) -> Scan:
     """Scans files (path, content, size, language, family, domain, kind) that one extractor reads.
 
@@ -101,6 +108,7 @@ def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python
     warnings = stored(parse.na.fill(0, ["skipped_fragments"]).unionByName(over), "warnings")
 
     kept = units.where((F.col("unit") == "block") | (F.col("unit") == "fragment")).where(~F.col("invalid") & ~small)
+    kept = labelled(kept, read.where("kind = 'query'"))
     found = located(chosen, kept).drop("invalid", "total", "warning")
     if options.focus_active:
         found = found.join(chosen.select("path", "focused"), "path")

@@ -3,23 +3,105 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structsim.functions.names import extension, glob_regex
 from structsim.options import Options
+from structsim.sources.storage import stored
 
 # Directories that are never entered, and links and submodules in a snapshot.
 EXCLUDED_DIRECTORIES = (".build", ".git", ".hg", ".svn", ".turbo", "build", "coverage", "dist", "node_modules", "target", "vendor")
 NOT_FILES = ("120000", "160000")
 
 
+def _relative(base: str) -> Column:
+    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    return F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain)
+
+
+def list_source_tree(spark: SparkSession, roots: Iterable[str], base: str = "") -> DataFrame:
+    """(path, size, location) of all files below the roots, without reading any; paths relative to ``base``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    return raw.select(_relative(base).alias("path"), F.col("length").alias("size"), F.col("path").alias("location"))
+
+
+def read_listed(listed: DataFrame, base: str = "") -> DataFrame:
+    """(path, content, size) of listed files (location). Their locations go to the driver, where Spark keeps the whole
+    listing anyway; contents do not."""
+    places = [r["location"] for r in listed.select("location").distinct().toLocalIterator()]
+    spark = listed.sparkSession
+    if not places:
+        return spark.createDataFrame([], "path string, content string, size long")
+    raw = spark.read.format("binaryFile").load(places)
+    return raw.select(_relative(base).alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
+
+
 def read_source_tree(spark: SparkSession, roots: Iterable[str], base: str = "") -> DataFrame:
-    """(path, content, size) of all files below the roots; paths relative to ``base``, in sorted use by their consumers."""
+    """(path, content, size) of all files below the roots; ``discover_tree`` reads only those that rules leave."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    return raw.select(F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain).alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
+    return raw.select(_relative(base).alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
+
+
+@dataclass
+class Discovery:
+    """What a tree holds for a scan."""
+
+    listed: DataFrame  # path, size, location of the files that are left
+    large: DataFrame  # path, status, reason of those above the size limit
+    evidence: DataFrame  # path, digest of the ignore files that bind
+
+    def files(self, base: str = "") -> DataFrame:
+        """(path, content, size) of the files that are left; only they are read."""
+        return read_listed(self.listed, base)
+
+
+def discover_tree(spark: SparkSession, roots: Iterable[str], base: str = "", excludes: Iterable[str] = (),
+                  ignore_names: Iterable[str] = (".gitignore",), limit: int = 0) -> Discovery:
+    """Decides by paths and sizes which files of a tree are read.
+
+    Left out are files in directories that are never entered, those that an exclude glob names, those that ignore files
+    ignore, and those above the size limit. Ignore files are found level by level from the top: one in a directory that
+    those above it have pruned does not bind, is not read and is no evidence. Spark's file sources do not list names that
+    begin with ``.`` or ``_``; ignore files are looked up by the file system, files of such names are left out.
+    """
+    roots = list(roots)
+    seen = list_source_tree(spark, roots, base).where(~in_excluded_directory() & ~excluded_by(excludes))
+    seen = stored(seen, "listed")
+    deepest = seen.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+    rules = parse_ignore_rules(spark.createDataFrame([], "base string, content string"))
+    bound: list[tuple[str, str]] = []
+    for level in range(deepest):
+        found = [x for root in roots for x in _named_files(spark, root, level, tuple(ignore_names))]
+        if found:
+            rows = spark.createDataFrame(found, "location string, path string").select("location", _relative(base).alias("path"))
+            rows = rows.where(~in_excluded_directory() & ~excluded_by(excludes))
+            bound += [(r["path"], _content(spark, r["location"])) for r in apply_ignore_rules(rows, rules).orderBy("path").collect()]
+            table = spark.createDataFrame([(path.rpartition("/")[0], text) for path, text in bound], "base string, content string")
+            rules = stored(parse_ignore_rules(table), "rules")
+    left = apply_ignore_rules(seen, rules)
+    kept, large = split_by_size(left, limit) if limit else (left, left.limit(0).select("path", F.lit("").alias("status"), F.lit("").alias("reason")))
+    return Discovery(stored(kept, "kept"), stored(large, "large"), ignore_evidence(spark.createDataFrame(bound, "path string, content string")))
+
+
+def _named_files(spark: SparkSession, root: str, level: int, names: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(location, path) of files of these names, so many directories below a root; one call of the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = path(root.rstrip("/") + "/*" * level + "/{" + ",".join(names) + "}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [(at, at) for at in (f.getPath().toString() for f in found)]
+
+
+def _content(spark: SparkSession, location: str) -> str:
+    """The text of a small file, as a person writes it by hand."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(location)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+    finally:
+        stream.close()
 
 
 def read_snapshot(entries: DataFrame) -> DataFrame:
@@ -130,22 +212,59 @@ def health_checks(files: DataFrame, warnings: DataFrame) -> DataFrame:
     return found.unionByName(said)
 
 
+def _indexed(rules: DataFrame) -> DataFrame:
+    """Rules with what a place must have for them: kind and key.
+
+    A pattern without wildcards is met by that name anywhere (``name``) or by that leading path (``path``), ``*.ext`` by
+    a name with that last extension (``ext``); the rest have no key and are tried as patterns (``any``).
+    """
+    wild, ext = F.col("pattern").rlike(r"[*?\[\\{]"), F.col("pattern").rlike(r"^\*\.[^.*?\[\\{/]+$")
+    kind = F.when(~wild, F.when(F.col("anchored"), "path").otherwise("name")).when(ext & ~F.col("anchored"), "ext").otherwise("any")
+    key = F.when(~wild, F.col("pattern")).when(ext, F.substring("pattern", 2, 1 << 20)).otherwise("")
+    return rules.withColumn("kind", kind).withColumn("key", F.when(F.col("kind") == "any", "").otherwise(key))
+
+
 def _last_verdict(places: DataFrame, rules: DataFrame) -> DataFrame:
-    """(place, ignored, reopened) of places (place, is_dir) that any rule binds.
+    """(place, ignored, reopened) of places (place, is_dir) that any rule matches or may reopen.
 
     The last rule that matches a leading part of the place decides. ``reopened``: a negation with a slash may match below.
+    A place meets rules by the names, extensions and leading paths it has, so literal rules cost nothing where they do
+    not match; only other patterns, and negations with a slash, meet every place below their base.
     """
-    bound = places.select("place", "is_dir", F.explode(F.concat(F.array(F.lit("")), above("place"))).alias("base")).join(rules, "base")
+    made = _indexed(rules)
+    bound = places.select("place", "is_dir", F.explode(F.concat(F.array(F.lit("")), above("place"))).alias("base"))
     inner = F.when(F.col("base") == "", F.col("place")).otherwise(F.expr("substring(place, length(base) + 2)"))
-    rows = bound.withColumn("_in", inner).withColumn("_rx", glob_column(F.col("pattern")))
-    candidates = F.concat(F.when(F.size(F.split("_in", "/")) > 1, above("_in")).otherwise(F.array().cast("array<string>")), F.when(F.col("directory") & ~F.col("is_dir"), F.array().cast("array<string>")).otherwise(F.array("_in")))
-    tried = F.exists(candidates, lambda p: F.rlike(F.when(F.col("anchored"), p).otherwise(F.element_at(F.split(p, "/"), -1)), F.col("_rx")))
-    parts, depth = F.split("pattern", "/"), F.size(F.split("_in", "/"))
-    start = glob_column(F.array_join(F.slice(parts, 1, depth), "/"))
-    below = F.col("negated") & F.col("anchored") & (F.col("pattern").contains("**") | ((F.size(parts) > depth) & F.rlike("_in", start)))
+    bound = bound.withColumn("_in", inner)
+    parts = F.split("_in", "/")
+    steps = F.sequence(F.lit(1), F.size(parts))
+    said = lambda n: F.element_at(parts, n)
+    token = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), (n == F.size(parts)).alias("last"))
+    tokens = F.concat(
+        F.transform(steps, lambda n: token("name", said(n), n)),
+        F.transform(steps, lambda n: token("path", F.array_join(F.slice(parts, 1, n), "/"), n)),
+        F.transform(steps, lambda n: token("ext", F.regexp_extract(said(n), r"(\.[^.]+)$", 1), n)),
+    )
+    met = bound.select("place", "is_dir", "base", F.explode(tokens).alias("t")).select("place", "is_dir", "base", "t.*")
     order = F.struct(F.length("base"), "ordinal")
-    marked = rows.withColumn("_hit", tried).withColumn("_below", below)
-    return marked.groupBy("place").agg(F.coalesce(~F.max_by(F.when(F.col("_hit"), F.col("negated")), F.when(F.col("_hit"), order)), F.lit(False)).alias("ignored"), F.bool_or("_below").alias("reopened"))
+    verdict = lambda hits: hits.select("place", order.alias("order"), "negated", F.lit(False).alias("below"))
+    literal = met.join(made.where("kind <> 'any'"), ["base", "kind", "key"])
+    literal = verdict(literal.where(~(F.col("directory") & F.col("last") & ~F.col("is_dir"))))
+
+    rows = bound.join(made.where("kind = 'any'"), "base").withColumn("_rx", glob_column(F.col("pattern")))
+    none = F.array().cast("array<string>")
+    ways = F.when(F.size(parts) > 1, above("_in")).otherwise(none)
+    candidates = F.concat(ways, F.when(F.col("directory") & ~F.col("is_dir"), none).otherwise(F.array("_in")))
+    tried = F.exists(candidates, lambda p: F.rlike(F.when(F.col("anchored"), p).otherwise(F.element_at(F.split(p, "/"), -1)), F.col("_rx")))
+    general = verdict(rows.where(tried))
+
+    again = bound.join(made.where("negated and anchored"), "base")
+    own, depth = F.split("pattern", "/"), F.size(F.split("_in", "/"))
+    start = glob_column(F.array_join(F.slice(own, 1, depth), "/"))
+    may = F.col("pattern").contains("**") | ((F.size(own) > depth) & F.rlike("_in", start))
+    below = again.where(may).select("place", F.lit(None).cast("struct<col1:int,ordinal:int>").alias("order"), F.lit(None).cast("boolean").alias("negated"), F.lit(True).alias("below"))
+    every = literal.unionAll(general).unionAll(below)
+    last = F.max_by("negated", "order")
+    return every.groupBy("place").agg(F.coalesce(~last, F.lit(False)).alias("ignored"), F.bool_or("below").alias("reopened"))
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -110,3 +110,60 @@ def test_domains_roots_and_selectors(spark):
     assert R.language_pairs([("shell", "go"), ("go", "bash"), ("sql", "sql")]) == (("bash", "go"), ("go", "zsh"), ("postgresql", "postgresql"), ("postgresql", "sql"), ("sql", "sql"))
     with pytest.raises(ValueError):
         R.resolve_selector("cobol")
+
+
+def test_a_tree_is_decided_by_paths_before_it_is_read(spark, tmp_path):
+    tree = {
+        ".gitignore": "*.log\nold/\n!old/keep/**\ngone/\n", "a.py": "a", "x.log": "", "vendor/v.py": "v", "gen/g.py": "g", "sub/.gitignore": "!x.log\nb.py\n", "sub/x.log": "kept",
+        "sub/b.py": "b", "sub/c.py": "c" * 50, "gone/.gitignore": "!*.py\n", "gone/d.py": "d", "old/keep/e.py": "e", "old/f.py": "f",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    base = f"{tmp_path}/"
+    listed = D.list_source_tree(spark, [f"file://{tmp_path}"], base)
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    found = D.discover_tree(spark, [f"file://{tmp_path}"], base, excludes=["gen/**"], limit=40)
+    assert {r["path"]: r["content"] for r in found.files(base).collect()} == {"a.py": "a", "sub/x.log": "kept", "old/keep/e.py": "e"}
+    assert [(r["path"], r["reason"]) for r in found.large.collect()] == [("sub/c.py", "resource_limit")]
+    want = [(p, hashlib.sha256(tree[p].encode()).hexdigest()) for p in (".gitignore", "sub/.gitignore")]
+    assert [tuple(r) for r in found.evidence.collect()] == want
+    assert D.discover_tree(spark, [f"file://{tmp_path}"], base, excludes=["**"]).files(base).count() == 0
+
+
+def test_indexed_rules_equal_patterns(spark):
+    """All kinds of rules against a matcher that tries every rule on every place."""
+    import random
+    from fnmatch import fnmatchcase
+
+    rng = random.Random(6)
+    names = ["a", "b", "x.log", "y.tar.gz", "k.log", "build.d"]
+    places = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    places = [p for p in places if not any(q != p and q.startswith(p + "/") for q in places)]
+    patterns = ["a", "x.log", "*.log", "*.gz", "a/b", "/b", "b/", "*.tar.gz", "k.*", "[ab]", "a/x.log", "y?tar.gz", "build.d/"]
+    for _ in range(4):
+        lines = [("!" if rng.random() < 0.3 else "") + rng.choice(patterns) for _ in range(8)]
+        lines = [line for line in lines if not (line.startswith("!") and "/" in line.rstrip("/")[1:])]
+        rules = D.parse_ignore_rules(spark.createDataFrame([("", "\n".join(lines)), ("a", "!x.log\nk.log")], "base string, content string"))
+
+        def verdict(place, is_dir):
+            out = False
+            for base, text in (("", lines), ("a", ["!x.log", "k.log"])):
+                if base and not place.startswith(base + "/"):
+                    continue
+                parts = (place[len(base) + 1 :] if base else place).split("/")
+                for line in text:
+                    body = line.removeprefix("!")
+                    bare = body.rstrip("/")
+                    anchored, bare = "/" in bare, bare.removeprefix("/")
+                    for k in range(len(parts)):
+                        if body.endswith("/") and k == len(parts) - 1 and not is_dir:
+                            continue
+                        value = "/".join(parts[: k + 1]) if anchored else parts[k]
+                        if value.count("/") == bare.count("/") and fnmatchcase(value, bare):
+                            out = not line.startswith("!")
+                            break
+            return out
+
+        want = [p for p in places if not verdict(p, False) and not any(verdict("/".join(p.split("/")[:n]), True) for n in range(1, p.count("/") + 1))]
+        assert paths(D.apply_ignore_rules(files(spark, *((p, "") for p in places)), rules)) == want

@@ -189,3 +189,31 @@ def test_functions_with_too_many_windows(spark):
     assert [(r["kind"], r["message"]) for r in told] == [("coverage", "f at line 1 has more than 7 windows of statements")]
     enough = C.scan(files(spark, ("a.py", many)), Options(threshold=0.9, min_tokens=3, statement_blocks=True, block_statements=2, max_blocks_per_function=8, max_pairs=0))
     assert enough.fragments.where("kind = 'block'").count() == 8 and enough.warnings.count() == 0
+
+
+def test_labels_of_queries(spark):
+    def statements(path, source):
+        """Statements of a text, each a boundary with its words."""
+        yield path, 0, None, 0, "source", True, None, "", 0, len(source), 1, 1, False, False, False, None
+        k, at = 1, 0
+        for piece in source.split(";"):
+            body = "\n".join(x for x in piece.split("\n") if not x.strip().startswith("--")).strip()
+            if body:
+                start = source.index(body, at)
+                at = start + len(body)
+                line = source[:start].count("\n") + 1
+                top = k
+                yield path, top, 0, 0, "function_definition", True, None, "", start, at, line, line, False, False, False, None
+                for word in body.split():
+                    k += 1
+                    yield path, k, top, 0, "identifier", True, None, word, start, at, line, line, False, False, False, None
+                k += 1
+
+    text = (
+        "-- name: First :one\nselect a from b;\n-- name: Crlf :many2\r\n  select c from d;\n-- name: Blank :one\n\nselect e from f;\n"
+        "--  name: Two :one\nselect g from h;\n-- name: Late :one\n select i from j; select k from l;\n-- name: Odd :1\nselect m from n"
+    )
+    done = C.scan(files(spark, ("q.sql", text), ("p.py", "-- name: X :one\nf x y z")), Options(threshold=0.9, min_tokens=2, max_pairs=0), statements)
+    got = [r["name"] for r in done.fragments.where("path = 'q.sql'").orderBy("start_byte").collect()]
+    assert got == ["First", "Crlf", "query@7", "query@9", "Late", "query@11", "query@13"]
+    assert [r["name"] for r in done.fragments.where("path = 'p.py'").collect()] == ["anonymous@2"]
