@@ -53,6 +53,26 @@ def redacted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.redact_paths(_page_paths(spark, sf_dir))
 
 
+@query(f"""with {_PAGES}, docs as (select 'example.org/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path, source from documents),
+d as (select path from p union select path from docs union select regexp_replace(path, '/[^/]*$', '') from p where contains(path, '/')),
+r as (select path, row_number() over (order by path) as n, regexp_extract(path, '([.][^./]*)$', 1) as e from d),
+m as (select path, '<path-' || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end || '>' || case when length(e) <= 16 then e else '' end as redacted from r)
+select 'group' as part, source as name, redacted from docs join m using (path)
+union all select 'page', page_id::varchar, redacted from p join m using (path)
+union all select 'directory', page_id::varchar, redacted from (select page_id, regexp_replace(path, '/[^/]*$', '') as path from p where contains(path, '/')) join m using (path)""")
+def redacted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of groups with their places, and of pages with the directory above, redacted together."""
+    docs = A.read(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("example.org"), A.document_path()).alias("path"), "source")
+    place = F.struct(F.struct("path").alias("location"), F.lit(1).alias("n"))
+    groups = docs.groupBy(F.col("source").alias("name")).agg(F.collect_list(place).alias("occurrences"))
+    pages = _page_paths(spark, sf_dir).select("page_id", "path", F.struct(F.when(F.col("path").contains("/"), N.parent_dir("path")).alias("root")).alias("above"))
+    report = R.redact_report({"groups": groups, "pages": pages})
+    inside = report["groups"].select(F.lit("group").alias("part"), "name", F.explode("occurrences.location.path").alias("redacted"))
+    page = report["pages"].select(F.lit("page").alias("part"), F.col("page_id").cast("string").alias("name"), F.col("path").alias("redacted"))
+    above = report["pages"].select(F.lit("directory").alias("part"), F.col("page_id").cast("string").alias("name"), F.col("above.root").alias("redacted"))
+    return inside.unionByName(page).unionByName(above.where("redacted is not null"))
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents as statements; a line begins after all that is before it."""
     docs = A.read(spark, sf_dir, "documents").where("text is not null")

@@ -288,6 +288,23 @@ def receipt_drift(receipt: DataFrame, current: DataFrame) -> DataFrame:
     return a.crossJoin(b).select(F.coalesce(*checks).alias("drift"))
 
 
+def receipt_digest(receipt: DataFrame) -> DataFrame:
+    """One row ``digest``: SHA-256 of the receipt's fields and ids as JSON, equal for equal receipts."""
+    return receipt.select(F.sha2(F.to_json(F.struct(*RECEIPT_FIELDS, "ids")).cast("binary"), 256).alias("digest"))
+
+
+def match_gates(totals: DataFrame, fail_on_match: bool = False, fail_on_focused_match: bool = False, drift: DataFrame | None = None) -> DataFrame:
+    """(gate) rows of the policies on matches that a scan fails: matches, focused_matches.
+
+    totals: one row total_groups, focused_groups. ``drift``: of the receipt that was given (``receipt_drift``); one that
+    holds waives the gate on focused matches, and no other.
+    """
+    waived = drift.select(F.col("drift").isNull().alias("_waived")) if drift is not None else totals.select(F.lit(False).alias("_waived"))
+    every, focused = F.lit(fail_on_match) & (F.col("total_groups") > 0), F.lit(fail_on_focused_match) & (F.col("focused_groups") > 0)
+    gates = F.array_compact(F.array(F.when(every, "matches"), F.when(focused & ~F.col("_waived"), "focused_matches")))
+    return totals.crossJoin(waived).select(F.explode(gates).alias("gate"))
+
+
 def migrated(entries: DataFrame, meta: Mapping[str, object], profile: Mapping[str, object], threshold: float, scope: str) -> tuple[DataFrame, dict[str, object]]:
     """The entries with their metadata as they are, and ``meta`` with the digest of a scan profile that was accepted."""
     kept = dict(meta) | {"profile_digest": profile_digest(profile), "threshold": threshold}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from structsim.functions.names import path_uri, short_digest, terminal_safe
 from structsim.sources.storage import stored
@@ -11,18 +14,46 @@ from structsim.sources.storage import stored
 AGENT_GROUPS, AGENT_WARNINGS = 25, 20
 
 
+#: Ids and names of the rules that results go by.
+SIMILARITY_RULE, WARNING_RULE = ("SIM001", "structural-similarity"), ("SIM002", "incomplete-structural-analysis")
+
+
+def artifact_uri(path: Column | str) -> Column:
+    """A relative path as a relative URI, an absolute one (also with a drive letter) as a ``file:`` URI."""
+    path = F.regexp_replace(F.col(path) if isinstance(path, str) else path, r"\\\\", "/")
+    rooted = F.when(path.rlike("^[A-Za-z]:/"), F.concat(F.lit("/"), path)).otherwise(path)
+    drive = F.regexp_replace(path_uri(rooted), "^/([A-Za-z])%3A/", "/$1:/")
+    return F.when(rooted.startswith("/"), F.concat(F.lit("file://"), drive)).otherwise(path_uri(path))
+
+
+def sarif_rules(spark) -> DataFrame:
+    """(id, name, level) of the rules."""
+    rows = [(*SIMILARITY_RULE, "note"), (*WARNING_RULE, "warning")]
+    return spark.createDataFrame(rows, "id string, name string, level string")
+
+
 def sarif_results(groups: DataFrame, places: DataFrame, warnings: DataFrame) -> DataFrame:
     """(level, id, result): a note per group, its first place first and the others related, and a warning per warning.
 
     groups: group_id, score; places: group_id, location_key, path, start_line, end_line; warnings: path, message.
     """
-    at = F.struct(path_uri("path").alias("uri"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"))
-    lists = places.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("location_key", at.alias("at")))), lambda x: x["at"]).alias("all"))
-    note = groups.join(lists, "group_id").select(F.lit("note").alias("level"), F.col("group_id").alias("id"), F.to_json(F.struct(
-        F.lit("note").alias("level"), F.array(F.element_at("all", 1)).alias("locations"), F.expr("slice(all, 2, greatest(size(all) - 1, 0))").alias("relatedLocations"), F.struct(F.col("group_id").alias("group")).alias("partialFingerprints"), F.col("score").alias("similarity"),
-    )).alias("result"))
-    said = warnings.select(F.lit("warning").alias("level"), F.lit("").alias("id"), F.to_json(F.struct(F.lit("warning").alias("level"), F.col("message"), path_uri(F.coalesce("path", F.lit(""))).alias("uri"))).alias("result"))
-    return note.unionByName(said)
+    region = F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"))
+    artifact = lambda path: F.struct(artifact_uri(path).alias("uri")).alias("artifactLocation")
+    at = F.struct(F.struct(artifact("path"), region.alias("region")).alias("physicalLocation"))
+    lists = F.transform(F.array_sort(F.collect_set(F.struct("location_key", at.alias("at")))), lambda x: x["at"])
+    lists = places.groupBy("group_id").agg(lists.alias("all"))
+    result = F.struct(
+        F.lit(SIMILARITY_RULE[0]).alias("ruleId"), F.lit("note").alias("level"), F.array(F.element_at("all", 1)).alias("locations"),
+        F.expr("slice(all, 2, greatest(size(all) - 1, 0))").alias("relatedLocations"),
+        F.struct(F.col("group_id").alias("group")).alias("partialFingerprints"), F.col("score").alias("similarity"),
+    )
+    note = groups.join(lists, "group_id").select(F.lit("note").alias("level"), F.col("group_id").alias("id"), F.to_json(result).alias("result"))
+    where = F.array(F.struct(F.struct(artifact(F.coalesce("path", F.lit("")))).alias("physicalLocation")))
+    said = F.struct(
+        F.lit(WARNING_RULE[0]).alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+        where.alias("locations"),
+    )
+    return note.unionByName(warnings.select(F.lit("warning").alias("level"), F.lit("").alias("id"), F.to_json(said).alias("result")))
 
 
 def report_lines(ranked: DataFrame, places: DataFrame, shown: int = 3) -> DataFrame:
@@ -64,3 +95,70 @@ def redact_paths(paths: DataFrame) -> DataFrame:
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     out = part.join(F.broadcast(before.select("_part", "before")), "_part")
     return out.select("path", F.concat(F.lit("<path-"), padded, F.lit(">"), F.when(F.length(ext) <= 16, ext).otherwise("")).alias("redacted"))
+
+
+def names_a_path(field: str) -> bool:
+    """Whether a field of a report holds a path, or a list of paths."""
+    return field in ("path", "root", "ignore_files") or field.endswith(("_path", "_paths"))
+
+
+def _path_values(value: Column, kind: DataType, is_path: bool, named: Callable[[str], bool]) -> Column | None:
+    """All paths within a value, as an array; null if its type has none."""
+    if isinstance(kind, StringType):
+        return F.array(value) if is_path else None
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType):
+            return value if is_path else None
+        if _path_values(F.lit(None), kind.elementType, is_path, named) is None:
+            return None
+        return F.flatten(F.transform(value, lambda x: _path_values(x, kind.elementType, is_path, named)))
+    if isinstance(kind, StructType):
+        inner = [_path_values(value[f.name], f.dataType, named(f.name), named) for f in kind.fields]
+        some = [F.coalesce(c, F.array().cast("array<string>")) for c in inner if c is not None]
+        return F.concat(*some) if some else None
+    return None
+
+
+def _with_paths(value: Column, kind: DataType, is_path: bool, named: Callable[[str], bool], new: Callable[[Column], Column]) -> Column:
+    """The value with every path in it replaced."""
+    if isinstance(kind, StringType):
+        return new(value) if is_path else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _with_paths(x, kind.elementType, is_path, named, new))
+    if isinstance(kind, StructType):
+        inner = [_with_paths(value[f.name], f.dataType, named(f.name), named, new).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    return value
+
+
+def redact_report(tables: Mapping[str, DataFrame], named: Callable[[str], bool] = names_a_path) -> dict[str, DataFrame]:
+    """The tables of a report with every path, also within structs and arrays, replaced by its ``redact_paths`` number.
+
+    One dictionary serves all tables, so a path has the same stand-in everywhere. A row meets the dictionary by the
+    distinct paths in it; empty and null paths stay as they are.
+    """
+    kept = {n: stored(df.withColumn("_row", F.monotonically_increasing_id()), f"report-{n}") for n, df in tables.items()}
+    held = {}
+    for n, df in kept.items():
+        schema = StructType([f for f in df.schema.fields if f.name != "_row"])
+        found = _path_values(F.struct(*[F.col(f.name) for f in schema.fields]), schema, False, named)
+        if found is not None:
+            own = df.select("_row", F.explode(F.array_distinct(found)).alias("path")).where("path is not null and path <> ''")
+            held[n] = stored(own, f"paths-{n}")
+    every = None
+    for own in held.values():
+        every = own.select("path") if every is None else every.unionByName(own.select("path"))
+    if every is None:
+        return dict(tables)
+    numbers = stored(redact_paths(every), "numbers")
+    out = {}
+    for n, df in kept.items():
+        fields = [f for f in df.schema.fields if f.name != "_row"]
+        if n not in held:
+            out[n] = df.drop("_row")
+            continue
+        own = held[n].join(numbers, "path").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("path", "redacted"))).alias("_to"))
+        new = lambda path: F.coalesce(F.element_at("_to", path), path)
+        columns = [_with_paths(F.col(f.name), f.dataType, named(f.name), named, new).alias(f.name) for f in fields]
+        out[n] = df.join(own, "_row", "left").select(*columns)
+    return out

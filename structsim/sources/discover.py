@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from structsim.functions.names import extension, glob_regex
 from structsim.options import Options
+from structsim.sources.registry import detect_language
 from structsim.sources.storage import stored
 
 # Directories that are never entered, and links and submodules in a snapshot.
@@ -109,13 +110,21 @@ def read_snapshot(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("mode").isin(*NOT_FILES)).drop("mode")
 
 
-def overlay_content(files: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Files with the content of ``overlay`` (path, content) where it has one; a path that is no file is an error."""
+def overlay_content(files: DataFrame, overlay: DataFrame, sql_dialect: str = "sql") -> DataFrame:
+    """Files with the content of ``overlay`` (path, content) where it has one; a path that is no file is an error.
+
+    Where files have a language, that of files with new content is detected anew, as their first lines may say another.
+    """
     if overlay.join(files, "path", "left_anti").take(1):
         raise LookupError("an overlay names no file")
     new = overlay.select("path", F.col("content").alias("_new"))
     out = files.join(new, "path", "left").withColumn("size", F.coalesce(F.octet_length("_new").cast("long"), "size"))
-    return out.withColumn("content", F.coalesce("_new", "content")).select(*files.columns)
+    out = out.withColumn("content", F.coalesce("_new", "content"))
+    if "language" in files.columns:
+        told = ["language", "family", "domain", "kind"]
+        again = detect_language(out.where("_new is not null").drop(*told), sql_dialect)
+        return out.where("_new is null").select(*files.columns).unionByName(again.select(*files.columns))
+    return out.select(*files.columns)
 
 
 def merge_discovery(primary: DataFrame, extra: DataFrame) -> DataFrame:

@@ -63,6 +63,9 @@ def test_overlay_merge_snapshot_size(spark, tmp_path):
     assert {r["path"]: (r["content"], r["size"]) for r in D.overlay_content(frame, new).collect()} == {"a": ("newer", 5), "b": ("bb", 2)}
     with pytest.raises(LookupError):
         D.overlay_content(frame, spark.createDataFrame([("q", "")], "path string, content string"))
+    known = R.detect_language(files(spark, ("run", "#!/bin/zsh"), ("x.py", "")))
+    again = D.overlay_content(known, spark.createDataFrame([("run", "#!/usr/bin/ruby\n")], "path string, content string"))
+    assert {r["path"]: r["language"] for r in again.collect()} == {"run": "ruby", "x.py": "python"} and again.columns == known.columns
     assert {r["path"]: r["content"] for r in D.merge_discovery(frame, files(spark, ("b", "later"))).collect()} == {"a": "old", "b": "later"}
     kept, out = D.split_by_size(frame, 2)
     assert paths(kept) == ["b"] and out.first()["reason"] == "resource_limit"

@@ -113,7 +113,22 @@ def test_reports(spark):
     assert sorted(r["level"] for r in rows) == ["note", "note", "warning"]
     note = next(r["result"] for r in rows if r["id"] == "g1")
     assert note.count('"uri":"p%20') == 4 and note.index("p%200") < note.index("relatedLocations") < note.index("p%201")
+    assert '"ruleId":"SIM001"' in note and all('"ruleId":"SIM002"' in r["result"] for r in rows if r["level"] == "warning")
+    odd = spark.createDataFrame([("/a b/c.py",), ("C:\\\\x y\\\\z.py",), ("d/é.py",)], "path string")
+    assert [r[0] for r in odd.select(R.artifact_uri("path")).collect()] == ["file:///a%20b/c.py", "file:///C:/x%20y/z.py", "d/%C3%A9.py"]
+    assert [r["id"] for r in R.sarif_rules(spark).collect()] == ["SIM001", "SIM002"]
     lines = {r["rank"]: r["line"] for r in R.report_lines(groups, places).collect()}
     assert lines[1].startswith("1. 90.00% ") and lines[1].endswith("2 pairs: k0, k1, k2")
     assert {r["kind"]: r["line"] for r in R.agent_summary(groups, warnings).collect()}["groups left out"] == "0"
     assert R.report_json(warnings.limit(1), groups, 20).count() == 3
+
+
+def test_nested_paths_are_redacted_alike(spark):
+    groups = spark.createDataFrame([("g", [(("b.py", 1),), (("a.py", 2),)], None), ("h", None, ["a.py", "", "c"])], "id string, places array<struct<location:struct<path:string,n:int>>>, changed_paths array<string>")
+    warnings = spark.createDataFrame([("c", "odd"), (None, "none"), ("", "empty")], "path string, message string")
+    out = R.redact_report({"groups": groups, "warnings": warnings, "totals": spark.range(1)})
+    got = {r["id"]: r for r in out["groups"].collect()}
+    assert [p["location"]["path"] for p in got["g"]["places"]] == ["<path-002>.py", "<path-001>.py"] and got["g"]["places"][0]["location"]["n"] == 1
+    assert got["h"]["changed_paths"] == ["<path-001>.py", "", "<path-003>"] and got["h"]["places"] is None and got["g"]["changed_paths"] is None
+    assert {r["message"]: r["path"] for r in out["warnings"].collect()} == {"odd": "<path-003>", "none": None, "empty": ""}
+    assert out["groups"].schema.simpleString() == groups.schema.simpleString() and out["totals"].count() == 1

@@ -377,3 +377,17 @@ def test_a_hundred_thousand_copies(spark):
     assert tuple(L.suppressed_counts(similar, profs, members, spark.createDataFrame(entry), "content").first()) == (pairs, 1, 0)
     literals = ids.select(F.col("id").alias("fragment_id"), F.array(F.lit("x")).alias("literal_digests"))
     assert tuple(G.profile_literal_evidence(similar, members, literals).first())[1:] == (pairs, 0, 0, 0)
+
+
+def test_receipts_have_a_digest_and_waive_the_focused_gate(spark):
+    groups = spark.createDataFrame([("a" * 16 + ":" + "b" * 16,)], "group_id string")
+    evidence = dict.fromkeys(L.RECEIPT_FIELDS, "x")
+    receipt, other = L.make_receipt(groups, evidence), L.make_receipt(groups, evidence | {"head_commit": "y"})
+    digest = lambda r: L.receipt_digest(r).first()["digest"]
+    assert digest(receipt) == digest(L.make_receipt(groups, evidence)) != digest(other) and len(digest(receipt)) == 64
+    totals = spark.createDataFrame([(3, 2)], "total_groups long, focused_groups long")
+    gates = lambda **o: [r["gate"] for r in L.match_gates(totals, **o).collect()]
+    both = {"fail_on_match": True, "fail_on_focused_match": True}
+    assert gates() == [] and gates(**both) == ["matches", "focused_matches"]
+    assert gates(**both, drift=L.receipt_drift(receipt, receipt)) == ["matches"]
+    assert gates(fail_on_focused_match=True, drift=L.receipt_drift(receipt, other)) == ["focused_matches"]
