@@ -4,18 +4,21 @@ Three kinds, leftmost and non-overlapping per kind: ``assign`` (a credential wor
 characters), ``access`` (an access key id of at least 16 characters) and ``hex`` (at least 32 lower-case hex digits).
 
 A worklist then unwraps layers until nothing new comes out: URL and Unicode escapes, base64 (either alphabet, with or
-without padding) and, below base64, gzip, zlib and bzip2 data with all their members. Base64 is read across line breaks
+without padding) and, below any of them, gzip, zlib and bzip2 data with all their members. Base64 is read across line breaks
 and at all four alignments, so that it is found behind path segments, prefixes and other words that share its alphabet. Of
 the bytes that come out, every stretch of ASCII text is a layer, also as UTF-16 or UTF-32, whatever bytes stand beside it;
 all patterns are ASCII, so none reaches beyond one. Each layer is scanned again, and its spans are mapped to the original
 text: to the character for escapes, to the base64 characters for encoded text, to all of its base64 characters for
 compressed data. A layer carries the places of its characters as arrays, so nesting costs no stack. Layers seen before are
-not unwrapped again, which ends cycles, as of archives that inflate to themselves. Escapes nested more than ``DEEP`` deep
-are resolved in one pass, in linear time, and what comes out is scanned.
+not unwrapped again, which ends cycles, as of archives that inflate to themselves. Every layer is scanned, however deep
+escapes are nested.
 
-Compressed data is inflated in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, however long it gets. Only a text
-whose layers inflate to more than ``MOST_INFLATED`` bytes in all, a decompression bomb, is not unwrapped to the end: its
-``complete`` is false, and the characters of what is left count as a span when it is redacted.
+Compressed data is inflated in pieces of ``PIECE`` bytes that overlap by ``OVERLAP``, however long it gets. Only two kinds
+of bombs are not unwrapped layer by layer to the end: a text whose layers inflate to more than ``MOST_INFLATED`` bytes in
+all, and one whose layers of nested escapes come to more than ``MOST_ESCAPED`` characters in all and to more than
+``MOST_NESTED`` times its own (so that nests up to that depth are told whole in any text). The rest of such a nest is
+resolved in one pass, in linear time, and what comes out is scanned. Its ``complete`` is false, and the characters of what
+is left count as a span when it is redacted.
 
 Spans count code points, ends exclusive. Null text counts as empty and has no spans. Rows are independent, so repeated
 rows, ties and extra columns change nothing; an empty table gives no rows.
@@ -40,7 +43,7 @@ from structsim.llm.wordhash import give_back
 from structsim.llm.workspace import small_batches
 
 KINDS = ("assign", "access", "hex")
-DEEP, PIECE, OVERLAP, MOST_INFLATED = 8, 16_000_000, 1_000_000, 1_000_000_000
+PIECE, OVERLAP, MOST_INFLATED, MOST_ESCAPED, MOST_NESTED = 16_000_000, 1_000_000, 1_000_000_000, 4_000_000, 64
 # The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -137,6 +140,41 @@ def unescaped(layer: Layer) -> Layer | None:
     return layer.below("".join([*parts, text[done:]]), start[:-1], start[1:])
 
 
+def escaped_bytes(layer: Layer) -> Layer | None:
+    """The layer as bytes, its escapes of bytes resolved once, where compressed data begins in it; None elsewhere.
+
+    Unicode escapes below 256 are a byte each; other characters are their UTF-8.
+    """
+    text, parts, begins, ends, done = layer.content, [], [], [], 0
+
+    def plain(start: int, end: int) -> None:
+        piece = text[start:end]
+        parts.append(piece.encode("utf-8", "surrogatepass"))
+        sizes = np.ones(len(piece), np.int64) if piece.isascii() else np.array([len(c.encode("utf-8", "surrogatepass")) for c in piece], np.int64)
+        own = np.repeat(np.arange(start, end), sizes)
+        begins.append(own)
+        ends.append(own + 1)
+
+    for m in _ESCAPES.finditer(text):
+        plain(done, m.start())
+        if m[0][0] == "%":
+            raw = bytes.fromhex(m[0].replace("%", ""))
+            own, width = m.start() + 3 * np.arange(len(raw)), np.full(len(raw), 3)
+        else:
+            codes = [(int(u[2:], 16), len(u)) for u in re.findall(r"\\[ux][0-9A-Fa-f]+", m[0])]
+            chars = [bytes([c]) if c < 256 else chr(c).encode("utf-8", "surrogatepass") for c, _ in codes]
+            raw, sizes = b"".join(chars), [len(c) for c in chars]
+            starts = m.start() + np.cumsum([0, *(w for _, w in codes)])[:-1]
+            own, width = np.repeat(starts, sizes), np.repeat([w for _, w in codes], sizes)
+        parts.append(raw)
+        begins.append(own)
+        ends.append(own + width)
+        done = m.end()
+    plain(done, len(text))
+    raw = b"".join(parts)
+    return layer.below(raw, np.concatenate(begins), np.concatenate(ends)) if _PACKED.search(raw) else None
+
+
 def fully_unescaped(layer: Layer) -> Layer:
     """The layer with its escapes, and those that come out of them, resolved until none is left.
 
@@ -225,30 +263,40 @@ class Worklist:
     def __init__(self, text: str):
         self.spans: set[Span] = set()
         self.left: set[tuple[int, int]] = set()  # what was not unwrapped to the end
-        self.room = MOST_INFLATED
+        self.room, self.escaped = MOST_INFLATED, max(MOST_ESCAPED, MOST_NESTED * len(text))
         places = np.arange(len(text) + 1)
-        self.work = [(Layer(text, places[:-1], places[1:]), 0)]
-        self.seen = {self.work[0][0].key()}
+        self.work = [Layer(text, places[:-1], places[1:])]
+        self.seen = {self.work[0].key()}
 
     @property
     def complete(self) -> bool:
         return not self.left
 
-    def add(self, layer: Layer, deep: int = 0) -> None:
+    def add(self, layer: Layer) -> None:
         if layer.content and (key := layer.key()) not in self.seen:
             self.seen.add(key)
             if isinstance(layer.content, str):
                 self.spans |= {(kind, *layer.place(s, e)) for kind, s, e in direct_spans(layer.content)}
-            self.work.append((layer, deep))
+            self.work.append(layer)
 
     def run(self) -> Worklist:
         while self.work:
-            layer, deep = self.work.pop()
+            layer = self.work.pop()
             if isinstance(layer.content, bytes):
                 self.unwrap_bytes(layer)
                 continue
             if ("%" in layer.content or "\\" in layer.content) and (once := unescaped(layer)):
-                self.add(once, deep + 1) if deep < DEEP else self.add(fully_unescaped(once))
+                self.escaped -= len(once.content)
+                if self.escaped >= 0:
+                    self.add(once)
+                else:
+                    places = np.arange(len(once.content) + 1)
+                    rest = fully_unescaped(Layer(once.content, places[:-1], places[1:]))
+                    nests = np.flatnonzero(rest.ends - rest.begins > 1)
+                    self.left |= {once.place(int(rest.begins[k]), int(rest.ends[k])) for k in nests}
+                    self.add(once.below(rest.content, rest.begins, rest.ends))
+                if raw := escaped_bytes(layer):
+                    self.inflate(raw)
             for raw in base64_layers(layer):
                 self.add(raw)
         return self
@@ -258,6 +306,10 @@ class Worklist:
         for text, first, width in _stretches(raw):
             begins = first + width * np.arange(len(text))
             self.add(layer.below(text, begins, begins + 1))
+        self.inflate(layer)
+
+    def inflate(self, layer: Layer) -> None:
+        raw = layer.content
         for m in _PACKED.finditer(raw):
             packed, room, read = memoryview(raw)[m.start() :], self.room, 0
             for piece, read in unpacked(packed):

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import re
 import urllib.parse
 import zlib
@@ -187,3 +188,48 @@ def test_places_across_lines():
     at = len(LONG.split("password")[0])
     place = lambda k: 2 + k + k // 64
     assert (start, end) == (place(at * 4 // 3), place(-(-(at + len("password=hunter2hunter2")) * 4 // 3) - 1) + 1)
+
+
+def test_every_layer_of_a_deep_nest_is_told():
+    text = "%" + "25" * 40
+    want, layer, begin = set(), text, 0
+    for depth in range(41):
+        want |= {("hex", s + (2 * depth if depth else 0), e + (2 * depth if depth else 0)) for _, s, e in S.direct_spans(layer)}
+        layer = layer.replace("%25", "%", 1)
+    base, every = S.secret_spans(text)
+    assert base == S.direct_spans(text) and set(every) == want and len({s for _, s, _ in every}) == 25
+    deep = SECRETS
+    for _ in range(100):
+        deep = deep.replace("%", "%25") if "%" in deep else urllib.parse.quote(deep, safe="")
+    assert {k for k, _, _ in S.secret_spans(f"a {deep} b")[1]} == set(S.KINDS)
+
+
+ENCODE = {
+    "url": lambda raw: urllib.parse.quote_from_bytes(raw, safe="").encode(),
+    "x": lambda raw: "".join(f"\\x{c:02x}" for c in raw).encode(),
+    "unicode": lambda raw: "".join(f"\\u{c:04x}" for c in raw).encode(),
+    "base64": lambda raw: base64.b64encode(raw),
+    "gzip": gzip.compress,
+    "zlib": zlib.compress,
+    "bzip2": bz2.compress,
+}
+
+
+@pytest.mark.parametrize("order", [o for n in (1, 2, 3) for o in itertools.permutations(ENCODE, n) if o[-1] not in ("gzip", "zlib", "bzip2")], ids="-".join)
+def test_all_orders_of_encodings(order):
+    raw = SECRETS.encode()
+    for name in order:
+        raw = ENCODE[name](raw)
+    text = f"é {raw.decode()} end"
+    every = S.secret_spans(text)[1]
+    assert {k for k, _, _ in every} == set(S.KINDS)
+    assert all(2 <= s < e <= len(text) - 4 for _, s, e in every)
+
+
+def test_a_nest_beyond_the_bound_is_told_and_redacted(monkeypatch):
+    monkeypatch.setattr(S, "MOST_ESCAPED", 2_000)
+    monkeypatch.setattr(S, "MOST_NESTED", 20)
+    text = "a %" + "25" * 300 + " b"
+    _, _, left = S.scanned(text)
+    assert left and S.redacted(text).startswith("a") and "2525" not in S.redacted(text)
+    assert not S.scanned("a %" + "25" * 10 + " b")[2]
