@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structsim.functions import names as N
@@ -17,6 +17,7 @@ from structsim.operators import simjoin as J
 from structsim.options import Options
 from structsim.sources import adapters as A
 from structsim.sources import discover as D
+from structsim.sources.registry import detect_language
 from structsim.sources.storage import stored
 
 
@@ -192,6 +193,65 @@ def scanned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select("files", "fragments", "candidate_pairs", "location_pairs", "total_groups", "truncated")
 
 
+#: Features of ``_code`` with i sums and j branches: how often each comes, as constant, per sum and per branch.
+_CODE_FEATURES = (
+    ("node:function", 1, 0, 0), ("class:function", 1, 0, 0), ("edge:function>symbol", 1, 0, 0), ("node:symbol", 3, 4, 3),
+    ("class:operand", 4, 4, 4), ("node:parameters", 1, 0, 0), ("node:parameter", 1, 0, 0), ("class:parameter", 2, 0, 0),
+    ("edge:function>parameters", 1, 0, 0), ("role:arguments>parameters", 1, 0, 0), ("edge:parameters>parameter", 1, 0, 0),
+    ("role:arguments>parameter", 1, 0, 0), ("node:block", 1, 0, 1), ("class:block", 1, 0, 1), ("edge:function>block", 1, 0, 0),
+    ("role:body>block", 1, 0, 0), ("node:expression:assignment", 1, 1, 0), ("edge:block>expression:assignment", 1, 1, 0),
+    ("class:operation", 1, 3, 2), ("edge:expression:assignment>symbol", 1, 1, 0), ("node:literal:number", 1, 0, 1),
+    ("edge:expression:assignment>literal:number", 1, 0, 0), ("role:value>literal:number", 1, 0, 0),
+    ("node:expression:binary", 0, 1, 0), ("edge:expression:assignment>expression:binary", 0, 1, 0),
+    ("role:value>expression:binary", 0, 1, 0), ("edge:expression:binary>symbol", 0, 1, 0), ("role:operand>symbol", 0, 1, 1),
+    ("node:operator:additive", 0, 1, 0), ("class:operator", 0, 1, 1), ("edge:expression:binary>operator:additive", 0, 1, 0),
+    ("node:expression:call", 0, 1, 1), ("edge:expression:binary>expression:call", 0, 1, 0),
+    ("role:operand>expression:call", 0, 1, 0), ("semantic:length", 0, 2, 0), ("edge:expression:call>symbol", 0, 2, 2),
+    ("role:callee>symbol", 0, 1, 1), ("role:arguments>symbol", 0, 1, 1), ("node:flow:if", 0, 0, 1), ("class:control", 1, 0, 1),
+    ("edge:block>flow:if", 0, 0, 1), ("node:expression:comparison", 0, 0, 1), ("edge:flow:if>expression:comparison", 0, 0, 1),
+    ("role:condition>expression:comparison", 0, 0, 1), ("edge:expression:comparison>symbol", 0, 0, 1),
+    ("node:operator:ordered", 0, 0, 1), ("edge:expression:comparison>operator:ordered", 0, 0, 1),
+    ("edge:expression:comparison>literal:number", 0, 0, 1), ("edge:flow:if>block", 0, 0, 1), ("role:consequence>block", 0, 0, 1),
+    ("node:syntax:expr", 0, 0, 1), ("edge:block>syntax:expr", 0, 0, 1), ("edge:syntax:expr>expression:call", 0, 0, 1),
+    ("role:value>expression:call", 0, 0, 1), ("ordered:statement:only:syntax:expr", 0, 0, 1), ("node:flow:return", 1, 0, 0),
+    ("edge:block>flow:return", 1, 0, 0), ("edge:flow:return>symbol", 1, 0, 0), ("role:value>symbol", 1, 0, 0),
+    ("ordered:statement:first:expression:assignment", 1, 0, 0), ("ordered:statement:middle:expression:assignment", 0, 1, 0),
+    ("ordered:statement:middle:flow:if", 0, 0, 1), ("ordered:statement:last:flow:return", 1, 0, 0),
+)
+
+
+def _code(text: Column) -> Column:
+    """A Python function as long as a text says: its characters modulo 9 are sums, modulo 4 branches."""
+    sums, branches = F.length(text) % 9 + 1, F.length(text) % 4
+    return F.concat(
+        F.lit("def f(x):\n    t = 0\n"), F.repeat(F.lit("    t = t + len(x)\n"), sums),
+        F.repeat(F.lit("    if t > 5:\n        save(t)\n"), branches), F.lit("    return t\n"),
+    )
+
+
+@query(f"""with own as (select source || '/' || lang || '/doc_' || doc_id || '.py' as path, length(text) % 9 + 1 as i, length(text) % 4 as j from documents where text is not null),
+kinds as materialized (select distinct i, j, i || '-' || j as id from own),
+made as (select id, i, j, unnest([{", ".join(f"{{'f': '{f}', 'n': {a} + {b} * i + {c} * j}}" for f, a, b, c in _CODE_FEATURES)}]) as u from kinds),
+bags as materialized (select id, u.f as feature, u.n::int as cnt from made where u.n > 0
+  union all select id, 'ordered:call:linear:callee-slot-0', least(i, 8)::int from kinds where j > 0
+  union all select id, 'ordered:call:branch:callee-slot-1', least(j, 8 - i)::int from kinds where j > 0 and i < 8),
+prints as (select id, sum(cnt) as fc, substr(sha256(string_agg(feature || chr(31) || cnt || chr(30), '' order by feature)), 1, 16) as fp from bags group by id),
+frags as materialized (select path as id, path, '' as name, fc, fp from own join kinds using (i, j) join prints using (id)),
+sizes as (select fp, any_value(fc) as fc, count(*) as n from frags group by fp),
+each_ as (select distinct fp, b.feature, b.cnt from frags f join prints p using (fp) join bags b on b.id = p.id),
+met as (select x.fp as a, y.fp as b, sum(least(x.cnt, y.cnt)) as inter from each_ x join each_ y on x.feature = y.feature and x.fp <= y.fp group by 1, 2)
+select a || ':' || b as group_id, inter::double / (l.fc + r.fc - inter) as score, (case when a = b then l.n * (l.n - 1) // 2 else l.n * r.n end)::bigint as location_pairs
+from met join sizes l on l.fp = a join sizes r on r.fp = b where inter::double / (l.fc + r.fc - inter) >= {SCANNED.threshold} and (a <> b or l.n > 1)""")
+def scanned_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python functions as long as documents say, in groups by syntax."""
+    docs = A.read(spark, sf_dir, "documents").where("text is not null")
+    path = F.regexp_replace(A.document_path(), "txt$", "py").alias("path")
+    files = docs.select(path, _code(F.col("text")).alias("content"))
+    files = detect_language(files.withColumn("size", F.octet_length("content").cast("long")))
+    done = scan(files, Options(threshold=SCANNED.threshold, min_tokens=12, max_pairs=0))
+    return done.groups.select("group_id", "score", F.col("location_pairs").cast("long").alias("location_pairs"))
+
+
 @query(f"""with {_PAGES}, q as (select page_id, path, string_split(path, '/') as s from p)
 select page_id, regexp_matches(path, '[.]html$') or len(list_filter(range(1, len(s)), lambda k: s[k] in ('fr', 'a') or (k = 1 and s[k] = 'example.org'))) > 0 or path = 'example.org' as excluded from q""")
 def excluded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +264,7 @@ def excluded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
   else trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) end as name, substr(sha256(text), 1, 12) as short, least(length(text), 500)::double / greatest(length(text), 500) as bound
 from documents where text is not null and length(text) > 0""")
 def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned and fallback names, short digests and size bounds of documents."""
+    """Cleaned and fallback names, short digests and size bounds of documents."""
     docs = A.read(spark, sf_dir, "documents").where("text is not null and length(text) > 0")
     kind = F.when(F.col("lang").rlike("^[de]"), "query").otherwise("function")
     said = F.when(kind == "function", F.split_part("text", F.lit("."), F.lit(1)))
