@@ -108,7 +108,8 @@ def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python
     warnings = stored(parse.na.fill(0, ["skipped_fragments"]).unionByName(over), "warnings")
 
     kept = units.where((F.col("unit") == "block") | (F.col("unit") == "fragment")).where(~F.col("invalid") & ~small)
-    kept = labelled(kept, read.where("kind = 'query'"))
+    if chosen.where("kind = 'query' and status = 'analyzed'").take(1):
+        kept = labelled(kept, read.where("kind = 'query'"))
     found = located(chosen, kept).drop("invalid", "total", "warning")
     if options.focus_active:
         found = found.join(chosen.select("path", "focused"), "path")

@@ -5,7 +5,8 @@ counts) a and b must share weight of at least ``need`` = ceil(t / (1 + t) * (a +
 rarest one, then has no more than ``a - need`` and ``b - need`` of weight before it, so only features with at most
 ``a - ceil(t * a)`` before them are joined, and a joined row goes on only if both sides have ``need`` left at it.
 What is left is thinned by sketches, the weights of ``SKETCH`` buckets of features: the sums of their minima bound the
-shared weight. The rest is verified on whole bags. Profiles, their bags and prefixes are written once to the shared folder.
+shared weight. The rest is verified on whole bags. Features are numbered by rarity once, and profiles, their bags and
+prefixes are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -58,18 +59,28 @@ def profile_bags(profs: DataFrame, bags: DataFrame) -> DataFrame:
     return bags.join(profs.select(F.col("profile_id").alias("fragment_id")), "fragment_id", "left_semi").withColumnRenamed("fragment_id", "profile_id")
 
 
+def ranked_bags(profs: DataFrame, bags: DataFrame) -> DataFrame:
+    """``profile_bags`` with features as numbers, unique and the rarer the lower: all later joins are of numbers.
+
+    Numbers are the places in a range sort by how many profiles have a feature, so no task sees all features.
+    """
+    own = profile_bags(profs, bags)
+    rarity = own.groupBy("feature").agg(F.count("*").alias("df")).repartitionByRange("df", "feature").sortWithinPartitions("df", "feature")
+    ranks = stored(rarity.select("feature", F.monotonically_increasing_id().alias("rank")), "ranks")
+    return own.join(ranks, "feature").select("profile_id", F.col("rank").alias("feature"), "cnt")
+
+
 def prefixes(profs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The features of each profile that a partner must share one of, each with the weight of the rarer ones before it.
+    """The features of each profile (``ranked_bags``) that a partner must share one of, each with the weight before it.
 
-    part, profile_id, fc, family, language, focused, feature (a 64-bit hash), before.
+    part, profile_id, fc, family, language, focused, feature, before.
     """
-    rarity = bags.groupBy("feature").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("profile_id").orderBy("df", "feature")
+    order = Window.partitionBy("profile_id").orderBy("feature")
     before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     columns = ["profile_id", "part", "fc", "family", "language", "focused"]
-    full = bags.join(rarity, "feature").join(profs.select(*columns), "profile_id")
+    full = bags.join(profs.select(*columns), "profile_id")
     spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
-    return full.withColumn("before", before).where(F.col("before") <= spare).select(*columns, F.xxhash64("feature").alias("feature"), "before")
+    return full.withColumn("before", before).where(F.col("before") <= spare).select(*columns, "feature", "before")
 
 
 def sketches(bags: DataFrame) -> DataFrame:
@@ -118,8 +129,9 @@ def candidate_profiles(
     else:
         joined = pre.alias("l").join(pre.alias("r"), on & (F.col("l.profile_id") < F.col("r.profile_id")))
     sides = [F.col(f"{a}.{b}").alias(f"{a}_{c}") for b, c in (("profile_id", "id"), ("fc", "fc")) for a in ("l", "r")]
-    met = joined.select(*sides).distinct()
-    drawn = stored(sketches(bags), "sketches")
+    met = stored(joined.select(*sides).distinct(), "met")
+    ids = met.select(F.explode(F.array("l_id", "r_id")).alias("profile_id")).distinct()
+    drawn = stored(sketches(bags.join(ids, "profile_id", "left_semi")), "sketches")
     both = met.join(drawn.select(F.col("profile_id").alias("l_id"), F.col("sketch").alias("l_sketch")), "l_id")
     both = both.join(drawn.select(F.col("profile_id").alias("r_id"), F.col("sketch").alias("r_sketch")), "r_id")
     shared = F.aggregate(F.zip_with("l_sketch", "r_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
@@ -151,7 +163,7 @@ def similar_profiles(
     a column ``focused``, and pairs without a focused fragment are left out. ``profs``: the stored ``profiles``, if at hand.
     """
     profs = stored(profiles(fragments, mode), "profiles") if profs is None else profs
-    own = stored(profile_bags(profs, bags), "bags")
+    own = stored(ranked_bags(profs, bags), "bags")
     candidates = stored(candidate_profiles(profs, own, threshold, mode, language_pairs, focused_only), "candidates")
     found = weighted_jaccard(candidates, own, threshold)
     names = ["l_id", "r_id", "l_fc", "r_fc", "intersection", "union_size", "score"]
