@@ -59,6 +59,6 @@ def test_stages_take_odd_rows(spark, table, odd_rows):
 def test_registered_once_each():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert np.array([s[0] for s in P.STAGES]).tolist() == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
     assert all(m.__doc__ for m in (decontaminate, language_id, ngram_join, secret_scan))
