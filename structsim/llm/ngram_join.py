@@ -4,7 +4,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased. A document's set h
 64-bit hashes; with fewer words the whole sequence is one shingle; without words or text the set is empty and the
 document is linked with nothing. Two documents link when 100 * |intersection| >= percent * |union|.
 
-1. Documents with equal sets are one class, represented by the smallest doc_id, and only representatives are searched.
+1. Documents with equal sets are one class, named by the set's digest, and each class is searched once.
 2. Meeting places: linked sets of sizes up to r differ in at most k shingles, k = 2 r (100 - percent) / (100 + percent).
    The hash range is cut into k + 1 + e parts, so linked sets agree on at least e + 1 parts whole. Up to e parts of a
    set that say little (none or one shingle) are left out; sets that share the content of a part left meet there.
@@ -22,8 +22,8 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
    outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``.
 
 Null texts have empty sets. Repeated rows give a row each; rows that share a doc_id count as one document, which is
-linked by any of its texts; those of them with empty sets name their own doc_id. Rows of null doc_id get the component of
-their class, or null if no row with an id has their set. Extra columns are not read. An empty table gives no rows.
+linked by any of its texts; those of them with empty sets name their own doc_id. Rows of null doc_id link like all others;
+their component is null where no row with an id can be reached. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from structsim.llm.components import connected_components
 from structsim.llm.wordhash import chain, give_back, mix, text_slices, words
@@ -360,30 +361,44 @@ def few(ids: DataFrame) -> DataFrame:
 
 
 def _active_sets(docs: DataFrame, active: DataFrame, n: int) -> DataFrame:
-    """(d1, d2, set) of the rows whose doc_id is in ``active`` (doc_id, unique); sets are made anew from the texts."""
+    """(d1, d2, set) of the classes in ``active`` (rep, the least doc_id, may be null); sets are made anew from the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch, 0):
-                sets = [s for s in shingle_sets(data, offsets, n) if len(s)]
-                digests = [_digest(s) for s in sets]
-                columns = [*(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+                digests, sets = [], []
+                for own in shingle_sets(data, offsets, n):
+                    digest = _digest(own)
+                    if len(own) and digest not in seen:
+                        seen.add(digest)
+                        digests.append(digest)
+                        sets.append(own.tobytes())
+                columns = [*(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(sets, pa.binary())]
                 yield pa.record_batch(columns, names=["d1", "d2", "set"])
+                if len(seen) > BUFFER // 10:
+                    seen.clear()
 
-    return docs.join(few(active), "doc_id", "left_semi").select("text").mapInArrow(make, "d1 long, d2 long, set binary")
+    ids = active.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    rows = docs.join(few(ids), "doc_id", "left_semi").select("text")
+    if active.where("rep is null").take(1):
+        rows = rows.unionByName(docs.where("doc_id is null").select("text"))
+    return rows.mapInArrow(make, "d1 long, d2 long, set binary")
 
 
-def _ids_of_many_sets(made: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives whose sets are of one doc_id."""
-    own = made.where("doc_id is not null").join(classes, ["d1", "d2"]).select("doc_id", "rep")
-    many = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
-    return own.join(many.select("doc_id", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+def _ids_of_many_sets(made: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose sets are of one doc_id."""
+    own = made.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("d1").alias("a"))
+    many = own.groupBy("doc_id").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most")
+    return own.join(many.select("doc_id", "b"), "doc_id").where("a <> b").select("a", "b").distinct()
 
 
-def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, cell_size: int = CELL) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _linked_classes(docs: DataFrame, folder: str, n: int, percent: int, cell_size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, d1, d2) of all documents, and classes (d1, d2, root, component_id).
+
+    ``root`` names the component by a class; ``component_id`` is its least doc_id, null without any.
+    """
     small_batches(docs.sparkSession)
-    folder = new_folder(docs.sparkSession, "ngram-join")
     rows = docs.select("doc_id", "text")
     scanned = written(rows.mapInArrow(lambda it: _set_batches(it, n), SETS), folder, "sets")
     made = scanned.where("n_shingles is not null").select("doc_id", "n_shingles", "d1", "d2")
@@ -396,20 +411,28 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ce
     met = written(dealt.mapInArrow(_meeting_batches, PAIRS).distinct(), folder, "met")
 
     cells = written(connected_components(met, folder, "cells").select(F.col("node").alias("d1"), F.col("root").alias("cell")), folder, "cells")
-    active = written(classes.where("rep is not null").join(cells, "d1").select("d1", "d2", F.col("rep").alias("doc"), "cell"), folder, "active")
+    active = written(classes.join(cells, "d1").select("d1", "d2", "rep", "cell"), folder, "active")
     big = written(active.groupBy("cell").count().where(F.col("count") > cell_size).select("cell", F.col("count").alias("n")), folder, "big")
-    sets = _active_sets(rows, active.select(F.col("doc").alias("doc_id")).distinct(), n)
-    members = written(sets.join(few(active), ["d1", "d2"]).select("cell", "d1", "doc", "set"), folder, "members")
+    sets = _active_sets(rows, active, n)
+    own = sets.join(few(active.select("d1", "d2", "cell")), ["d1", "d2"])
+    members = written(own.select("cell", "d1", F.col("d1").alias("doc"), "set"), folder, "members")
     small = members.join(big, "cell", "left_anti").select("cell", "doc", "set").repartition("cell").sortWithinPartitions("cell", "doc")
     links = small.mapInArrow(lambda it: _cell_batches(it, percent), PAIRS)
     if big.take(1):
         links = links.unionByName(_big_cells(members.join(big, "cell"), met, folder, percent, cell_size))
-    comps = connected_components(written(links.unionByName(_ids_of_many_sets(made, classes)), folder, "links"), folder, "components")
-    return (
-        made.join(classes, ["d1", "d2"], "left")
-        .join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    )
+    comps = connected_components(written(links.unionByName(_ids_of_many_sets(made)), folder, "links"), folder, "components")
+    comps = comps.select(F.col("node").alias("d1"), "root")
+    least = comps.join(classes, "d1").groupBy("root").agg(F.min("rep").alias("least"))
+    named = classes.join(comps.join(least, "root"), "d1", "left")
+    named = named.select("d1", "d2", F.coalesce("root", "d1").alias("root"), F.coalesce("least", "rep").alias("component_id"))
+    return made, written(named, folder, "named")
+
+
+def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, cell_size: int = CELL) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    made, named = _linked_classes(docs, new_folder(docs.sparkSession, "ngram-join"), n, percent, cell_size)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return made.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, cell_size: int) -> DataFrame:
@@ -454,14 +477,43 @@ def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, ce
 def keep_one_per_group(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per component: that of the doc_id which names it. Rows that share a doc_id are one document.
 
-    Rows with null doc_id cannot be told apart from their group by an id; they stay as they are.
+    Of a component without any id one row stays. Rows without words are linked with nothing, and those of null doc_id all stay.
     """
     folder = new_folder(docs.sparkSession, "kept")
-    comps = written(ngram_components(docs, n, percent).where("doc_id is not null"), folder, "components")
+    made, named = _linked_classes(docs, folder, n, percent, CELL)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    comps = made.where("doc_id is not null").join(named, ["d1", "d2"], "left").select("doc_id", component.alias("component_id"))
     ids = comps.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     ids = written(ids.where("least < doc_id or n > 1").select("doc_id", (F.col("least") == F.col("doc_id")).alias("stays")), folder, "ids")
-    once = docs.join(few(ids.select("doc_id")), "doc_id", "left_anti")
+    once = docs.where("doc_id is not null").join(few(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
     repeated = ids.where("stays").select("doc_id")
     if repeated.take(1):
         once = once.unionByName(docs.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
-    return once.select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    if nameless.take(1):
+        once = once.unionByName(_kept_without_id(nameless, named, n))
+    return once
+
+
+def _kept_without_id(docs: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """Of rows without an id: those without words, and one of each component that has no id."""
+    names, column = [], docs.columns.index("text")
+    for name in ("d1", "d2"):
+        while name in docs.columns:
+            name = f"_{name}"
+        names.append(name)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in text_slices(batch, column):
+                digests = [_digest(own) for own in shingle_sets(data, offsets, n)]
+                part = batch.slice(at, to - at)
+                for k, name in enumerate(names):
+                    part = part.append_column(name, pa.array([d[k] for d in digests], pa.int64()))
+                yield part
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names)]))
+    first = named.where("component_id is null").groupBy("root").agg(F.min(F.struct("d1", "d2")).alias("of"))
+    first = first.select(*(F.col(f"of.d{k + 1}").alias(name) for k, name in enumerate(names)))
+    kept = marked.join(first, names, "left_semi").dropDuplicates(names)
+    return marked.where(F.col(names[0]).isNull()).unionByName(kept).select(*docs.columns)

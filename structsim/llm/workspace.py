@@ -18,9 +18,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder."""
+    """A fresh folder name below ``spark.checkpoint.dir``.
+
+    Where that is unset only a local master, as in tests, gets a temporary folder; elsewhere that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,11 +13,12 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def brute(rows, n=3, percent=90):
-    sets = {}
-    for d, text in rows:
+    """doc_id -> sizes and component; a row without an id is a document of its own, which may link others."""
+    sets, none = {}, float("inf")
+    for k, (d, text) in enumerate(rows):
         w = WORD.findall((text or "").translate(LOWER))
         own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-        sets.setdefault(d, []).append(own)
+        sets.setdefault((none, k) if d is None else (d, 0), []).append(own)
     up = {d: d for d in sets}
 
     def root(d):
@@ -25,13 +26,13 @@ def brute(rows, n=3, percent=90):
             d = up[d]
         return d
 
-    ids = [d for d in sets if d is not None]
+    ids = list(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 lo, hi = sorted((root(a), root(b)))
                 up[hi] = lo
-    return {d: (sorted(len(s) for s in own), root(d)) for d, own in sets.items() if d is not None}
+    return {d[0]: (sorted(len(s) for s in own), root(d)[0]) for d, own in sets.items() if d[0] != none}
 
 
 def got(frame):
@@ -92,6 +93,31 @@ def test_more_ids_than_are_broadcast(table, prose, monkeypatch):
     assert {r["doc_id"] for r in J.keep_one_per_group(table(rows)).collect()} == {d for d, (_, c) in brute(rows).items() if d == c}
 
 
+@pytest.mark.parametrize("cell", [512, 3])
+def test_rows_without_an_id_link_others(table, prose, cell):
+    rows = [(None if k % 3 == 0 else d, t) for k, (d, t) in enumerate(near_copies(prose))]
+    assert got(J.ngram_components(table(rows), cell_size=cell)) == brute(rows)
+    words = prose(60, 9)
+    near = [" ".join([*words, *extra]) for extra in ([], list("pqrst"), list("pqrstuvwxy"))]
+    ends = [(1, near[0]), (None, near[1]), (2, near[2])]
+    assert brute([ends[0], ends[2]])[2] != brute(ends)[2]
+    found = J.ngram_components(table([*ends, (None, near[1]), (None, "of no id at all"), (None, None)]), cell_size=cell).collect()
+    assert sorted(str(r["component_id"]) for r in found) == ["1", "1", "1", "1", "None", "None"]
+
+
+def test_rows_without_an_id_stay_once(table, prose):
+    words = prose(60, 9)
+    near = [" ".join([*words, *extra]) for extra in ([], list("pqrst"), list("pqrstuvwxy"))]
+    other = " ".join(prose(60, 10))
+    rows = [(1, near[0]), (None, near[1]), (2, near[2]), *[(None, other)] * 3, (None, other + " end"), (None, "x y"), (None, None), (None, " ")]
+    kept = J.keep_one_per_group(table(rows))
+    docs = kept.collect()
+    assert kept.columns == table(rows).columns
+    assert [r["doc_id"] for r in docs if r["doc_id"] is not None] == [1]
+    texts = sorted(r["text"] or "" for r in docs if r["doc_id"] is None)
+    assert sorted(t[:20] for t in texts) == sorted(["", " ", "x y", other[:20]])
+
+
 def test_one_row_per_group_stays(table, prose):
     rows = near_copies(prose)
     docs = table([*rows, rows[0], (None, "x y z")])
