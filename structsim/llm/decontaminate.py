@@ -16,7 +16,8 @@ stretch of the document in at most 1 - ``OVERLAP`` of its words (changed, left o
 five shingles; both overlaps are then the larger of the two shares.
 
 Broadcast are the items alone, in shards of up to ``SHARD_BYTES`` of text, whose index takes about 15 times as much memory;
-larger benchmarks are searched shard by shard, each an index with statistics of its own. Null or wordless texts and items match nothing. Repeated rows are found each on their
+larger benchmarks are searched shard by shard. Number and mean length of items and in how many of them a word occurs are
+counted over the whole benchmark, so that scores do not depend on the shards. Null or wordless texts and items match nothing. Repeated rows are found each on their
 own; repeated item rows are one item (the least text of an item_id counts). Extra columns are not read. Empty tables give no rows.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.llm.wordhash import chain, range_hashes, text_slices
-from structsim.llm.workspace import small_batches
+from structsim.llm.workspace import new_folder, small_batches, written
 
 LEAST_SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
@@ -99,10 +101,20 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:at], text[at:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: how many have words, their mean number of words, and how many hold each of the sorted ``terms``."""
+
+    items: int
+    mean: float
+    terms: np.ndarray
+    have: np.ndarray
+
+
 class Index:
-    """The BM25 index of some items."""
+    """The BM25 index of some items; ``statistics`` are those of the whole benchmark if these are only a part of it."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         words = hashed_words([t for _, t in items])
         keep = [k for k, w in enumerate(words) if len(w)]
         self.ids = [items[k][0] for k in keep]
@@ -125,8 +137,12 @@ class Index:
         pair, times = np.unique(term * n + item, return_counts=True)
         term_of, item_of = pair // n, pair % n
         have = np.bincount(term_of, minlength=len(self.terms))
-        idf = np.log1p((n - have + 0.5) / (have + 0.5))
-        impact = idf[term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[item_of] / lengths.mean()))
+        total, mean, holding = n, lengths.mean(), have
+        if statistics:
+            total, mean = statistics.items, statistics.mean
+            holding = statistics.have[np.searchsorted(statistics.terms, self.terms)]
+        idf = np.log1p((total - holding + 0.5) / (holding + 0.5))
+        impact = idf[term_of] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[item_of] / mean))
         impact /= np.bincount(item_of, impact, n)[item_of]
         # Postings by block, then term: the items of each (block, term) cell are a run of ascending numbers.
         cell = item_of // BLOCK * len(self.terms) + term_of
@@ -227,22 +243,47 @@ class Index:
         return out
 
 
-def _shards(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in shards of up to ``most`` characters; one shard at a time is in the driver."""
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, term, null) for each different word of an item, and (item_id, null, number of words)."""
+    for batch in batches:
+        for at, to, data, offsets in text_slices(batch, 1):
+            h, before = letter_words(data, offsets)
+            for k, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
+                if b > a:
+                    own = np.unique(h[a:b]).view(np.int64)
+                    item = batch.column(0).slice(at + k, 1).cast(pa.int64()).take(pa.array(np.zeros(len(own) + 1, np.int64)))
+                    term = pa.concat_arrays([pa.array(own), pa.nulls(1, pa.int64())])
+                    length = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array([b - a], pa.int64())])
+                    yield pa.record_batch([item, term, length], names=["item_id", "term", "length"])
+
+
+def _shards(benchmark: DataFrame, most: int) -> Iterator[Index]:
+    """Indexes of shards of up to ``most`` characters; one shard at a time is in the driver, with counts of its words."""
     items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // most)) if size > most else 1
+    if size <= most:
+        yield Index(sorted((r["item_id"], r["text"]) for r in items.collect()))
+        return
+    n = -(-2 * size // most)
+    folder = new_folder(benchmark.sparkSession, "decontaminate")
+    words = written(items.select("item_id", "text").mapInArrow(_term_batches, "item_id long, term long, length long"), folder, "words")
+    total, mean = words.agg(F.count("length"), F.avg("length")).first()
+    have = written(words.where("term is not null").groupBy("term").agg(F.count("*").alias("have")), folder, "have")
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+        here = F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(n)) == k
+        own = words.where(here & F.col("term").isNotNull()).select("term").distinct().join(have, "term").toPandas()
+        terms = own["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        counts = Statistics(total, float(mean or 0), terms[order], own["have"].to_numpy(np.int64)[order])
+        yield Index(sorted((r["item_id"], r["text"]) for r in items.where(here).collect()), counts)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text) and item (item_id, text) that it contains: doc_id, item_id, score, question_overlap, answer_overlap."""
     small_batches(docs.sparkSession)
     out = None
-    for items in _shards(benchmark, shard_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    for index in _shards(benchmark, shard_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
         part = docs.select("doc_id", "text").mapInArrow(lambda it, shared=shared: _found(it, shared.value, least, overlap), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
@@ -282,8 +323,8 @@ def contained(index: Index, data: np.ndarray, offsets: np.ndarray, least: float,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; the columns stay as they are."""
     small_batches(docs.sparkSession)
-    for items in _shards(benchmark, SHARD_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    for index in _shards(benchmark, SHARD_BYTES):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -67,6 +67,16 @@ def test_contained_items_are_found_and_others_left(table, spark, prose, odd_rows
     assert D.find_items(docs, bench.limit(0)).count() == 0 and D.find_items(table([]), bench).count() == 0
 
 
+def test_scores_do_not_depend_on_shards(table, spark, prose):
+    """Part of each item's words, so that scores lie below 1, and a word in all items but few shards' statistics."""
+    all_items = [(i, t if i % 9 else f"rareword {t}") for i, t in items(prose)]
+    bench = spark.createDataFrame([*all_items, (91, " .")], "item_id long, text string")
+    docs = table([(k, " ".join([*prose(30, k), *t.split()[1:], *prose(30, k + 1)])) for k, t in all_items])
+    rows = lambda most: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in D.find_items(docs, bench, 0.3, 0.5, most).collect())
+    whole = rows(D.SHARD_BYTES)
+    assert rows(5000) == whole and len(whole) > 40 and any(0.3 < s < 0.99 for *_, s in whole)
+
+
 def test_questions_and_answers():
     assert D.split_item("What is it? A cat.") == ("What is it? ", "A cat.")
     assert D.split_item("Say it. Answer: blue") == ("Say it. Answer: ", "blue")
