@@ -15,9 +15,9 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
    per key and buffer, so neither copies nor near copies crowd a key.
 3. Sets that meet, directly or over others, form a cell. In a cell every set searches an inverted index of the cell:
    a partner must occur on at least T = ceil(percent / 100 * size) of the set's lists. DivideSkip sets the T - 1
-   longest lists aside, merges the other, short ones by a heap, and probes the long lists by binary search for the sets
-   found. Each hit is settled by exact counts. Only links between sets not yet connected are looked for, as classes need
-   no more.
+   longest lists aside, merges the other, short ones by counting, and probes the long lists by binary search for the sets
+   found, or reads them where probing costs more. Each hit is settled by exact counts. Only links between sets not yet
+   connected are looked for, as classes need no more.
 4. A cell above ``CELL`` sets is first thinned: each of its sets is compared with two of those it met, and only sets
    outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``.
 
@@ -31,8 +31,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from structsim.llm.components import connected_components
-from structsim.llm.wordhash import chain, give_back, mix, text_slices, words
+from structsim.llm.wordhash import chain, gathered, give_back, mix, text_slices, words
 from structsim.llm.workspace import new_folder, small_batches, written
 
 WORDS, PERCENT, CELL = 3, 90, 512
@@ -50,6 +48,8 @@ WORDS, PERCENT, CELL = 3, 90, 512
 BUFFER, SEEN, FREQUENT = 1_000_000, 32, 1_000_000
 #: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
 SENT = 1_000_000
+#: A probe of a long list costs as much as reading so many entries.
+PROBE = 20
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, shingle long, times long"
 PAIRS = "a long, b long"
 
@@ -279,43 +279,44 @@ class Union:
 
 
 def connect(sets: list[np.ndarray], percent: int, queries: range | list[int], union: Union) -> None:
-    """Joins in ``union`` all linked sets of which one is a query, by T-occurrence search with DivideSkip."""
+    """Joins in ``union`` all linked sets of which one is a query, by T-occurrence search with DivideSkip.
+
+    The sets found on the short lists are probed on the long ones, all at once; where so many are found that reading the
+    long lists whole costs less, they are read.
+    """
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]  # a token's inverted list is a run of ascending owners
     begin = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-    lists, end = tokens[begin], np.append(begin[1:], len(tokens))
-    owners = owner.tolist()
+    lists, length = tokens[begin], np.diff(np.append(begin, len(tokens)))
+    entries = np.repeat(np.arange(len(lists)), length) * len(sets) + owner  # ascending
     roots = np.array([union.root(k) for k in range(len(sets))])
-    left = len(set(roots.tolist()))
     for q in queries:
-        if left == 1:
+        if (roots == roots[0]).all():
             return
         size = int(sizes[q])
         need = -(-percent * size // 100)
         place = np.searchsorted(lists, sets[q])
-        length = end[place] - begin[place]
-        by_length = np.argsort(length, kind="stable")
+        by_length = np.argsort(length[place], kind="stable")
         short, long = place[by_length[: size - need + 1]], place[by_length[size - need + 1 :]]
-        merged = [(k, sum(1 for _ in same)) for k, same in groupby(merge(*(owners[begin[p] : end[p]] for p in short.tolist())))]
-        found, times = np.array([k for k, _ in merged]), np.array([c for _, c in merged])
-        far = (roots[found] != roots[q]) & (100 * np.minimum(sizes[found], size) >= percent * np.maximum(sizes[found], size))
-        found, times = found[far], times[far]
-        for done, p in enumerate(long.tolist()):
-            if not len(found):
-                break
-            run = owner[begin[p] : end[p]]
-            at = np.searchsorted(run, found)
-            times = times + (run[np.minimum(at, len(run) - 1)] == found)
-            alive = times + (len(long) - done - 1) >= need
-            found, times = found[alive], times[alive]
-        for k, both in zip(found.tolist(), times.tolist(), strict=True):
-            if linked(size, int(sizes[k]), int(both), percent) and union.root(q) != union.root(k):
+        times = np.bincount(gathered(owner, begin[short], length[short]), minlength=len(sets))
+        found = np.flatnonzero((times > 0) & (roots != roots[q]))
+        found = found[100 * np.minimum(sizes[found], size) >= percent * np.maximum(sizes[found], size)]
+        if not len(found):
+            continue
+        if PROBE * len(found) * len(long) < length[long].sum():
+            probes = (long * len(sets) + found[:, None]).ravel()
+            hit = entries[np.minimum(np.searchsorted(entries, probes), len(entries) - 1)] == probes
+            both = times[found] + hit.reshape(len(found), len(long)).sum(axis=1)
+        else:
+            both = (times + np.bincount(gathered(owner, begin[long], length[long]), minlength=len(sets)))[found]
+        for k in found[100 * both >= percent * (sizes[found] + size - both)].tolist():
+            a, b = int(roots[q]), int(roots[k])
+            if a != b:
                 union.join(q, k)
-                left -= 1
-                roots = np.array([union.root(j) for j in range(len(sets))])
+                roots[(roots == a) | (roots == b)] = min(a, b)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:

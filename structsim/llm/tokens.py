@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-from structsim.llm.wordhash import range_hashes, text_slices
+from structsim.llm.wordhash import gathered, range_hashes, text_slices
 
 END_ID = 2
 CHUNKS_KEPT = 1_000_000
@@ -61,13 +61,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """flat[starts[0]:+lengths[0]], flat[starts[1]:+lengths[1]], ... as one array."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-
-
 class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -157,3 +158,18 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), new_folder(spark, "t"), "c")
     assert {r["node"]: r["root"] for r in found.collect()} == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_near_copies_below_the_threshold_are_searched_in_bulk():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = []
+    for _ in range(400):
+        own = base.copy()
+        own[rng.choice(300, 24, replace=False)] = rng.integers(0, 2**63, 24, dtype=np.uint64)
+        sets.append(np.unique(own))
+    union = J.Union(len(sets))
+    begin = time.process_time()
+    J.connect(sets, 90, range(len(sets)), union)
+    assert time.process_time() - begin < 1.5
+    assert [union.root(k) for k in range(len(sets))] == list(range(len(sets)))
