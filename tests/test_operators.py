@@ -63,6 +63,37 @@ def test_prefix_join_equals_brute_force(spark, threshold):
         assert J.candidate_pairs(fragments, threshold, mode, pairs).first()[0] == near
 
 
+@pytest.mark.parametrize("cell", [8, 256])
+def test_near_copies_are_sent_once_a_cell(spark, monkeypatch, cell):
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "BUNDLE", 5)
+    rng = random.Random(7)
+    left_out = [set(rng.sample(range(40), 3)) for _ in range(30)]
+    items = [(i, {f"c{k}": 1 + (k == i) for k in range(40) if k not in left_out[i]}, {}) for i in range(30)]
+    fragments, bags = make(spark, items)
+    profs = J.profiles(fragments)
+    packed = J.packed_bags(profs, J.ranked_bags(bags), 0.8)
+    met = J.met_profiles(packed, 0.8)
+    sent = J.in_cells(met).selectExpr("cell", "explode(array(l_id, r_id)) id").distinct().count()
+    assert met.count() > 200 and sent <= 30 * (1 if cell == 256 else 2 * 4)
+    want = {(a[0], b[0]) for a in items for b in items if a[0] < b[0] and score(a[1], b[1]) >= 0.8}
+    assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.8).collect()} == want
+
+
+def test_words_are_counted_row_by_row(spark, tmp_path):
+    from structsim.sources import adapters as A
+
+    texts = [(1, "Oak elm\n oak"), (2, None), (3, " \t"), (4, "ash"), (4, "ash oak"), (5, ""), (6, "\u0130x ß oak=1\r\nOAK=1"), (None, "elm")]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    fragments, bags = A.document_bags(spark, str(tmp_path))
+    want = B.word_bags(A.document_files(spark, str(tmp_path))).where("fragment_id is not null")
+    assert sorted(map(tuple, bags.collect())) == sorted(map(tuple, want.collect()))
+    prints = {r["fragment_id"]: tuple(r) for r in B.fingerprints(want).collect()}
+    got = fragments.select("fragment_id", "feature_count", "n_features", "fingerprint").collect()
+    assert sorted(r["fragment_id"] for r in got) == [1, 4, 4, 6] and all(prints[r["fragment_id"]] == tuple(r) for r in got)
+
+
 def test_groups_count_without_listing(spark):
     items = [(i, {"a": 3, "b": 1}, {}) for i in range(3)] + [(9, {"a": 3, "b": 2}, {})]
     fragments, bags = make(spark, items)
