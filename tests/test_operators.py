@@ -422,3 +422,27 @@ def test_receipts_have_a_digest_and_waive_the_focused_gate(spark):
     assert gates() == [] and gates(**both) == ["matches", "focused_matches"]
     assert gates(**both, drift=L.receipt_drift(receipt, receipt)) == ["matches"]
     assert gates(fail_on_focused_match=True, drift=L.receipt_drift(receipt, other)) == ["focused_matches"]
+
+
+@pytest.mark.parametrize("sizes", [(1_024, 4_096, 64), (3, 2, 5), (2, 9, 0)])
+def test_only_pairs_that_may_be_similar_leave_a_list(spark, monkeypatch, sizes):
+    monkeypatch.setattr(J, "LIST", sizes[0])
+    monkeypatch.setattr(J, "BUNDLED", sizes[1])
+    monkeypatch.setattr(J, "SMALL", sizes[2])
+    monkeypatch.setattr(J, "SKETCHES", (64, 512))
+    monkeypatch.setattr(J, "PAIRS", 7)
+    rng = random.Random(3)
+    items = []
+    for i in range(60):
+        # all share a rare word, most of them nothing else; every sixth is nearly the one before
+        bag = {"rare": 1} | {f"w{rng.randrange(900)}": rng.randint(1, 3) for _ in range(rng.choice((6, 30, 90)))} if i % 6 else dict(items[-1][1] if items else {"rare": 1, "a": 9}) | {"own": 1}
+        items.append((i, bag, {"family": rng.choice("xy"), "language": rng.choice("pq")}))
+    fragments, bags = make(spark, items)
+    fragments = fragments.withColumn("focused", F.col("fragment_id") % 4 == 0)
+    profs = J.profiles(fragments)
+    met = {(r["l_id"], r["r_id"]) for r in J.met_profiles(J.packed_bags(profs, J.ranked_bags(bags), 0.7), 0.7).collect()}
+    want = {(a[0], b[0]) for a in items for b in items if a[0] < b[0] and score(a[1], b[1]) >= 0.7}
+    assert want <= met and len(want) >= 8 and len(met) <= 2 * len(want)
+    assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.7).collect()} == want
+    near = J.similar_pairs(fragments, bags, 0.7, focused_only=True).collect()
+    assert sorted((r["left_id"], r["right_id"]) for r in near) == sorted(p for p in want if p[0] % 4 == 0 or p[1] % 4 == 0)
