@@ -446,3 +446,14 @@ def test_only_pairs_that_may_be_similar_leave_a_list(spark, monkeypatch, sizes):
     assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.7).collect()} == want
     near = J.similar_pairs(fragments, bags, 0.7, focused_only=True).collect()
     assert sorted((r["left_id"], r["right_id"]) for r in near) == sorted(p for p in want if p[0] % 4 == 0 or p[1] % 4 == 0)
+
+
+def test_rows_merge_as_their_bags_do(spark):
+    rows = spark.createDataFrame([("a", "Oak elm oak"), ("a", "oak"), ("b", None), ("b", "node:root x")], "whole_id string, text string")
+    rows = rows.withColumn("fragment_id", F.monotonically_increasing_id())
+    merged = B.merge_rows(B.with_words(rows.drop("fragment_id")))
+    want = B.merge_bags(B.word_bags(rows), rows.select("fragment_id", "whole_id"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect())) and merged.count() == 6
+    # words are counted and added up before anything is shuffled
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
