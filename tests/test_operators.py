@@ -466,3 +466,10 @@ def test_a_source_is_no_single_group(spark):
     rows = S._sources_as_groups(docs).select("name", F.size("occurrences").alias("n")).collect()
     assert max(r["n"] for r in rows) <= S.GROUP_PLACES and sum(r["n"] for r in rows) == 5000
     assert sum(r["n"] for r in rows if r["name"] is None) == 10
+
+
+def test_path_findings_list_no_pairs(spark, monkeypatch):
+    from structsim.jobs import registry
+
+    monkeypatch.setattr(J, "listed_pairs", lambda *_: pytest.fail("pairs of places were listed"))
+    assert registry.QUERIES["path_findings"](spark, "/root/testdata/sf0.001").count() > 0
