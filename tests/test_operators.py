@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -473,3 +474,22 @@ def test_path_findings_list_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(J, "listed_pairs", lambda *_: pytest.fail("pairs of places were listed"))
     assert registry.QUERIES["path_findings"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("bundle", [1, 500])
+def test_evidence_is_made_in_cells(spark, monkeypatch, bundle):
+    """Equal to brute force for each pair, ties by name, with and without a partner's bag; features are not joined to pairs."""
+    rng = random.Random(8)
+    bags = {k: Counter(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(1, 40))) for k in range(12)}
+    pairs = [(f"{a}-{b}", a, b) for a in range(14) for b in range(a, 14)]
+    monkeypatch.setattr(X, "EVIDENCE_BUNDLE", bundle)
+    monkeypatch.setattr(X, "aligned", None)
+    rows = spark.createDataFrame([(k, f, n) for k, bag in bags.items() for f, n in bag.items()], "fragment_id long, feature string, cnt int")
+    got = X.structural_evidence(spark.createDataFrame(pairs, "pair_id string, left_id long, right_id long"), rows, 4).collect()
+    top = lambda c: [f"{f}={n}" for f, n in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:4]]
+    want = {}
+    for p, a, b in pairs:
+        l, r = bags.get(a, Counter()), bags.get(b, Counter())
+        if l or r:
+            want[p] = (sum((l & r).values()), sum((l | r).values()), sum((l - r).values()), sum((r - l).values()), top(l & r), top(l - r), top(r - l))
+    assert {r["pair_id"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
