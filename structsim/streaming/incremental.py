@@ -1,11 +1,12 @@
 """A stream of changed files against a corpus that follows it: a log of bags with versions and tombstones.
 
 The log is a folder. ``gen=n`` holds the corpus as it was after batch n (-1: at the start): the newest version of every
-path, its bag, the prefix of its bag that a partner must share a feature of, how rare features are, and the findings
-among these versions. ``delta=k`` holds what batch k changed. What a batch sees is merged when it is read: paths that
+path, its bag, the features numbered by rarity, the bags packed in these numbers for the join, and the findings
+among these versions. ``delta=k`` holds what batch k changed, and the numbers of features that are new in it. What a batch sees is merged when it is read: paths that
 deltas have changed hide their rows in the generation, so the generation is neither shuffled nor written for a batch.
-After ``every`` deltas the next batch first merges them into a new generation, whose rarity is counted anew; all prefixes
-of a generation and its deltas are in the order of its rarity.
+After ``every`` deltas the next batch first merges them into a new generation, whose rarity is counted anew; all bags
+of a generation and its deltas are in the order of its rarity, and what it does not have is the rarest. Findings come from
+the join of profiles in ``simjoin``: paths with equal bags are one, and only lists with a changed path are met.
 
 Batch k reads generations and deltas of earlier batches only and writes its own delta anew, so a batch that runs again
 after a failure changes nothing. A version that is not above its path's newest one comes late and is left out; of equal
@@ -27,10 +28,12 @@ from structsim.sources.storage import stored
 TABLES = {
     "heads": "path string, version long, deleted boolean",
     "bags": "path string, version long, feature string, cnt int",
-    "prefixes": "path string, version long, fc long, feature string, before long",
-    "rarity": "feature string, df long",
+    "packed": "path string, version long, fc long, fingerprint string, features array<bigint>, cnts array<int>, before array<bigint>, sketch binary",
+    "rarity": "feature string, rank long",
     "findings": "left_path string, left_version long, right_path string, right_version long, score double",
 }
+#: Numbers that a delta's new features may take; far more than it has partitions, times the rows of each.
+NEW = 1 << 50
 
 
 def _names(table: str) -> list[str]:
@@ -51,37 +54,33 @@ def _bags(files: DataFrame) -> DataFrame:
     return own.select("fragment_id.*", "feature", "cnt")
 
 
-def _prefixes(bags: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
-    """The features, rarest first, that a partner must share one of, each with the weight before it.
-
-    Features that ``rarity`` does not have are the rarest, so one order holds for a generation and all its deltas.
-    """
-    own = Window.partitionBy("path", "version")
-    order = own.orderBy("df", "feature")
-    before = F.coalesce(F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    full = bags.join(rarity, "feature", "left").na.fill(0, ["df"])
-    full = full.withColumn("before", before).withColumn("fc", F.sum("cnt").over(own))
-    spare = F.col("fc") - F.ceil(F.lit(threshold) * F.col("fc") - F.lit(1e-9))
-    return full.where(F.col("before") <= spare).select("path", "version", "fc", "feature", "before")
-
-
-def _met(changed: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of prefixes that may reach the threshold, each once: l_id, r_id (path and version), l_fc, r_fc."""
-    t = threshold
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("l.fc") + F.col("r.fc")) - F.lit(1e-6))
-    left = F.least(F.col("l.fc") - F.col("l.before"), F.col("r.fc") - F.col("r.before"))
-    near = F.least("l.fc", "r.fc").cast("double") / F.greatest("l.fc", "r.fc") >= t
-    on = (F.col("l.feature") == F.col("r.feature")) & (F.col("l.path") != F.col("r.path")) & near & (left >= need)
-    side = lambda a: F.struct(F.struct(F.col(f"{a}.path").alias("path"), F.col(f"{a}.version").alias("version")).alias("id"), F.col(f"{a}.fc").alias("fc"))
-    pairs = changed.alias("l").join(others.alias("r"), on).select(side("l").alias("a"), side("r").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")).distinct()
-    return pairs.select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), F.col("l.fc").alias("l_fc"), F.col("r.fc").alias("r_fc"))
-
-
-def _scored(met: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    found = J.weighted_jaccard(met, bags.select(F.struct("path", "version").alias("profile_id"), "feature", "cnt"), threshold)
-    ends = [F.col(f"{a}_id.{c}").alias(f"{side}_{c}") for a, side in (("l", "left"), ("r", "right")) for c in ("path", "version")]
-    return found.select(*ends, "score")
+def _packed(bags: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
+    """The bags in the numbers of ``ranks``, as arrays with prefix and sketch (``simjoin.with_prefixes``), and their identity."""
+    entries = F.sort_array(F.collect_list(F.struct("rank", "cnt"))).alias("e")
+    rows = bags.join(ranks, "feature").groupBy("path", "version").agg(F.sum("cnt").alias("fc"), entries)
+    rows = rows.select("path", "version", "fc", F.col("e.rank").alias("features"), F.col("e.cnt").alias("cnts"))
+    whole = F.concat_ws(";", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in ("features", "cnts")])
+    return J.with_prefixes(rows.withColumn("fingerprint", F.sha2(whole, 256)), threshold)
+
+
+def _found(live: DataFrame, changed: DataFrame | None, threshold: float) -> DataFrame:
+    """The similar pairs of ``live`` rows of "packed", with a changed path (path) on one side or both, if ``changed`` is given."""
+    if changed is None:
+        live = live.withColumn("focused", F.lit(True))
+    else:
+        live = live.join(changed.select("path", F.lit(True).alias("focused")), "path", "left").na.fill(False, ["focused"])
+    live = stored(live, "live")
+    constant = [F.lit("").alias(c) for c in ("domain", "kind", "family", "language")]
+    files = live.select(F.col("path").alias("fragment_id"), "path", "version", "fingerprint", F.col("fc").alias("feature_count"), "focused", *constant)
+    profs = stored(J.profiles(files), "profiles")
+    own = live.select(F.col("path").alias("profile_id"), "features", "cnts", "before", "sketch")
+    packed = stored(own.join(profs.select("profile_id", "part", "fc", "family", "language", "focused"), "profile_id"), "packed")
+    only = changed is not None
+    similar = stored(J.similar_packed(packed, profs, threshold, focused_only=only), "similar")
+    pairs = J.listed_pairs(files, profs, similar, focused_only=only).select(F.col("left_id").alias("left_path"), F.col("right_id").alias("right_path"), "score")
+    for side in ("left", "right"):
+        pairs = pairs.join(files.select(F.col("path").alias(f"{side}_path"), F.col("version").alias(f"{side}_version")), f"{side}_path")
+    return pairs
 
 
 @dataclass(frozen=True)
@@ -136,15 +135,14 @@ class CorpusLog:
         self._write(files, "gen=-1", "heads")
         self._write(_bags(files), "gen=-1", "bags")
         self._index("gen=-1")
-        pre = self._read("prefixes", "gen=-1")
-        met = stored(_met(pre, pre, self.threshold), "met")
-        self._write(_scored(met, self._read("bags", "gen=-1"), self.threshold), "gen=-1", "findings")
+        self._write(_found(self._read("packed", "gen=-1"), None, self.threshold), "gen=-1", "findings")
 
     def _index(self, part: str) -> None:
-        """Counts rarity and makes prefixes anew from a generation's bags."""
+        """Numbers the features of a generation's bags by rarity, over a range sort, and packs the bags anew."""
         bags = self._read("bags", part)
-        self._write(bags.groupBy("feature").agg(F.count("*").alias("df")), part, "rarity")
-        self._write(_prefixes(bags, self._read("rarity", part), self.threshold), part, "prefixes")
+        rarity = bags.groupBy("feature").agg(F.count("*").alias("df")).repartitionByRange("df", "feature").sortWithinPartitions("df", "feature")
+        self._write(rarity.withColumn("rank", F.monotonically_increasing_id()), part, "rarity")
+        self._write(_packed(bags, self._read("rarity", part), self.threshold), part, "packed")
 
     def current_heads(self, batch: int) -> DataFrame:
         """(path, version) of the files that there are after ``batch``."""
@@ -166,13 +164,13 @@ class CorpusLog:
         rows = stored(rows.join(late, "path", "left_anti"), "changed")
         self._write(rows, part, "heads")
         self._write(_bags(rows), part, "bags")
-        own, rarity = self._read("bags", part), self._read("rarity", f"gen={view.generation}")
-        self._write(_prefixes(own, rarity, self.threshold), part, "prefixes")
-        pre, gone = self._read("prefixes", part), rows.select("path")
-        others = view.live("prefixes").join(gone, "path", "left_anti").unionByName(pre)
-        met = stored(_met(pre, others, self.threshold), "met")
-        bags = view.live("bags").join(gone, "path", "left_anti").unionByName(own)
-        self._write(_scored(met, bags, self.threshold), part, "findings")
+        own, known = self._read("bags", part), view.ranks()
+        fresh = own.select("feature").distinct().join(known, "feature", "left_anti")
+        lowest = NEW * (batch - view.generation)
+        self._write(fresh.withColumn("rank", F.monotonically_increasing_id() - F.lit(lowest)), part, "rarity")
+        self._write(_packed(own, known.unionByName(self._read("rarity", part)), self.threshold), part, "packed")
+        live = view.live("packed").join(rows.select("path"), "path", "left_anti").unionByName(self._read("packed", part))
+        self._write(_found(live, rows.select("path"), self.threshold), part, "findings")
 
     def _merge(self, batch: int) -> None:
         """What ``batch`` would see, as a generation.
@@ -215,8 +213,12 @@ class View:
         fresh = self.fresh()
         return self._base("heads").join(fresh, "path", "left_anti").unionByName(fresh)
 
+    def ranks(self) -> DataFrame:
+        """The numbers of all features known so far; those that came with deltas are the lower."""
+        return self._base("rarity").unionByName(self._changes("rarity"))
+
     def live(self, table: str) -> DataFrame:
-        """Rows of bags or prefixes of the newest versions."""
+        """Rows of bags or packed bags of the newest versions."""
         fresh = self.fresh()
         new = self._changes(table).join(fresh.where("not deleted"), ["path", "version"], "left_semi")
         return self._base(table).join(fresh, "path", "left_anti").unionByName(new)

@@ -132,3 +132,21 @@ def test_nested_paths_are_redacted_alike(spark):
     assert got["h"]["changed_paths"] == ["<path-001>.py", "", "<path-003>"] and got["h"]["places"] is None and got["g"]["changed_paths"] is None
     assert {r["message"]: r["path"] for r in out["warnings"].collect()} == {"odd": "<path-003>", "none": None, "empty": ""}
     assert out["groups"].schema.simpleString() == groups.schema.simpleString() and out["totals"].count() == 1
+
+
+def test_copies_are_met_once(spark, tmp_path, monkeypatch):
+    """300 equal files, 150 of which change to other equal bags with new words: the join meets few profiles, the log has all pairs."""
+    sizes = []
+    real = I.J.met_profiles
+    monkeypatch.setattr(I.J, "met_profiles", lambda packed, *a, **b: sizes.append(packed.count()) or real(packed, *a, **b))
+    log = I.CorpusLog(spark, f"file://{tmp_path}/log", 0.75, every=2)
+    log.build(spark.createDataFrame([(f"p{k}", "a b c d e f g h") for k in range(300)], "path string, text string"))
+    state = {f"p{k}": (0, "a b c d e f g h") for k in range(300)}
+    for batch, word in enumerate(("new", "newer", "newest")):
+        rows = [(f"p{k}", batch + 1, f"a b c d e f g h {word}") for k in range(0, 300, 2)]
+        state |= {p: (v, t) for p, v, t in rows}
+        log.apply(spark.createDataFrame(rows, "path string, version long, text string"), batch)
+        got = log.current_findings(batch)
+        assert got.count() == 300 * 299 // 2
+    assert found(log, 2) == rescan(state, 0.75)
+    assert max(sizes) == 2
