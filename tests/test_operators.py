@@ -493,3 +493,24 @@ def test_evidence_is_made_in_cells(spark, monkeypatch, bundle):
         if l or r:
             want[p] = (sum((l & r).values()), sum((l | r).values()), sum((l - r).values()), sum((r - l).values()), top(l & r), top(l - r), top(r - l))
     assert {r["pair_id"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("sizes", [(8, 1), (16, 0), (8_192, 1), (8_192, 10_000)])
+def test_lists_are_dealt_by_size_and_met_in_tiles(spark, monkeypatch, sizes):
+    """All profiles have the same few features: equal to brute force in blocks of near sizes, in tiles and pair by pair."""
+    monkeypatch.setattr(J, "LIST", sizes[0])
+    monkeypatch.setattr(J, "THICK", sizes[1])
+    monkeypatch.setattr(J, "TILE", (5, 7))
+    rng = random.Random(5)
+    items = []
+    for i in range(90):
+        scale = rng.choice((6, 12, 13, 40, 9_000))
+        bag = {f"b{k}": max(1, round(scale * rng.uniform(0.7, 1.3))) for k in range(6)}
+        items.append((i, bag, {"family": rng.choice("xy"), "language": rng.choice("pq")}))
+    fragments, bags = make(spark, items)
+    want = {(a[0], b[0]) for a in items for b in items if a[0] < b[0] and score(a[1], b[1]) >= 0.8}
+    assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.8).collect()} == want and len(want) > 50
+    cross = {p for p in want if items[p[0]][2]["family"] != items[p[1]][2]["family"]}
+    assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.8, "cross_family").collect()} == cross
+    some = fragments.withColumn("focused", F.col("fragment_id") % 4 == 0)
+    assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(some, bags, 0.8, focused_only=True).collect()} == {p for p in want if p[0] % 4 == 0 or p[1] % 4 == 0}
