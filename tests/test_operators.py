@@ -514,3 +514,15 @@ def test_lists_are_dealt_by_size_and_met_in_tiles(spark, monkeypatch, sizes):
     assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(fragments, bags, 0.8, "cross_family").collect()} == cross
     some = fragments.withColumn("focused", F.col("fragment_id") % 4 == 0)
     assert {(r["left_id"], r["right_id"]) for r in J.similar_pairs(some, bags, 0.8, focused_only=True).collect()} == {p for p in want if p[0] % 4 == 0 or p[1] % 4 == 0}
+
+
+def test_prints_are_made_where_words_are_counted(spark, tmp_path):
+    texts = [(1, "b a é a zz z\U0001f600 z B"), (2, None), (3, ""), (4, "x " * 1000 + "y"), (5, "İ a\x1f b\x1e")]
+    rows = spark.createDataFrame(texts, "fragment_id long, text string")
+    made = B.with_words(rows, prints=True)
+    want = sorted(map(tuple, B.fingerprints(B.word_bags(rows)).collect()))
+    got = made.where("n_features > 0").select("fragment_id", "feature_count", "n_features", "fingerprint")
+    assert sorted(map(tuple, got.collect())) == want and made.where("n_features = 0").count() == 2
+    # no interpreted sort and no text of a bag per row in the plan
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort" not in plan and "sha2" not in plan
