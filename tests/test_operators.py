@@ -526,3 +526,14 @@ def test_prints_are_made_where_words_are_counted(spark, tmp_path):
     # no interpreted sort and no text of a bag per row in the plan
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "array_sort" not in plan and "sha2" not in plan
+
+
+def test_a_report_lists_places_of_its_groups_only(spark, monkeypatch):
+    from structsim.jobs import review_queries as Q
+
+    asked = []
+    listed = G.counted_members
+    monkeypatch.setattr(G, "counted_members", lambda similar, members, lonely=None: asked.append(similar) or listed(similar, members, lonely))
+    monkeypatch.setattr(G, "top_groups", lambda groups, n, top=G.top_groups: top(groups, 2))
+    lines = Q.report_text(spark, "/root/testdata/sf0.001").collect()
+    assert [r["rank"] for r in sorted(lines)] == [1, 2] and asked[0].count() == 2
