@@ -537,3 +537,20 @@ def test_a_report_lists_places_of_its_groups_only(spark, monkeypatch):
     monkeypatch.setattr(G, "top_groups", lambda groups, n, top=G.top_groups: top(groups, 2))
     lines = Q.report_text(spark, "/root/testdata/sf0.001").collect()
     assert [r["rank"] for r in sorted(lines)] == [1, 2] and asked[0].count() == 2
+
+
+def test_path_pairs_are_made_where_their_sides_meet(spark, monkeypatch):
+    from structsim.jobs import queries as Q
+
+    for n, seed in ((60, 2), (9, 5)):
+        similar, _, members, listed, fragments = _copies(spark, n, seed)
+        want = sorted(map(tuple, G.path_pairs(listed, fragments).collect()))
+        made = G.profile_path_pairs(similar, members)
+        assert made.columns == G.path_pairs(listed, fragments).columns
+        assert sorted(map(tuple, made.collect())) == want and want
+    # fragments of one place give its pairs once
+    again = members.unionByName(members.withColumn("fragment_id", F.col("fragment_id") + 1000))
+    assert G.profile_path_pairs(similar, again).count() == G.profile_path_pairs(similar, again).distinct().count()
+    monkeypatch.delattr(J, "listed_pairs")
+    found = Q.group_path_pairs(spark, "/root/testdata/sf0.001")
+    assert found.count() and "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
