@@ -554,3 +554,11 @@ def test_path_pairs_are_made_where_their_sides_meet(spark, monkeypatch):
     monkeypatch.delattr(J, "listed_pairs")
     found = Q.group_path_pairs(spark, "/root/testdata/sf0.001")
     assert found.count() and "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_are_made_without_a_shuffle_of_groups(spark):
+    similar, profs, members, _, _ = _copies(spark, 60, 2)
+    plan = L.entries_from_profiles(similar, profs, members, "content")._jdf.queryExecution().executedPlan().toString()
+    assert "max(score" not in plan and "min(pair" not in plan
+    plan = L.entries_from_profiles(similar, profs, members, "path")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("max(similarity") == 2 and "max(score" not in plan
