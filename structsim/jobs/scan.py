@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.functions.names import fallback_name, label_above
-from structsim.operators import bags as B
 from structsim.operators import groups as G
 from structsim.operators import simjoin as J
 from structsim.operators import spans as P
@@ -64,11 +63,9 @@ def located(files: DataFrame, units: DataFrame) -> DataFrame:
     lines = F.concat(F.lit("block@"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     name = F.when(block, lines).when(whole, F.lit(SCRIPT_NAME)).otherwise(fallback_name("said", "start_line", "kind"))
     kind = F.when(block, F.lit("block")).when(whole, F.lit(SCRIPT_KIND)).otherwise(F.col("kind"))
-    size = F.aggregate(F.map_values("features"), F.lit(0), lambda total, n: total + n)
     made = units.join(files.select("path", "language", "family", "domain", "kind"), "path")
     made = made.withColumn("name", name).withColumn("kind", kind)
-    made = made.withColumn("feature_count", size.cast("long")).withColumn("n_features", F.size("features").cast("long"))
-    return made.withColumn("fingerprint", B.fingerprint_of_map("features")).drop("said", "node_kind", "node_id", "last_id", "unit")
+    return made.withColumn("n_features", F.size("features").cast("long")).drop("said", "node_kind", "node_id", "last_id", "unit")
 
 
 def labelled(units: DataFrame, files: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python
     chosen = stored(selected.drop("content"), "files")
     read = selected.where("status = 'analyzed'")
     size, most = (options.block_statements, options.max_blocks_per_function) if options.statement_blocks else (0, 0)
-    nodes = X.extract_nodes(read, extractor)
+    nodes = X.extract_nodes(read, extractor, copies=True)
     units = stored(T.with_id(T.streamed_units(nodes, boundaries, SCRIPTS, size, most)), "units")
 
     own = units.where("unit = 'fragment'")
@@ -114,11 +111,14 @@ def scan(files: DataFrame, options: Options, extractor: str | X.Reader = "python
     if options.focus_active:
         found = found.join(chosen.select("path", "focused"), "path")
     found = stored(found, "fragments")
-    bags = found.select("fragment_id", F.explode("features").alias("feature", "cnt"))
+    listed = lambda some: some.select("fragment_id", F.explode("features").alias("feature", "cnt"))
+    bags = listed(found)
     fragments = stored(P.annotate_nesting(found.drop("features")), "nested")
     pairs = J.check_pair_limit(fragments, options.threshold, options.max_pairs, mode, options.language_pairs, options.focused_only)
     profs = stored(J.profiles(fragments, mode), "profiles")
-    similar = stored(J.similar_profiles(fragments, bags, options.threshold, mode, options.language_pairs, options.focused_only, profs), "similar")
+    # The join needs the bags that stand for a profile, not those of copies.
+    standing = listed(found.join(profs.select(F.col("profile_id").alias("fragment_id")), "fragment_id", "left_semi"))
+    similar = stored(J.similar_profiles(fragments, standing, options.threshold, mode, options.language_pairs, options.focused_only, profs), "similar")
     members = J.members(fragments, profs, mode)
     lonely = None
     if options.statement_blocks:

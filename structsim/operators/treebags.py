@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structsim.operators import syntax as S
+from structsim.sources.extract import KEPT
 
 _ARROW = {
     "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(),
@@ -36,7 +37,8 @@ _ARROW = {
 _UNIT = {
     "path": "string", "unit": "string", "node_id": "long", "last_id": "long", "node_kind": "string", "said": "string",
     "start_byte": "long", "end_byte": "long", "start_line": "int", "end_line": "int", "token_count": "int",
-    "nested_count": "int", "features": "map<string,int>", "literal_digests": "array<string>", "invalid": "boolean",
+    "nested_count": "int", "features": "map<string,int>", "feature_count": "long",
+    "fingerprint": "string", "literal_digests": "array<string>", "invalid": "boolean",
     "total": "long", "warning": "string",
 }
 UNITS = ", ".join(f"{name} {kind}" for name, kind in _UNIT.items())
@@ -241,7 +243,10 @@ def file_units(path: str, rows: Sequence[tuple], boundaries: frozenset[str], scr
 
     def counted(features: Counter, tokens: int, digests: list[str]) -> dict:
         facts = {"token_count": tokens, "nested_count": features.get("node:function:nested", 0)}
-        return facts | {"features": sorted(features.items()), "literal_digests": digests}
+        entries = sorted(features.items())
+        own = hashlib.sha256("".join(f"{f}\x1f{n}\x1e" for f, n in entries).encode()).hexdigest()[:16]
+        facts |= {"features": entries, "feature_count": sum(features.values()), "fingerprint": own}
+        return facts | {"literal_digests": digests}
 
     for k, kind in enumerate(tree.kind):
         if kind not in tree.boundaries:
@@ -285,17 +290,35 @@ def named_nodes(nodes: DataFrame, vocabulary: Mapping[str, str] | None = None) -
 
 def streamed_units(nodes: DataFrame, boundaries: Sequence[str], scripts: Sequence[str] = (), size: int = 0, most: int = 0,
                    vocabulary: Mapping[str, str] | None = None, shell: bool = False) -> DataFrame:
-    """``UNITS`` of nodes that come file after file in document order, as ``extract.extract_nodes`` gives them."""
+    """``UNITS`` of nodes that come file after file in document order, as ``extract.extract_nodes`` gives them.
+
+    With a column ``content_no`` a row without a node stands for a copy of the file with that number, which came before.
+    """
     own, whole = frozenset(boundaries), frozenset(scripts)
     if "warning" not in nodes.columns:
         nodes = nodes.withColumn("warning", F.lit(None).cast("string"))
     named = named_nodes(nodes, vocabulary)
+    number = F.col("content_no") if "content_no" in nodes.columns else F.lit(None).cast("long")
+
+    def made(path: str, nth: int | None, file: list[tuple], kept: dict[int, list[dict]]) -> Iterator[dict]:
+        if nth is not None and file[0][0] is None and file[0][-1] is None:
+            for _ in file:
+                yield from ({**unit, "path": path} for unit in kept[nth])
+            return
+        units = file_units(path, file, own, whole, size, most, shell)
+        if nth is not None:
+            units = kept[nth] = list(units)
+            # No copy is told of a content that KEPT others came after.
+            if len(kept) > KEPT:
+                del kept[next(iter(kept))]
+        yield from units
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         held: list[dict] = []
-        for path, file in groupby(rows, key=lambda r: r[0]):
-            for unit in file_units(path, [r[1:] for r in file], own, whole, size, most, shell):
+        kept: dict[int, list[dict]] = {}
+        for (path, nth, _), file in groupby(rows, key=lambda r: (r[0], r[1], r[2] is None)):
+            for unit in made(path, nth, [r[2:] for r in file], kept):
                 held.append(unit)
                 if len(held) == _ROWS:
                     yield pa.RecordBatch.from_pylist(held, _SCHEMA)
@@ -303,7 +326,7 @@ def streamed_units(nodes: DataFrame, boundaries: Sequence[str], scripts: Sequenc
         if held:
             yield pa.RecordBatch.from_pylist(held, _SCHEMA)
 
-    return named.select("path", *_NODE).mapInArrow(walk, UNITS)
+    return named.select("path", number.alias("content_no"), *_NODE).mapInArrow(walk, UNITS)
 
 
 def dealt_units(nodes: DataFrame, boundaries: Sequence[str], **options) -> DataFrame:

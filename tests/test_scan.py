@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from structsim.jobs import scan as C
+from structsim.operators import bags as B
 from structsim.operators import treebags as T
 from structsim.operators.simjoin import TooManyPairs
 from structsim.options import Options
@@ -217,3 +218,25 @@ def test_labels_of_queries(spark):
     got = [r["name"] for r in done.fragments.where("path = 'q.sql'").orderBy("start_byte").collect()]
     assert got == ["First", "Crlf", "query@7", "query@9", "Late", "query@11", "query@13"]
     assert [r["name"] for r in done.fragments.where("path = 'p.py'").collect()] == ["anonymous@2"]
+
+
+def test_copies_are_parsed_and_walked_once_a_task(spark, monkeypatch):
+    monkeypatch.setattr(X, "KEPT", 2)
+    monkeypatch.setattr(T, "KEPT", 2)
+    monkeypatch.setattr(X, "KEPT_CHARACTERS", 1000)
+    long = ADD + "# " + "x" * 1000 + "\n"
+    texts = [ADD, ADD, OUTER, "def f(:", ADD, ADD, "def f(:", "def f(:", long, long, "", "", OUTER, OUTER]
+    rows = files(spark, *[(f"d/{k:02d}.py", t) for k, t in enumerate(texts)]).coalesce(1).sortWithinPartitions("path")
+    units = lambda copies: T.streamed_units(X.extract_nodes(rows, copies=copies), C.BOUNDARIES, C.SCRIPTS, 2, 64)
+    plain = lambda made: sorted(map(str, made.toPandas().itertuples(index=False)))
+    assert plain(units(True)) == plain(units(False)) and len({r["path"] for r in units(True).collect()}) == 12
+    nodes = X.extract_nodes(rows, copies=True)
+    told = [r["path"] for r in nodes.where("node_id is null and warning is null").collect()]
+    # of the last two distinct contents copies are told, in order of when they were read first
+    assert told == ["d/01.py", "d/05.py", "d/06.py", "d/07.py", "d/11.py", "d/13.py"]
+    # a function may look at paths
+    own = X.extract_nodes(rows, lambda path, text: X.line_nodes(path, text), copies=True)
+    assert own.where("node_id is null").count() == 0
+    prints = {r["fingerprint"] for r in units(True).where("features is not null").collect()}
+    want = units(True).where("features is not null").select(B.fingerprint_of_map("features")).distinct().collect()
+    assert prints == {r[0] for r in want}
