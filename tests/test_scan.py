@@ -240,3 +240,8 @@ def test_copies_are_parsed_and_walked_once_a_task(spark, monkeypatch):
     prints = {r["fingerprint"] for r in units(True).where("features is not null").collect()}
     want = units(True).where("features is not null").select(B.fingerprint_of_map("features")).distinct().collect()
     assert prints == {r[0] for r in want}
+
+
+def test_lines_are_handed_on_without_their_text():
+    rows = list(X.line_nodes("p", "é\nb" + "x" * 1000))
+    assert [r[7] for r in rows] == ["", "", ""] and [(r[8], r[9]) for r in rows] == [(0, 1004), (0, 2), (3, 1004)]
