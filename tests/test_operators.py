@@ -562,3 +562,22 @@ def test_entries_are_made_without_a_shuffle_of_groups(spark):
     assert "max(score" not in plan and "min(pair" not in plan
     plan = L.entries_from_profiles(similar, profs, members, "path")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("max(similarity") == 2 and "max(score" not in plan
+
+
+def test_groups_of_windows_of_long_texts(spark, tmp_path):
+    """Texts of more than 66 lines have all their windows."""
+    import duckdb
+
+    from structsim.jobs import registry as R
+    from structsim.jobs import source_queries as Q
+
+    long = "\n".join(f"line {k} of a text with its own word w{k} and v{k}" for k in range(80))
+    rows = [(1, long, "en", "s"), (2, long + "\nand one more", "en", "s"), (3, "line 70 of a text\nwith its own word w70\nand v70", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(R.ORACLE_SQL["block_groups"]).fetchall())
+    got = sorted(map(tuple, Q.block_groups(spark, str(tmp_path)).select("group_id", "score", "location_pairs").collect()))
+    assert got == want and sum(n for _, score, n in got if score == 1.0) >= 78
+    windows, over = Y.statement_windows(Q._statements(spark, str(tmp_path)), 3)
+    assert (windows.count(), over.count()) == (78 + 79 + 1, 0)
