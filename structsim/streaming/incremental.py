@@ -28,7 +28,7 @@ from structsim.sources.storage import stored
 TABLES = {
     "heads": "path string, version long, deleted boolean",
     "bags": "path string, version long, feature string, cnt int",
-    "packed": "path string, version long, fc long, fingerprint string, features array<bigint>, cnts array<int>, before array<bigint>, sketch binary",
+    "packed": "path string, version long, fc long, fingerprint string, features array<bigint>, cnts array<int>",
     "rarity": "feature string, rank long",
     "findings": "left_path string, left_version long, right_path string, right_version long, score double",
 }
@@ -54,13 +54,13 @@ def _bags(files: DataFrame) -> DataFrame:
     return own.select("fragment_id.*", "feature", "cnt")
 
 
-def _packed(bags: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
-    """The bags in the numbers of ``ranks``, as arrays with prefix and sketch (``simjoin.with_prefixes``), and their identity."""
+def _packed(bags: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The bags in the numbers of ``ranks``, as arrays, and their identity."""
     entries = F.sort_array(F.collect_list(F.struct("rank", "cnt"))).alias("e")
     rows = bags.join(ranks, "feature").groupBy("path", "version").agg(F.sum("cnt").alias("fc"), entries)
     rows = rows.select("path", "version", "fc", F.col("e.rank").alias("features"), F.col("e.cnt").alias("cnts"))
     whole = F.concat_ws(";", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in ("features", "cnts")])
-    return J.with_prefixes(rows.withColumn("fingerprint", F.sha2(whole, 256)), threshold)
+    return rows.withColumn("fingerprint", F.sha2(whole, 256))
 
 
 def _found(live: DataFrame, changed: DataFrame | None, threshold: float) -> DataFrame:
@@ -73,7 +73,7 @@ def _found(live: DataFrame, changed: DataFrame | None, threshold: float) -> Data
     constant = [F.lit("").alias(c) for c in ("domain", "kind", "family", "language")]
     files = live.select(F.col("path").alias("fragment_id"), "path", "version", "fingerprint", F.col("fc").alias("feature_count"), "focused", *constant)
     profs = stored(J.profiles(files), "profiles")
-    own = live.select(F.col("path").alias("profile_id"), "features", "cnts", "before", "sketch")
+    own = live.select(F.col("path").alias("profile_id"), "features", "cnts")
     packed = stored(own.join(profs.select("profile_id", "part", "fc", "family", "language", "focused"), "profile_id"), "packed")
     only = changed is not None
     similar = stored(J.similar_packed(packed, profs, threshold, focused_only=only), "similar")
@@ -141,8 +141,9 @@ class CorpusLog:
         """Numbers the features of a generation's bags by rarity, over a range sort, and packs the bags anew."""
         bags = self._read("bags", part)
         rarity = bags.groupBy("feature").agg(F.count("*").alias("df")).repartitionByRange("df", "feature").sortWithinPartitions("df", "feature")
-        self._write(rarity.withColumn("rank", F.monotonically_increasing_id()), part, "rarity")
-        self._write(_packed(bags, self._read("rarity", part), self.threshold), part, "packed")
+        rank = F.shiftleft(J.rarity_class(F.col("df")), J.HASH).bitwiseOR(F.monotonically_increasing_id())
+        self._write(rarity.withColumn("rank", rank), part, "rarity")
+        self._write(_packed(bags, self._read("rarity", part)), part, "packed")
 
     def current_heads(self, batch: int) -> DataFrame:
         """(path, version) of the files that there are after ``batch``."""
@@ -168,7 +169,7 @@ class CorpusLog:
         fresh = own.select("feature").distinct().join(known, "feature", "left_anti")
         lowest = NEW * (batch - view.generation)
         self._write(fresh.withColumn("rank", F.monotonically_increasing_id() - F.lit(lowest)), part, "rarity")
-        self._write(_packed(own, known.unionByName(self._read("rarity", part)), self.threshold), part, "packed")
+        self._write(_packed(own, known.unionByName(self._read("rarity", part))), part, "packed")
         live = view.live("packed").join(rows.select("path"), "path", "left_anti").unionByName(self._read("packed", part))
         self._write(_found(live, rows.select("path"), self.threshold), part, "findings")
 
