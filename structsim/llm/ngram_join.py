@@ -8,7 +8,10 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
 2. Meeting places: linked sets of sizes up to r differ in at most k shingles, k = 2 r (100 - percent) / (100 + percent).
    The hash range is cut into k + 1 + e parts, so linked sets agree on at least e + 1 parts whole. Up to e parts of a
    set that say little (none or one shingle) are left out; sets that share the content of a part left meet there.
-   Frequent shingles are taken out of all sets for this step, which makes differences only smaller: no link is lost
+   Parts of small sets say too little for that at low similarities, and all such sets would meet. Pairs whose smaller set is
+   in such a size class meet by prefix: with all shingles in one order, frequent ones last, linked sets share one of
+   the first size - ceil(percent / 100 * size) + 1 of each.
+   Frequent shingles are taken out of all sets for the parts, which makes differences only smaller: no link is lost
    whatever is taken out, and a frequent passage is no meeting place. They are counted in all documents, by each task in
    buffers of ``BUFFER`` hashes; at most the ``FREQUENT`` most frequent ones are sent out.
    A task makes the keys of each class it sees once, settles those that meet within a buffer by itself, and sends one row
@@ -19,7 +22,8 @@ document is linked with nothing. Two documents link when 100 * |intersection| >=
    found, or reads them where probing costs more. Each hit is settled by exact counts. Only links between sets not yet
    connected are looked for, as classes need no more.
 4. A cell above ``CELL`` sets is first thinned: each of its sets is compared with two of those it met, and only sets
-   outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``.
+   outside the cell's largest component found so far search the whole cell, in blocks of ``CELL``. Where sets of different
+   components have few keys in common, as in cells that hang together by chains, only sets of one key search each other.
 
 Null texts have empty sets. Repeated rows give a row each; rows that share a doc_id count as one document, which is
 linked by any of its texts; those of them with empty sets name their own doc_id. Rows of null doc_id link like all others;
@@ -34,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -46,6 +51,8 @@ WORDS, PERCENT, CELL = 3, 90, 512
 #: Hashes that a task counts or compares at once, how many documents must hold a shingle that is taken out of the meeting
 #: places, and how many shingles are taken out at most (eight bytes each are broadcast).
 BUFFER, SEEN, FREQUENT = 1_000_000, 32, 1_000_000
+#: Most shingles of sets that may meet by prefix, and what marks a key as one of a prefix.
+SHORT, PREFIX = 128, (1 << 64) - 1
 #: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
 SENT = 1_000_000
 #: A probe of a long list costs as much as reading so many entries.
@@ -71,7 +78,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
 @dataclass(frozen=True)
 class SizeClass:
     """Sets of ``low`` to ``high`` shingles; ``apart``: in how many linked ones differ at most; ``parts`` of the hash range,
-    of which ``spare`` with at most ``little`` shingles may be left out."""
+    of which ``spare`` with at most ``little`` shingles may be left out; ``prefix``: whether its sets meet by prefix instead."""
 
     low: int
     high: int
@@ -79,6 +86,14 @@ class SizeClass:
     parts: int
     spare: int
     little: int
+    prefix: bool = False
+
+
+def _telling(low: int, parts: int, spare: int, little: int) -> bool:
+    """Whether sets of ``low`` shingles rarely have more than ``spare`` of these parts with at most ``little``."""
+    fill = low / parts
+    chance = math.exp(-fill) * (1 + fill * little)
+    return parts * chance + 3 * math.sqrt(parts * chance) <= spare
 
 
 def _parts(low: int, apart: int) -> tuple[int, int, int]:
@@ -87,9 +102,7 @@ def _parts(low: int, apart: int) -> tuple[int, int, int]:
         spare = 3
         while spare <= max(3, apart // 4):
             parts = apart + 1 + spare
-            fill = low / parts
-            chance = math.exp(-fill) * (1 + fill * little)
-            if parts * chance + 3 * math.sqrt(parts * chance) <= spare:
+            if _telling(low, parts, spare, little):
                 return parts, spare, little
             spare = max(spare + 1, spare * 9 // 8)
     return apart + 1 + max(3, apart // 4), max(3, apart // 4), 0
@@ -104,7 +117,8 @@ def size_classes(most: int, percent: int) -> list[SizeClass]:
         if not out and percent < 100:  # sizes whose linked sets are equal
             high = max(high, -(-(100 + percent) // (2 * (100 - percent))) - 1)
         apart = 2 * high * (100 - percent) // (100 + percent)
-        out.append(SizeClass(low, high, apart, *_parts(max(1, percent * low // 100), apart)))
+        parts, spare, little = _parts(max(1, percent * low // 100), apart)
+        out.append(SizeClass(low, high, apart, parts, spare, little, high <= SHORT and not _telling(max(1, percent * low // 100), parts, spare, little)))
         low = high + 1
     return out
 
@@ -129,7 +143,8 @@ def meeting_keys(own: np.ndarray, frequent: np.ndarray, classes: list[SizeClass]
 
     Of a linked pair's parts that agree, spare + 1 or more, one is telling if at most ``spare`` parts of either set say
     little, and then both have its key. If both have more of them, both also bring the parts of their whole sets; and if
-    those, too, say little, all of them.
+    those, too, say little, all of them. How a pair meets is up to the size class of the smaller set: by prefix, or by the
+    parts of the larger one's class.
     """
     if not len(own):
         return own
@@ -138,9 +153,15 @@ def meeting_keys(own: np.ndarray, frequent: np.ndarray, classes: list[SizeClass]
     if len(frequent):
         kept = own[frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] != own]
     found = [own[:0]]
-    for k in (level, level + 1):
+    of, below = classes[level], level > 0 and percent * len(own) <= 100 * classes[level - 1].high
+    above = 100 * len(own) >= percent * classes[level + 1].low
+    if of.prefix and (of.apart or above) or below and classes[level - 1].prefix:
+        frequent_last = np.concatenate([kept, own[~np.isin(own, kept, assume_unique=True)]])
+        found.append(chain(frequent_last[: len(own) - -(-percent * len(own) // 100) + 1], np.full(1, PREFIX, np.uint64)))
+    smaller_by_parts = below and not classes[level - 1].prefix
+    for k, asked in ((level, not of.prefix or smaller_by_parts), (level + 1, not of.prefix and above)):
         of = classes[k]
-        if not of.apart or 100 * len(own) < percent * of.low:
+        if not of.apart or not asked:
             continue
         telling, every, short = part_keys(kept, 2 * k, of)
         found.append(telling)
@@ -420,7 +441,7 @@ def _linked_classes(docs: DataFrame, folder: str, n: int, percent: int, cell_siz
     small = members.join(big, "cell", "left_anti").select("cell", "doc", "set").repartition("cell").sortWithinPartitions("cell", "doc")
     links = small.mapInArrow(lambda it: _cell_batches(it, percent), PAIRS)
     if big.take(1):
-        links = links.unionByName(_big_cells(members.join(big, "cell"), met, folder, percent, cell_size))
+        links = links.unionByName(_big_cells(members.join(big, "cell"), met, folder, percent, cell_size, frequent))
     comps = connected_components(written(links.unionByName(_ids_of_many_sets(made)), folder, "links"), folder, "components")
     comps = comps.select(F.col("node").alias("d1"), "root")
     least = comps.join(classes, "d1").groupBy("root").agg(F.min("rep").alias("least"))
@@ -436,8 +457,23 @@ def ngram_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ce
     return made.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, cell_size: int) -> DataFrame:
-    """Links of the cells above ``cell_size``; members: cell, n, d1, doc, set; met: pairs (a, b) of d1."""
+def _keys_of_sets(members: DataFrame, percent: int, frequent: Broadcast) -> DataFrame:
+    """(cell, key, doc, component) of members (cell, doc, component, set): the keys by which sets meet."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = size_classes(1 << 31, percent)
+        highs = np.array([c.high for c in sizes])
+        for batch in batches:
+            keys = [np.unique(meeting_keys(np.frombuffer(x, np.uint64), frequent.value, sizes, highs, percent)) for x in batch.column("set").to_pylist()]
+            times = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            columns = [batch.column(c).take(times) for c in ("cell", "doc", "component")]
+            yield pa.record_batch([columns[0], pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), *columns[1:]], names=["cell", "key", "doc", "component"])
+
+    return members.select("cell", "doc", "component", "set").mapInArrow(make, "cell long, key long, doc long, component long")
+
+
+def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, cell_size: int, frequent: Broadcast) -> DataFrame:
+    """Links of the cells above ``cell_size``; members: cell, n, d1, doc, set; met: pairs (a, b) of d1; frequent: shingles left out of keys."""
     members = written(members.select("cell", "n", "d1", "doc", "set").dropDuplicates(["cell", "d1", "doc"]), folder, "big_members")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,14 +499,32 @@ def _big_cells(members: DataFrame, met: DataFrame, folder: str, percent: int, ce
     largest = counts.groupBy("cell").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("largest"), F.count("*").alias("comps")).where("comps > 1").select("cell", "largest")
     open_ = known.join(largest, "cell")
     asking = open_.where("component <> largest")
-    n_asking = asking.groupBy("cell").agg(F.count("*").alias("m"))
+    n_asking = asking.groupBy("cell").agg(F.count("*").alias("m"), F.first("n").alias("n"))
     blocks = lambda c: F.ceil(F.col(c) / cell_size).cast("int")
+    # Linked sets share a key. Where sets of several components share few, sets are sent once a key, not once a block.
+    keyed = written(_keys_of_sets(open_, percent, frequent), folder, "keyed")
+    groups = keyed.groupBy("cell", "key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    groups = written(groups.select("cell", "key", "m"), folder, "groups")
+    cost = groups.groupBy("cell").agg(F.sum(F.col("m") * F.when(F.col("m") > cell_size, 2 * blocks("m")).otherwise(1)).alias("by_key"))
+    each = n_asking.join(cost, "cell").withColumn("by_block", F.col("m") * blocks("n") + F.col("n") * blocks("m"))
+    each = written(each.select("cell", (F.col("by_key") < F.col("by_block")).alias("keys")), folder, "ways")
+    by_key = keyed.join(groups, ["cell", "key"]).join(few(each.where("keys").select("cell")), "cell", "left_semi")
+    by_key = by_key.join(open_.select("cell", "doc", "set"), ["cell", "doc"])
+    by_block = each.where("not keys").select("cell")
+    open_, asking = open_.join(by_block, "cell", "left_semi"), asking.join(by_block, "cell", "left_semi")
+    n_asking = n_asking.drop("n")
     own = lambda c: F.pmod(F.xxhash64("doc"), blocks(c)).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("i")
     whole = open_.join(n_asking, "cell").select("cell", every, own("n").alias("j"), F.lit(False).alias("asks"), "component", "doc", "set")
     every = F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j")
     ask = asking.join(n_asking, "cell").select("cell", own("m").alias("i"), every, F.lit(True).alias("asks"), "component", "doc", "set")
-    dealt = ask.unionByName(whole).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", F.col("asks").desc(), "doc")
+    # A key's sets are a block, or several of which each two meet.
+    ends = lambda asks: [F.lit(asks).alias("asks"), "component", "doc", "set"]
+    every = F.explode(F.sequence(F.lit(0), blocks("m") - 1))
+    keys_ask = by_key.select(F.col("key").alias("cell"), own("m").alias("i"), every.alias("j"), *ends(True))
+    keys_whole = by_key.where(F.col("m") > cell_size).select(F.col("key").alias("cell"), every.alias("i"), own("m").alias("j"), *ends(False))
+    dealt = ask.unionByName(whole).unionByName(keys_ask).unionByName(keys_whole)
+    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", F.col("asks").desc(), "doc")
     found = dealt.mapInArrow(lambda it: _block_batches(it, percent), "a long, b long")
     return sure.unionByName(found)
 

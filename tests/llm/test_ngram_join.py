@@ -173,3 +173,51 @@ def test_near_copies_below_the_threshold_are_searched_in_bulk():
     J.connect(sets, 90, range(len(sets)), union)
     assert time.process_time() - begin < 1.5
     assert [union.root(k) for k in range(len(sets))] == list(range(len(sets)))
+
+
+def test_small_sets_do_not_all_meet():
+    """Sets of 13 to 81 shingles that share nothing have no common key at a similarity of 0.8, where all parts say little."""
+    rng = np.random.default_rng(3)
+    classes = J.size_classes(5000, 80)
+    highs = np.array([c.high for c in classes])
+    none = np.zeros(0, np.uint64)
+    sets = [np.unique(rng.integers(0, 2**64, int(rng.integers(5, 82)), dtype=np.uint64)) for _ in range(3000)]
+    keys = np.concatenate([J.meeting_keys(own, none, classes, highs, 80) for own in sets])
+    assert len(np.unique(keys)) == len(keys) < 0.35 * sum(map(len, sets)) + len(sets)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_small_linked_sets_share_a_key(percent):
+    rng = np.random.default_rng(percent + 1)
+    classes = J.size_classes(5000, percent)
+    highs = np.array([c.high for c in classes])
+    frequent = np.sort(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    many = 0
+    for size in [*range(1, 180)] * 3:
+        base = np.unique(np.concatenate([rng.integers(0, 2**64, size, dtype=np.uint64), rng.permutation(frequent)[: rng.integers(0, 9)]]))
+        for gone in range(min(len(base), 1 + size * (100 - percent) // 100)):
+            other = rng.permutation(base)[gone:]
+            new = rng.integers(0, 2**64, int(rng.integers(0, 1 + size // 8)), dtype=np.uint64)
+            other = np.unique(np.concatenate([other, new]))
+            both = len(np.intersect1d(base, other))
+            if not np.array_equal(base, other) and J.linked(len(base), len(other), both, percent):
+                many += 1
+                assert np.isin(J.meeting_keys(base, frequent, classes, highs, percent), J.meeting_keys(other, frequent, classes, highs, percent)).any()
+    assert many > 300
+
+
+def test_cells_of_chains_are_compared_by_key(table, monkeypatch):
+    """Texts of eight words, each five times, hang together by words they share; only near copies of them are linked."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(160):
+        words = [f"w{w}" for w in rng.integers(0, 90, 8)] if k % 4 else [f"w{w}" for w in rng.integers(0, 90, 8)][:7] + ["end"]
+        rows.append((len(rows), " ".join(w for w in words for _ in range(5))))
+        if k % 5 == 0:
+            rows.append((len(rows), rows[-1][1] + " more"))
+    sent = []
+    real = J.written
+    monkeypatch.setattr(J, "written", lambda df, folder, name: sent.append((name, real(df, folder, name))) or sent[-1][1])
+    assert got(J.ngram_components(table(rows), 5, 80, 8)) == brute(rows, 5, 80)
+    ways = [f for name, f in sent if name == "ways"]
+    assert ways and ways[0].where("keys").count()
